@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, quality, sharding, simhash
+from corvane.llm import decontaminate, packing, pii, quality, sharding, simhash
 from corvane.llm.common import documents
 
 
@@ -14,6 +14,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(documents(spark, sf_dir)))
+
+
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(documents(spark, sf_dir)))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
@@ -28,6 +36,8 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_packing": op3_packing,
+    "op4_pii_crf": op4_pii_crf,
     "op7_decontaminate": op7_decontaminate,
     "op8_sharding": op8_sharding,
     "op10_simhash_bktree": op10_simhash_bktree,
