@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, packing, pii, quality, sharding, simhash
+from corvane.llm import decontaminate, licenses, packing, pii, quality, secrets, sharding, simhash, substrings, tokenids
 from corvane.llm.common import documents
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.read_ids(tokenids.write_ids(documents(spark, sf_dir)))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir))
 
@@ -22,6 +26,14 @@ def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(documents(spark, sf_dir)))
 
 
+def op5_secrets_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir)))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.strip_repeats(documents(spark, sf_dir)))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
@@ -30,20 +42,29 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), sharding.topology(8), sharding.topology(9))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_files(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.cluster(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_ids": op1_token_ids,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_pii_crf": op4_pii_crf,
+    "op5_secrets_cnn": op5_secrets_cnn,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_sharding": op8_sharding,
+    "op9_licenses": op9_licenses,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
+    "op6_substring_dedup": substrings.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_sharding": sharding.oracle_sql(),
 }
