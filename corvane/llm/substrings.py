@@ -7,12 +7,13 @@ the shard), and maximal spans at or above the threshold go.
 ``strip_repeats`` takes every document as reference for those after it. Automata of a whole corpus have no size bound
 and every document would have to pass every shard, so this path deals windows by hash instead. Of each window's
 five-word runs the one with the smallest hash is its anchor; windows that are equal have equal anchors, so only windows
-whose anchor occurs in two different texts are compared, by anchor and window hash (128 bits together).
+whose anchor occurs in two documents are compared, by 80 bits of hashes of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ ANCHOR = 5
 #: Words of reference text in one automaton, and shards that are broadcast at most: beyond it, strip_reference refuses.
 SHARD_WORDS = 200_000
 MAX_SHARDS = 8
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
 
 
@@ -210,8 +211,8 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             text, anchor = text[order], anchor[order]
             new = np.ones(len(text), bool)
             new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-            tid = np.asarray(b.column(0))[text[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(tid, pa.int64())], names=["anchor", "tid"])
+            doc = np.asarray(b.column(0))[text[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(doc, pa.int64())], names=["anchor", "doc"])
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -228,26 +229,29 @@ def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             have, asked = np.sort(key(owner, own)), key(text, anchor)
             found = np.searchsorted(have, asked)
             ok = (have[np.minimum(found, len(have) - 1)] == asked) if len(have) else np.zeros(len(asked), bool)
-            window = _rolled(h, size, _Q)
+            at_first = first[ok]
+            window, check = _rolled(h, size, _Q)[at_first], _rolled(h, size, _R)[at_first] & np.uint64(0xFFFF)
             ids = np.asarray(b.column(0), dtype=np.int64)
+            tag = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], np.int64) << 31
+            place = tag[text[ok]] | (first - at[text])[ok]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[ok].view(np.int64)), pa.array(window[first[ok]].view(np.int64)), pa.array(ids[text[ok]]), pa.array((first - at[text])[ok].astype(np.int32))],
-                names=["anchor", "window", "doc", "pos"],
-            )
+                [pa.array(window.view(np.int64)), pa.array(check.astype(np.int16)), pa.array(ids[text[ok]]), pa.array(place)], names=["window", "check", "doc", "place"]
+            )
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, is a copy, positions): what stays."""
+    """Rows (doc_id, text, is a copy, places): what stays. A place is a window's first word under the text's crc32."""
     for b in batches:
         rows: list[tuple] = []
-        for doc, text, copy, positions in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for doc, text, copy, places in zip(*[c.to_pylist() for c in b.columns], strict=True):
             words = _ascii_words(text)
             n = len(words)
             if copy and n >= size:
                 gone, words = n, []
-            elif positions:
+            elif places:
                 mark = np.zeros(n + 1, np.int64)
-                p = np.array(positions, np.int64)
+                p = np.array(places, np.int64)
+                p = p[p >> 31 == zlib.crc32((text or "").encode("utf-8", "surrogatepass"))] & 0x7FFFFFFF
                 np.add.at(mark, p, 1)
                 np.add.at(mark, p + size, -1)
                 stay = np.cumsum(mark[:-1]) == 0
@@ -270,30 +274,28 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     windows meet only in minima and a join that can be split, so groups of copies cost in proportion to their rows.
     """
     ship(docs.sparkSession)
-    md5 = F.md5(F.coalesce("text", F.lit("")))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    tid = F.conv(F.substring("_md5", 1, 16), 16, -10).cast("long")
-    src = docs.select("doc_id", doc.alias("doc"), "text", md5.alias("_md5")).withColumn("tid", tid)
-    anchors = src.select("tid", "text").mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, tid bigint")
-    shared = anchors.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a < b").select("anchor")
-    first = src.groupBy("_md5", "tid").agg(F.min("doc").alias("first"))
-    wanted = anchors.join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = wanted.join(first, "tid").select(F.col("first").alias("doc"), "_md5", "anchors")
-    texts = src.select("doc_id", "doc", "text", "_md5")
+    texts = docs.select("doc_id", doc.alias("doc"), "text")  # dealt by doc once, for both joins below
+    md5 = F.md5(F.coalesce("text", F.lit("")))
+    known = texts.select("doc", md5.alias("md5"))
+    first = known.groupBy("md5").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("md5", "first")
+    copies = known.join(first, "md5").filter("first < doc").groupBy("doc").agg(F.collect_set("md5").alias("copies"))
+    anchors = texts.select("doc", "text").mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, doc bigint")
+    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor")
+    wanted = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = wanted.join(copies, "doc", "left").select("doc", "anchors", "copies")
+    whole = F.coalesce(F.array_contains("copies", md5), F.lit(False))
     windows = (
-        texts.join(wanted, ["doc", "_md5"])
+        texts.join(wanted, "doc")
+        .filter(~whole)
         .select("doc", "text", "anchors")
-        .mapInArrow(lambda it: _window_batches(it, size, anchor), "anchor bigint, window bigint, doc bigint, pos int")
+        .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check smallint, doc bigint, place bigint")
     )
-    lowest = windows.groupBy("anchor", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").drop("high")
-    hit = windows.join(lowest, ["anchor", "window"]).filter("low < doc").groupBy("doc").agg(F.collect_set("pos").alias("positions"))
-    copies = src.select("doc", "_md5").join(first.select("_md5", "first"), "_md5").filter("first < doc").select("doc", "_md5", F.lit(True).alias("copy")).distinct()
-    marks = copies.join(hit.withColumn("_md5", F.lit(None).cast("string")), ["doc", "_md5"], "full").select("doc", "_md5", "copy", "positions")
-    by_doc = marks.groupBy("doc").agg(F.collect_set(F.when(F.col("copy"), F.col("_md5"))).alias("copies"), F.first("positions", ignorenulls=True).alias("positions"))
-    out = texts.join(by_doc, "doc", "left")
-    copy = F.coalesce(F.array_contains("copies", F.col("_md5")), F.lit(False))
+    lowest = windows.groupBy("window", "check").agg(F.min("doc").alias("low"))
+    hit = windows.join(lowest, ["window", "check"]).filter("low < doc").groupBy("doc").agg(F.collect_set("place").alias("places"))
+    out = texts.join(hit, "doc", "left").join(copies, "doc", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return out.select("doc_id", "text", copy.alias("copy"), "positions").mapInArrow(lambda it: _kept_batches(it, size), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    return out.select("doc_id", "text", whole.alias("copy"), "places").mapInArrow(lambda it: _kept_batches(it, size), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def digest(stripped: DataFrame) -> DataFrame:
