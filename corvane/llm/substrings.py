@@ -7,7 +7,7 @@ the shard), and maximal spans at or above the threshold go.
 ``strip_repeats`` takes every document as reference for those after it. Automata of a whole corpus have no size bound
 and every document would have to pass every shard, so this path deals windows by hash instead. Of each window's
 five-word runs the one with the smallest hash is its anchor; windows that are equal have equal anchors, so only windows
-whose anchor occurs in two documents are compared, by 80 bits of hashes of their words.
+whose anchor occurs in two different texts are compared, by 80 bits of hashes of their words.
 """
 
 from __future__ import annotations
@@ -211,8 +211,8 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             text, anchor = text[order], anchor[order]
             new = np.ones(len(text), bool)
             new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-            doc = np.asarray(b.column(0))[text[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(doc, pa.int64())], names=["anchor", "doc"])
+            tid = np.asarray(b.column(0))[text[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(tid, pa.int64())], names=["anchor", "tid"])
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,7 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
                 gone = 0
             rows.append((doc, n, gone, b" ".join(words).decode("utf-8", "surrogatepass")))
         kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc", "n_words", "n_removed", "kept"])
 
 
 def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -275,27 +275,25 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     """
     ship(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    texts = docs.select("doc_id", doc.alias("doc"), "text")  # dealt by doc once, for both joins below
+    texts = docs.select(doc.alias("doc"), "text")  # dealt by doc once, for both joins below
     md5 = F.md5(F.coalesce("text", F.lit("")))
+    tid = lambda m: F.conv(F.substring(m, 1, 16), 16, -10).cast("long")
     known = texts.select("doc", md5.alias("md5"))
-    first = known.groupBy("md5").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("md5", "first")
+    first = known.groupBy("md5").agg(F.min("doc").alias("first"))
     copies = known.join(first, "md5").filter("first < doc").groupBy("doc").agg(F.collect_set("md5").alias("copies"))
-    anchors = texts.select("doc", "text").mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, doc bigint")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = wanted.join(copies, "doc", "left").select("doc", "anchors", "copies")
-    whole = F.coalesce(F.array_contains("copies", md5), F.lit(False))
-    windows = (
-        texts.join(wanted, "doc")
-        .filter(~whole)
-        .select("doc", "text", "anchors")
-        .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check smallint, doc bigint, place bigint")
-    )
+    anchors = docs.select(tid(md5).alias("tid"), "text").mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, tid bigint")
+    shared = anchors.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a < b").select("anchor")
+    wanted = anchors.join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = wanted.join(first.select(tid(F.col("md5")).alias("tid"), "first"), "tid")
+    wanted = wanted.groupBy(F.col("first").alias("doc")).agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    windows = texts.join(wanted, "doc").mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check smallint, doc bigint, place bigint")
     lowest = windows.groupBy("window", "check").agg(F.min("doc").alias("low"))
     hit = windows.join(lowest, ["window", "check"]).filter("low < doc").groupBy("doc").agg(F.collect_set("place").alias("places"))
     out = texts.join(hit, "doc", "left").join(copies, "doc", "left")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return out.select("doc_id", "text", whole.alias("copy"), "places").mapInArrow(lambda it: _kept_batches(it, size), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    copy = F.coalesce(F.array_contains("copies", md5), F.lit(False))
+    kept = out.select("doc", "text", copy.alias("copy"), "places").mapInArrow(lambda it: _kept_batches(it, size), "doc bigint, n_words bigint, n_removed bigint, kept string")
+    kind = docs.schema["doc_id"].dataType
+    return kept.select(F.nullif("doc", F.lit(LAST)).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def digest(stripped: DataFrame) -> DataFrame:
