@@ -62,7 +62,8 @@ def fuse(vector: DataFrame, keyword: DataFrame, importance: DataFrame | None = N
         imp = or_default(F.col("importance"), 1.0)
     scored = both.select("query_id", "chunk_id", "vrank", "krank", F.round(F.col("rrf") * (1 + BOOST * (imp - 1)), 9).alias("score"))
     best = top(scored, "query_id", [F.desc("score"), "chunk_id"], min(MOST, k))
-    return best.withColumn("score", F.round("score", 5))
+    # A rank of 0: not in that list.
+    return best.withColumns({"score": F.round("score", 5), "vrank": F.coalesce("vrank", F.lit(0)), "krank": F.coalesce("krank", F.lit(0))})
 
 
 def pack_context(blocks: DataFrame, budget: int) -> DataFrame:

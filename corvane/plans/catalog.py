@@ -96,7 +96,7 @@ f AS (SELECT query_id, chunk_id, vr.rank AS vrank, kw2.rank AS krank, coalesce(0
       FROM vr FULL JOIN (SELECT * FROM kw WHERE query_id < 10) kw2 USING (query_id, chunk_id)),
 g AS (SELECT f.*, round(rrf * (1 + 0.35 * ({imp} - 1)), 9) AS s FROM f LEFT JOIN labels ON doc_id = chunk_id),
 h AS (SELECT query_id, chunk_id, vrank, krank, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INT AS rank FROM g QUALIFY rank <= {k})
-SELECT query_id::BIGINT AS query_id, chunk_id, vrank, krank, round(s, 5) AS score, rank FROM h"""
+SELECT query_id::BIGINT AS query_id, chunk_id, coalesce(vrank, 0) AS vrank, coalesce(krank, 0) AS krank, round(s, 5) AS score, rank FROM h"""
 
 
 @query(f"WITH {TF} SELECT * FROM tf")
@@ -433,12 +433,12 @@ def trace_dedup(spark, d):
     return tours.trace(hits)
 
 
-@query("""SELECT o_orderkey AS path, o_custkey % 7 + 1 AS line, min(l_linenumber) AS symbol FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= o_custkey % 7 + 1 AND l_linenumber + 1 >= o_custkey % 7 + 1 GROUP BY ALL""")
+@query("""SELECT o_orderkey AS path, o_custkey % 7 + 1 AS line, coalesce(min(l_linenumber), 0) AS symbol FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= o_custkey % 7 + 1 AND l_linenumber + 1 >= o_custkey % 7 + 1 GROUP BY ALL""")
 def citation_enclosing_symbol(spark, d):
     cited = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 7 + 1).alias("line"))
     spans = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + 1).alias("b"))
     inside = cited.join(spans, (cited["path"] == spans["path"]) & (F.col("a") <= F.col("line")) & (F.col("b") >= F.col("line")), "left").select(cited["path"], "line", "a")
-    return inside.groupBy("path", "line").agg(F.min("a").alias("symbol"))
+    return inside.groupBy("path", "line").agg(F.coalesce(F.min("a"), F.lit(0)).alias("symbol"))
 
 
 @query("""SELECT l_orderkey AS path, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_returnflag) || ']' AS items FROM lineitem GROUP BY 1""")
