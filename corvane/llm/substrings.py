@@ -7,7 +7,7 @@ the shard), and maximal spans at or above the threshold go.
 ``strip_repeats`` takes every document as reference for those after it. Automata of a whole corpus have no size bound
 and every document would have to pass every shard, so this path deals windows by hash instead. Of each window's
 five-word runs the one with the smallest hash is its anchor; windows that are equal have equal anchors, so only windows
-whose anchor occurs in two different texts are compared, by 80 bits of hashes of their words.
+whose anchor occurs in two documents are compared, by 80 bits of hashes of their words.
 """
 
 from __future__ import annotations
@@ -211,39 +211,50 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             text, anchor = text[order], anchor[order]
             new = np.ones(len(text), bool)
             new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-            tid = np.asarray(b.column(0))[text[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(tid, pa.int64())], names=["anchor", "tid"])
+            doc = np.asarray(b.column(0))[text[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(doc, pa.int64())], names=["anchor", "doc"])
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, anchors): the windows whose anchor is among the row's."""
+    """Rows (doc, text, list of (anchor, first), repeated): the windows whose anchor is among the row's.
+
+    ``first``: no smaller document has the anchor, so none has the window. ``repeated``: other rows have this doc.
+    """
     for whole in batches:
         for b in _slices(whole, 1):
             h, at = _hashed(b.column(1))
             first, text, anchor = _windows(h, at, size, k)
             lists = b.column(2)
-            own = np.asarray(lists.flatten(), dtype=np.int64).view(np.uint64)
+            given = lists.flatten()
+            own = np.asarray(given.field("anchor"), dtype=np.int64).view(np.uint64)
+            later = ~np.asarray(given.field("first"))
             owner = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists), dtype=np.int64))
             # One key of text and anchor: the anchor mixed with the text's number; membership by sorted search.
             key = lambda t, a: _mix(a + (t.astype(np.uint64) + np.uint64(1)) * _Q)
-            have, asked = np.sort(key(owner, own)), key(text, anchor)
-            found = np.searchsorted(have, asked)
-            ok = (have[np.minimum(found, len(have) - 1)] == asked) if len(have) else np.zeros(len(asked), bool)
+            have = key(owner, own)
+            order = np.argsort(have)
+            have, later = have[order], later[order]
+            asked = key(text, anchor)
+            found = np.minimum(np.searchsorted(have, asked), max(0, len(have) - 1))
+            ok = have[found] == asked if len(have) else np.zeros(len(asked), bool)
             at_first = first[ok]
             window, check = _rolled(h, size, _Q)[at_first], _rolled(h, size, _R)[at_first] & np.uint64(0xFFFF)
             ids = np.asarray(b.column(0), dtype=np.int64)
-            tag = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], np.int64) << 31
-            place = tag[text[ok]] | (first - at[text])[ok]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(window.view(np.int64)), pa.array(check.astype(np.int16)), pa.array(ids[text[ok]]), pa.array(place)], names=["window", "check", "doc", "place"]
-            )
+            tag = np.array([_tag(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)], np.int64)
+            place = tag[text[ok]] << 31 | (first - at[text])[ok]
+            columns = [window.view(np.int64), check.astype(np.uint16).view(np.int16), ids[text[ok]], place, later[found[ok]] if len(have) else np.zeros(0, bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "check", "doc", "place", "later"])
+
+
+def _tag(text: str | None, repeated: bool) -> int:
+    return zlib.crc32((text or "").encode("utf-8", "surrogatepass")) if repeated else 0
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, is a copy, places): what stays. A place is a window's first word under the text's crc32."""
+    """Rows (doc, text, is a copy, places, repeated): what stays. A place is a window's first word under the text's tag."""
     for b in batches:
         rows: list[tuple] = []
-        for doc, text, copy, places in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for doc, text, copy, places, repeated in zip(*[c.to_pylist() for c in b.columns], strict=True):
             words = _ascii_words(text)
             n = len(words)
             if copy and n >= size:
@@ -251,7 +262,7 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
             elif places:
                 mark = np.zeros(n + 1, np.int64)
                 p = np.array(places, np.int64)
-                p = p[p >> 31 == zlib.crc32((text or "").encode("utf-8", "surrogatepass"))] & 0x7FFFFFFF
+                p = p[p >> 31 == _tag(text, repeated)] & 0x7FFFFFFF
                 np.add.at(mark, p, 1)
                 np.add.at(mark, p + size, -1)
                 stay = np.cumsum(mark[:-1]) == 0
@@ -277,21 +288,28 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     texts = docs.select(doc.alias("doc"), "text")  # dealt by doc once, for both joins below
     md5 = F.md5(F.coalesce("text", F.lit("")))
-    tid = lambda m: F.conv(F.substring(m, 1, 16), 16, -10).cast("long")
     known = texts.select("doc", md5.alias("md5"))
-    first = known.groupBy("md5").agg(F.min("doc").alias("first"))
+    first = known.groupBy("md5").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("md5", "first")
     copies = known.join(first, "md5").filter("first < doc").groupBy("doc").agg(F.collect_set("md5").alias("copies"))
-    anchors = docs.select(tid(md5).alias("tid"), "text").mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, tid bigint")
-    shared = anchors.groupBy("anchor").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a < b").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = wanted.join(first.select(tid(F.col("md5")).alias("tid"), "first"), "tid")
-    wanted = wanted.groupBy(F.col("first").alias("doc")).agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    windows = texts.join(wanted, "doc").mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check smallint, doc bigint, place bigint")
+    repeats = known.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", F.lit(True).alias("repeated"))
+    anchors = texts.mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, doc bigint")
+    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor", "low")
+    wanted = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", (F.col("low") == F.col("doc")).alias("first"))).alias("anchors"))
+    copy, repeated = F.coalesce(F.array_contains("copies", md5), F.lit(False)), F.coalesce("repeated", F.lit(False))
+    windows = (
+        texts.join(wanted, "doc")
+        .join(copies, "doc", "left")
+        .join(repeats, "doc", "left")
+        .filter(~copy)
+        .select("doc", "text", "anchors", repeated.alias("repeated"))
+        .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check smallint, doc bigint, place bigint, later boolean")
+    )
     lowest = windows.groupBy("window", "check").agg(F.min("doc").alias("low"))
-    hit = windows.join(lowest, ["window", "check"]).filter("low < doc").groupBy("doc").agg(F.collect_set("place").alias("places"))
-    out = texts.join(hit, "doc", "left").join(copies, "doc", "left")
-    copy = F.coalesce(F.array_contains("copies", md5), F.lit(False))
-    kept = out.select("doc", "text", copy.alias("copy"), "places").mapInArrow(lambda it: _kept_batches(it, size), "doc bigint, n_words bigint, n_removed bigint, kept string")
+    hit = windows.filter("later").drop("later").join(lowest, ["window", "check"]).filter("low < doc").groupBy("doc").agg(F.collect_set("place").alias("places"))
+    out = texts.join(hit, "doc", "left").join(copies, "doc", "left").join(repeats, "doc", "left")
+    kept = out.select("doc", "text", copy.alias("copy"), "places", repeated.alias("repeated")).mapInArrow(
+        lambda it: _kept_batches(it, size), "doc bigint, n_words bigint, n_removed bigint, kept string"
+    )
     kind = docs.schema["doc_id"].dataType
     return kept.select(F.nullif("doc", F.lit(LAST)).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept")
 
