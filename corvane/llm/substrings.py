@@ -191,7 +191,7 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(h: np.ndarray, at: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows inside a text: first word's place in h, text, anchor."""
+    """Of the windows inside a text: first word's place in h, text, anchor (63 bits; the last is 0)."""
     n = max(0, len(h) - size + 1)
     runs = _rolled(h, k, _P)
     least = runs[:n].copy()
@@ -199,7 +199,7 @@ def _windows(h: np.ndarray, at: np.ndarray, size: int, k: int) -> tuple[np.ndarr
         np.minimum(least, runs[j : j + n], out=least)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     first = np.flatnonzero(text[:n] == text[size - 1 : size - 1 + n]) if n else np.zeros(0, np.int64)
-    return first, text[first], least[first]
+    return first, text[first], least[first] & ~np.uint64(1)
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -216,18 +216,17 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, list of (anchor, first), repeated): the windows whose anchor is among the row's.
+    """Rows (doc, text, anchors, repeated): the windows whose anchor is among the row's.
 
-    ``first``: no smaller document has the anchor, so none has the window. ``repeated``: other rows have this doc.
+    An anchor's last bit is set where no smaller document has the anchor, so none has the window. ``repeated``: other rows have this doc.
     """
     for whole in batches:
         for b in _slices(whole, 1):
             h, at = _hashed(b.column(1))
             first, text, anchor = _windows(h, at, size, k)
             lists = b.column(2)
-            given = lists.flatten()
-            own = np.asarray(given.field("anchor"), dtype=np.int64).view(np.uint64)
-            later = ~np.asarray(given.field("first"))
+            given = np.asarray(lists.flatten(), dtype=np.int64)
+            own, later = (given & ~1).view(np.uint64), given & 1 == 0
             owner = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists), dtype=np.int64))
             # One key of text and anchor: the anchor mixed with the text's number; membership by sorted search.
             key = lambda t, a: _mix(a + (t.astype(np.uint64) + np.uint64(1)) * _Q)
@@ -287,14 +286,14 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     ship(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     texts = docs.select(doc.alias("doc"), "text")  # dealt by doc once, for both joins below
-    md5 = F.md5(F.coalesce("text", F.lit("")))
+    md5 = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     known = texts.select("doc", md5.alias("md5"))
     first = known.groupBy("md5").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("md5", "first")
     copies = known.join(first, "md5").filter("first < doc").groupBy("doc").agg(F.collect_set("md5").alias("copies"))
     repeats = known.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", F.lit(True).alias("repeated"))
     anchors = texts.mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, doc bigint")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor", "low")
-    wanted = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", (F.col("low") == F.col("doc")).alias("first"))).alias("anchors"))
+    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "low")
+    wanted = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_list(F.col("anchor").bitwiseOR((F.col("low") == F.col("doc")).cast("long"))).alias("anchors"))
     copy, repeated = F.coalesce(F.array_contains("copies", md5), F.lit(False)), F.coalesce("repeated", F.lit(False))
     windows = (
         texts.join(wanted, "doc")
