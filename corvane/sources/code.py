@@ -77,7 +77,7 @@ def language(path: Column) -> Column:
 def describe(files: DataFrame, gitignore: list[str] | None = None) -> DataFrame:
     """files: path (relative), length, content. Kept ones with language, text, hash and line count."""
     kept = files.filter(F.col("length").between(1, MAX_BYTES)).filter(~ignored(F.col("path"), gitignore)).withColumn("language", language(F.col("path"))).filter("language IS NOT NULL")
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return kept.select("path", "language", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), text.alias("text")).withColumn("line_count", line_count(F.col("text")))
 
 
