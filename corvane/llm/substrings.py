@@ -202,17 +202,23 @@ def _windows(h: np.ndarray, at: np.ndarray, size: int, k: int) -> tuple[np.ndarr
     return first, text[first], least[first] & ~np.uint64(1)
 
 
+def _changes(text: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without entries that equal the one before."""
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
+    return text[new], anchor[new]
+
+
 def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in _slices(whole, 1):
             h, at = _hashed(b.column(1))
             _, text, anchor = _windows(h, at, size, k)
+            text, anchor = _changes(text, anchor)  # neighbouring windows mostly share theirs; the sort then has far less
             order = np.lexsort((anchor, text))
-            text, anchor = text[order], anchor[order]
-            new = np.ones(len(text), bool)
-            new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-            doc = np.asarray(b.column(0))[text[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(doc, pa.int64())], names=["anchor", "doc"])
+            text, anchor = _changes(text[order], anchor[order])
+            doc = np.asarray(b.column(0))[text]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc, pa.int64())], names=["anchor", "doc"])
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
