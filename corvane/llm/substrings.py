@@ -161,7 +161,7 @@ def _rolled(h: np.ndarray, k: int, p: np.uint64) -> np.ndarray:
     return _mix(out)
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about so many bytes of text."""
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
     a = 0

@@ -131,7 +131,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterable[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterable[pa.RecordBatch]:
     """The batch in runs of rows of about so many bytes, at least a row each."""
     if batch.num_rows == 0:
         return
