@@ -287,7 +287,8 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     Null and blank texts have no words and are kept empty; texts under ``size`` words are kept whole. A null doc_id is
     larger than any other. Rows with one doc_id do not remove from each other. An empty table gives no rows; other
     columns are ignored. Exact copies are settled by a digest of the text and take no part in the comparison, and
-    windows meet only in minima and a join that can be split, so groups of copies cost in proportion to their rows.
+    windows meet only in minima and one join, so groups of copies cost in proportion to their rows; the rows of one very
+    common window do meet in one task of that join.
     """
     ship(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
