@@ -32,6 +32,8 @@ SHARD_WORDS = 200_000
 MAX_SHARDS = 8
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
+#: Bits of an anchor: enough to tell apart the anchors of 100 TB but for some hundredths, which the windows' own hashes then part.
+_ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFE)
 
 
 # --- suffix automata ----------------------------------------------------------------------------------------------
@@ -191,7 +193,7 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(h: np.ndarray, at: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows inside a text: first word's place in h, text, anchor (63 bits; the last is 0)."""
+    """Of the windows inside a text: first word's place in h, text, anchor (48 bits; the last is 0)."""
     n = max(0, len(h) - size + 1)
     runs = _rolled(h, k, _P)
     least = runs[:n].copy()
@@ -199,7 +201,7 @@ def _windows(h: np.ndarray, at: np.ndarray, size: int, k: int) -> tuple[np.ndarr
         np.minimum(least, runs[j : j + n], out=least)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     first = np.flatnonzero(text[:n] == text[size - 1 : size - 1 + n]) if n else np.zeros(0, np.int64)
-    return first, text[first], least[first] & ~np.uint64(1)
+    return first, text[first], least[first] & _ANCHOR_BITS
 
 
 def _changes(text: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,8 +289,9 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     Null and blank texts have no words and are kept empty; texts under ``size`` words are kept whole. A null doc_id is
     larger than any other. Rows with one doc_id do not remove from each other. An empty table gives no rows; other
     columns are ignored. Exact copies are settled by a digest of the text and take no part in the comparison, and
-    windows meet only in minima and one join, so groups of copies cost in proportion to their rows; the rows of one very
-    common window do meet in one task of that join.
+    anchors and windows meet only in minima and in joins with those, so groups of copies cost in proportion to their rows.
+    Each such join is on a key derived from the minima's own: both its sides are then exchanges, of which adaptive
+    execution splits the one with a very common key (below an aggregate it could not).
     """
     ship(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
@@ -296,11 +299,14 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     md5 = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     known = texts.select("doc", md5.alias("md5"))
     first = known.groupBy("md5").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("md5", "first")
-    copies = known.join(first, "md5").filter("first < doc").groupBy("doc").agg(F.collect_set("md5").alias("copies"))
+    of_md5 = F.concat("md5", F.lit(b"\0")).alias("key")
+    copies = known.select("doc", "md5", of_md5).join(first.select(of_md5, "first"), "key").filter("first < doc").groupBy("doc").agg(F.collect_set("md5").alias("copies"))
     repeats = known.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", F.lit(True).alias("repeated"))
     anchors = texts.mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, doc bigint")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "low")
-    wanted = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_list(F.col("anchor").bitwiseOR((F.col("low") == F.col("doc")).cast("long"))).alias("anchors"))
+    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    of_anchor = (F.col("anchor") + 1).alias("key")
+    held = anchors.select("doc", of_anchor).join(shared.select(of_anchor, "low"), "key")
+    wanted = held.groupBy("doc").agg(F.collect_list(F.col("key") - (F.col("low") < F.col("doc")).cast("long")).alias("anchors"))
     copy, repeated = F.coalesce(F.array_contains("copies", md5), F.lit(False)), F.coalesce("repeated", F.lit(False))
     windows = (
         texts.join(wanted, "doc")
@@ -310,8 +316,10 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
         .select("doc", "text", "anchors", repeated.alias("repeated"))
         .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check smallint, doc bigint, place bigint, later boolean")
     )
-    lowest = windows.groupBy("window", "check").agg(F.min("doc").alias("low"))
-    hit = windows.filter("later").drop("later").join(lowest, ["window", "check"]).filter("low < doc").groupBy("doc").agg(F.collect_set("place").alias("places"))
+    lowest = windows.groupBy("window", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    of_window = F.bitwise_not("window").alias("key")
+    later = windows.filter("later").select(of_window, "check", "doc", "place")
+    hit = later.join(lowest.select(of_window, "check", "low"), ["key", "check"]).filter("low < doc").groupBy("doc").agg(F.collect_set("place").alias("places"))
     out = texts.join(hit, "doc", "left").join(copies, "doc", "left").join(repeats, "doc", "left")
     kept = out.select("doc", "text", copy.alias("copy"), "places", repeated.alias("repeated")).mapInArrow(
         lambda it: _kept_batches(it, size), "doc bigint, n_words bigint, n_removed bigint, kept string"
