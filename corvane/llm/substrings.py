@@ -7,7 +7,8 @@ the shard), and maximal spans at or above the threshold go.
 ``strip_repeats`` takes every document as reference for those after it. Automata of a whole corpus have no size bound
 and every document would have to pass every shard, so this path deals windows by hash instead. Of each window's
 five-word runs the one with the smallest hash is its anchor; windows that are equal have equal anchors, so only windows
-whose anchor occurs in two documents are compared, by 80 bits of hashes of their words.
+whose anchor occurs in two documents are compared, by 80 bits of hashes of their words. Windows of a very common anchor
+are dealt by document too: each share of them settles all but its smallest document, and those settle among themselves.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.session import ship
 
@@ -33,7 +35,9 @@ MAX_SHARDS = 8
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
 #: Bits of an anchor: enough to tell apart the anchors of 100 TB but for some hundredths, which the windows' own hashes then part.
-_ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFE)
+_ANCHOR_BITS = 48
+#: Documents of an anchor whose windows meet in one group; beyond it they are dealt into powers of two of shares, 2**16 at most.
+SHARE_DOCS = 4096
 
 
 # --- suffix automata ----------------------------------------------------------------------------------------------
@@ -193,7 +197,7 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(h: np.ndarray, at: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows inside a text: first word's place in h, text, anchor (48 bits; the last is 0)."""
+    """Of the windows inside a text: first word's place in h, text, anchor."""
     n = max(0, len(h) - size + 1)
     runs = _rolled(h, k, _P)
     least = runs[:n].copy()
@@ -201,7 +205,7 @@ def _windows(h: np.ndarray, at: np.ndarray, size: int, k: int) -> tuple[np.ndarr
         np.minimum(least, runs[j : j + n], out=least)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     first = np.flatnonzero(text[:n] == text[size - 1 : size - 1 + n]) if n else np.zeros(0, np.int64)
-    return first, text[first], least[first] & _ANCHOR_BITS
+    return first, text[first], least[first] >> np.uint64(64 - _ANCHOR_BITS)
 
 
 def _changes(text: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +230,8 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
 def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc, text, anchors, repeated): the windows whose anchor is among the row's.
 
-    An anchor's last bit is set where no smaller document has the anchor, so none has the window. ``repeated``: other rows have this doc.
+    Above an anchor's bits is the binary logarithm of its shares. A window's check holds 16 bits of hash and above them
+    its share; the place of a window of several shares is negative. ``repeated``: other rows have this doc.
     """
     for whole in batches:
         for b in _slices(whole, 1):
@@ -234,23 +239,25 @@ def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             first, text, anchor = _windows(h, at, size, k)
             lists = b.column(2)
             given = np.asarray(lists.flatten(), dtype=np.int64)
-            own, later = (given & ~1).view(np.uint64), given & 1 == 0
+            own, shares = (given & (1 << _ANCHOR_BITS) - 1).view(np.uint64), given >> _ANCHOR_BITS
             owner = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists), dtype=np.int64))
             # One key of text and anchor: the anchor mixed with the text's number; membership by sorted search.
             key = lambda t, a: _mix(a + (t.astype(np.uint64) + np.uint64(1)) * _Q)
             have = key(owner, own)
             order = np.argsort(have)
-            have, later = have[order], later[order]
+            have, shares = have[order], shares[order]
             asked = key(text, anchor)
             found = np.minimum(np.searchsorted(have, asked), max(0, len(have) - 1))
             ok = have[found] == asked if len(have) else np.zeros(len(asked), bool)
-            at_first = first[ok]
+            at_first, text = first[ok], text[ok]
             window, check = _rolled(h, size, _Q)[at_first], _rolled(h, size, _R)[at_first] & np.uint64(0xFFFF)
-            ids = np.asarray(b.column(0), dtype=np.int64)
+            doc = np.asarray(b.column(0), dtype=np.int64)[text]
+            bits = shares[found[ok]] if len(have) else np.zeros(0, np.int64)
+            share = _mix(doc.view(np.uint64) * _P) & ((1 << bits) - 1).view(np.uint64)
             tag = np.array([_tag(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)], np.int64)
-            place = tag[text[ok]] << 31 | (first - at[text])[ok]
-            columns = [window.view(np.int64), check.astype(np.uint16).view(np.int16), ids[text[ok]], place, later[found[ok]] if len(have) else np.zeros(0, bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "check", "doc", "place", "later"])
+            place = tag[text] << 31 | at_first - at[text]
+            columns = [window.view(np.int64), (check | share << np.uint64(16)).astype(np.uint32).view(np.int32), doc, np.where(bits > 0, ~place, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "check", "doc", "place"])
 
 
 def _tag(text: str | None, repeated: bool) -> int:
@@ -282,16 +289,16 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc", "n_words", "n_removed", "kept"])
 
 
-def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, share_docs: int = SHARE_DOCS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept: without the words of windows that also start in a document
     with a smaller doc_id.
 
     Null and blank texts have no words and are kept empty; texts under ``size`` words are kept whole. A null doc_id is
     larger than any other. Rows with one doc_id do not remove from each other. An empty table gives no rows; other
     columns are ignored. Exact copies are settled by a digest of the text and take no part in the comparison, and
-    anchors and windows meet only in minima and in joins with those, so groups of copies cost in proportion to their rows.
-    Each such join is on a key derived from the minima's own: both its sides are then exchanges, of which adaptive
-    execution splits the one with a very common key (below an aggregate it could not).
+    anchors meet only in counts and in a join with those, so groups of copies cost in proportion to their rows. That
+    join is on a key derived from the counts' own: both its sides are then exchanges, of which adaptive execution splits
+    one with a very common key (below an aggregate it could not).
     """
     ship(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
@@ -303,10 +310,11 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
     copies = known.select("doc", "md5", of_md5).join(first.select(of_md5, "first"), "key").filter("first < doc").groupBy("doc").agg(F.collect_set("md5").alias("copies"))
     repeats = known.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", F.lit(True).alias("repeated"))
     anchors = texts.mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, doc bigint")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shares = F.when(F.col("n") > share_docs, F.least(F.ceil(F.log2(F.col("n") / share_docs)), F.lit(16))).otherwise(0).cast("long")
     of_anchor = (F.col("anchor") + 1).alias("key")
-    held = anchors.select("doc", of_anchor).join(shared.select(of_anchor, "low"), "key")
-    wanted = held.groupBy("doc").agg(F.collect_list(F.col("key") - (F.col("low") < F.col("doc")).cast("long")).alias("anchors"))
+    held = anchors.select("doc", of_anchor).join(shared.select(of_anchor, shares.alias("shares")), "key")
+    wanted = held.groupBy("doc").agg(F.collect_list(F.col("key") - 1 + F.shiftleft("shares", _ANCHOR_BITS)).alias("anchors"))
     copy, repeated = F.coalesce(F.array_contains("copies", md5), F.lit(False)), F.coalesce("repeated", F.lit(False))
     windows = (
         texts.join(wanted, "doc")
@@ -314,12 +322,14 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
         .join(repeats, "doc", "left")
         .filter(~copy)
         .select("doc", "text", "anchors", repeated.alias("repeated"))
-        .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check smallint, doc bigint, place bigint, later boolean")
+        .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check int, doc bigint, place bigint")
     )
-    lowest = windows.groupBy("window", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    of_window = F.bitwise_not("window").alias("key")
-    later = windows.filter("later").select(of_window, "check", "doc", "place")
-    hit = later.join(lowest.select(of_window, "check", "low"), ["key", "check"]).filter("low < doc").groupBy("doc").agg(F.collect_set("place").alias("places"))
+    met = windows.withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
+    place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place")
+    least = met.filter("low = doc AND place < 0").select("window", F.col("check").bitwiseAND(0xFFFF).alias("check"), "doc", place)
+    again = least.withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
+    hits = met.filter("low < doc").select("doc", place).unionAll(again.filter("low < doc").select("doc", "place"))
+    hit = hits.groupBy("doc").agg(F.collect_set("place").alias("places"))
     out = texts.join(hit, "doc", "left").join(copies, "doc", "left").join(repeats, "doc", "left")
     kept = out.select("doc", "text", copy.alias("copy"), "places", repeated.alias("repeated")).mapInArrow(
         lambda it: _kept_batches(it, size), "doc bigint, n_words bigint, n_removed bigint, kept string"

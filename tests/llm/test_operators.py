@@ -190,7 +190,8 @@ def test_secrets(docs):
     assert rows[0].spans == "" and rows[13].spans == ""
 
 
-def test_substrings(docs):
+@pytest.mark.parametrize("share_docs", [substrings.SHARE_DOCS, 1])
+def test_substrings(docs, share_docs):
     rows = corpus()
     key = lambda d: substrings.LAST if d is None else d
     low = {}
@@ -200,7 +201,7 @@ def test_substrings(docs):
             g = tuple(w[i : i + 13])
             low[g] = min(low.get(g, substrings.LAST), key(d))
     got = {}
-    for r in substrings.strip_repeats(docs).collect():
+    for r in substrings.strip_repeats(docs, share_docs=share_docs).collect():
         got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed, r.kept))
     for d, t in rows:
         w = words(t)
