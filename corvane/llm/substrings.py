@@ -38,6 +38,8 @@ LAST = (1 << 63) - 1
 _ANCHOR_BITS = 48
 #: Documents of an anchor whose windows meet in one group; beyond it they are dealt into powers of two of shares, 2**16 at most.
 SHARE_DOCS = 4096
+#: Bit of a place: its window occurs in the text again.
+_AGAIN = 1 << 30
 
 
 # --- suffix automata ----------------------------------------------------------------------------------------------
@@ -231,7 +233,8 @@ def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
     """Rows (doc, text, anchors, repeated): the windows whose anchor is among the row's.
 
     Above an anchor's bits is the binary logarithm of its shares. A window's check holds 16 bits of hash and above them
-    its share; the place of a window of several shares is negative. ``repeated``: other rows have this doc.
+    its share; the place of a window of several shares is negative. A text gives a window once, at its first place.
+    ``repeated``: other rows have this doc.
     """
     for whole in batches:
         for b in _slices(whole, 1):
@@ -250,12 +253,20 @@ def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             found = np.minimum(np.searchsorted(have, asked), max(0, len(have) - 1))
             ok = have[found] == asked if len(have) else np.zeros(len(asked), bool)
             at_first, text = first[ok], text[ok]
-            window, check = _rolled(h, size, _Q)[at_first], _rolled(h, size, _R)[at_first] & np.uint64(0xFFFF)
-            doc = np.asarray(b.column(0), dtype=np.int64)[text]
             bits = shares[found[ok]] if len(have) else np.zeros(0, np.int64)
+            window = _rolled(h, size, _Q)[at_first]
+            order = np.lexsort((window, text))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(text[order]) != 0) | (window[order][1:] != window[order][:-1])
+            one = np.flatnonzero(new)
+            again = np.diff(one, append=len(order)) > 1
+            one = order[one]
+            at_first, text, window, bits = at_first[one], text[one], window[one], bits[one]
+            check = _rolled(h, size, _R)[at_first] & np.uint64(0xFFFF)
+            doc = np.asarray(b.column(0), dtype=np.int64)[text]
             share = _mix(doc.view(np.uint64) * _P) & ((1 << bits) - 1).view(np.uint64)
             tag = np.array([_tag(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)], np.int64)
-            place = tag[text] << 31 | at_first - at[text]
+            place = tag[text] << 31 | at_first - at[text] | again * _AGAIN
             columns = [window.view(np.int64), (check | share << np.uint64(16)).astype(np.uint32).view(np.int32), doc, np.where(bits > 0, ~place, place)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "check", "doc", "place"])
 
@@ -264,6 +275,18 @@ def _tag(text: str | None, repeated: bool) -> int:
     return zlib.crc32((text or "").encode("utf-8", "surrogatepass")) if repeated else 0
 
 
+def _all_places(words: list[bytes], places: np.ndarray, size: int) -> np.ndarray:
+    """With the other places of windows that occur again."""
+    again = places & _AGAIN > 0
+    places = places & ~_AGAIN
+    if not again.any():
+        return places
+    codes: dict[bytes, int] = {}
+    h = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.uint64, len(words))
+    window = _rolled(_mix(h + np.uint64(1)), size, _Q)
+    return np.union1d(places, np.flatnonzero(np.isin(window, window[places[again]])))
+
+
 def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc, text, is a copy, places, repeated): what stays. A place is a window's first word under the text's tag."""
     for b in batches:
@@ -276,7 +299,7 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
             elif places:
                 mark = np.zeros(n + 1, np.int64)
                 p = np.array(places, np.int64)
-                p = p[p >> 31 == _tag(text, repeated)] & 0x7FFFFFFF
+                p = _all_places(words, p[p >> 31 == _tag(text, repeated)] & 0x7FFFFFFF, size)
                 np.add.at(mark, p, 1)
                 np.add.at(mark, p + size, -1)
                 stay = np.cumsum(mark[:-1]) == 0

@@ -209,6 +209,13 @@ def test_substrings(docs, share_docs):
         assert (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)) in got[d], d
 
 
+def test_windows_that_recur_in_a_text(spark):
+    line, runs = " ".join(f"w{i}" for i in range(14)), "ha " * 40
+    texts = {1: line + " a", 2: f"{line} b {line} {line} c", 3: runs, 4: "x " + runs + "y " + runs + "z", 5: f"{line} {line}"}
+    rows = {r.doc_id: r for r in substrings.strip_repeats(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), share_docs=1).collect()}
+    assert {d: r.kept for d, r in rows.items()} == {1: texts[1], 2: "b c", 3: runs.strip(), 4: "x y z", 5: ""}
+
+
 def test_repeated_ids_with_other_texts(spark):
     rows = [(1, PASSAGE), (2, "x " + PASSAGE), (2, "y z " + PASSAGE + " q"), (2, PASSAGE)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
