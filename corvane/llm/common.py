@@ -29,3 +29,13 @@ def barrier(df: DataFrame, **cols: Column) -> DataFrame:
     kept = [c for c in df.columns if c not in cols]
     one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_b")
     return df.select(*kept, one).select(*kept, *[F.col(f"_b.{n}").alias(n) for n in cols])
+
+
+def join_anew(rows: DataFrame, groups: DataFrame, key: str, *others: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of groups, which has each key once; ``key`` is a long.
+
+    The join is on the key's complement, so both sides are exchanged for it and adaptive execution splits the rows of a
+    very common key. On the key itself an aggregate's own partitioning would be reused, below which nothing is split.
+    """
+    turned = groups.select(F.bitwise_not(key).alias("_key"), *others, *[c for c in groups.columns if c not in (key, *others)])
+    return rows.withColumn("_key", F.bitwise_not(key)).join(turned, ["_key", *others], how).drop("_key")

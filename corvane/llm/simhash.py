@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import join_anew
 from corvane.session import discard, materialise, ship
 
 RADIUS = 2
@@ -158,7 +159,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -
         rest = [b for b in range(BITS) if not m >> b & 1]
         inner.append(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in _masks(rest, parts)]))
     again = F.when(F.col("large").isNotNull(), F.get(F.array(*inner), F.col("block"))).otherwise(F.array(F.lit(0).cast("long")))
-    shards = dealt.join(large, ["block", "value"], "left").select("block", "value", "fp", F.posexplode(again).alias("block2", "value2"))
+    shards = join_anew(dealt, large, "value", "block", how="left").select("block", "value", "fp", F.posexplode(again).alias("block2", "value2"))
     keys = ["block", "value", "block2", "value2"]
     ship(distinct.sparkSession)
     sorted_ = shards.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
@@ -176,7 +177,7 @@ def components(edges: DataFrame, low: str = "u", high: str = "v") -> DataFrame:
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_anew(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # A row (u, v) of ``large`` has v < u, so its groups by u are the neighbours below u.
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(below.select("u", F.col("m").alias("v")))
@@ -203,9 +204,9 @@ def cluster(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) ->
     roots = materialise(components(links(groups.select("fp"), radius, limit)), "fingerprint-roots")
     linked = roots.select(F.col("node").alias("fp"), "root")
     lowest = groups.join(linked, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(lowest, "root").select("fp", "component_id")
+    linked = join_anew(linked, lowest, "root").select("fp", "component_id")
     ids = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return join_anew(fps, ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, clusters: DataFrame) -> DataFrame:
