@@ -46,8 +46,11 @@ def _prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     each = windows.select("window").distinct()
     at = each.select("window", F.posexplode("window").alias("offset", "word"))
     by = Window.partitionBy("window").orderBy("n", "word", "offset")
+    # Joined on the word reversed: both sides are exchanged for that, and adaptive execution splits a common word.
+    turned = counts.select(F.reverse("word").alias("_turned"), "n")
     return (
-        at.join(counts, "word", "left")
+        at.withColumn("_turned", F.reverse("word"))
+        .join(turned, "_turned", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("_r", F.row_number().over(by))
         .filter("_r = 1 AND n > 0")
@@ -71,7 +74,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, keep: list[s
     small = n_windows <= BROADCAST_WINDOWS and n_bytes <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda df: df)
     every = src.select(F.explode(item_words(F.col("_text"))).alias("word"))
-    counts = every.join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    every = every.join(F.broadcast(vocabulary), "word", "left_semi") if small else every
+    counts = every.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts if small else counts.join(vocabulary, "word", "left_semi")  # a common word is counted before it is dealt
     prefixes = materialise(_prefixes(windows, counts), "bench-prefixes")
     split = barrier(src, _w=item_words(F.col("_text")), _id=F.md5(F.coalesce("_text", F.lit("\0null")))).drop("_text")
     around = lambda w, i: F.struct(
