@@ -3,10 +3,13 @@
 A block of up to ``BLOCK`` ids starts from an empty model, so blocks decode alone; numpy codes all blocks of a segment
 in step, one id of each at a time. The model has three orders. Order 2 and order 1 each predict one id, the last that
 followed the two (one) ids before; order 0 has adaptive counts of the id's high and low byte. Their shares of the
-coding interval are mixed by weights that follow how often each order's prediction came true in the block.
+coding interval are mixed by weights that follow how often each order's prediction came true in the block, renewed every
+``_SPAN`` ids; the counts of order 0 are renewed at the steps in ``_RENEWALS``. Between renewals the encoder, which knows
+all ids, works out whole spans at once and only the interval itself is narrowed step by step.
 
-The coder keeps a range of 32 to 48 bits and moves 16 bits at a time. The encoder leaves carries in its output cells and
-resolves them at the end of a block; the decoder needs none.
+Intervals are whole numbers below 2**53 in float64, whose sums, products and rounded-down quotients of these sizes are
+exact: a share is in units of 2**-24, the range stays between 2**28 and 2**52 and moves 24 bits at a time, at most once
+an id. The encoder leaves carries in its output cells and resolves them at the end; the decoder needs none.
 """
 
 from __future__ import annotations
@@ -17,32 +20,37 @@ import numpy as np
 
 BLOCK = 2048
 MAGIC = b"CVRC"
-VERSION = 1
-_EPOCH = 128
+VERSION = 2
+_SPAN = 32
+_RENEWALS = frozenset((32, 64, 128, 256, 512, 1024))
 _SLOTS = 1024
-_TABLE_BITS = 10
+#: Cells of a block's table: 64 cache lines of 16 cells for order 1 and 16 for order 2, and one line that parts blocks.
+_TABLE = 65 * 32
 _NONE = 0xFFFF
-_TOP = 1 << 32
+#: Most of 65536 that one order may take: two leave order 0 at least 4096, so that each of its ids has a share.
+_MOST = 30720
+_TOP, _WORD, _UNIT = float(1 << 28), float(1 << 24), float(1 << 24)
 
 
 class _Bytes:
-    """Adaptive frequencies of one byte for each block: they sum to ``_SLOTS`` and are rebuilt each epoch."""
+    """Adaptive frequencies of one byte for each block: they sum to ``_SLOTS``."""
 
-    def __init__(self, lanes: int) -> None:
-        self.lanes = lanes
-        self.counts = np.zeros((lanes, 256), np.int64)
+    def __init__(self, lanes: int, decoding: bool) -> None:
+        self.lanes, self.decoding = lanes, decoding
+        self.counts = np.zeros((lanes, 256))
         self.base = (np.arange(lanes) * 256)[:, None]
         self.rebuild()
 
     def rebuild(self) -> None:
         total = self.counts.sum(axis=1, keepdims=True)
-        free = _SLOTS - 256
-        freq = 1 + self.counts * free // np.maximum(total, 1)
-        spare = _SLOTS - freq.sum(axis=1)
-        freq[np.arange(self.lanes), self.counts.argmax(axis=1)] += spare
-        self.freq = freq.astype(np.uint16).ravel()
-        self.start = (np.cumsum(freq, axis=1) - freq).astype(np.uint16).ravel()
-        self.symbol = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), freq.ravel())
+        freq = np.floor(self.counts * (_SLOTS - 256) / np.maximum(total, 1)) + 1
+        freq[np.arange(self.lanes), self.counts.argmax(axis=1)] += _SLOTS - freq.sum(axis=1)
+        freq = freq.astype(np.uint32)
+        start = np.cumsum(freq, axis=1, dtype=np.uint32) - freq
+        #: By byte and, in the decoder, by slot: byte << 20 | start << 10 | frequency.
+        self.packed = (np.arange(256, dtype=np.uint32) << 20 | start << 10 | freq).ravel()
+        if self.decoding:
+            self.by_slot = np.repeat(self.packed, freq.ravel())
 
     def learn(self, symbols: np.ndarray, live: np.ndarray) -> None:
         """symbols, live: (steps, lanes)."""
@@ -53,31 +61,29 @@ class _Bytes:
 
 
 class _Model:
-    def __init__(self, lanes: int) -> None:
-        self.t1 = np.full(lanes << _TABLE_BITS, _NONE, np.uint16)
-        self.t2 = np.full(lanes << _TABLE_BITS, _NONE, np.uint16)
-        self.row = np.arange(lanes, dtype=np.int64) << _TABLE_BITS
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.w1, self.w2 = np.full(lanes, 8192, np.int64), np.full(lanes, 16384, np.int64)
-        self.high, self.low = _Bytes(lanes), _Bytes(lanes)
-
-    def predict(self) -> None:
-        mask = (1 << _TABLE_BITS) - 1
-        h = self.b * 40503
-        self.i1 = self.row + (h >> 7 & mask)
-        self.i2 = self.row + ((h + self.a * 60493) * 19 >> 9 & mask)
-        self.p1, self.p2 = self.t1[self.i1].astype(np.int64), self.t2[self.i2].astype(np.int64)
-        self.has1, self.has2 = self.p1 != _NONE, self.p2 != _NONE
-        self.f2 = self.w2 * self.has2
-        self.f12 = self.f2 + self.w1 * (self.has1 & (self.p1 != self.p2))
-
-    def update(self, ids: np.ndarray) -> None:
-        # Up to half of the interval for each order, less what keeps the rest codable; never 0.
-        self.w2 += ((self.p2 == ids) * 31744 - self.w2 >> 4) * self.has2 + 1
-        self.w1 += ((self.p1 == ids) * 31744 - self.w1 >> 4) * self.has1 + 1
-        self.t1[self.i1] = ids
-        self.t2[self.i2] = ids
-        self.a, self.b = self.b, ids
+    """What both sides renew in step: weights of orders 1 and 2, counts of order 0."""
+
+    def __init__(self, lanes: int, lengths: np.ndarray, decoding: bool) -> None:
+        self.lengths, self.learnt = lengths, 0
+        self.high, self.low = _Bytes(lanes, decoding), _Bytes(lanes, decoding)
+        self.hits, self.tries = np.full((2, lanes), 1.0), np.full((2, lanes), 4.0)
+        self.weigh()
+
+    def weigh(self) -> None:
+        self.w1, self.w2 = np.floor(self.hits / self.tries * _MOST)
+
+    def renew(self, t: int, grid: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> None:
+        """After step t, with the ids of all steps and the last span's predictions, each (steps, lanes)."""
+        ids = grid[t - len(p1) : t]
+        for k, p in enumerate((p1, p2)):
+            self.hits[k] = self.hits[k] * 0.75 + (p == ids).sum(axis=0, dtype=np.uint8) + 0.05
+            self.tries[k] = self.tries[k] * 0.75 + (p != _NONE).sum(axis=0, dtype=np.uint8) + 0.2
+        self.weigh()
+        if t in _RENEWALS:
+            new, live = grid[self.learnt : t], np.arange(self.learnt, t)[:, None] < self.lengths
+            self.high.learn(new >> 8, live)
+            self.low.learn(new & 255, live)
+            self.learnt = t
 
 
 def _layout(n: int) -> tuple[int, np.ndarray]:
@@ -85,153 +91,158 @@ def _layout(n: int) -> tuple[int, np.ndarray]:
     return lanes, np.minimum(BLOCK, n - np.arange(lanes) * BLOCK)
 
 
+def _contexts(a: np.ndarray, b: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of orders 1 and 2 for the ids a, b before, in one cache line."""
+    line, rest = row + ((b & 63) << 5), b >> 6
+    return line + (rest & 15), line + ((a * 5 + (a >> 4) + rest & 15) + 16)
+
+
+def _parts(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and frequency."""
+    return (packed >> 10 & 1023).astype(np.float64), (packed & 1023).astype(np.float64)
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit words of all blocks, number of words of each block)."""
+    """(bytes of all blocks, number of 3-byte words of each block)."""
     lanes, lengths = _layout(len(ids))
     padded = np.zeros(lanes * BLOCK, np.uint16)
     padded[: len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     steps = int(lengths.max(initial=0))
-    model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    cells = np.zeros((2 * BLOCK + 4, lanes), np.uint32)  # a row holds the same word of each block
+    grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T[:steps])
+    model = _Model(lanes, lengths, False)
+    table = np.full(lanes * _TABLE, _NONE, np.uint16)
+    row, base = np.arange(lanes, dtype=np.int64) * _TABLE, np.arange(lanes, dtype=np.int64) * 256
+    low, rng = np.zeros(lanes), np.full(lanes, float(1 << 52))
+    cells = np.zeros((steps + 4, lanes), np.uint32)  # a row holds the same word of each block
     flat, at = cells.ravel(), np.arange(lanes, dtype=np.int64)
-    base = np.arange(lanes, dtype=np.int64) * 256
+    p1s, p2s = np.empty((2, _SPAN, lanes), np.uint16)
+    unit, top, moved = np.empty((3, lanes))
     short = lengths.min(initial=BLOCK) < steps
-
-    def shift_out(who: np.ndarray) -> None:
-        x = low[who]
-        flat[at[who]] = x >> 32
-        low[who] = (x & 0xFFFFFFFF) << 16
-        rng[who] <<= 16
-        at[who] += lanes
-
-    for t in range(steps):
-        x = grid[t].astype(np.int64)
-        model.predict()
-        f12 = model.f12
-        hit2 = model.p2 == x
-        miss = ~(hit2 | (model.p1 == x))
-        start = np.where(hit2, 0, model.f2)
-        freq = np.where(hit2, model.f2, f12 - model.f2)
+    for t0 in range(0, steps, _SPAN):
+        n = min(_SPAN, steps - t0)
+        wide = np.zeros((n + 2, lanes), np.int64)
+        first = max(t0 - 2, 0)
+        wide[n + 2 - (t0 + n - first) :] = grid[first : t0 + n]
+        x, p1, p2 = wide[2:], p1s[:n], p2s[:n]
+        c1, c2 = _contexts(wide[:-2], wide[1:-1], row)
+        for k in range(n):
+            i1, i2, now = c1[k], c2[k], grid[t0 + k]
+            table.take(i1, out=p1[k], mode="clip")
+            table.take(i2, out=p2[k], mode="clip")
+            table[i1] = now
+            table[i2] = now
+        span = grid[t0 : t0 + n]
+        f2 = model.w2 * (p2 != _NONE)
+        f12 = f2 + model.w1 * ((p1 != _NONE) & (p1 != p2))
+        hit2 = p2 == span
+        rest = 65536 - f12
+        (hs, hf), (ws, wf) = _parts(model.high.packed.take(base + (x >> 8))), _parts(model.low.packed.take(base + (x & 255)))
+        cum = hs * _SLOTS + hf * ws
+        begin = np.floor(cum * rest * 2.0**-12)
+        end = np.floor((cum + hf * wf) * rest * 2.0**-12)
+        missed = ~(hit2 | (p1 == span))
+        start = np.where(missed, f12 * 256 + begin, np.where(hit2, 0, f2 * 256))
+        freq = np.where(missed, end - begin, np.where(hit2, f2, f12 - f2) * 256)
         if short:
-            live = t < lengths
-            miss &= live
-        who = np.flatnonzero(miss)
-        missed, f = x[who], f12[who]
-        h = base[who] + (missed >> 8)
-        rest, s = 65536 - f, model.high.start[h].astype(np.int64)
-        begin = s * rest >> 10
-        start[who] = f + begin
-        freq[who] = ((s + model.high.freq[h]) * rest >> 10) - begin
-        if short:
-            start, freq = np.where(live, start, 0), np.where(live, freq, 65536)
-        r = rng >> 16
-        low += start * r
-        rng = freq * r
-        if len(more := np.flatnonzero(rng < _TOP)):
-            shift_out(more)
-        k = base[who] + (missed & 255)
-        r = rng[who] >> 10
-        low[who] += model.low.start[k] * r
-        r *= model.low.freq[k]
-        rng[who] = r
-        if len(more := who[r < _TOP]):
-            shift_out(more)
-        model.update(x)
-        if (t + 1) % _EPOCH == 0:
-            span, ok = grid[t + 1 - _EPOCH : t + 1], np.arange(t + 1 - _EPOCH, t + 1)[:, None] < lengths
-            model.high.learn(span >> 8, ok)
-            model.low.learn(span & 255, ok)
+            live = np.arange(t0, t0 + n)[:, None] < lengths
+            start, freq = np.where(live, start, 0), np.where(live, freq, _UNIT)
+        for k in range(n):
+            np.floor(np.multiply(rng, 1 / _UNIT, out=unit), out=unit)
+            low += np.multiply(start[k], unit, out=top)
+            np.multiply(freq[k], unit, out=rng)
+            np.floor(np.multiply(low, 1 / _TOP, out=top), out=top)
+            shift = rng < _TOP
+            flat[at] = top
+            scale = np.where(shift, _WORD, 1.0)
+            low -= np.multiply(top, np.where(shift, _TOP, 0.0), out=moved)
+            low *= scale
+            rng *= scale
+            at += np.where(shift, lanes, 0)
+        model.renew(t0 + n, grid, p1, p2)
     for _ in range(3):
-        flat[at] = low >> 32
-        low = (low & 0xFFFFFFFF) << 16
+        top = np.floor(low / _TOP)
+        flat[at] = top
+        low = (low - top * _TOP) * _WORD
         at += lanes
     used = at // max(lanes, 1)
+    rows = int(used.max(initial=0))
     carry = np.zeros(lanes, np.uint32)
-    for c in range(int(used.max(initial=0)) - 1, -1, -1):
+    for c in range(rows - 1, -1, -1):
         cell = cells[c] + np.where(c < used, carry, 0).astype(np.uint32)
-        carry = cell >> np.uint32(16)
-        cells[c] = cell & np.uint32(0xFFFF)
-    rows = int(used.max(initial=0))
-    return cells[:rows].T[np.arange(rows)[None, :] < used[:, None]].astype("<u2"), used
+        carry = cell >> np.uint32(24)
+        cells[c] = cell & np.uint32(0xFFFFFF)
+    words = cells[:rows].T[np.arange(rows)[None, :] < used[:, None]].astype("<u4")
+    return np.ascontiguousarray(words.view(np.uint8).reshape(-1, 4)[:, :3]).ravel(), used
 
 
-def decode(words: np.ndarray, used: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of a segment."""
+def decode(coded: np.ndarray, used: np.ndarray, n: int) -> np.ndarray:
+    """The n ids of a segment from its bytes."""
     lanes, lengths = _layout(n)
     steps, rows = int(lengths.max(initial=0)), int(used.max(initial=0))
-    stream = np.zeros((lanes, rows + 4), np.uint16)
-    stream[np.arange(rows + 4)[None, :] < used[:, None]] = words
-    stream = np.ascontiguousarray(stream.T).ravel()
-    at = np.arange(lanes, dtype=np.int64)
-    code = np.zeros(lanes, np.int64)
-    for _ in range(3):
-        code = code << 16 | stream[at]
-        at += lanes
-    rng = np.full(lanes, 1 << 48, np.int64)
-    model = _Model(lanes)
-    grid = np.zeros((steps, lanes), np.uint16)
-    slots, base = np.arange(lanes, dtype=np.int64) * _SLOTS, np.arange(lanes, dtype=np.int64) * 256
+    words = np.zeros((len(coded) // 3, 4), np.uint8)
+    words[:, :3] = coded.reshape(-1, 3)
+    read = np.zeros((lanes, rows + 4))
+    read[np.arange(rows + 4)[None, :] < used[:, None]] = words.view("<u4").ravel()
+    read = np.ascontiguousarray(read.T)
+    # The window of 52 bits ends four bits into a word, so what it takes in next begins there.
+    four = np.floor(read * 2.0**-20)
+    code = read[0] * _TOP + read[1] * 16 + four[2]
+    stream = ((read[:-1] - four[:-1] * (1 << 20)) * 16 + four[1:]).ravel()
+    at = np.arange(lanes, dtype=np.int64) + 2 * lanes
+    rng = np.full(lanes, float(1 << 52))
+    model = _Model(lanes, lengths, True)
+    table = np.full(lanes * _TABLE, _NONE, np.uint16)
+    row, slots = np.arange(lanes, dtype=np.int64) * _TABLE, np.arange(lanes, dtype=np.int64) * _SLOTS
+    grid, (p1s, p2s) = np.zeros((steps, lanes), np.uint16), np.empty((2, _SPAN, lanes), np.uint16)
+    a, b = np.zeros((2, lanes), np.int64)
+    high, low = model.high, model.low
     short = lengths.min(initial=BLOCK) < steps
-
-    def shift_in(who: np.ndarray) -> None:
-        code[who] = code[who] << 16 | stream[at[who]]
-        rng[who] <<= 16
-        at[who] += lanes
-
     for t in range(steps):
-        model.predict()
-        f12 = model.f12
-        r = rng >> 16
-        v = np.minimum(code // r, 65535)
-        miss = v >= f12
-        hit2 = v < model.f2
-        x = np.where(hit2, model.p2, model.p1)
-        start = np.where(hit2, 0, model.f2)
-        freq = np.where(hit2, model.f2, f12 - model.f2)
+        k = t % _SPAN
+        if k == 0:
+            w1, w2 = model.w1 * 256, model.w2 * 256
+        i1, i2 = _contexts(a, b, row)
+        p1, p2 = table.take(i1, out=p1s[k], mode="clip"), table.take(i2, out=p2s[k], mode="clip")
+        f2 = np.where(p2 != _NONE, w2, 0)
+        f12 = f2 + np.where((p1 != _NONE) & (p1 != p2), w1, 0)
+        unit = np.floor(rng * (1 / _UNIT))
+        v = np.minimum(np.floor(code / unit), _UNIT - 1)
+        rest = 65536 - f12 * (1 / 256)
+        u = np.maximum(np.floor(((v - f12 + 1) * 4096 - 1) / rest), 0)
+        h = high.by_slot.take(slots + (u.astype(np.int64) >> 10))
+        hs, hf = _parts(h)
+        hs *= _SLOTS
+        w = low.by_slot.take(slots + ((u - hs) / hf).astype(np.int64))
+        ws, wf = _parts(w)
+        cum = hs + hf * ws
+        begin, end = np.floor(cum * rest * 2.0**-12), np.floor((cum + hf * wf) * rest * 2.0**-12)
+        miss, hit2 = v >= f12, v < f2
+        start = np.where(miss, f12 + begin, np.where(hit2, 0, f2))
+        freq = np.where(miss, end - begin, np.where(hit2, f2, f12 - f2))
+        x = np.where(miss, (h >> 20 << 8 | w >> 20).astype(np.uint16), np.where(hit2, p2, p1))
         if short:
             live = t < lengths
-            miss &= live
-        who = np.flatnonzero(miss)
-        f = f12[who]
-        rest = 65536 - f
-        u = ((v[who] - f + 1 << 10) - 1) // rest
-        high = model.high.symbol[slots[who] + u].astype(np.int64)
-        h = base[who] + high
-        s = model.high.start[h].astype(np.int64)
-        begin = s * rest >> 10
-        start[who] = f + begin
-        freq[who] = ((s + model.high.freq[h]) * rest >> 10) - begin
-        if short:
-            start, freq = np.where(live, start, 0), np.where(live, freq, 65536)
-        code -= start * r
-        rng = freq * r
-        if len(more := np.flatnonzero(rng < _TOP)):
-            shift_in(more)
-        r, c = rng[who] >> 10, code[who]
-        low = model.low.symbol[slots[who] + np.minimum(c // r, 1023)].astype(np.int64)
-        k = base[who] + low
-        code[who] = c - model.low.start[k] * r
-        r *= model.low.freq[k]
-        rng[who] = r
-        if len(more := who[r < _TOP]):
-            shift_in(more)
-        x[who] = high << 8 | low
-        if short:
-            x *= live
+            start, freq, x = np.where(live, start, 0), np.where(live, freq, _UNIT), x * live
+        code -= start * unit
+        rng = freq * unit
+        shift = rng < _TOP
+        scale = np.where(shift, _WORD, 1.0)
+        code *= scale
+        code += np.where(shift, stream.take(at, mode="clip"), 0)
+        rng *= scale
+        at += np.where(shift, lanes, 0)
         grid[t] = x
-        model.update(x)
-        if (t + 1) % _EPOCH == 0:
-            span, ok = grid[t + 1 - _EPOCH : t + 1], np.arange(t + 1 - _EPOCH, t + 1)[:, None] < lengths
-            model.high.learn(span >> 8, ok)
-            model.low.learn(span & 255, ok)
+        table[i1] = x
+        table[i2] = x
+        a, b = b, x.astype(np.int64)
+        if k == _SPAN - 1:
+            model.renew(t + 1, grid, p1s, p2s)
     out = np.ascontiguousarray(grid.T)
     return out[np.arange(steps)[None, :] < lengths[:, None]].astype(np.uint32)
 
 
 def pack_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A segment of the file: header, documents, block directory (words, crc32 of ids), words; little-endian."""
+    """A segment of the file: header, documents, block directory (3-byte words, crc32 of ids), words; little-endian."""
     if len(ids) and int(ids.max()) >= _NONE:
         raise ValueError(f"ids of {_NONE} and more are not of this format")
     words, used = encode(ids)
@@ -257,7 +268,7 @@ def unpack_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
         return out
 
     known, doc_ids, lengths, used, crcs = take("u1", docs), take("<i8", docs), take("<u4", docs), take("<u4", blocks), take("<u4", blocks)
-    ids = decode(take("<u2", int(used.sum())), used.astype(np.int64), n)
+    ids = decode(take("u1", 3 * int(used.sum())), used.astype(np.int64), n)
     for k in range(blocks):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != crcs[k]:
             raise ValueError(f"block {k} differs from its checksum")
