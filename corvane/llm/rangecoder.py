@@ -94,7 +94,7 @@ def _layout(n: int) -> tuple[int, np.ndarray]:
 def _contexts(a: np.ndarray, b: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cells of orders 1 and 2 for the ids a, b before, in one cache line."""
     line, rest = row + ((b & 63) << 5), b >> 6
-    return line + (rest & 15), line + ((a * 5 + (a >> 4) + rest & 15) + 16)
+    return line + (rest & 15), line + ((a + rest & 15) + 16)
 
 
 def _parts(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +135,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f2 = model.w2 * (p2 != _NONE)
         f12 = f2 + model.w1 * ((p1 != _NONE) & (p1 != p2))
         hit2 = p2 == span
-        rest = 65536 - f12
+        rest = 16 - f12 * 2.0**-12
         (hs, hf), (ws, wf) = _parts(model.high.packed.take(base + (x >> 8))), _parts(model.low.packed.take(base + (x & 255)))
         cum = hs * _SLOTS + hf * ws
-        begin = np.floor(cum * rest * 2.0**-12)
-        end = np.floor((cum + hf * wf) * rest * 2.0**-12)
+        begin, end = np.floor(cum * rest), np.floor((cum + hf * wf) * rest)
         missed = ~(hit2 | (p1 == span))
         start = np.where(missed, f12 * 256 + begin, np.where(hit2, 0, f2 * 256))
         freq = np.where(missed, end - begin, np.where(hit2, f2, f12 - f2) * 256)
@@ -207,15 +206,15 @@ def decode(coded: np.ndarray, used: np.ndarray, n: int) -> np.ndarray:
         f12 = f2 + np.where((p1 != _NONE) & (p1 != p2), w1, 0)
         unit = np.floor(rng * (1 / _UNIT))
         v = np.minimum(np.floor(code / unit), _UNIT - 1)
-        rest = 65536 - f12 * (1 / 256)
-        u = np.maximum(np.floor(((v - f12 + 1) * 4096 - 1) / rest), 0)
-        h = high.by_slot.take(slots + (u.astype(np.int64) >> 10))
+        rest = 16 - f12 * 2.0**-20
+        u = np.maximum((v + (1 - 1 / 4096) - f12) / rest, 0)  # 0 where another order is meant
+        h = high.by_slot.take(slots + (u.astype(np.int64) >> 10), mode="clip")
         hs, hf = _parts(h)
         hs *= _SLOTS
-        w = low.by_slot.take(slots + ((u - hs) / hf).astype(np.int64))
+        w = low.by_slot.take(slots + ((u - hs) / hf).astype(np.int64), mode="clip")
         ws, wf = _parts(w)
         cum = hs + hf * ws
-        begin, end = np.floor(cum * rest * 2.0**-12), np.floor((cum + hf * wf) * rest * 2.0**-12)
+        begin, end = np.floor(cum * rest), np.floor((cum + hf * wf) * rest)
         miss, hit2 = v >= f12, v < f2
         start = np.where(miss, f12 + begin, np.where(hit2, 0, f2))
         freq = np.where(miss, end - begin, np.where(hit2, f2, f12 - f2))

@@ -21,8 +21,11 @@ from corvane.llm import rangecoder, tokens
 from corvane.session import materialise, ship
 
 END_ID = 2
-#: A segment is closed by the document that brings it to so many ids.
+#: A segment is closed by the document that brings it to so many ids; a file's last one holds half as many to half as many again,
+#: as few blocks take nearly as long as many.
 SEGMENT_IDS = 1 << 21
+#: Words in a worker's cache.
+CACHE_WORDS = 800_000
 _FILE = "file int, segment int, n_docs bigint, n_ids bigint, payload binary"
 
 
@@ -30,34 +33,37 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, s
     from pyspark import TaskContext
 
     file, segment = TaskContext.get().partitionId(), 0
-    encoder = tokens.encoder(path)
+    encoder = tokens.encoder(path, CACHE_WORDS)
     docs: list = []
     lengths: list[int] = []
     held: list[np.ndarray] = []
     n = 0
 
-    def close() -> pa.RecordBatch:
+    def close(k: int) -> pa.RecordBatch:
+        """A segment of the first k documents held."""
         nonlocal segment, n
-        ids = np.concatenate(held)
-        payload = rangecoder.pack_segment(docs, np.array(lengths), ids)
-        row = [[file], [segment], [len(docs)], [n], [payload]]
-        segment, n = segment + 1, 0
-        docs.clear(), lengths.clear(), held.clear()
+        ids = np.concatenate(held[:k])
+        payload = rangecoder.pack_segment(docs[:k], np.array(lengths[:k]), ids)
+        row = [[file], [segment], [k], [len(ids)], [payload]]
+        segment, n = segment + 1, n - len(ids)
+        del docs[:k], lengths[:k], held[:k]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["file", "segment", "n_docs", "n_ids", "payload"])
 
     for whole in batches:
         for b in tokens.slices(whole):
             ids, at = encoder.encode(b.column(1))
+            ids = np.insert(ids, at[1:], np.uint32(end_id))
+            at += np.arange(len(at))
             for doc, x, y in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 docs.append(doc)
-                held.append(np.append(ids[x:y], np.uint32(end_id)))
-                lengths.append(y - x + 1)
-                n += y - x + 1
-                if n >= segment_ids:
-                    yield close()
+                held.append(ids[x:y])
+                lengths.append(y - x)
+                n += y - x
+                while 2 * n >= 3 * segment_ids:
+                    yield close(int(np.searchsorted(np.cumsum(lengths), segment_ids)) + 1)
     if docs:
-        yield close()
+        yield close(len(docs))
 
 
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:

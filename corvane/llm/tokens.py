@@ -9,13 +9,14 @@ are. New words are encoded many to a call; each ends at the id whose token close
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept by a worker; beyond it the cache starts anew.
+#: Words kept by a worker, unless more are asked for; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-į"
 _MARKS = r"!-/:-@\[-`{-~"
@@ -30,13 +31,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
         size = self.tokenizer.get_vocab_size()
         self.closes = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -76,11 +77,12 @@ class WordEncoder:
     def _look_up(self, words: pa.Array, plain: bool) -> np.ndarray:
         """The number of each word, after learning those that are new."""
         coded = words.dictionary_encode()
-        values = coded.dictionary.to_pylist()
-        new = [w for w in values if w not in self.known]
-        if new:
+        values = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = np.fromiter(map(self.known.get, values, repeat(-1)), np.int64, len(values))
+        if len(missing := np.flatnonzero(own < 0)):
+            n, new = len(self.known), [values[i] for i in missing.tolist()]
             self._learn(new, []) if plain else self._learn([], new)
-        own = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
+            own[missing] = np.arange(n, n + len(new))  # words are numbered as they are learnt
         return own[np.asarray(coded.indices)] if len(values) else np.zeros(len(words), np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ class WordEncoder:
         at = np.asarray(split.offsets, dtype=np.int64)
         pieces = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at = at - at[0]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.cache_words:
             self.reset()  # a batch's own words are all held, however many
         distinct = pieces.dictionary
         plain = pc.match_substring_regex(distinct, _PLAIN)
@@ -122,13 +124,14 @@ def _gather(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return source[np.cumsum(steps)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
+    key = (path, cache_words)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, cache_words)
+    return _ENCODERS[key]
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterable[pa.RecordBatch]:
