@@ -70,6 +70,16 @@ def test_token_ids_round_trip(docs):
         at += r.n_tokens
 
 
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 2047, 2049, 30_000])
+def test_range_coder_borders(n):
+    """Even, constant, largest, repeating ids, and rare ones after a stretch that is predicted well."""
+    rng = np.random.default_rng(n)
+    even, cycle = rng.integers(0, 65535, n), np.arange(n) % 7 * 9000
+    for ids in (even, np.zeros(n), np.full(n, 65534), cycle, np.concatenate([cycle, even])):
+        ids = ids.astype(np.uint32)
+        assert (rangecoder.decode(*rangecoder.encode(ids), len(ids)) == ids).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 10_000])
 def test_range_coder(n):
     ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 65534).astype(np.uint32)
