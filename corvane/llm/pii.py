@@ -13,7 +13,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,10 @@ from corvane.session import ship
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 24
 MAX_CHARS = 120
-#: Atoms of context kept on either side of a trigger; longer stretches without a trigger are outside by definition.
-CONTEXT = 8
-REGION_ATOMS = 512
+#: Atoms before a span in which cue words count.
+CUE_ATOMS = 5
+#: Atoms whose segments are scored at once.
+BLOCK_ATOMS = 512
 L2 = 0.02
 EPOCHS = 30
 N_TRAIN = 360
@@ -39,8 +40,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[^\W\d_]")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 _TRIGGER = re.compile(r"@|[0-9]+|[\[({<] ?at ?[\])}>]", re.I)
+#: What a trigger begins with.
+_TRIGGER_CHARS = frozenset("0123456789@[({<")
 
 
 def luhn(digits: str) -> bool:
@@ -114,19 +118,31 @@ class Region:
     def __init__(self, text: str, start: int, end: int) -> None:
         self.atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text, start, end)]
         self.text = text
-        self.segments: list[tuple[int, int, np.ndarray]] = []
         self._cues = [_CUE.get(text[a:b].lower()) for a, b in self.atoms]
-        for i, (a, _) in enumerate(self.atoms):
+
+    @cached_property
+    def segments(self) -> list[tuple[int, int, np.ndarray]]:
+        return self._segments(0, len(self.atoms))
+
+    def _segments(self, first: int, last: int) -> list[tuple[int, int, np.ndarray]]:
+        """The candidates that start at the atoms from ``first`` to before ``last``, in order; each holds a trigger."""
+        text, out, trigger = self.text, [], first
+        for i in range(first, last):
+            a = self.atoms[i][0]
             if not (text[a].isalnum() or text[a] in "(+"):
                 continue
-            for j in range(i + 1, min(i + MAX_ATOMS, len(self.atoms)) + 1):
+            trigger = max(trigger, i)
+            while trigger < len(self.atoms) and text[self.atoms[trigger][0]] not in _TRIGGER_CHARS:
+                trigger += 1
+            for j in range(trigger + 1, min(i + MAX_ATOMS, len(self.atoms)) + 1):
                 b = self.atoms[j - 1][1]
                 if b - a > MAX_CHARS:
                     break
                 if not text[b - 1].isalnum():
                     continue
                 if (x := self._features(i, j, a, b)) is not None:
-                    self.segments.append((i, j, x))
+                    out.append((i, j, x))
+        return out
 
     def _features(self, i: int, j: int, a: int, b: int) -> np.ndarray | None:
         text, span = self.text, self.text[a:b]
@@ -149,29 +165,38 @@ class Region:
         x[_AT["long_span"]] = b - a > _LONG_SPAN
         x[_AT["has_letters"]] = any(c.isalpha() for c in span)
         x[_AT["space_edge"]] = a == 0 or text[a - 1].isspace()
-        near = [c for c in self._cues[max(0, i - 5) : i] if c]
+        near = [c for c in self._cues[max(0, i - CUE_ATOMS) : i] if c]
         return np.concatenate([np.where(np.arange(_N) == _AT["cue_same"], k in near, np.where(np.arange(_N) == _AT["cue_other"], bool(near) and k not in near, x)) for k in KINDS])
 
-    def scores(self, w: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def scores(segments: list[tuple[int, int, np.ndarray]], w: np.ndarray) -> np.ndarray:
         """A row a segment, a column a kind; an atom outside scores 0."""
-        if not self.segments:
+        if not segments:
             return np.zeros((0, len(KINDS)))
-        x = np.stack([s[2] for s in self.segments]).reshape(-1, len(KINDS), _N)
+        x = np.stack([s[2] for s in segments]).reshape(-1, len(KINDS), _N)
         return np.einsum("skn,kn->sk", x, w)
 
     def decode(self, w: np.ndarray) -> list[tuple[int, int, str]]:
-        """The best segmentation, kinds included: V(j) = max(V(j-1), V(i) + score(i, j, kind))."""
-        n, sc = len(self.atoms), self.scores(w)
-        by_end: dict[int, list[int]] = {}
-        for s, (_, j, _) in enumerate(self.segments):
-            by_end.setdefault(j, []).append(s)
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for s in by_end.get(j, ()):
-                i, k = self.segments[s][0], int(sc[s].argmax())
-                if (v := best[i] + sc[s, k] - MIN_MARGIN) > best[j]:
-                    best[j], back[j] = v, (i, k)
+        """The best segmentation, kinds included: V(j) = max(V(j-1), V(i) + score(i, j, kind)).
+
+        One program over all atoms; features are made for a block of starts at a time, so memory is a few numbers an atom.
+        """
+        n = len(self.atoms)
+        best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+        for first in range(0, n, BLOCK_ATOMS):
+            last = min(first + BLOCK_ATOMS, n)
+            segments = self._segments(first, last)
+            sc, s = self.scores(segments, w), 0
+            for i in range(first, last):
+                if i and best[i] <= best[i - 1]:
+                    best[i], back[i] = best[i - 1], None
+                while s < len(segments) and segments[s][0] == i:
+                    j, k = segments[s][1], int(sc[s].argmax())
+                    if (v := best[i] + sc[s, k] - MIN_MARGIN) > best[j]:
+                        best[j], back[j] = v, (i, k)
+                    s += 1
+        if n and best[n] <= best[n - 1]:
+            back[n] = None
         out, j = [], n
         while j > 0:
             if back[j] is None:
@@ -184,7 +209,7 @@ class Region:
 
     def gradient(self, w: np.ndarray, gold: set[tuple[int, int, str]]) -> np.ndarray:
         """Of the log-likelihood: features of the gold spans less those expected over all segmentations."""
-        n, sc = len(self.atoms), self.scores(w)
+        n, sc = len(self.atoms), self.scores(self.segments, w)
         fwd, bwd = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         fwd[0] = bwd[n] = 0.0
         total = np.logaddexp.reduce(sc, axis=1) if len(sc) else np.zeros(0)
@@ -206,18 +231,36 @@ class Region:
         return grad
 
 
+def _before(text: str, at: int, n: int, least: int) -> int:
+    """Where the n-th atom before that of ``at`` starts, or ``least`` where that comes first."""
+    for _ in range(n + 1):
+        if at <= least:
+            return least
+        kind = next((p for p in (_DIGIT, _LETTER) if p.match(text, at - 1)), None)
+        at -= 1
+        while kind and at > least and kind.match(text, at - 1):
+            at -= 1
+    return at
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around triggers, in order and disjoint."""
-    width, last = CONTEXT * 10, None
+    """Stretches around triggers, in order and disjoint, of any length.
+
+    A candidate holds a trigger and has at most MAX_CHARS characters, so each lies within one stretch, cue atoms included.
+    """
+    last = None
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - width), min(len(text), m.end() + width)
-        if last and a <= last[1] and b - last[0] <= REGION_ATOMS * 4:
+        b = min(len(text), m.end() + MAX_CHARS)
+        end = last[1] if last else 0
+        a = m.start() - MAX_CHARS
+        if a > end:
+            a = _before(text, a + 1, CUE_ATOMS, end)
+        if last and a <= end:
             last = (last[0], b)
-        elif last:
+            continue
+        if last:
             yield last
-            last = (max(a, last[1]) if a < last[1] else a, b)
-        else:
-            last = (a, b)
+        last = (max(0, a), b)
     if last:
         yield last
 

@@ -178,6 +178,22 @@ def test_pii_field_and_redaction(docs):
     assert pii.redact("abcdefgh", spans) == "[EMAIL]gh"
 
 
+def test_pii_spans_across_long_chains():
+    w = pii.trained()
+    line = "(123) 456-7890\n"
+    spans = pii.find_spans(line * 300, w)[1]
+    assert spans == [(k, k + 14, "phone") for k in range(0, 300 * len(line), len(line))]
+    assert pii.redact(line * 300, spans) == "[PHONE]\n" * 300
+    far = "x" * 100 + "[at]ab.org"
+    assert pii.find_spans("mail " + far, w)[1] == [(5, 5 + len(far), "email")]
+    rng = random.Random(5)
+    for n in (3, 40, 300):
+        text = "".join(rng.choice([t, t, "no number here " * rng.randint(1, 20), "q" * 200, "é²١ "]) for t, _ in pii.labelled(n, n))
+        base = pii.base_spans(text)
+        whole = [x for x in pii.Region(text, 0, len(text)).decode(w) if not any(a < x[1] and b > x[0] for a, b, _ in base)]
+        assert pii.find_spans(text, w)[1] == sorted(base + whole, key=lambda x: (x[0], pii.KINDS.index(x[2])))
+
+
 def brute_secrets(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
