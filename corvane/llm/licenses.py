@@ -1,9 +1,11 @@
 """Licences by sparse TF-IDF cosine to templates, inherited from the nearest ancestor directory.
 
-Every line of a text that speaks of licensing is a notice; neighbouring notices are one block. A block is compared with
-the templates: term weights are counts times the inverse document frequency over the templates, words that no template
-has weigh as the rarest do, so foreign text lowers the cosine. A file without a licence takes that of the nearest
-directory above it that holds a licence file; directories and their ancestors meet in joins on paths.
+Term weights are counts times the inverse document frequency over the templates; words that no template has weigh as the
+rarest do. In a text that speaks of licensing, the run of words nearest to a template decides, wherever it stands and
+whatever stands around it, over line ends too, if its cosine is at least ``MIN_RUN_COSINE`` and it has most of the
+template's words. Without such a run, notices as a whole count: every line that speaks of licensing is one, neighbouring
+ones are one block. A file without a licence takes that of the nearest directory above it that holds a licence file;
+directories and their ancestors meet in joins on paths.
 """
 
 from __future__ import annotations
@@ -20,21 +22,64 @@ from pyspark.sql import functions as F
 from corvane.session import ship
 
 MIN_COSINE = 0.55
+MIN_RUN_COSINE = 0.85
+#: Share of a template's words that a run must have; a run is at most RUN times as long as its template.
+MIN_WORDS = 0.8
+RUN = 2
 #: A text of at most so many words that holds a licence is its directory's licence file in the ``documents`` binding.
 NOTICE_WORDS = 60
-#: Short notices, own wording after the licences' usual ones.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC0-1.0": ("Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "MPL-2.0": ("Subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-}
+#: Licences that are told apart, with the names by which notices call them.
+_NAMES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "MIT": ("MIT License",),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GNU GPL v3"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2", "GNU GPL v2"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"),
+    "MPL-1.1": ("Mozilla Public License, version 1.1",),
+    "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License v2.0"),
+    "ISC": ("ISC License",),
+    "BSL-1.0": ("Boost Software License, Version 1.0",),
+} | {
+    f"CC-{code}-4.0": (f"CC {code} 4.0", f"CC-{code}-4.0", f"Creative Commons {words} 4.0 International License")
+    for code, words in (("BY", "Attribution"), ("BY-SA", "Attribution ShareAlike"), ("BY-ND", "Attribution NoDerivatives"), ("BY-NC", "Attribution NonCommercial"),
+                        ("BY-NC-SA", "Attribution NonCommercial ShareAlike"), ("BY-NC-ND", "Attribution NonCommercial NoDerivatives"))
+}
+#: Lines by which a licence's text or its usual header is known, and notices of another form.
+_LINES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0", "Licensed under Apache 2.0", "License: Apache-2.0"),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+            "SPDX-License-Identifier: MIT", "MIT License", "License: MIT"),
+    "CC0-1.0": ("Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "CC0 1.0 Universal"),
+    "BSD-3-Clause": ("nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "ISC": ("Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Subject to the terms of the Mozilla Public License, version 2.0."),
+} | {
+    f"{short}-{v}": (
+        f"under the terms of the GNU {name} Public License as published by the Free Software Foundation, either version {v.removesuffix('.0')} of the License",
+        f"under the terms of the GNU {name} Public License as published by the Free Software Foundation, version {v.removesuffix('.0')} of the License",
+        f"GNU {name.upper()} PUBLIC LICENSE Version {v.removesuffix('.0')}, {date}",
+        f"SPDX-License-Identifier: {short}-{v}-only",
+        f"SPDX-License-Identifier: {short}-{v}-or-later",
+    )
+    for short, v, name, date in (("GPL", "3.0", "General", "29 June 2007"), ("GPL", "2.0", "General", "June 1991"), ("LGPL", "3.0", "Lesser General", "29 June 2007"),
+                                 ("LGPL", "2.1", "Lesser General", "February 1999"), ("AGPL", "3.0", "Affero General", "19 November 2007"))
+}
+
+
+def _notices(licence: str) -> tuple[str, ...]:
+    names, lines = _NAMES.get(licence, ()), _LINES.get(licence, ())
+    said = [f"{how} {'' if n.startswith(('CC', 'GPLv', 'LGPLv', 'AGPLv')) else 'the '}{n}" for n in names for how in ("Licensed under", "Released under")]
+    return tuple(dict.fromkeys([*said, *lines, *([] if any("SPDX" in x for x in lines) else [f"SPDX-License-Identifier: {licence}"])]))
+
+
+TEMPLATES: dict[str, tuple[str, ...]] = {licence: _notices(licence) for licence in sorted(_NAMES.keys() | _LINES.keys())}
 _CUE = re.compile(r"licen[sc]e|spdx|copyright|public domain|all rights reserved", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 _LICENSE_FILE = r"(?i)^(un)?licen[sc]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
@@ -53,6 +98,16 @@ class Templates:
         self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
         self.rare = math.log(1 + len(bags)) + 1
         self.vectors = [(name, self._unit(bag)) for name, bag in bags]
+        self.bags = [bag for _, bag in bags]
+        #: Per term the templates of which a near enough run must hold it or another of their few heaviest terms.
+        self.anchors: dict[str, list[int]] = {}
+        for k, (_, v) in enumerate(self.vectors):
+            left = 1.0
+            for w in sorted(v, key=lambda w: (-v[w], w)):
+                if left < MIN_RUN_COSINE**2:
+                    break
+                self.anchors.setdefault(w, []).append(k)
+                left -= v[w] ** 2
 
     def _unit(self, bag: Counter) -> dict[str, float]:
         v = {w: n * self.idf.get(w, self.rare) for w, n in bag.items()}
@@ -60,10 +115,55 @@ class Templates:
         return {w: x / norm for w, x in v.items()}
 
     def best(self, text: str) -> tuple[float, str]:
-        """(cosine, name) of the nearest template; the first by name among equals."""
+        """(cosine, name) of the nearest template; the first by name among equals. Templates of two words only count as
+        runs: one word of theirs (German ``mit``) would bring a foreign line near.
+        """
         v = self._unit(terms(text))
-        scored = [(round(sum(x * t.get(w, 0.0) for w, x in v.items()), 9), name) for name, t in self.vectors]
-        return min(scored, key=lambda s: (-s[0], s[1]))
+        scored = [(round(sum(x * t.get(w, 0.0) for w, x in v.items()), 9), name) for (name, t), bag in zip(self.vectors, self.bags, strict=True) if bag.total() > 2]
+        return min(scored, key=lambda s: (-s[0], s[1]), default=(0.0, ""))
+
+
+    def best_run(self, text: str) -> tuple[float, str] | None:
+        """(cosine, name) of the run of words nearest to a template; the longest template, then the first by name among equals."""
+        words = _TERM.findall(text.lower())
+        found, done = None, set()
+        for at, word in enumerate(words):
+            for k in self.anchors.get(word, ()):
+                bag, (name, v) = self.bags[k], self.vectors[k]
+                length = bag.total()
+                if found and found <= (-1.0, -length, name):
+                    continue
+                first = max(0, at - RUN * length + 1)
+                near = words[first : at + RUN * length]
+                if sum(v[w] ** 2 for w in bag.keys() & set(near)) < MIN_RUN_COSINE**2 - 1e-9 or (key := (k, *near)) in done:
+                    continue
+                done.add(key)
+                if (c := self._run(near, at - first, k)) >= MIN_RUN_COSINE:
+                    rank = (-c, -length, name)
+                    found = min(found or rank, rank)
+        return found and (-found[0], found[2])
+
+    def _run(self, near: list[str], at: int, k: int) -> float:
+        """The best cosine of a run that holds place ``at``, has enough of the template's words and is not too long."""
+        bag, v = self.bags[k], self.vectors[k][1]
+        length, best = bag.total(), 0.0
+        inside = [w in bag for w in near]
+        for i in range(at + 1):
+            if not inside[i]:
+                continue
+            counts: Counter = Counter()
+            dot = norm = 0.0
+            has = 0
+            for j in range(i, min(len(near), i + RUN * length)):
+                w = near[j]
+                weight, n = self.idf.get(w, self.rare), counts[w]
+                counts[w] = n + 1
+                norm += weight * weight * (2 * n + 1)
+                dot += weight * v.get(w, 0.0)
+                has += n < bag.get(w, 0)
+                if j >= at and inside[j] and has >= MIN_WORDS * length:
+                    best = max(best, round(dot / math.sqrt(norm), 9))
+        return best
 
 
 def blocks(text: str) -> list[str]:
@@ -81,8 +181,10 @@ def blocks(text: str) -> list[str]:
 
 
 def detect(text: str | None, templates: Templates, least: float = MIN_COSINE) -> tuple[str | None, float, int]:
-    """(licence or None, best cosine, number of notice blocks)."""
+    """(licence or None, cosine of the run or else the best of a block, number of notice blocks)."""
     found = blocks(text or "")
+    if found and (run := templates.best_run(text)):
+        return run[1], run[0], len(found)
     score, name = min((templates.best(b) for b in found), key=lambda s: (-s[0], s[1]), default=(0.0, None))
     return (name if score >= least else None), score, len(found)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -365,6 +366,51 @@ def test_licenses(spark):
     assert got == {("1", "MIT", None), ("2", "MIT", "a"), ("3", "Apache-2.0", None), ("4", "Apache-2.0", "a/b/c"), ("5", None, None), ("6", "MPL-2.0", None), ("7", None, None)}
 
 
+LICENSE_HEADERS = [
+    ("Copyright (c) 2020 John Doe. Released under the MIT License.", "MIT"),
+    ("This file is released under the MIT License, see LICENSE for details.", "MIT"),
+    ("// This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree.", "MIT"),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache-2.0"),
+    ("# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "GPL-3.0"),
+    (" * under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n * of the License, or (at your option) any later", "GPL-2.0"),
+    ("                    GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Somebody", "LGPL-3.0"),
+    ("MIT License\n\nCopyright (c) 2020 John Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\n", "MIT"),
+    ("Copyright 2020 Doe\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+     "3. Neither the name of Doe nor the names of its contributors may be used to\nendorse or promote products derived from this software without specific prior\nwritten permission.", "BSD-3-Clause"),
+    ("All code here is licensed under CC BY-NC-SA 4.0 unless a file of its own says otherwise.", "CC-BY-NC-SA-4.0"),
+    ("code " * 3000 + "Licensed under the Mozilla Public License, version 2.0 " + "more code " * 3000, "MPL-2.0"),
+    ("talk of licence and driving tests in town", None),
+    ("Licensed under the Foo License.", None),
+    ("Copyright 2020 MIT Press. All rights reserved.", None),
+    ("Das Paket kommt mit der License des Hauses", None),
+    ("Licensed under the terms that the license of the town has", None),
+]
+
+
+@pytest.mark.parametrize("text, licence", LICENSE_HEADERS)
+def test_license_headers(text, licence):
+    assert licenses.detect(text, licenses.Templates(licenses.TEMPLATES))[0] == licence
+
+
+def test_license_best_run():
+    """Against all runs of all lengths that a template allows."""
+    templates, rng = licenses.Templates(licenses.TEMPLATES), random.Random(2)
+    vocabulary = ["foo", "the", "mit", *(w for bag in templates.bags for w in bag)]
+    for _ in range(25):
+        words = [w for _ in range(3) for w in (*rng.choices(vocabulary, k=3), *rng.choice(templates.bags))]
+        del words[rng.randrange(len(words))]
+        want = None
+        for (name, v), bag in zip(templates.vectors, templates.bags, strict=True):
+            for i in range(len(words)):
+                for j in range(i + 1, min(len(words), i + licenses.RUN * bag.total()) + 1):
+                    run = templates._unit(Counter(words[i:j]))
+                    c = round(sum(x * v.get(w, 0.0) for w, x in run.items()), 9)
+                    if c >= licenses.MIN_RUN_COSINE and (Counter(words[i:j]) & bag).total() >= licenses.MIN_WORDS * bag.total():
+                        want = min(want or (1,), (-c, -bag.total(), name))
+        got = templates.best_run(" ".join(words))
+        assert (got and (got[1], round(got[0], 6))) == (want and (want[2], round(-want[0], 6)))
+
+
 def test_kept_digest(docs):
     r = {x.doc_id: x for x in substrings.digest(substrings.strip_repeats(docs)).collect()}
     assert r[4].kept_sha256 == hashlib.sha256(b"one two").hexdigest()
