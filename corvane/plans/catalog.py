@@ -135,13 +135,13 @@ def vector_topk(spark, d):
 
 @query(fused_sql("1"))
 def hybrid_rrf(spark, d):
-    return search.fuse(_vector(spark, d), _keyword(spark, d).filter("query_id < 10"))
+    return search.fuse(_vector(spark, d), _keyword(spark, d))
 
 
 @query(fused_sql("coalesce(nullif(quality * 2.0, 0), 1)"))
 def importance_boosted_search(spark, d):
     prior = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("quality") * 2.0).alias("importance"))
-    return search.fuse(_vector(spark, d), _keyword(spark, d).filter("query_id < 10"), prior)
+    return search.fuse(_vector(spark, d), _keyword(spark, d), prior)
 
 
 BLOCKS = """kw2 AS (SELECT query_id, chunk_id, rank, '### ' || source || ':' || chunk_id || chr(10) || substr(text, 1, 400) AS block, source AS key FROM kw JOIN documents ON doc_id = chunk_id),

@@ -28,3 +28,16 @@ def test_against_sql(spark, duck, name):
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted(map(str, (tuple(r) for r in got.select(names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("name, importance", [("hybrid_rrf", "1"), ("importance_boosted_search", "coalesce(nullif(quality * 2.0, 0), 1)")])
+def test_fusion_of_all_questions(spark, duck, name, importance):
+    """Questions without a vector list are fused from the keyword list alone; the registered SQL leaves out those from 10 on."""
+    part = "(SELECT * FROM kw WHERE query_id < 10)"
+    sql = catalog.fused_sql(importance)
+    want = duck.execute(sql.replace(part, "kw"))
+    names = [c[0] for c in want.description]
+    rows = want.fetchall()
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, DIR).select(names).collect()]
+    assert {r[0] for r in rows} > set(range(10, 40))
+    assert sorted(map(str, got)) == sorted(map(str, rows))
