@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corvane.llm.common import join_anew
 from corvane.session import discard, materialise, ship
@@ -56,14 +57,16 @@ def _signed(x: int) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = [_signed(fingerprint(t)) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        rest = range(2, b.num_columns)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *map(b.column, rest)], names=["doc_id", "fp", *(b.schema.names[k] for k in rest)])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long); a row per row."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long), ``keep``; a row per row."""
     ship(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp bigint")
+    src = docs.select("doc_id", "text", *keep)
+    schema = StructType([src.schema["doc_id"], StructField("fp", LongType()), *(src.schema[c] for c in keep)])
+    return src.mapInArrow(_fingerprint_batches, schema)
 
 
 class BKTree:
@@ -193,7 +196,8 @@ def components(edges: DataFrame, low: str = "u", high: str = "v") -> DataFrame:
 
 
 def cluster(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Per row of docs: doc_id, fp, component_id (the smallest doc_id whose fingerprint its own reaches by links).
+    """Per row of docs: doc_id, fp, component_id (the smallest doc_id whose fingerprint its own reaches by links), root
+    (the smallest fingerprint that its own reaches).
 
     Null, blank and empty texts have fingerprint 0, linked like any other. Copies share a fingerprint and meet only in
     partial minima: no pair of them is made. Repeated rows stay rows; a null doc_id is never a component's id unless
@@ -204,20 +208,27 @@ def cluster(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) ->
     roots = materialise(components(links(groups.select("fp"), radius, limit)), "fingerprint-roots")
     linked = roots.select(F.col("node").alias("fp"), "root")
     lowest = groups.join(linked, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = join_anew(linked, lowest, "root").select("fp", "component_id")
-    ids = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return join_anew(fps, ids, "fp").select("doc_id", "fp", "component_id")
+    linked = join_anew(linked, lowest, "root").select("fp", "component_id", "root")
+    ids = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return join_anew(fps, ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The rows of docs whose document is its component's first; of rows with one id, one."""
-    first = clusters.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    counted = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(counted.select(F.col("doc_id").alias("_id"), "n"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    single, repeated = kept.filter("n = 1").drop("n"), kept.filter("n > 1").drop("n")
-    if counted.filter("n > 1").isEmpty():
+    """Of each component the row with the smallest doc_id, then fingerprint; a null doc_id comes last. Of rows with one
+    id and one fingerprint, one stays. Only linked rows remove each other, whatever ids are repeated or null.
+    """
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    counted = clusters.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(leads).alias("_leads")).filter("_leads")
+    single = docs.join(counted.filter("_n = 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    shared = counted.filter("_n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    if shared.isEmpty():
         return single
-    return single.unionByName(repeated.dropDuplicates(["doc_id"]))
+    among = lambda df: df.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    chosen = among(clusters.filter(leads)).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("_c")).select("_c.*").toDF("_id", "_fp")
+    # A document's own columns travel as one, so that none is taken for the fingerprint.
+    rows = fingerprints(among(docs).select("doc_id", "text", F.struct(*docs.columns).alias("_row")), "_row").withColumnRenamed("fp", "_own")
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp"))).dropDuplicates(["doc_id", "_own"])
+    return single.unionByName(kept.select("_row.*"))
 
 
 def digest(clusters: DataFrame) -> DataFrame:

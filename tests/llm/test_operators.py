@@ -366,6 +366,17 @@ def test_licenses(spark):
     assert got == {("1", "MIT", None), ("2", "MIT", "a"), ("3", "Apache-2.0", None), ("4", "Apache-2.0", "a/b/c"), ("5", None, None), ("6", "MPL-2.0", None), ("7", None, None)}
 
 
+def test_keep_first_of_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefghijklmnop") * rng.randint(2, 9) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (None, c), (5, d), (5, e), (5, e), (3, e), (7, a), (8, "x y z w"), (8, d)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"fp": F.lit("x"), "root": F.lit(1)})
+    kept = simhash.keep_first(df, simhash.cluster(df))
+    assert kept.columns == df.columns
+    want = [(None, b), (1, c), (3, e), (5, d), (7, a), (8, "x y z w")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+
+
 LICENSE_HEADERS = [
     ("Copyright (c) 2020 John Doe. Released under the MIT License.", "MIT"),
     ("This file is released under the MIT License, see LICENSE for details.", "MIT"),
