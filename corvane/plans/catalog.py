@@ -251,15 +251,24 @@ def degree_stats(spark, d):
     return graph.degrees(links(spark, d))
 
 
-# A graph with cycles: customers' nations to suppliers' nations by order lines' keys.
+# The SQL's graph: nations of 60 customers to suppliers' nations by equal remainders of keys. The queries take star_links instead.
 NATIONS = """el AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN supplier ON (c_custkey + s_suppkey) % 7 = 0 WHERE c_custkey <= 60 AND c_nationkey <> 3),
 nd AS (SELECT n_nationkey AS node FROM nation)"""
 
 
-def nation_links(spark, d) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, d, "customer").filter("c_custkey <= 60 AND c_nationkey <> 3").select("c_nationkey", ((7 - F.col("c_custkey") % 7) % 7).alias("k"))
-    s = table(spark, d, "supplier").select("s_nationkey", (F.col("s_suppkey") % 7).alias("k"))
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("node")), c.join(s, "k").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+def star_links(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A graph with cycles from the whole tables: customer -> order -> supplier -> nation -> customer, nodes named by table and key."""
+
+    def pairs(name: str, a: str, src: str, b: str, dst: str) -> DataFrame:
+        named = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
+        return table(spark, d, name).select(named(a, src).alias("src"), named(b, dst).alias("dst"))
+
+    e = pairs("orders", "customer", "o_custkey", "order", "o_orderkey")
+    e = e.unionByName(pairs("lineitem", "order", "l_orderkey", "supplier", "l_suppkey"))
+    e = e.unionByName(pairs("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"))
+    e = e.unionByName(pairs("customer", "nation", "c_nationkey", "customer", "c_custkey"))
+    n = e.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node")))
+    return n.dropna().distinct(), e.dropna().distinct()
 
 
 def _rank_sql(steps: int) -> str:
@@ -273,7 +282,7 @@ def _rank_sql(steps: int) -> str:
 
 @query(_rank_sql(10))
 def pagerank_fixed10(spark, d):
-    return graph.pagerank(*nation_links(spark, d), most=10, tolerance=None)
+    return graph.pagerank(*star_links(spark, d), most=10, tolerance=None)
 
 
 @query()
@@ -298,8 +307,9 @@ SELECT * FROM b3"""
 
 @query(BFS)
 def bfs_depth3(spark, d):
-    _, e = nation_links(spark, d)
-    return graph.bounded_bfs(table(spark, d, "customer").filter("c_custkey <= 2").select(F.col("c_nationkey").alias("node")), e, fan_out=None)
+    _, e = star_links(spark, d)
+    seeds = table(spark, d, "customer").filter("c_custkey <= 2").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
+    return graph.bounded_bfs(seeds, e, fan_out=None)
 
 
 @query(f"WITH {LINKS}, t AS (SELECT node FROM (SELECT node, (SELECT count(*) FROM el WHERE dst = node OR src = node) AS deg FROM nd) ORDER BY deg DESC, node LIMIT 100) SELECT src, dst FROM el WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)")

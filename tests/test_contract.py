@@ -41,3 +41,43 @@ def test_fusion_of_all_questions(spark, duck, name, importance):
     got = [tuple(r) for r in catalog.QUERIES[name](spark, DIR).select(names).collect()]
     assert {r[0] for r in rows} > set(range(10, 40))
     assert sorted(map(str, got)) == sorted(map(str, rows))
+
+
+def _star(duck):
+    pair = "SELECT '{}:' || {}, '{}:' || {} FROM {}"
+    parts = [("customer", "o_custkey", "order", "o_orderkey", "orders"), ("order", "l_orderkey", "supplier", "l_suppkey", "lineitem"), ("supplier", "s_suppkey", "nation", "s_nationkey", "supplier"), ("nation", "c_nationkey", "customer", "c_custkey", "customer")]
+    edges = {e for p in parts for e in duck.execute(pair.format(*p)).fetchall()}
+    nodes = {n for e in edges for n in e} | {f"nation:{k}" for (k,) in duck.execute("SELECT n_nationkey FROM nation").fetchall()}
+    to = {n: [] for n in nodes}
+    for a, b in edges:
+        to[a].append(b)
+    return to
+
+
+def test_rank_of_whole_star(spark, duck):
+    """Ten steps by hand over all customers, orders, suppliers and nations."""
+    to = _star(duck)
+    n = len(to)
+    rank = dict.fromkeys(to, 1 / n)
+    for _ in range(10):
+        new = dict.fromkeys(to, 0.15 / n + 0.85 * sum(r for k, r in rank.items() if not to[k]) / n)
+        for a, ends in to.items():
+            for b in ends:
+                new[b] += 0.85 * rank[a] / len(ends)
+        rank = new
+    got = {r["node"]: r["score"] for r in catalog.QUERIES["pagerank_fixed10"](spark, DIR).collect()}
+    assert set(got) == set(to) and len(got) > 1500
+    mean = sum(rank.values()) / n
+    assert all(abs(got[k] - max(rank[k] / mean, 0.1)) < 1e-4 for k in to)
+
+
+def test_search_of_whole_star(spark, duck):
+    to = _star(duck)
+    seen = {f"customer:{k}": 0 for (k,) in duck.execute("SELECT c_custkey FROM customer WHERE c_custkey <= 2").fetchall()}
+    for depth in range(1, 4):
+        for a in [k for k, x in seen.items() if x == depth - 1]:
+            for b in to[a]:
+                seen.setdefault(b, depth)
+    got = catalog.QUERIES["bfs_depth3"](spark, DIR).collect()
+    assert sorted((r["node"], r["depth"]) for r in got) == sorted(seen.items())
+    assert max(seen.values()) == 3
