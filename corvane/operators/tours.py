@@ -27,7 +27,8 @@ def entry_points(files: DataFrame, patterns: list[str] = ENTRY_PATTERNS, per_pat
 
 def round_robin(steps: DataFrame, most: int = 12) -> DataFrame:
     """steps: group, path, importance. Folders in order of first sight take turns; an emptied folder leaves the ring
-    and the turn moves on past its successor. One group (a tour) is bounded by its candidates."""
+    and the turn moves on past its successor. A step moves on by two folders at most, so the best ``most`` paths of each
+    of the first ``2 * most`` folders decide."""
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         ranked = pdf.sort_values(["importance", "path"], ascending=[False, True], kind="stable")
@@ -49,7 +50,13 @@ def round_robin(steps: DataFrame, most: int = 12) -> DataFrame:
         return pd.DataFrame({"group": pdf["group"].iloc[0], "step_order": range(1, len(out) + 1), "path": [p for p, _ in out], "importance": [i for _, i in out]})
 
     kind = steps.schema["group"].dataType.simpleString()
-    return steps.groupBy("group").applyInPandas(order, f"group {kind}, step_order int, path string, importance double")
+    folder = F.when(F.contains("path", F.lit("/")), F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)")).otherwise("root")
+    best = Window.partitionBy("group", "_folder").orderBy(F.desc("importance"), "path")
+    held = steps.select("group", "path", "importance", folder.alias("_folder")).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= most)
+    folders = held.groupBy("group", "_folder").agg(F.array_sort(F.collect_list(F.struct("_r", "path", "importance"))).alias("_held"))
+    first = Window.partitionBy("group").orderBy(F.desc(F.col("_held")[0]["importance"]), F.col("_held")[0]["path"])
+    near = folders.withColumn("_f", F.row_number().over(first)).filter(F.col("_f") <= 2 * most).select("group", F.explode("_held").alias("_s"))
+    return near.select("group", "_s.path", "_s.importance").groupBy("group").applyInPandas(order, f"group {kind}, step_order int, path string, importance double")
 
 
 def validate_steps(steps: DataFrame, files: DataFrame, slack: int = 10) -> DataFrame:

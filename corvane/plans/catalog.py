@@ -425,7 +425,7 @@ def entry_points(spark, d):
 @query()
 def tour_round_robin(spark, d):
     steps = table(spark, d, "documents").select(F.lit(1).alias("group"), doc_path().alias("path"), (F.col("n_chars") / 1000.0).alias("importance"))
-    return tours.round_robin(search.top(steps, "group", [F.desc("importance"), "path"], 200, "_r").drop("_r"))
+    return tours.round_robin(steps)
 
 
 @query("""SELECT l_orderkey AS path, l_linenumber AS start_line, (l_linenumber + l_quantity - 5)::INT AS end_line FROM lineitem JOIN (SELECT o_orderkey, 10 AS line_count FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey

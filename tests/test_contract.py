@@ -81,3 +81,11 @@ def test_search_of_whole_star(spark, duck):
     got = catalog.QUERIES["bfs_depth3"](spark, DIR).collect()
     assert sorted((r["node"], r["depth"]) for r in got) == sorted(seen.items())
     assert max(seen.values()) == 3
+
+
+def test_tour_beside_a_hot_folder(spark, tmp_path):
+    """250 of the longest documents in one folder; folders of one document make the turn pass over every other folder."""
+    rows = [(k, "hot", "en", 90000 - k) for k in range(250)] + [(1000 + k, f"s{k:02}", "en", 500 - k) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["path"] for r in catalog.QUERIES["tour_round_robin"](spark, str(tmp_path)).orderBy("step_order").collect()]
+    assert got == ["hot/en/0.md"] + [f"s{k:02}/en/{1000 + k}.md" for k in range(0, 22, 2)]
