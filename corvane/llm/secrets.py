@@ -14,6 +14,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,14 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return x
 
 
+def windows(text: str, start: int, end: int) -> Iterator[np.ndarray]:
+    """A candidate's window and, if it is long, those of its overlapping parts, so that each of its characters is seen."""
+    yield window(text, start, end)
+    if end - start > INSIDE:
+        for a in [*range(start, end - INSIDE, INSIDE // 2), end - INSIDE]:
+            yield window(text, a, a + INSIDE)
+
+
 def _forward(p: dict, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     e = p["embed"][x]
     n = WIDTH - KERNEL + 1
@@ -197,14 +206,15 @@ def find_batch(texts: list[str | None], net: dict) -> list[tuple[list, list, flo
         own = set(candidates(t or "")) | {(a, b) for a, b, _ in base[i]}
         asked += [(i, a, b) for a, b in sorted(own)]
     out = [(b, list(b), 0.0) for b in base]
-    for k in range(0, len(asked), 4096):
-        part = asked[k : k + 4096]
-        prob = score(net, np.stack([window(texts[i], a, b) for i, a, b in part]))
-        for (i, a, b), p in zip(part, prob.tolist(), strict=True):
-            have, spans, most = out[i]
-            if p >= net["threshold"] and not any(x < b and y > a for x, y, _ in have):
-                spans.append((a, b, _kind(texts[i][a:b])))
-            out[i] = (have, spans, max(most, p))
+    prob = np.zeros(len(asked))
+    views = ((k, x) for k, (i, a, b) in enumerate(asked) for x in windows(texts[i], a, b))
+    while part := list(islice(views, 4096)):
+        np.maximum.at(prob, [k for k, _ in part], score(net, np.stack([x for _, x in part])))
+    for (i, a, b), p in zip(asked, prob.tolist(), strict=True):
+        have, spans, most = out[i]
+        if p >= net["threshold"] and not any(x < b and y > a for x, y, _ in have):
+            spans.append((a, b, _kind(texts[i][a:b])))
+        out[i] = (have, spans, max(most, p))
     return [(have, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))), most) for have, spans, most in out]
 
 

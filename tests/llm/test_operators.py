@@ -204,6 +204,16 @@ def brute_secrets(text):
     return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
 
 
+def test_secret_in_the_middle_of_a_long_run():
+    """A key between words joined by '-': the run's ends alone do not show it."""
+    net, words = secrets.trained(), "-".join(["tea", "rust", "lion", "cedar", "matter"] * 6)
+    key = "q7RtZ2mXc9LdVb4KpW8sYh3NfJ6gUaT5eQxM1oCiBvEzSrDk"
+    text, plain = f"see {words}-1-{key}-{words} there", f"see {words}-{words}-1 there"
+    (_, spans, _), (_, none, _) = secrets.find_batch([text, plain], net)
+    assert [(a, b) for a, b, _ in spans] == secrets.candidates(text)
+    assert none == []
+
+
 def test_secrets(docs):
     for text in ["", "Token = 'abc' token=abcdefgh password: x", "AKIA" + "A1" * 6, "AKIA" + "A" * 11, "0" * 31, "a" * 64 + "g" + "b" * 32, "api_key=\"" + "9f" * 20 + '"']:
         assert secrets.base_spans(text) == brute_secrets(text)
