@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -78,7 +79,33 @@ def test_range_coder_borders(n):
     even, cycle = rng.integers(0, 65535, n), np.arange(n) % 7 * 9000
     for ids in (even, np.zeros(n), np.full(n, 65534), cycle, np.concatenate([cycle, even])):
         ids = ids.astype(np.uint32)
-        assert (rangecoder.decode(*rangecoder.encode(ids), len(ids)) == ids).all()
+        prior, ranks = rangecoder.Prior.fit(ids)
+        assert (prior.ids[ranks] == ids).all()
+        again = rangecoder.Prior.from_bytes(prior.to_bytes())
+        assert (again.freq == prior.freq).all() and (again.freq.sum(axis=1) == rangecoder._SLOTS).all()
+        assert (again.ids[rangecoder.decode(*rangecoder.encode(ranks, prior), len(ids), again)] == ids).all()
+
+
+def test_range_coder_beats_zlib():
+    """A whole table's ids, in one segment and in small ones, headers included."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet").sort_by("doc_id")
+    ids, _ = tokens.encoder(tokens.vocabulary_path()).encode(table.column("text").combine_chunks())
+    for size, most in ((len(ids), 7.5), (len(ids) // 8, 8.5)):
+        parts = [ids[k : k + size] for k in range(0, len(ids), size)]
+        blobs = [rangecoder.pack_segment([1], np.array([len(p)]), p) for p in parts]
+        assert all((rangecoder.unpack_segment(b)[2] == p).all() for b, p in zip(blobs, parts, strict=True))
+        plain = sum(len(zlib.compress(p.astype("<u2").tobytes(), 6)) for p in parts)
+        assert 8 * sum(map(len, blobs)) / len(ids) < min(most, 8 * plain / len(ids))
+
+
+def test_range_coder_orders():
+    """Ids that follow from the two before them cost next to nothing once seen; tags keep other contexts apart."""
+    rng = np.random.default_rng(1)
+    once = rng.permutation(40_000)[:256].astype(np.uint32)
+    blob = rangecoder.pack_segment([1], np.array([8192]), np.tile(once, 32))
+    assert 8 * len(blob) / 8192 < 4
+    cells, tags = rangecoder._contexts(*np.meshgrid(np.arange(300), np.arange(0, 40_000, 37), indexing="ij"), np.int64(0))[1::2]
+    assert len(np.unique(cells << 32 | tags)) > 0.6 * cells.size
 
 
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 10_000])
