@@ -39,7 +39,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(documents(spark, sf_dir), sharding.topology(8), sharding.topology(9))
+    leaves = sharding.topology(8)
+    return sharding.shard_documents(documents(spark, sf_dir), leaves, sharding.grow(leaves))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

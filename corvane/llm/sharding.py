@@ -29,11 +29,16 @@ class Leaf:
 
 
 def topology(n: int) -> list[Leaf]:
-    """n shards of weight 1, two to a rack, two racks to a region; each multiple of four opens a region."""
+    """n shards of weight 1 to begin with, two to a rack, two racks to a region."""
     per_region = SHARDS_PER_RACK * RACKS_PER_REGION
     return [Leaf(s // per_region, (s % per_region) // SHARDS_PER_RACK, s) for s in range(n)]
 
 
+def grow(leaves: Sequence[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """One more shard, in a region of its own: no other subtree's weight changes, so rows move into the new shard alone."""
+    return [*leaves, Leaf(1 + max((x.region for x in leaves), default=-1), 0, 1 + max((x.shard for x in leaves), default=-1), weight)]
+
+
 def _draw(key: Column, node: str, weight: float) -> Column:
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", key, F.lit(node))), 1, 12), 16, 10).cast("long")
     return -F.log((bits + F.lit(0.5)) / F.lit(float(2**48))) / F.lit(float(weight))
@@ -149,7 +154,7 @@ def oracle_sql(n: int = 8, buckets: int = SLOT_BUCKETS) -> str:
 WITH {", ".join(ctes)},
 k AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '') AS t FROM documents),
 p AS (SELECT doc_id, strlen(t)::BIGINT + 1 AS size, t, {expr(topology(n))}::INT AS shard,
-      {expr(topology(n + 1))}::INT AS grown_shard,
+      {expr(grow(topology(n)))}::INT AS grown_shard,
       ('0x' || substr(md5(k), 1, 8))::BIGINT % {buckets} AS b FROM k)
 SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
          list_transform(range(1, size), lambda j: ('0x' || substr(hex(encode(t)), 2 * j::INT - 1, 2))::BIGINT)),
