@@ -9,7 +9,6 @@ patterns always stay; the field adds those that overlap none of them.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -19,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvane.session import ship
 
@@ -55,6 +55,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, with any number of zeros before it."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, leftmost and non-overlapping for each kind, in one pass a kind."""
     out = []
@@ -69,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", max(at + 1, last))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(map(_octet, m[0].split("."))):
                 out.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -156,7 +162,7 @@ class Region:
             x[_AT[s]] = 1
         x[_AT["no_shape"]] = not shapes
         x[_AT["luhn"]] = 14 <= len(digits) <= 19 and luhn(digits)
-        x[_AT["octet_range"]] = len(p := re.findall("[0-9]+", span)) == 4 and all(len(q) <= 3 and int(q) <= 255 for q in p)
+        x[_AT["octet_range"]] = len(p := re.findall("[0-9]+", span)) == 4 and all(len(q) <= 3 and _octet(q) for q in p)
         n = len(digits)
         x[_AT["digits_le9" if n <= 9 else "digits_10_13" if n <= 13 else "digits_14_19" if n <= 19 else "digits_gt19"]] = 1
         x[_AT["glued_left"]] = a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_.-/+%" and a > 1 and text[a - 2].isalnum())
@@ -392,21 +398,16 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Per row of docs: ``keep`` (default doc_id), n_email, n_ip, n_card, n_phone (base), base_spans, spans, n_added, redacted.
 
     Offsets are code points, ends exclusive. Null text has no spans and stays null; empty text has none. Repeated rows
-    get a row each, an empty table gives none. Texts are taken whole, one at a time. Columns to keep must not be named
-    like the new ones.
+    get a row each, an empty table gives none. Texts are taken whole, one at a time. Other columns are ignored, whatever
+    their names; those kept may have any kind, but must not be named like the new ones.
     """
     keep = ["doc_id"] if keep is None else keep
     ship(docs.sparkSession)
     w = trained()
-    src = docs.select(*keep, F.col("text").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return src.mapInArrow(lambda it: _batches(it, w), f"{kept}, {counts}, base_spans string, spans string, n_added bigint, redacted string")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    new = StructType.fromDDL(", ".join(f"n_{k} bigint" for k in KINDS) + ", base_spans string, spans string, n_added bigint, redacted string")
+    return src.mapInArrow(lambda it: _batches(it, w), StructType(src.schema.fields[:-1] + new.fields))
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
