@@ -29,3 +29,25 @@ def test_empty_and_null_documents(spark):
         docs = spark.createDataFrame(rows, schema)
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, DIR).count() >= 0
+
+
+def test_columns_of_any_name(spark):
+    """Every stage keeps columns named like any of its own, and names with a dot."""
+    plain = spark.read.parquet(f"{DIR}/documents.parquet")
+    names = ["n_words", "failed_bits", "_k0", "_w", "_lines", "n", "_id", "_n", "_leads", "_own", "_row", "_digest", "_text", "fp", "root", "component_id",
+             "n_hit", "items", "contaminated", "spans", "redacted", "base_spans", "n_added", "start", "length", "ids", "a.b", "word", "_at", "kept"]
+    docs = plain.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, docs, DIR), stage(spark, plain, DIR)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in want.collect()), name
+        assert all(tuple(r)[len(plain.columns) :] == tuple(range(len(names))) for r in rows), name
+    assert corpus_pipeline.pack_sequences(spark, docs, DIR).count() > 0
+
+
+def test_repeated_rows(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        one, two = (sorted(r.doc_id for r in stage(spark, d, DIR).collect()) for d in (docs, docs.unionAll(docs)))
+        assert two == (one if name == "near_duplicates" else sorted(one * 2)), name
