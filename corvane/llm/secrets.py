@@ -1,33 +1,38 @@
 """Secrets by fixed patterns and a character convolutional network over every candidate.
 
-Candidates are the fixed patterns' matches and all other long runs of key characters that mix letters and digits. The
-network (numpy) reads a candidate's characters and those around it: embedding, one convolution, maxima over the
-candidate and over its surroundings, a hidden layer. It is trained on generated labelled findings; a held-out part fits
-the temperature, and the threshold is the largest that keeps the asked recall there. Spans of the fixed patterns always
-stay; the network adds those that overlap none of them.
+Candidates are the fixed patterns' matches and every maximal run of at least 16 key characters that has a letter and a
+digit; shorter runs and those of letters or digits alone are left to the patterns. The network (numpy) reads a
+candidate's characters and those around it, a long candidate in overlapping parts: embedding, one convolution, maxima
+over the candidate and over its surroundings, a hidden layer. It is trained on generated labelled findings. Findings
+held out from training give the calibration (a slope and an offset of the scores) and the threshold, the largest that
+keeps the asked recall with 95 per cent confidence; others, held out from both, measure them. Spans of the fixed
+patterns always stay; the network adds those that overlap none of them.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvane.session import ship
 
 KINDS = ("assign", "access", "hex")
-#: Labelled findings that are generated, a fifth of them held out.
-N_FINDINGS = 4000
+#: Labelled findings that are generated: for training, for calibration and threshold, for measuring.
+N_TRAIN, N_FIT, N_TEST = 3200, 2000, 2000
 MIN_RECALL = 0.98
 BEFORE, INSIDE, AFTER = 32, 64, 16
+DECAY = 0.02
 WIDTH, EMBED, FILTERS, HIDDEN, KERNEL = BEFORE + INSIDE + AFTER, 12, 32, 16, 5
 EPOCHS = 14
 
@@ -154,13 +159,32 @@ def labelled(seed: int, n: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def _calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic fit of labels to scores, by Newton's steps towards targets short of 0 and 1."""
+    good, bad = y.sum(), len(y) - y.sum()
+    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    x, c = np.stack([z, np.ones_like(z)], axis=1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        c = c - np.clip(np.linalg.solve(h, x.T @ (p - target)), -1, 1)
+    return float(c[0]), float(c[1])
+
+
+def _threshold(prob: np.ndarray, y: np.ndarray, recall: float) -> float:
+    """The largest threshold whose recall on these findings shows, at 95 per cent confidence, that of all to be at least ``recall``."""
+    ranked = np.sort(prob[y > 0])
+    lost = max(0, int(len(ranked) * (1 - recall) - 1.645 * math.sqrt(len(ranked) * recall * (1 - recall))))
+    return float(ranked[lost])
+
+
 @lru_cache(maxsize=1)
 def trained() -> dict:
-    """Parameters, temperature and threshold; Adam on the logistic loss."""
+    """Parameters, calibration and threshold, and (probabilities, labels) of the findings that neither saw; Adam on the logistic loss."""
     rng = np.random.default_rng(11)
-    data = labelled(3, N_FINDINGS)
+    data = labelled(3, N_TRAIN + N_FIT + N_TEST)
     x, y = np.stack([window(t, a, b) for t, a, b, _ in data]), np.array([d[3] for d in data], float)
-    cut = len(x) * 4 // 5
+    cut, end = N_TRAIN, N_TRAIN + N_FIT
     p = {
         "embed": rng.normal(0, 0.3, (97, EMBED)), "conv": rng.normal(0, 1 / math.sqrt(KERNEL * EMBED), (KERNEL * EMBED, FILTERS)), "conv_b": np.zeros(FILTERS),
         "hid": rng.normal(0, 1 / math.sqrt(3 * FILTERS), (3 * FILTERS, HIDDEN)), "hid_b": np.zeros(HIDDEN), "out": rng.normal(0, 0.3, HIDDEN), "out_b": np.zeros(()),
@@ -176,26 +200,32 @@ def trained() -> dict:
             for n in p:
                 m[n] = 0.9 * m[n] + 0.1 * g[n]
                 v[n] = 0.999 * v[n] + 0.001 * g[n] ** 2
-                p[n] = p[n] - 0.003 * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8)
-    z, held = _forward(p, x[cut:])[0], y[cut:]
-    loss = lambda t: float(np.mean(np.logaddexp(0, -np.where(held > 0, z, -z) / t)))
-    heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    prob = 1 / (1 + np.exp(-z / heat))
-    ranked = np.sort(prob[held > 0])
-    threshold = max(0.5, float(ranked[int(len(ranked) * (1 - MIN_RECALL))]))
-    if float((ranked >= threshold).mean()) < MIN_RECALL:
-        threshold = float(ranked[int(len(ranked) * (1 - MIN_RECALL))])
-    return {k: np.asarray(w, np.float32) for k, w in p.items()} | {"heat": heat, "threshold": threshold, "held": (prob, held)}
+                p[n] = p[n] - 0.003 * ((m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8) + DECAY * p[n])
+    net = {k: np.asarray(w, np.float32) for k, w in p.items()} | {"calibration": (1.0, 0.0)}
+    net["calibration"] = _calibration(_scores(net, x[cut:end]), y[cut:end])
+    net["threshold"] = _threshold(score(net, x[cut:end]), y[cut:end], MIN_RECALL)
+    return net | {"held": (score(net, x[end:]), y[end:])}
+
+
+def _scores(net: dict, windows: np.ndarray) -> np.ndarray:
+    """Of 256 candidates at a time."""
+    return np.concatenate([_forward(net, windows[k : k + 256])[0] for k in range(0, len(windows), 256)]) if len(windows) else np.zeros(0)
 
 
 def score(net: dict, windows: np.ndarray) -> np.ndarray:
-    """Calibrated probabilities, 256 candidates at a time."""
-    z = [_forward(net, windows[k : k + 256])[0] for k in range(0, len(windows), 256)]
-    return 1 / (1 + np.exp(-np.concatenate(z) / net["heat"])) if z else np.zeros(0)
+    """Calibrated probabilities."""
+    slope, offset = net["calibration"]
+    return 1 / (1 + np.exp(-np.clip(slope * _scores(net, windows) + offset, -30, 30)))
+
+
+_ASSIGNED = re.compile(r"""[:=]\x20*["']?$""")
 
 
-def _kind(run: str) -> str:
-    return "hex" if re.fullmatch("[0-9a-fA-F]+", run) else "access"
+def _kind(text: str, start: int, end: int) -> str:
+    """A value is ``assign``, other hexadecimal digits are ``hex``, all else is ``access``."""
+    if _ASSIGNED.search(text[max(0, start - 8) : start]):
+        return "assign"
+    return "hex" if re.fullmatch("[0-9a-fA-F]+", text[start:end]) else "access"
 
 
 def find_batch(texts: list[str | None], net: dict) -> list[tuple[list, list, float]]:
@@ -210,10 +240,14 @@ def find_batch(texts: list[str | None], net: dict) -> list[tuple[list, list, flo
     views = ((k, x) for k, (i, a, b) in enumerate(asked) for x in windows(texts[i], a, b))
     while part := list(islice(views, 4096)):
         np.maximum.at(prob, [k for k, _ in part], score(net, np.stack([x for _, x in part])))
+    # Base spans in order of their ends, each with the least start of those that end no earlier.
+    ends = [sorted((b, a) for a, b, _ in own) for own in base]
+    least = [list(accumulate((a for _, a in reversed(e)), min))[::-1] for e in ends]
     for (i, a, b), p in zip(asked, prob.tolist(), strict=True):
         have, spans, most = out[i]
-        if p >= net["threshold"] and not any(x < b and y > a for x, y, _ in have):
-            spans.append((a, b, _kind(texts[i][a:b])))
+        k = bisect.bisect_right(ends[i], (a, math.inf))  # spans that end after the candidate's start
+        if p >= net["threshold"] and (k == len(least[i]) or least[i][k] >= b):
+            spans.append((a, b, _kind(texts[i], a, b)))
         out[i] = (have, spans, max(most, p))
     return [(have, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))), most) for have, spans, most in out]
 
@@ -236,15 +270,15 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Per row of docs: ``keep`` (default doc_id), n_assign, n_access, n_hex (base), base_spans, spans, n_added, top_score.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows get a row each, an empty
-    table gives none; other columns are ignored. Texts are taken whole.
+    table gives none; other columns are ignored, whatever their names. Texts are taken whole. Columns to keep must not
+    be named like the new ones.
     """
     keep = ["doc_id"] if keep is None else keep
     ship(docs.sparkSession)
     net = {k: v for k, v in trained().items() if k != "held"}
-    src = docs.select(*keep, F.col("text").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return src.mapInArrow(lambda it: _batches(it, net), f"{kept}, {counts}, base_spans string, spans string, n_added bigint, top_score double")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    new = StructType.fromDDL(", ".join(f"n_{k} bigint" for k in KINDS) + ", base_spans string, spans string, n_added bigint, top_score double")
+    return src.mapInArrow(lambda it: _batches(it, net), StructType(src.schema.fields[:-1] + new.fields))
 
 
 def digest(found: DataFrame) -> DataFrame:
