@@ -1,11 +1,12 @@
 """Licences by sparse TF-IDF cosine to templates, inherited from the nearest ancestor directory.
 
-Term weights are counts times the inverse document frequency over the templates; words that no template has weigh as the
-rarest do. In a text that speaks of licensing, the run of words nearest to a template decides, wherever it stands and
-whatever stands around it, over line ends too, if its cosine is at least ``MIN_RUN_COSINE`` and it has most of the
-template's words. Without such a run, notices as a whole count: every line that speaks of licensing is one, neighbouring
-ones are one block. A file without a licence takes that of the nearest directory above it that holds a licence file;
-directories and their ancestors meet in joins on paths.
+Templates are notices, usual headers, and whole licence texts (of the long ones, their heads). Term weights are counts
+times the inverse document frequency over the templates; words that no template has weigh as the rarest do. In a text
+that speaks of licensing, the run of words nearest to a template decides, wherever it stands and whatever stands around
+it, over line ends too, if its cosine is at least ``MIN_RUN_COSINE`` and it has most of the template's words. Without
+such a run, notices as a whole count: every line that speaks of licensing is one, neighbouring ones are one block. A file
+without a licence takes that of the nearest directory above it that holds a licence file; directories and their
+ancestors meet in joins on paths.
 """
 
 from __future__ import annotations
@@ -15,19 +16,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import ship
+from corvane.session import materialise, ship
 
 MIN_COSINE = 0.55
 MIN_RUN_COSINE = 0.85
 #: Share of a template's words that a run must have; a run is at most RUN times as long as its template.
 MIN_WORDS = 0.8
 RUN = 2
-#: A text of at most so many words that holds a licence is its directory's licence file in the ``documents`` binding.
-NOTICE_WORDS = 60
 #: Licences that are told apart, with the names by which notices call them.
 _NAMES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
@@ -73,14 +73,74 @@ _LINES: dict[str, tuple[str, ...]] = {
 }
 
 
+# Licence texts, as published by their stewards, without names and years.
+_DISCLAIMED = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_REDISTRIBUTED = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
+other materials provided with the distribution."""
+_NOT_ENDORSED = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission."""
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_WHOLE: dict[str, str] = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to
+deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": f"{_REDISTRIBUTED} {_DISCLAIMED}",
+    "BSD-3-Clause": f"{_REDISTRIBUTED} {_NOT_ENDORSED} {_DISCLAIMED}",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from
+the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the
+original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from
+any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain
+a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the
+License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You
+can obtain one at http://mozilla.org/MPL/2.0/.""",
+} | {
+    licence: f"{title} {date} Copyright (C) Free Software Foundation, Inc. {_VERBATIM} {preamble}"
+    for licence, title, date, preamble in (
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007", "Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+        ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007", "Preamble The GNU Affero General Public License is a free, copyleft license for software and other "
+         "kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+        ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 "
+         "of the GNU General Public License, supplemented by the additional permissions listed below."),
+        ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991", "Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, "
+         "the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+        ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1, February 1999", "Preamble The licenses for most software are designed to take away your freedom to share and change it. "
+         "By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    )
+}
+# End of fixed values.
+
+
 def _notices(licence: str) -> tuple[str, ...]:
     names, lines = _NAMES.get(licence, ()), _LINES.get(licence, ())
     said = [f"{how} {'' if n.startswith(('CC', 'GPLv', 'LGPLv', 'AGPLv')) else 'the '}{n}" for n in names for how in ("Licensed under", "Released under")]
-    return tuple(dict.fromkeys([*said, *lines, *([] if any("SPDX" in x for x in lines) else [f"SPDX-License-Identifier: {licence}"])]))
+    spdx = [] if any("SPDX" in x for x in lines) else [f"SPDX-License-Identifier: {licence}"]
+    return tuple(dict.fromkeys([*said, *lines, *spdx, *([_WHOLE[licence]] if licence in _WHOLE else [])]))
 
 
-TEMPLATES: dict[str, tuple[str, ...]] = {licence: _notices(licence) for licence in sorted(_NAMES.keys() | _LINES.keys())}
-_CUE = re.compile(r"licen[sc]e|spdx|copyright|public domain|all rights reserved", re.I)
+TEMPLATES: dict[str, tuple[str, ...]] = {licence: _notices(licence) for licence in sorted(_NAMES.keys() | _LINES.keys() | _WHOLE.keys())}
+_CUE = re.compile(r"licen[sc]e|spdx|copyright|public domain|all rights reserved|hereby granted|redistribution and use|provided .{0,8}as.is", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 _LICENSE_FILE = r"(?i)^(un)?licen[sc]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 
@@ -126,44 +186,68 @@ class Templates:
     def best_run(self, text: str) -> tuple[float, str] | None:
         """(cosine, name) of the run of words nearest to a template; the longest template, then the first by name among equals."""
         words = _TERM.findall(text.lower())
-        found, done = None, set()
+        places: dict[int, list[int]] = {}
         for at, word in enumerate(words):
             for k in self.anchors.get(word, ()):
-                bag, (name, v) = self.bags[k], self.vectors[k]
-                length = bag.total()
-                if found and found <= (-1.0, -length, name):
-                    continue
-                first = max(0, at - RUN * length + 1)
-                near = words[first : at + RUN * length]
-                if sum(v[w] ** 2 for w in bag.keys() & set(near)) < MIN_RUN_COSINE**2 - 1e-9 or (key := (k, *near)) in done:
+                places.setdefault(k, []).append(at)
+        found = None
+        for k in sorted(places, key=lambda k: (-self.bags[k].total(), self.vectors[k][0])):
+            bag, (name, v) = self.bags[k], self.vectors[k]
+            length = bag.total()
+            if found and found <= (-1.0, -length, name):
+                continue
+            done = set()  # the same notice again and again
+            for first, last in _stretches(places[k], RUN * length, len(words)):
+                near = tuple(words[first:last])
+                if len(near) < MIN_WORDS * length or near in done or sum(v[w] ** 2 for w in bag.keys() & set(near)) < MIN_RUN_COSINE**2 - 1e-9:
                     continue
-                done.add(key)
-                if (c := self._run(near, at - first, k)) >= MIN_RUN_COSINE:
+                done.add(near)
+                if (c := self._run(near, k)) >= MIN_RUN_COSINE:
                     rank = (-c, -length, name)
                     found = min(found or rank, rank)
         return found and (-found[0], found[2])
 
-    def _run(self, near: list[str], at: int, k: int) -> float:
-        """The best cosine of a run that holds place ``at``, has enough of the template's words and is not too long."""
+    def _run(self, near: tuple[str, ...], k: int) -> float:
+        """The best cosine of a run that begins and ends with words of the template, has enough of them and is not too long.
+
+        A near enough run holds an anchor, so runs without one do no harm.
+        """
         bag, v = self.bags[k], self.vectors[k][1]
         length, best = bag.total(), 0.0
-        inside = [w in bag for w in near]
-        for i in range(at + 1):
-            if not inside[i]:
-                continue
-            counts: Counter = Counter()
-            dot = norm = 0.0
-            has = 0
-            for j in range(i, min(len(near), i + RUN * length)):
-                w = near[j]
-                weight, n = self.idf.get(w, self.rare), counts[w]
-                counts[w] = n + 1
-                norm += weight * weight * (2 * n + 1)
-                dot += weight * v.get(w, 0.0)
-                has += n < bag.get(w, 0)
-                if j >= at and inside[j] and has >= MIN_WORDS * length:
-                    best = max(best, round(dot / math.sqrt(norm), 9))
-        return best
+        code: dict[str, int] = {}
+        w = np.array([code.setdefault(x, len(code)) for x in near])
+        weight, part = np.array([self.idf.get(x, self.rare) for x in code]), np.array([v.get(x, 0.0) for x in code])
+        wanted = np.array([bag.get(x, 0) for x in code])
+        before = np.zeros(len(code), np.int64)  # occurrences of each word before the run
+        nth = np.zeros(len(near), np.int64)
+        for i, x in enumerate(w.tolist()):
+            nth[i], before[x] = before[x], before[x] + 1
+        before[:] = 0
+        inside, dots, squares, least = wanted[w] > 0, weight[w] * part[w], weight[w] ** 2, MIN_WORDS * length
+        for i, x in enumerate(w.tolist()):
+            if inside[i]:
+                run = w[i : i + RUN * length]
+                n = nth[i : i + len(run)] - before[run]
+                has = np.cumsum(n < wanted[run])
+                if has[-1] >= least:
+                    c = np.cumsum(dots[i : i + len(run)]) / np.sqrt(np.cumsum(squares[i : i + len(run)] * (2 * n + 1)))
+                    best = max(best, float(c[(has >= least) & inside[i : i + len(run)]].max(initial=0.0)))
+            before[x] += 1
+        return round(best, 9)
+
+
+def _stretches(places: list[int], reach: int, n: int) -> Iterator[tuple[int, int]]:
+    """The words at most ``reach`` from one of the places, overlapping ones as one, so that every run is seen whole and once."""
+    first = last = None
+    for p in places:
+        if last is not None and p - reach + 1 <= last:
+            last = min(n, p + reach)
+            continue
+        if last is not None:
+            yield first, last
+        first, last = max(0, p - reach + 1), min(n, p + reach)
+    if last is not None:
+        yield first, last
 
 
 def blocks(text: str) -> list[str]:
@@ -206,23 +290,25 @@ def _ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.when(path == "", F.lit(0)).otherwise(F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = MIN_COSINE) -> DataFrame:
-    """files: id, path, text, and optionally is_license_file. One row per row: id, path, own, cosine, n_notices,
-    license (own or inherited), inherited_from (a directory, null for own or none).
+def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = MIN_COSINE, licence_file: Column | None = None) -> DataFrame:
+    """files: id, path, text. One row per row: id, path, own, cosine, n_notices, license (own or inherited),
+    inherited_from (a directory, null for own or none).
 
-    Null and empty texts hold no notice and inherit; a null path is a file of the root. Of several licence files in a
-    directory the one with the smallest path, then licence, counts. Repeated rows stay rows; an empty table gives none;
-    other columns are ignored. Inheritance is settled once a directory, so a directory with very many files costs a
-    partial aggregate and a join that can be split.
+    ``licence_file``: a condition on files, whose licences their directories pass on; by default the usual names of such
+    files. Null and empty texts hold no notice and inherit; a null path is a file of the root. Of several licence files
+    in a directory the one with the smallest path, then licence, counts. Repeated rows stay rows; an empty table gives
+    none; other columns are ignored, whatever their names. Texts are read once: what they hold is written to the shared
+    folder. Inheritance is settled once a directory, so a directory with very many files costs a partial aggregate and a
+    join that can be split.
     """
     ship(files.sparkSession)
     held = Templates(templates)
     path = F.regexp_replace(F.coalesce("path", F.lit("")), "^/+", "")
-    flag = F.col("is_license_file") if "is_license_file" in files.columns else F.element_at(F.split(path, "/"), -1).rlike(_LICENSE_FILE)
+    flag = F.element_at(F.split(path, "/"), -1).rlike(_LICENSE_FILE) if licence_file is None else licence_file
     kind = files.schema["id"].dataType.simpleString()
     src = files.select("id", path.alias("path"), flag.alias("flag"), "text")
     found = src.mapInArrow(lambda it: _batches(it, held, least), f"id {kind}, path string, flag boolean, own string, cosine double, n_notices bigint")
-    found = found.withColumn("dir", directory(F.col("path")))
+    found = materialise(found.withColumn("dir", directory(F.col("path"))), "licences")
     of_dir = found.filter("flag AND own IS NOT NULL").groupBy("dir").agg(F.min(F.struct("path", "own"))["own"].alias("given")).withColumnRenamed("dir", "above")
     dirs = found.filter("own IS NULL").select("dir").distinct()
     near = (
@@ -231,7 +317,9 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, le
         .groupBy("dir")
         .agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("near"))
     )
-    out = found.join(near, "dir", "left")
+    # Both sides are exchanged for the reversed directory, so adaptive execution can split a very large one.
+    turned = near.select(F.reverse("dir").alias("_turned"), "near")
+    out = found.withColumn("_turned", F.reverse("dir")).join(turned, "_turned", "left")
     takes = F.col("own").isNull()
     return out.select(
         "id", "path", "own", "cosine", "n_notices", F.when(takes, F.col("near.given")).otherwise(F.col("own")).alias("license"),
@@ -239,9 +327,11 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, le
     )
 
 
-def document_files(docs: DataFrame) -> DataFrame:
-    """``documents`` as files: a directory per source and hundred ids; short texts that speak of a licence are licence files."""
+def scan_documents(docs: DataFrame) -> DataFrame:
+    """``documents`` as files, a directory per source and hundred ids; one that holds a licence, by its own cosine, is a
+    licence file of its directory. One row per row, with doc_id for id; null sources and ids have places of their own.
+    """
     folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"))
-    short = F.size(F.split(F.trim("text"), r"\s+")) <= NOTICE_WORDS
     path = F.concat_ws("/", folder, F.concat(F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text", F.coalesce(short & F.lower("text").contains("licen"), F.lit(False)).alias("is_license_file"))
+    files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return scan(files, licence_file=F.lit(True)).withColumnRenamed("id", "doc_id")

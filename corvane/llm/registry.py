@@ -44,7 +44,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(licenses.document_files(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+    return licenses.scan_documents(documents(spark, sf_dir))
 
 
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
