@@ -2,9 +2,10 @@
 
 All trees of a corpus grow with it, so they can be neither on one machine nor broadcast. Fingerprints are dealt to
 shards instead: of ``radius + 1`` blocks of bits, two fingerprints within the radius agree in one at least, so a shard
-holds the fingerprints with one value of one block and each link shows in some shard. A shard that holds more than
-``SHARD_LIMIT`` fingerprints is dealt once more by blocks of its other bits, which loses no link either. In a shard, a
-BK-tree (children keyed by their integer Hamming distance to the parent) is searched along edges within the radius.
+holds the fingerprints with one value of one block and each link shows in some shard. Shards of more than
+``SHARD_LIMIT`` fingerprints are dealt again by blocks of their other bits, which loses no link either, until none is
+larger; so few bits are then left that a shard cannot be. In a shard, a BK-tree (children keyed by their integer Hamming
+distance to the parent) is searched along edges within the radius.
 """
 
 from __future__ import annotations
@@ -152,20 +153,35 @@ def _masks(bits: list[int], parts: int) -> list[int]:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Star edges (u, v), v < u, that connect what lies within the radius; ``distinct``: fp, each once."""
-    parts = radius + 1
-    blocks = _masks(list(range(BITS)), parts)
-    dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in blocks])).alias("block", "value"))
-    large = dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("block", "value", F.lit(1).alias("large"))
-    inner = []
-    for m in blocks:
-        rest = [b for b in range(BITS) if not m >> b & 1]
-        inner.append(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in _masks(rest, parts)]))
-    again = F.when(F.col("large").isNotNull(), F.get(F.array(*inner), F.col("block"))).otherwise(F.array(F.lit(0).cast("long")))
-    shards = join_anew(dealt, large, "value", "block", how="left").select("block", "value", "fp", F.posexplode(again).alias("block2", "value2"))
-    keys = ["block", "value", "block2", "value2"]
-    ship(distinct.sparkSession)
-    sorted_ = shards.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
+    """Star edges (u, v), v < u, that connect what lies within the radius; ``distinct``: fp, each once.
+
+    A shard is a mask of bits and their value. Its fingerprints differ in the other bits alone, so dealing ends where
+    those are too few for more than ``limit`` (or ``SHARD_LIMIT``) of them.
+    """
+    spark, parts = distinct.sparkSession, radius + 1
+    rows, masks, settled = distinct.select("fp"), [0], []
+    value = F.col("fp").bitwiseAND(F.col("mask"))
+    while True:
+        deals = [(_signed(m), _signed(m | x & (1 << BITS) - 1)) for m in masks for x in _masks([b for b in range(BITS) if not m >> b & 1], parts)]
+        masks = [m & (1 << BITS) - 1 for _, m in deals]
+        if len(deals) == parts:
+            rows = rows.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for _, m in deals])).alias("mask"))
+        else:  # the table has parts ** level rows: some hundreds at most
+            table = spark.createDataFrame(deals, "mask bigint, next bigint")
+            rows = rows.join(F.broadcast(table), "mask").select("fp", F.col("next").alias("mask"))
+        if BITS - min(m.bit_count() for m in masks) <= max(limit, SHARD_LIMIT).bit_length() - 1:
+            break
+        sizes = rows.groupBy(value.alias("value"), "mask").agg(F.count(F.lit(1)).alias("n"))
+        large = materialise(sizes.filter(F.col("n") > limit).select("value", "mask", F.lit(True).alias("large")), "large-shards")
+        if large.isEmpty():
+            break
+        marked = join_anew(rows.withColumn("value", value), large, "value", "mask", how="left")
+        settled.append(marked.filter("large IS NULL").select("fp", "mask"))
+        rows = marked.filter("large").select("fp", "mask")
+    for df in settled:
+        rows = rows.unionByName(df)
+    ship(spark)
+    sorted_ = rows.select("mask", value.alias("value"), "fp").repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
     return sorted_.mapInArrow(lambda it: _link_shards(it, radius), "u bigint, v bigint").distinct()
 
 
@@ -183,7 +199,7 @@ def components(edges: DataFrame, low: str = "u", high: str = "v") -> DataFrame:
         large = join_anew(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # A row (u, v) of ``large`` has v < u, so its groups by u are the neighbours below u.
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(below.select("u", F.col("m").alias("v")))
+        small = join_anew(large, below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(below.select("u", F.col("m").alias("v")))
         new = materialise(small.filter("u <> v").distinct(), "cc")
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(e)
@@ -210,6 +226,9 @@ def cluster(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) ->
     lowest = groups.join(linked, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = join_anew(linked, lowest, "root").select("fp", "component_id", "root")
     ids = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    ids = materialise(ids, "fingerprint-ids")
+    for table in (groups, roots):
+        discard(table)
     return join_anew(fps, ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
