@@ -7,13 +7,13 @@ the shard), and maximal spans at or above the threshold go.
 ``strip_repeats`` takes every document as reference for those after it. Automata of a whole corpus have no size bound
 and every document would have to pass every shard, so this path deals windows by hash instead. Of each window's
 five-word runs the one with the smallest hash is its anchor; windows that are equal have equal anchors, so only windows
-whose anchor occurs in two documents are compared, by 80 bits of hashes of their words. Windows of a very common anchor
+whose anchor occurs in two documents are compared, by 96 bits of hashes of their words (over the 1e13 windows of 100 TB
+less than one pair in a thousand such corpora is taken for equal wrongly). Windows of a very common anchor
 are dealt by document too: each share of them settles all but its smallest document, and those settle among themselves.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.llm.common import words as split_words
 from corvane.session import ship
 
 WINDOW = 13
 ANCHOR = 5
-#: Words of reference text in one automaton, and shards that are broadcast at most: beyond it, strip_reference refuses.
+#: Words of reference text in one automaton, shards that are broadcast at most, and bytes of a word on average: beyond, strip_reference refuses.
 SHARD_WORDS = 200_000
 MAX_SHARDS = 8
+WORD_BYTES = 32
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
 #: Bits of an anchor: enough to tell apart the anchors of 100 TB but for some hundredths, which the windows' own hashes then part.
@@ -108,7 +110,7 @@ def covered(statistics: list[int], threshold: int) -> np.ndarray:
 def build_shards(reference: list[str | None], shard_words: int = SHARD_WORDS) -> list[SuffixAutomaton]:
     shards, room = [], 0
     for text in reference:
-        words = (text or "").split()
+        words = [w.decode("utf-8", "surrogatepass") for w in _ascii_words(text)]
         if not words:
             continue
         if room < len(words):
@@ -140,14 +142,16 @@ def _strip_batches(batches: Iterator[pa.RecordBatch], shards, threshold: int) ->
 def strip_reference(docs: DataFrame, reference: DataFrame, threshold: int = WINDOW, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept (words joined by a space).
 
-    The reference's texts are counted first and refused (ValueError) beyond ``shard_words * max_shards`` words. Null and
-    blank texts have no words. An empty reference removes nothing; an empty table gives no rows.
+    The reference's words and bytes are counted first and refused (ValueError) beyond ``shard_words * max_shards`` words
+    or ``WORD_BYTES`` times as many bytes. Null and blank texts have no words. An empty reference removes nothing; an
+    empty table gives no rows; repeated rows are a row each; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    total = reference.select(F.coalesce(F.sum(F.size(F.split(F.trim("text"), r"\s+"))), F.lit(0))).first()[0]
-    if total > shard_words * max_shards:
-        raise ValueError(f"a reference of {total} words is beyond {shard_words * max_shards}")
+    most = shard_words * max_shards
+    total, size = reference.select(F.coalesce(F.sum(F.size(split_words(F.col("text")))), F.lit(0)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    if total > most or size > most * WORD_BYTES:
+        raise ValueError(f"a reference of {total} words and {size} bytes is beyond {most} words or {most * WORD_BYTES} bytes")
     shards = spark.sparkContext.broadcast(build_shards([r[0] for r in reference.select("text").collect()], shard_words))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(lambda it: _strip_batches(it, shards, threshold), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
@@ -232,7 +236,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
 def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc, text, anchors, repeated): the windows whose anchor is among the row's.
 
-    Above an anchor's bits is the binary logarithm of its shares. A window's check holds 16 bits of hash and above them
+    Above an anchor's bits is the binary logarithm of its shares. A window's check holds 32 bits of hash and above them
     its share; the place of a window of several shares is negative. A text gives a window once, at its first place.
     ``repeated``: other rows have this doc.
     """
@@ -262,12 +266,12 @@ def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             again = np.diff(one, append=len(order)) > 1
             one = order[one]
             at_first, text, window, bits = at_first[one], text[one], window[one], bits[one]
-            check = _rolled(h, size, _R)[at_first] & np.uint64(0xFFFF)
+            check = _rolled(h, size, _R)[at_first] >> np.uint64(32)
             doc = np.asarray(b.column(0), dtype=np.int64)[text]
             share = _mix(doc.view(np.uint64) * _P) & ((1 << bits) - 1).view(np.uint64)
             tag = np.array([_tag(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)], np.int64)
             place = tag[text] << 31 | at_first - at[text] | again * _AGAIN
-            columns = [window.view(np.int64), (check | share << np.uint64(16)).astype(np.uint32).view(np.int32), doc, np.where(bits > 0, ~place, place)]
+            columns = [window.view(np.int64), (check | share << np.uint64(32)).view(np.int64), doc, np.where(bits > 0, ~place, place)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "check", "doc", "place"])
 
 
@@ -316,9 +320,9 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, sha
     """Per row of docs: doc_id, n_words, n_removed, kept: without the words of windows that also start in a document
     with a smaller doc_id.
 
-    Null and blank texts have no words and are kept empty; texts under ``size`` words are kept whole. A null doc_id is
-    larger than any other. Rows with one doc_id do not remove from each other. An empty table gives no rows; other
-    columns are ignored. Exact copies are settled by a digest of the text and take no part in the comparison, and
+    doc_id is a whole number. Null and blank texts have no words and are kept empty; texts under ``size`` words are kept
+    whole. A null doc_id is larger than any other. Rows with one doc_id, or with none, are one document: they do not
+    remove from each other. An empty table gives no rows; other columns are ignored. Exact copies are settled by a digest of the text and take no part in the comparison, and
     anchors meet only in counts and in a join with those, so groups of copies cost in proportion to their rows. That
     join is on a key derived from the counts' own: both its sides are then exchanges, of which adaptive execution splits
     one with a very common key (below an aggregate it could not).
@@ -345,11 +349,11 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, sha
         .join(repeats, "doc", "left")
         .filter(~copy)
         .select("doc", "text", "anchors", repeated.alias("repeated"))
-        .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check int, doc bigint, place bigint")
+        .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check bigint, doc bigint, place bigint")
     )
     met = windows.withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
     place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place")
-    least = met.filter("low = doc AND place < 0").select("window", F.col("check").bitwiseAND(0xFFFF).alias("check"), "doc", place)
+    least = met.filter("low = doc AND place < 0").select("window", F.col("check").bitwiseAND(0xFFFFFFFF).alias("check"), "doc", place)
     again = least.withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
     hits = met.filter("low < doc").select("doc", place).unionAll(again.filter("low < doc").select("doc", "place"))
     hit = hits.groupBy("doc").agg(F.collect_set("place").alias("places"))
@@ -365,10 +369,6 @@ def digest(stripped: DataFrame) -> DataFrame:
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d),
