@@ -3,7 +3,7 @@
 A document's ids are cut into full sequences and a rest. Each partition keeps ``open_windows`` windows: a rest goes to
 the window that it fills best; if none has room, it is cut to fill the fullest window, which is emitted, and what is
 left of it opens a window or is placed again. Windows still open at a partition's end are leftovers: they are merged
-best-fit in groups of partitions of bounded size, level by level, by their lengths alone.
+best-fit in groups of ``MERGE_GROUP`` partitions, by their lengths alone.
 """
 
 from __future__ import annotations
