@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, price table, limits and texts that results depend on.
@@ -29,14 +29,38 @@ README_SECTION = r"(?is)#+\s*(?:Quick\s*Start|Running|Getting\s*Started|Installa
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 # US dollars for a million tokens, in the order of lookup: (name contained in the model, prompt, completion).
 PRICES = [("2.0-flash", 0.075, 0.30), ("2.0-pro", 1.25, 5.00), ("1.5-flash", 0.075, 0.30), ("1.5-pro", 1.25, 5.00), ("embedding", 0.0, 0.0)]
+TIER_TEXTS = {
+    "core": ("Core Foundation & Backbone", "Highest structural centrality; imported and called extensively across the system."),
+    "business logic": ("Business Logic & Orchestration", "Implements core domain operations and workflows."),
+    "supporting": ("Supporting Module & Utilities", "Provides targeted utility, integration, or peripheral functionality."),
+}
+DIFFICULTY_TEXTS = {
+    "beginner": ("Good First Issue (Beginner Friendly)", "emerald"),
+    "intermediate": ("Intermediate (Moderate Fan-out)", "amber"),
+    "advanced": ("Advanced (Broad Architectural Impact)", "red"),
+}
 SUMMARY_PREFIX, NO_SUMMARY = "Component summary: ", "Module component definition."
 # End of fixed values.
 
 
+# White space in the sense of Unicode, by which identifiers are parted besides ``_ . - /``.
+_PARTS = r"[_.\-/\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
+def _parted(text: Column) -> Column:
+    cased = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.split(cased, _PARTS)
+
+
 def identifier_tokens(text: Column) -> Column:
     """Words of identifiers: parts at case changes, ``_ . - /`` and white space; single characters go; lower case."""
-    parted = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.transform(F.filter(F.split(parted, r"(?U)[_.\-/\s]+"), lambda t: F.length(t) > 1), F.lower)
+    return F.transform(F.filter(_parted(text), lambda t: F.length(t) > 1), F.lower)
+
+
+def exploded_tokens(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """``keep`` and token, a row a token: as ``identifier_tokens``, without the array."""
+    each = df.select(*keep, F.explode(_parted(text)).alias("token"))
+    return each.filter(F.length("token") > 1).withColumn("token", F.lower("token"))
 
 
 def token_estimate(text: Column) -> Column:
@@ -168,10 +192,25 @@ def tier(importance: Column) -> Column:
     return F.when(importance >= 2.0, "core").when(importance >= 1.2, "business logic").otherwise("supporting")
 
 
+def _told(level: Column, texts: dict[str, tuple[str, ...]], k: int) -> Column:
+    """The k-th text of a level."""
+    return F.coalesce(*[F.when(level == name, F.lit(t[k])) for name, t in texts.items()])
+
+
+def tier_told(tier: Column) -> tuple[Column, Column]:
+    """(label, why to read it)."""
+    return _told(tier, TIER_TEXTS, 0), _told(tier, TIER_TEXTS, 1)
+
+
 def difficulty(files: Column, callers: Column) -> Column:
     return F.when((files <= 2) & (callers <= 3), "beginner").when(files <= 4, "intermediate").otherwise("advanced")
 
 
+def difficulty_told(level: Column) -> tuple[Column, Column]:
+    """(label, colour)."""
+    return _told(level, DIFFICULTY_TEXTS, 0), _told(level, DIFFICULTY_TEXTS, 1)
+
+
 def or_default(value: Column, default: object) -> Column:
     """A missing or zero value counts as missing."""
     return F.when(value.isNull() | (value == 0), F.lit(default)).otherwise(value)

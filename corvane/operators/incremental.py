@@ -37,6 +37,8 @@ def drop_partition(df: DataFrame, value: object, partition: str = "repo_id") ->
     return df.filter(~F.col(partition).eqNullSafe(F.lit(value)))
 
 
-def refresh_importance(table: DataFrame, scores: DataFrame, key: str = "path") -> DataFrame:
-    new = scores.select(key, F.col("importance").alias("_new"))
-    return table.join(new, key, "left").withColumn("importance", F.coalesce("_new", "importance")).drop("_new")
+def refresh_importance(table: DataFrame, scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """scores: the keys (path by default), each once, and importance. Rows without a new score keep theirs."""
+    keys = keys or ["path"]
+    new = scores.select(*keys, F.col("importance").alias("_new"))
+    return table.join(new, keys, "left").withColumn("importance", F.coalesce("_new", "importance")).select(table.columns)

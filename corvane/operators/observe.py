@@ -17,6 +17,12 @@ def cost_report(calls: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def cost_by_model(calls: DataFrame, by: str, value: str = "cost") -> DataFrame:
+    """calls: model, ``by`` and a value. A row a ``by``, with the value's sums by model as a map in order of models."""
+    sums = calls.groupBy(by, "model").agg(F.sum(value).alias("v"))
+    return sums.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "v")))).alias("by_model"))
+
+
 def latency(log: DataFrame, operation: str, value: str) -> DataFrame:
     v = F.col(value)
     return log.groupBy(F.col(operation).alias("operation")).agg(
@@ -28,3 +34,12 @@ def over_limit(log: DataFrame, client: str, ts: str, most: int, window: str) ->
     """Fixed windows in which a client made more calls than allowed."""
     counted = log.groupBy(F.col(client).alias("client"), F.window(ts, window)["start"].alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
     return counted.filter(F.col("n") > most)
+
+
+def over_tiers(log: DataFrame, client: str, ts: str, tiers: dict[str, tuple[int, str]] = TIERS) -> DataFrame:
+    """(tier, client, window_start, n): what would be over each tier's limit."""
+    out = None
+    for tier, (most, window) in tiers.items():
+        part = over_limit(log, client, ts, most, window).select(F.lit(tier).alias("tier"), "client", "window_start", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import identifier_tokens, or_default, token_estimate
-from corvane.functions.vectors import cosine
+from corvane.functions.text import exploded_tokens, or_default, token_estimate
+from corvane.session import ship
 
 POOL, K, W_VECTOR, W_KEYWORD, BOOST, MOST = 50, 60, 0.6, 0.4, 0.35, 20
 SYMBOL_BONUS = 15.0
+#: Distinct words of a batch of queries that are broadcast, and numbers of query vectors that one pass over the chunks takes.
+BROADCAST_WORDS, BLOCK_NUMBERS = 500_000, 4 << 20
 
 
 def term_frequency(chunks: DataFrame, text: Column) -> DataFrame:
     """(chunk_id, token, tf): the inverted index; written once, it serves every batch of queries."""
-    return chunks.select("chunk_id", F.explode(identifier_tokens(text)).alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded_tokens(chunks, text, "chunk_id").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, token, k): terms as often as a query repeats them."""
+    return exploded_tokens(queries, F.col("text"), "query_id").groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("k"))
+
+
+def matching_terms(chunks: DataFrame, text: Column, queries: DataFrame) -> DataFrame:
+    """The part of ``term_frequency`` that the queries ask for: other words go before anything is counted or moved."""
+    words = query_terms(queries).select("token").distinct()
+    hint = F.broadcast if words.count() <= BROADCAST_WORDS else (lambda df: df)
+    asked = exploded_tokens(chunks, text, "chunk_id").join(hint(words), "token", "left_semi")
+    return asked.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top(df: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:
@@ -23,15 +43,27 @@ def top(df: DataFrame, group: str, order: list, k: int, name: str = "rank") -> D
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
+def symbol_bonus(symbols: DataFrame, queries: DataFrame) -> DataFrame:
+    """symbols: chunk_id, symbol; queries: query_id, text. (query_id, chunk_id, bonus) where a symbol's name occurs in a
+    query, letters in either case: every stretch of a query that is as long as some name meets the names in an equi-join,
+    on the name reversed, so that the chunks of a common one can be split.
+    """
+    names = symbols.filter("symbol <> ''").select("chunk_id", F.lower("symbol").alias("name"))
+    sizes = names.select(F.length("name").alias("n")).distinct()
+    said = queries.select("query_id", F.lower("text").alias("q")).join(F.broadcast(sizes), F.col("n") <= F.length("q"))  # a row a length of names
+    parts = said.select("query_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring(F.col("q"), i, F.col("n"))))).alias("name"))
+    met = parts.withColumn("_turned", F.reverse("name")).drop("name").join(names.withColumn("_turned", F.reverse("name")), "_turned")
+    return met.select("query_id", "chunk_id", F.lit(SYMBOL_BONUS).alias("bonus")).distinct()
+
+
 def keyword_scores(index: DataFrame, queries: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """queries: query_id, text; symbols: chunk_id, symbol. Terms count as often as a query repeats them."""
-    terms = queries.select("query_id", F.explode(identifier_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("k"))
-    scored = index.join(terms, "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("k") * (1 + F.log1p("tf"))).alias("base"), F.sum("k").alias("m"))
+    """index: as ``matching_terms`` or ``term_frequency`` give; queries: query_id, text; symbols: chunk_id, symbol."""
+    terms = query_terms(queries).select("query_id", F.reverse("token").alias("_turned"), "k")
+    # On the word reversed both sides are exchanged, so the chunks of a common word can be split.
+    scored = index.withColumn("_turned", F.reverse("token")).join(terms, "_turned").groupBy("query_id", "chunk_id")
+    scored = scored.agg(F.sum(F.col("k") * (1 + F.log1p("tf"))).alias("base"), F.sum("k").alias("m"))
     if symbols is not None:
-        # The bonus is a containment test, so it runs on distinct symbols against a batch's queries.
-        names = symbols.filter("symbol <> ''").select(F.lower("symbol").alias("name")).distinct()
-        said = queries.select("query_id", F.lower("text").alias("q"))
-        bonus = names.join(said, F.col("q").contains(F.col("name"))).join(symbols.withColumn("name", F.lower("symbol")), "name").select("query_id", "chunk_id", F.lit(SYMBOL_BONUS).alias("bonus"))
+        bonus = symbol_bonus(symbols, queries)
         scored = scored.join(bonus, ["query_id", "chunk_id"], "full").withColumns({"base": F.coalesce("base", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)), "m": F.coalesce("m", F.lit(0))})
     score = F.when(F.col("m") > 1, F.col("base") * (1 + 0.25 * F.col("m"))).otherwise(F.col("base"))
     return scored.select("query_id", "chunk_id", F.round(score, 6).alias("score")).filter("score > 0")
@@ -41,12 +73,63 @@ def keyword_topk(index: DataFrame, queries: DataFrame, k: int = POOL, symbols: D
     return top(keyword_scores(index, queries, symbols), "query_id", [F.desc("score"), "chunk_id"], k)
 
 
+def _near_batches(batches: Iterator[pa.RecordBatch], asked, k: int) -> Iterator[pa.RecordBatch]:
+    """Of a batch's chunks those that may be among the k best of a query: as good as the batch's own k-th best."""
+    ids, q = asked.value
+    for b in batches:
+        vectors = b.column(1)
+        v = np.asarray(vectors.flatten(), dtype=np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, q.shape[1]))
+        norm = np.sqrt((v * v).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
+        cosine = np.round(np.where(norm < 1e-9, 0.0, (v @ q.T) / np.where(norm < 1e-9, 1.0, norm)), 6)
+        least = np.partition(cosine, -k, axis=0)[-k] if b.num_rows > k else np.full(len(q), -np.inf)
+        row, query = np.nonzero(cosine >= least)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), b.column(0).take(pa.array(row)), pa.array(cosine[row, query] + 0.0)], names=["query_id", "chunk_id", "score"])
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
-    """vectors: chunk_id, embedding; queries: query_id, embedding: a stated set, which meets every row as one array."""
-    asked = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("asked"))
-    pairs = vectors.filter(F.size("embedding") > 0).join(asked).select("chunk_id", "embedding", F.explode("asked").alias("a"))
-    scored = pairs.select(F.col("a.query_id").alias("query_id"), "chunk_id", F.round(cosine(F.col("embedding"), F.col("a.q")), 6).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), "chunk_id"], k)
+    """vectors: chunk_id, embedding; queries: query_id, embedding: a stated set, which meets every row in blocks of
+    ``BLOCK_NUMBERS`` numbers. Chunks without an embedding, or of another length than the queries', have no rank.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    asked = queries.filter(F.size("embedding") > 0).orderBy("query_id")
+    size = asked.select(F.size("embedding")).first()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    if size is None:
+        return spark.createDataFrame([], schema + ", rank int")
+    held = vectors.filter(F.size("embedding") == size[0]).select("chunk_id", "embedding")
+    every, block, parts = asked.filter(F.size("embedding") == size[0]).select("query_id", "embedding"), max(1, BLOCK_NUMBERS // size[0]), []
+    rows = every.toLocalIterator(prefetchPartitions=False)
+    while part := list(islice(rows, block)):
+        kind = pa.int32() if queries.schema["query_id"].dataType.simpleString() == "int" else None
+        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in part], kind), np.array([r[1] for r in part], np.float64)))
+        parts.append(held.mapInArrow(lambda it, s=shared: _near_batches(it, s, k), schema))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return top(out, "query_id", [F.desc("score"), "chunk_id"], k)
+
+
+def containing(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """chunks: chunk_id, text; items: query_id, text. (query_id, chunk_id) where the item's text stands in the chunk's.
+
+    Between its first and its last space an item's longest word is whole in any text that holds the item, so texts and
+    items meet on that word and only those pairs are compared. Items of under three words are looked for in each text.
+    """
+    inner = F.filter(F.slice(F.split("text", " "), 2, F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0))), lambda w: w != "")
+    keyed = items.select("query_id", F.col("text").alias("item"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    words = keyed.filter("word IS NOT NULL")
+    hint = F.broadcast if words.count() <= BROADCAST_WORDS else (lambda df: df)
+    each = chunks.select("chunk_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    found = each.join(hint(words), "word").filter(F.contains("text", F.col("item"))).select("query_id", "chunk_id")
+    short = keyed.filter("word IS NULL AND item <> ''").select("query_id", "item").collect() if keyed.filter("word IS NULL AND item <> ''").count() <= 1000 else None
+    if short is None:
+        raise ValueError("over 1000 items of under three words")
+    if short:
+        hits = F.array(*[F.when(F.contains("text", F.lit(r.item)), F.lit(r.query_id)) for r in short])
+        few = chunks.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("query_id"), "chunk_id")
+        found = found.unionByName(few.withColumn("query_id", F.col("query_id").cast(items.schema["query_id"].dataType)))
+    return found.distinct()
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, importance: DataFrame | None = None, k: int = 8) -> DataFrame:
@@ -67,13 +150,18 @@ def fuse(vector: DataFrame, keyword: DataFrame, importance: DataFrame | None = N
 
 
 def pack_context(blocks: DataFrame, budget: int) -> DataFrame:
-    """blocks: query_id, rank, key, block. First of equal keys, then blocks in rank order before the first that overflows."""
+    """blocks: query_id, rank, key, block. First of equal keys, then blocks in rank order before the first that overflows.
+
+    Lengths decide first, so texts that do not fit are not moved.
+    """
+    sized = blocks.select("query_id", "rank", "key", token_estimate(F.col("block")).alias("tokens"), "block")
     first = Window.partitionBy("query_id", "key").orderBy("rank")
-    once = blocks.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    once = sized.drop("block").withColumn("_k", F.row_number().over(first)).filter("_k = 1")
     run = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    kept = once.withColumn("tokens", token_estimate(F.col("block"))).withColumn("running", F.sum("tokens").over(run)).filter(F.col("running") <= budget)
+    kept = once.withColumn("running", F.sum("tokens").over(run)).filter(F.col("running") <= budget).select("query_id", "rank", "tokens")
+    held = kept.join(blocks.select("query_id", "rank", "block"), ["query_id", "rank"])
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"])
-    return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("tokens").alias("token_count"), F.array_join(parts, "\n").alias("context"))
+    return held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("tokens").alias("token_count"), F.array_join(parts, "\n").alias("context"))
 
 
 def expand(hits: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
@@ -87,6 +175,38 @@ def expand(hits: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     return out.withColumns({"callers": F.coalesce("callers", empty), "callees": F.coalesce("callees", empty)})
 
 
+def _sides(names: DataFrame, edges: DataFrame, symbols: DataFrame, own: str, other: str, by_file: bool, most: int | None) -> DataFrame:
+    """(symbol, list): the other ends of the calls of each name, with their symbols' rows: of that file, or the first of that name."""
+    keys = ["path", "name"] if by_file else ["name"]
+    place = F.min(F.struct("path", "ordinal", "signature", "start_line", "end_line"))
+    held = symbols.groupBy(*keys).agg(place.alias("_s")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_s")
+    order = ["source_file", "source_symbol", "target_file", "target_symbol"]
+    met = names.join(edges.filter("edge_type = 'calls'"), F.col("symbol") == F.col(f"{own}_symbol")).withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(*order)))
+    met = met if most is None else met.filter(F.col("_r") <= most)
+    on = F.col(f"{other}_symbol") == F.col("_name")
+    met = met.join(held, on & (F.col(f"{other}_file") == F.col("_path")) if by_file else on, "left")
+    item = F.struct(
+        "_r", F.col(f"{other}_file").alias("file_path"), F.col(f"{other}_symbol").alias("symbol_name"), F.coalesce("_s.signature", F.lit("")).alias("signature"), "_s.start_line", "_s.end_line"
+    )
+    return met.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("_r")).alias(f"{other}s"))
+
+
+def expand_symbols(hits: DataFrame, edges: DataFrame, symbols: DataFrame, most: int | None = 5) -> DataFrame:
+    """hits: path, symbol; edges: source and target file and symbol, edge_type; symbols: path, name, ordinal, parent,
+    signature, docstring, start_line, end_line. With ``callers`` and ``callees`` (lists of symbols, ``most`` at most, in
+    order of file and name) and ``parent_class`` (the symbol that the hit's own one lies in, of the same file).
+    """
+    names = hits.filter("symbol <> ''").select("symbol").distinct()
+    callers = _sides(names, edges, symbols, "target", "source", True, most).withColumnRenamed("sources", "callers")
+    callees = _sides(names, edges, symbols, "source", "target", False, most).withColumnRenamed("targets", "callees")
+    own = symbols.groupBy("path", F.col("name").alias("symbol")).agg(F.min_by("parent", "ordinal").alias("_parent"))
+    up = symbols.groupBy("path", F.col("name").alias("_parent")).agg(F.min(F.struct("ordinal", "name", "signature", "docstring", "start_line", "end_line")).alias("parent_class"))
+    up = up.withColumn("parent_class", F.col("parent_class").dropFields("ordinal"))
+    out = hits.join(callers, "symbol", "left").join(callees, "symbol", "left").join(own, ["path", "symbol"], "left").join(up, ["path", "_parent"], "left").drop("_parent")
+    kind = "array<struct<file_path:string,symbol_name:string,signature:string,start_line:int,end_line:int>>"
+    return out.withColumns({c: F.coalesce(F.col(c).cast(kind), F.array().cast(kind)) for c in ("callers", "callees")})
+
+
 def recall(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     """ranked: query_id, chunk_id, rank; relevant: query_id, chunk_id. Recall at 1 and k (per cent) and MRR over all queries with relevant chunks."""
     first = ranked.join(relevant, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("r"))

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import code, graph, incremental, observe, search, tours
+from corvane.operators import assist, graph, incremental, observe, search, tours
+from corvane.session import materialise
 from corvane.sources import code as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +73,12 @@ def identifier_tokens(spark, d):
 
 
 def chunks(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "lang")
+    """Documents as chunks: the first word for a symbol, the language for a header, their first line to their last."""
+    lines = F.greatest(T.line_count(F.col("text")), F.lit(1)).cast("int")
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), doc_path().alias("path"), F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.col("lang").alias("header"),
+        F.col("text").alias("content"), F.lit("").alias("docstring"), F.lit(1).alias("start_line"), lines.alias("end_line"), "source", "text",
+    )
 
 
 def questions(spark, d) -> DataFrame:
@@ -80,9 +86,15 @@ def questions(spark, d) -> DataFrame:
 
 
 TF = f"tf AS (SELECT doc_id AS chunk_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY ALL)"
-KEYWORD = f"""{TF},
+LINES = r"length(t) - length(replace(t, chr(10), '')) + CASE WHEN t <> '' AND right(t, 1) <> chr(10) THEN 1 ELSE 0 END"
+CHUNKS = f"""ch AS (SELECT doc_id AS chunk_id, {PATH} AS path, split_part(text, ' ', 1) AS name, lang AS header, text AS content, source,
+ greatest(1, {LINES.replace('(t', '(text').replace(' t ', ' text ')})::INT AS end_line FROM documents)"""
+KEYWORD = f"""{CHUNKS}, ft AS (SELECT chunk_id, path || ' ' || name || ' ' || header || ' ' || content AS t FROM ch),
+tf AS (SELECT chunk_id, token, count(*) AS tf FROM (SELECT chunk_id, unnest({tokens_sql('t')}) AS token FROM ft) GROUP BY ALL),
 qt AS (SELECT item_id AS query_id, token, count(*) AS k FROM (SELECT item_id, unnest({tokens_sql('text')}) AS token FROM benchmark) GROUP BY ALL),
-ks AS (SELECT query_id, chunk_id, sum(k * (1 + ln(1 + tf))) AS base, sum(k) AS m FROM tf JOIN qt USING (token) GROUP BY ALL),
+k0 AS (SELECT query_id, chunk_id, sum(k * (1 + ln(1 + tf))) AS base, sum(k) AS m FROM tf JOIN qt USING (token) GROUP BY ALL),
+bo AS (SELECT item_id AS query_id, chunk_id FROM benchmark, ch WHERE name <> '' AND contains(lower(text), lower(name))),
+ks AS (SELECT query_id, chunk_id, coalesce(base, 0) + CASE WHEN bo.chunk_id IS NULL THEN 0 ELSE 15 END AS base, coalesce(m, 0) AS m FROM k0 FULL JOIN bo USING (query_id, chunk_id)),
 kr AS (SELECT query_id, chunk_id, round(CASE WHEN m > 1 THEN base * (1 + 0.25 * m) ELSE base END, 6) AS score FROM ks),
 kw AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM kr QUALIFY rank <= 50)"""
 VECTOR = """vq AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),
@@ -90,10 +102,29 @@ vs AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(embeddi
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM vs QUALIFY rank <= 50)"""
 
 
+def embedded_sql(name: str, table: str, key: str) -> str:
+    """Sparse hashed embeddings of a table's texts as (key, idx, val)."""
+    pieces = ", ".join(f"('0x' || substr(md5(w), {8 * k + 1}, 8))::BIGINT AS p{k}" for k in range(4))
+    return rf"""{name}w AS (SELECT {key} AS key, unnest(regexp_split_to_array(lower(text), '[ \t\r\n]+')) AS w FROM {table}),
+{name}p AS (SELECT key, {pieces} FROM {name}w WHERE w <> ''),
+{name}h AS (SELECT key, ((((((p0 % 1536) * 4294967296 + p1) % 1536) * 4294967296 + p2) % 1536) * 4294967296 + p3) % 1536 AS h FROM {name}p),
+{name}s AS (SELECT key, (h % 768)::INT AS idx, sum(CASE WHEN h < 768 THEN 1 ELSE -1 END) AS v FROM {name}h GROUP BY ALL HAVING v <> 0),
+{name} AS (SELECT key, idx, v / sqrt(sum(v * v) OVER (PARTITION BY key)) AS val FROM {name}s)"""
+
+
+HYBRID = f"""{embedded_sql('de', 'documents', 'doc_id')}, {embedded_sql('qe', 'benchmark', 'item_id')},
+dv AS (SELECT key AS chunk_id, idx, val::FLOAT::DOUBLE AS val FROM de), qv AS (SELECT key AS query_id, idx, val::FLOAT::DOUBLE AS val FROM qe),
+dn AS (SELECT chunk_id, sqrt(sum(val * val)) AS n FROM dv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(val * val)) AS n FROM qv GROUP BY 1),
+dp AS (SELECT query_id, chunk_id, sum(dv.val * qv.val) AS s FROM dv JOIN qv USING (idx) GROUP BY ALL),
+vs AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(coalesce(s / (dn.n * qn.n), 0), 6) + 0 AS score FROM benchmark CROSS JOIN documents
+       LEFT JOIN dp ON dp.query_id = item_id AND dp.chunk_id = doc_id LEFT JOIN dn ON dn.chunk_id = doc_id LEFT JOIN qn ON qn.query_id = item_id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM vs QUALIFY rank <= 50)"""
+
+
 def fused_sql(imp: str, k: int = 8) -> str:
-    return f"""WITH {KEYWORD}, {VECTOR},
-f AS (SELECT query_id, chunk_id, vr.rank AS vrank, kw2.rank AS krank, coalesce(0.6::DOUBLE / (60 + vr.rank), 0) + coalesce(0.4::DOUBLE / (60 + kw2.rank), 0) AS rrf
-      FROM vr FULL JOIN (SELECT * FROM kw WHERE query_id < 10) kw2 USING (query_id, chunk_id)),
+    return f"""WITH {KEYWORD}, {HYBRID},
+f AS (SELECT query_id, chunk_id, vr.rank AS vrank, kw.rank AS krank, coalesce(0.6::DOUBLE / (60 + vr.rank), 0) + coalesce(0.4::DOUBLE / (60 + kw.rank), 0) AS rrf
+      FROM vr FULL JOIN kw USING (query_id, chunk_id)),
 g AS (SELECT f.*, round(rrf * (1 + 0.35 * ({imp} - 1)), 9) AS s FROM f LEFT JOIN labels ON doc_id = chunk_id),
 h AS (SELECT query_id, chunk_id, vrank, krank, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INT AS rank FROM g QUALIFY rank <= {k})
 SELECT query_id::BIGINT AS query_id, chunk_id, coalesce(vrank, 0) AS vrank, coalesce(krank, 0) AS krank, round(s, 5) AS score, rank FROM h"""
@@ -105,7 +136,8 @@ def term_frequency(spark, d):
 
 
 def _keyword(spark, d) -> DataFrame:
-    return search.keyword_topk(search.term_frequency(chunks(spark, d), F.col("text")), questions(spark, d))
+    chunk, asked = chunks(spark, d), questions(spark, d)
+    return search.keyword_topk(search.matching_terms(chunk, assist.keyword_text(), asked), asked, symbols=chunk.select("chunk_id", F.col("name").alias("symbol")))
 
 
 @query(f"WITH {KEYWORD} SELECT * FROM kw")
@@ -133,27 +165,41 @@ def vector_topk(spark, d):
     return _vector(spark, d).select("query_id", "chunk_id", "score", "rank")
 
 
+def _hybrid(spark, d, importance: DataFrame | None = None, k: int = 8) -> DataFrame:
+    """Questions and documents, both embedded by hashes of their words, and the questions' keywords in the documents."""
+    embedded = V.with_embedding(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), F.col("text")).drop("text")
+    asked = V.with_embedding(questions(spark, d), F.col("text"))
+    best = search.fuse(search.vector_topk(embedded, asked), _keyword(spark, d), importance, k)
+    return best.select("query_id", "chunk_id", "vrank", "krank", "score", "rank")
+
+
 @query(fused_sql("1"))
 def hybrid_rrf(spark, d):
-    return search.fuse(_vector(spark, d), _keyword(spark, d))
+    return _hybrid(spark, d)
 
 
 @query(fused_sql("coalesce(nullif(quality * 2.0, 0), 1)"))
 def importance_boosted_search(spark, d):
-    prior = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("quality") * 2.0).alias("importance"))
-    return search.fuse(_vector(spark, d), _keyword(spark, d), prior)
+    prior = table(spark, d, "labels").groupBy(F.col("doc_id").alias("chunk_id")).agg((F.max("quality") * 2.0).alias("importance"))
+    return _hybrid(spark, d, prior)
 
 
-BLOCKS = """kw2 AS (SELECT query_id, chunk_id, rank, '### ' || source || ':' || chunk_id || chr(10) || substr(text, 1, 400) AS block, source AS key FROM kw JOIN documents ON doc_id = chunk_id),
-b1 AS (SELECT * FROM kw2 QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY rank) = 1),
+BLOCKS = """kb AS (SELECT query_id, chunk_id, rank, '### [File: ' || path || ' (Lines 1-' || end_line || ')] Symbol: ' || name || ' (' || header || ')' || chr(10) || '```' || chr(10) || content || chr(10) || '```' || chr(10) AS block, path AS key FROM kw JOIN ch USING (chunk_id)),
+b1 AS (SELECT * FROM kb QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY rank) = 1),
 b2 AS (SELECT *, greatest(1, length(block) // 4)::BIGINT AS tokens, sum(greatest(1, length(block) // 4)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM b1)"""
 
 
-@query(f"WITH {KEYWORD}, {BLOCKS} SELECT query_id, count(*) AS n_blocks, sum(tokens)::BIGINT AS token_count, string_agg(block, chr(10) ORDER BY rank) AS context FROM b2 WHERE running <= 600 GROUP BY query_id")
+def alone(hits: DataFrame) -> DataFrame:
+    """Hits with no callers, callees or parent: documents have no calls."""
+    kind = "array<struct<file_path:string,symbol_name:string,signature:string,start_line:int,end_line:int>>"
+    parent = "struct<name:string,signature:string,docstring:string,start_line:int,end_line:int>"
+    return hits.withColumns({"callers": F.array().cast(kind), "callees": F.array().cast(kind), "parent_class": F.lit(None).cast(parent)})
+
+
+@query(f"WITH {KEYWORD}, {BLOCKS} SELECT query_id, count(*) AS n_blocks, sum(tokens)::BIGINT AS token_count, string_agg(block, chr(10) ORDER BY rank) AS context FROM b2 WHERE running <= 8000 GROUP BY query_id")
 def context_pack(spark, d):
-    hits = _keyword(spark, d).join(chunks(spark, d), "chunk_id")
-    block = F.concat(F.lit("### "), "source", F.lit(":"), "chunk_id", F.lit("\n"), F.substring("text", 1, 400))
-    return search.pack_context(hits.select("query_id", "rank", F.col("source").alias("key"), block.alias("block")), 600)
+    hits = _keyword(spark, d).join(chunks(spark, d).drop("source", "text"), "chunk_id")
+    return search.pack_context(assist.blocks(alone(hits)), 8000)
 
 
 # --- graphs: pages and their links ------------------------------------------------------------------------------------
@@ -205,14 +251,19 @@ SELECT path, caller, called, def_path, full_name AS def_name, level FROM rs
 QUALIFY row_number() OVER (PARTITION BY path, caller, called ORDER BY level, def_path, ordinal) = 1"""
 
 
-@query("WITH " + CALLS)
-def call_resolution(spark, d):
+def _definitions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as definitions (``adjective.noun`` in the file of their brand), calls of the noun, and imports of small parts."""
     p = table(spark, d, "part")
     word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
     name = F.concat(word(1), F.lit("."), word(2))
     defs = p.select(F.col("p_brand").alias("path"), name.alias("name"), F.col("p_partkey").alias("ordinal"))
     calls = p.select(F.col("p_brand").alias("path"), F.col("p_type").alias("caller"), word(2).alias("called")).distinct()
-    imported = p.filter("p_size < 5").select(F.col("p_brand").alias("path"), name.alias("name"))
+    return defs, calls, p.filter("p_size < 5").select(F.col("p_brand").alias("path"), name.alias("name"))
+
+
+@query("WITH " + CALLS)
+def call_resolution(spark, d):
+    defs, calls, imported = _definitions(spark, d)
     return graph.resolve_calls(calls, defs, imported)
 
 
@@ -233,10 +284,10 @@ def import_resolution(spark, d):
     return graph.resolve_imports(doc.select(F.concat("source", F.lit("/main.py")).alias("path"), module.alias("module")).distinct(), files)
 
 
-@query("SELECT DISTINCT c_name AS file, s_suppkey AS symbol FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_mktsegment = 'BUILDING'")
+@query("WITH " + CALLS.split("rs AS (")[0].rstrip().rstrip(",") + " SELECT DISTINCT im.path, im.name, ds.path AS def_path FROM im JOIN ds USING (name)")
 def imported_symbol_edges(spark, d):
-    c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'")
-    return c.join(table(spark, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_name").alias("file"), F.col("s_suppkey").alias("symbol")).distinct()
+    defs, _, imported = _definitions(spark, d)
+    return graph.imported_symbols(imported, defs)
 
 
 @query("""WITH e AS (SELECT o_custkey AS src, o_orderpriority AS dst, CASE o_orderstatus WHEN 'O' THEN 'defines' WHEN 'F' THEN 'imports_symbol' ELSE 'calls' END AS edge_type FROM orders)
@@ -251,9 +302,9 @@ def degree_stats(spark, d):
     return graph.degrees(links(spark, d))
 
 
-# The SQL's graph: nations of 60 customers to suppliers' nations by equal remainders of keys. The queries take star_links instead.
-NATIONS = """el AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN supplier ON (c_custkey + s_suppkey) % 7 = 0 WHERE c_custkey <= 60 AND c_nationkey <> 3),
-nd AS (SELECT n_nationkey AS node FROM nation)"""
+STAR = """el AS (SELECT 'customer:' || o_custkey AS src, 'order:' || o_orderkey AS dst FROM orders UNION SELECT 'order:' || l_orderkey, 'supplier:' || l_suppkey FROM lineitem
+ UNION SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer),
+nd AS (SELECT src AS node FROM el UNION SELECT dst FROM el UNION SELECT 'nation:' || n_nationkey FROM nation)"""
 
 
 def star_links(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -271,21 +322,27 @@ def star_links(spark, d) -> tuple[DataFrame, DataFrame]:
     return n.dropna().distinct(), e.dropna().distinct()
 
 
-def _rank_sql(steps: int) -> str:
-    out = f"WITH {NATIONS}, dg AS (SELECT src, count(*) AS deg FROM el GROUP BY src), nn AS (SELECT count(*)::DOUBLE AS n FROM nd), r0 AS (SELECT node, 1 / n AS r FROM nd, nn)"
+def rank_sql(graph: str, steps: int, tolerance: float | None = None) -> str:
+    """All steps one by one; with a tolerance the first one whose total change is under it counts, else the last."""
+    out = f"WITH {graph}, dg AS (SELECT src, count(*) AS deg FROM el GROUP BY src), nn AS (SELECT count(*)::DOUBLE AS n FROM nd), r0 AS (SELECT node, 1 / n AS r FROM nd, nn)"
     for k in range(1, steps + 1):
         p = f"r{k - 1}"
         out += f""", r{k} AS MATERIALIZED (SELECT nd.node, 0.15 / n + 0.85 * (coalesce(s, 0) + (SELECT coalesce(sum(r), 0) FROM {p} WHERE node NOT IN (SELECT src FROM dg)) / n) AS r
  FROM nn, nd LEFT JOIN (SELECT dst, sum(r / deg) AS s FROM el JOIN {p} ON src = node JOIN dg USING (src) GROUP BY dst) x ON dst = nd.node)"""
-    return out + f" SELECT node, greatest(round(r / (SELECT avg(r) FROM r{steps}), 4), 0.1) AS score FROM r{steps}"
+    last = f"(SELECT * FROM r{steps})"
+    if tolerance is not None:
+        parts = " UNION ALL ".join(f"SELECT {k} AS k, a.node, a.r, sum(abs(a.r - b.r)) OVER () AS change FROM r{k} a JOIN r{k - 1} b USING (node)" for k in range(1, steps + 1))
+        out += f", al AS ({parts}), pk AS (SELECT coalesce(min(k) FILTER (WHERE change < {tolerance}), {steps}) AS k FROM al), fin AS (SELECT node, r FROM al WHERE k = (SELECT k FROM pk))"
+        last = "fin"
+    return out + f" SELECT node, greatest(round(r / (SELECT avg(r) FROM {last} z), 4), 0.1) AS score FROM {last} y"
 
 
-@query(_rank_sql(10))
+@query(rank_sql(STAR, 10))
 def pagerank_fixed10(spark, d):
     return graph.pagerank(*star_links(spark, d), most=10, tolerance=None)
 
 
-@query()
+@query(rank_sql(LINKS, 30, 1e-5))
 def pagerank_converged(spark, d):
     e = links(spark, d)
     return graph.pagerank(nodes(e), e)
@@ -298,18 +355,20 @@ def file_importance(spark, d):
     return graph.file_importance(files, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_quantity") / 25).alias("score")))
 
 
-BFS = f"""WITH {NATIONS}, b0 AS (SELECT DISTINCT c_nationkey AS node, 0 AS depth FROM customer WHERE c_custkey <= 2),
-b1 AS (SELECT * FROM b0 UNION ALL SELECT DISTINCT dst, 1 FROM el WHERE src IN (SELECT node FROM b0 WHERE depth = 0) AND dst NOT IN (SELECT node FROM b0)),
-b2 AS (SELECT * FROM b1 UNION ALL SELECT DISTINCT dst, 2 FROM el WHERE src IN (SELECT node FROM b1 WHERE depth = 1) AND dst NOT IN (SELECT node FROM b1)),
-b3 AS (SELECT * FROM b2 UNION ALL SELECT DISTINCT dst, 3 FROM el WHERE src IN (SELECT node FROM b2 WHERE depth = 2) AND dst NOT IN (SELECT node FROM b2))
+BFS = f"""WITH {STAR}, oe AS (SELECT src, dst FROM el QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5),
+b0 AS (SELECT 'nation:' || n_nationkey AS node, 0 AS depth FROM nation),
+b1 AS (SELECT * FROM b0 UNION ALL SELECT DISTINCT dst, 1 FROM oe WHERE src IN (SELECT node FROM b0 WHERE depth = 0) AND dst NOT IN (SELECT node FROM b0)),
+b2 AS (SELECT * FROM b1 UNION ALL SELECT DISTINCT dst, 2 FROM oe WHERE src IN (SELECT node FROM b1 WHERE depth = 1) AND dst NOT IN (SELECT node FROM b1)),
+b3 AS (SELECT * FROM b2 UNION ALL SELECT DISTINCT dst, 3 FROM oe WHERE src IN (SELECT node FROM b2 WHERE depth = 2) AND dst NOT IN (SELECT node FROM b2))
 SELECT * FROM b3"""
 
 
 @query(BFS)
 def bfs_depth3(spark, d):
+    """From all nations, five edges a node and level."""
     _, e = star_links(spark, d)
-    seeds = table(spark, d, "customer").filter("c_custkey <= 2").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
-    return graph.bounded_bfs(seeds, e, fan_out=None)
+    seeds = table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.bounded_bfs(seeds, e.withColumn("ordinal", F.lit(0)))
 
 
 @query(f"WITH {LINKS}, t AS (SELECT node FROM (SELECT node, (SELECT count(*) FROM el WHERE dst = node OR src = node) AS deg FROM nd) ORDER BY deg DESC, node LIMIT 100) SELECT src, dst FROM el WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)")
@@ -360,7 +419,7 @@ def dependent_impact(spark, d):
 @query(f"WITH {VERSIONS}, {DEPENDS} SELECT * FROM st WHERE path NOT IN (SELECT path FROM im) AND path NOT IN (SELECT path FROM cl WHERE status = 'deleted') UNION ALL SELECT * FROM sc WHERE path IN (SELECT path FROM im)")
 def apply_incremental(spark, d):
     stored, scanned = _versions(spark, d)
-    status = incremental.classify(stored, scanned)
+    status = materialise(incremental.classify(stored, scanned), "status")  # read three times below
     fresh = scanned.join(incremental.impacted(status, _depends(spark, d)), "path", "left_semi")
     return incremental.apply_changes(stored, fresh, status.filter("status = 'deleted'"))
 
@@ -409,7 +468,7 @@ def difficulty_rule(spark, d):
 @query(f"""WITH {KEYWORD} SELECT query_id, source AS file, max(score) AS score, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS symbols
 FROM kw JOIN documents ON doc_id = chunk_id WHERE rank <= 5 GROUP BY ALL""")
 def issue_file_match(spark, d):
-    hits = _keyword(spark, d).filter("rank <= 5").join(chunks(spark, d), "chunk_id")
+    hits = _keyword(spark, d).filter("rank <= 5").join(chunks(spark, d).select("chunk_id", "source"), "chunk_id")
     symbols = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"].cast("string"))
     return hits.groupBy("query_id", F.col("source").alias("file")).agg(F.max("score").alias("score"), F.array_join(symbols, ",").alias("symbols"))
 
@@ -476,9 +535,20 @@ def latency_stats(spark, d):
     return observe.latency(table(spark, d, "events"), "event_type", "value")
 
 
-@query("SELECT user_id AS client, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING n > 1")
+_TIERS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS tier, event_type AS client, time_bucket(INTERVAL {w}, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING n > {m}" for t, (m, w) in observe.TIERS.items())
+
+
+@query(_TIERS_SQL)
 def rate_limit(spark, d):
-    return observe.over_limit(table(spark, d, "events"), "user_id", "ts", 1, "1 hour")
+    """All tiers' limits, with kinds of events as clients."""
+    return observe.over_tiers(table(spark, d, "events"), "event_type", "ts")
+
+
+@query("""WITH s AS (SELECT user_id, event_type AS model, sum((value * 10)::BIGINT)::BIGINT AS v FROM events GROUP BY ALL)
+SELECT user_id, '{' || string_agg('"' || model || '":' || v, ',' ORDER BY model) || '}' AS by_model FROM s GROUP BY 1""")
+def cost_by_model(spark, d):
+    calls = table(spark, d, "events").select("user_id", F.col("event_type").alias("model"), F.rint(F.col("value") * 10).cast("long").alias("tokens"))
+    return observe.cost_by_model(calls, "user_id", "tokens").withColumn("by_model", F.to_json("by_model"))
 
 
 # --- hygiene and small formats ------------------------------------------------------------------------------------------
@@ -536,14 +606,22 @@ def chat_nest(spark, d):
     return tours.nest(table(spark, d, "conversations"), "conv_id", "turn", ["turn", "role"])
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'make test-' || page_id || '|pytest -q' ELSE '' END AS commands,
- CASE WHEN page_id % 2 = 0 THEN 'Hard' ELSE 'Intermediate' END AS difficulty, CASE WHEN page_id % 2 = 0 THEN '3 hours' ELSE '2-4 hours' END AS estimate FROM pages""")
+_TOLD = "text || ' Run `make test-' || doc_id || '` or `' || lang || ' pytest` first.' || chr(10) || '$ npm test -- ' || lang || chr(10) || 'DIFFICULTY: ' || CASE WHEN doc_id % 2 = 0 THEN 'Hard' ELSE '' END || chr(10) || 'ESTIMATED_TIME: ' || doc_id || ' hours' || chr(10) || 'PLAN: ' || chr(10) || text"
+_COMMANDS_SQL = " || ".join(f"regexp_extract_all(t, '(?i){p}', 1)" for p in T.COMMAND_PATTERNS)
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {_TOLD} AS t FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(list_transform({_COMMANDS_SQL}, lambda c: trim(c))), lambda c: c <> ''))[1:5], '|') AS commands,
+ coalesce(nullif(trim(regexp_extract(t, '(?is)DIFFICULTY:\s*(\w+)', 1)), ''), 'Intermediate') AS difficulty,
+ coalesce(nullif(trim(regexp_extract(t, '(?is)ESTIMATED_TIME:\s*([^\n]+)', 1)), ''), '2-4 hours') AS estimate,
+ coalesce(nullif(trim(regexp_extract(t, '(?is)PLAN:\s*(.+)', 1)), ''), t) AS plan FROM s""")
 def extract_commands(spark, d):
-    told = F.concat(F.lit("Run `make test-"), "page_id", F.lit("` or `pytest -q`.\nDIFFICULTY: Hard\nESTIMATED_TIME: 3 hours\nPLAN: x"))
-    text = F.when(F.col("page_id") % 2 == 0, told).otherwise(F.lit("nothing here"))
-    level = T.labelled_field(text, "DIFFICULTY", r"(\w+)", F.lit("Intermediate"))
-    hours = T.labelled_field(text, "ESTIMATED_TIME", r"([^\n]+)", F.lit("2-4 hours"))
-    return table(spark, d, "pages").select("page_id", F.array_join(T.commands(text), "|").alias("commands"), level.alias("difficulty"), hours.alias("estimate"))
+    t = F.expr(_TOLD.replace("chr(10)", "'\\n'"))
+    doc = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    level = T.labelled_field(F.col("t"), "DIFFICULTY", r"(\w+)", F.lit("Intermediate"))
+    hours = T.labelled_field(F.col("t"), "ESTIMATED_TIME", r"([^\n]+)", F.lit("2-4 hours"))
+    plan = T.labelled_field(F.col("t"), "PLAN", r"(.+)", F.col("t"))
+    return doc.select("doc_id", F.array_join(T.commands(F.col("t")), "|").alias("commands"), level.alias("difficulty"), hours.alias("estimate"), plan.alias("plan"))
 
 
 RELEVANT = "re AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -553,9 +631,7 @@ RELEVANT = "re AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark
 e AS (SELECT query_id, r FROM (SELECT DISTINCT query_id FROM re) LEFT JOIN f USING (query_id))
 SELECT count(*) AS n, round(100 * avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_1, round(100 * avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM e""")
 def eval_recall_mrr(spark, d):
-    asked = questions(spark, d).withColumnRenamed("text", "q")
-    relevant = chunks(spark, d).join(asked, F.col("text").contains(F.col("q"))).select("query_id", "chunk_id")
-    return search.recall(_keyword(spark, d), relevant)
+    return search.recall(_keyword(spark, d), search.containing(chunks(spark, d).select("chunk_id", "text"), questions(spark, d)))
 
 
 @query("SELECT source AS repo, count(*) AS files, sum(n_chars)::BIGINT AS characters, count(*) FILTER (WHERE lang IN ('en', 'fr')) AS processed, count(*) FILTER (WHERE lang NOT IN ('en', 'fr')) AS unchanged FROM documents GROUP BY 1")
@@ -583,17 +659,29 @@ def surrogate_commit(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("repo")).agg(F.concat(F.lit("local_"), F.substring(F.sha2(n, 256), 1, 12)).alias("commit_id"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '## Quick Start' || chr(10) || 'run ' || page_id ELSE trim(substr('Intro ' || html, 1, 600)) END AS run FROM pages""")
+_README = "'# ' || source || chr(10) || text || CASE WHEN doc_id % 3 > 0 THEN chr(10) || '## Getting  Started' || chr(10) || text || CASE WHEN doc_id % 3 = 2 THEN chr(10) || '### Next' || chr(10) || lang ELSE '' END ELSE '' END"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {_README} AS t FROM documents),
+f AS (SELECT doc_id, t, regexp_extract(t, '(?is)(#+\s*(Quick\s*Start|Running|Getting\s*Started|Installation).*)', 1) AS s FROM s)
+SELECT doc_id, trim(CASE WHEN s <> '' THEN substr(regexp_extract(s, '(?s)^(.+?)(\n#+ .*)?$', 1), 1, 1000) ELSE substr(t, 1, 600) END) AS run FROM f""")
 def readme_section(spark, d):
-    told = F.concat(F.lit("# Title\nx\n## Quick Start\nrun "), "page_id", F.lit("\n## Next\ny"))
-    text = F.when(F.col("page_id") % 2 == 0, told).otherwise(F.concat(F.lit("Intro "), "html"))
-    return table(spark, d, "pages").select("page_id", T.run_section(text).alias("run"))
+    t = F.expr(_README.replace("chr(10)", "'\\n'"))
+    return table(spark, d, "documents").select("doc_id", T.run_section(t).alias("run"))
 
 
-@query()
+_NODE = ["react", "vue", "left-pad", "express", "typescript"]
+
+
+@query(f"""SELECT array_to_string(list_sort(list_distinct(list_filter(list({' '.join(['CASE n_nationkey % 5', *[f"WHEN {k} THEN '{v}'" for k, v in enumerate(['React', 'Vue', '', 'Express', 'TypeScript'])], 'END'])}) || ['Docker', 'FastAPI', 'Python'], lambda x: x <> ''))), '|') AS stack,
+ array_to_string(list_sort(list('lib/' || lower(n_name) || '.js') || ['src/main.py']), '|') AS entrypoints FROM nation""")
 def manifest_stack(spark, d):
-    files = [("package.json", '{"dependencies": {"react": "1"}, "devDependencies": {"typescript": "5"}, "main": "lib/a.js"}'), ("requirements.txt", "FastAPI\npydantic"), ("Dockerfile", "FROM x"), ("src/main.py", "")]
-    out = sources.tech_stack(spark.createDataFrame(files, "path string, text string"))
+    """A manifest a nation, and three files more."""
+    name = F.get(F.array(*[F.lit(x) for x in _NODE]), (F.col("n_nationkey") % 5).cast("int"))
+    text = F.format_string('{"%s": {"%s": "1"}, "main": "lib/%s.js"}', F.when(F.col("n_nationkey") < 9, "dependencies").otherwise("devDependencies"), name, F.lower("n_name"))
+    files = table(spark, d, "nation").select(F.lit("package.json").alias("path"), text.alias("text"))
+    files = files.unionByName(spark.createDataFrame([("requirements.txt", "FastAPI\nnumpy"), ("Dockerfile", "FROM x"), ("src/main.py", "")], "path string, text string"))
+    out = sources.tech_stack(files)
     return out.select(F.array_join("stack", "|").alias("stack"), F.array_join("entrypoints", "|").alias("entrypoints"))
 
 
@@ -626,10 +714,9 @@ def symbol_summary(spark, d):
     return table(spark, d, "part").select("p_partkey", summary.alias("summary"), text.alias("embedding_text"))
 
 
-@query("""SELECT doc_id, source || ':1-' || (length(text) - length(replace(text, chr(10), '')) + 1) AS citation, substr(text, 1, 200) AS snippet FROM documents WHERE text <> '' AND right(text, 1) <> chr(10)""")
+@query(f"""WITH s AS (SELECT doc_id, source, text AS t FROM documents) SELECT doc_id, source || ':1-' || ({LINES}) AS citation, substr(t, 1, 200) AS snippet FROM s""")
 def snippets(spark, d):
-    doc = table(spark, d, "documents").filter((F.col("text") != "") & ~F.col("text").endswith("\n"))
-    return doc.select("doc_id", F.format_string("%s:1-%d", "source", T.line_count(F.col("text"))).alias("citation"), F.substring("text", 1, 200).alias("snippet"))
+    return table(spark, d, "documents").select("doc_id", F.format_string("%s:1-%d", "source", T.line_count(F.col("text"))).alias("citation"), F.substring("text", 1, 200).alias("snippet"))
 
 
 @query(f"WITH {LINKS}, t AS (SELECT dst FROM el GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) SELECT dst AS symbol, string_agg(src, '|' ORDER BY src) AS callers FROM el WHERE dst IN (SELECT dst FROM t) GROUP BY dst")
@@ -666,26 +753,3 @@ def list_desc(spark, d):
 @query("SELECT event_id, event_type || ' | user=' || user_id || ' | id=' || event_id AS line FROM events")
 def event_line(spark, d):
     return table(spark, d, "events").select("event_id", T.event_line(F.col("event_type"), [("user", F.col("user_id")), ("id", F.col("event_id"))]).alias("line"))
-
-
-@query()
-def agent_trace(spark, d):
-    """Search, callers and callees of the first hit, the second hit, an answer from the packed context: a row a step."""
-    hits = _keyword(spark, d).filter("rank <= 8").join(chunks(spark, d), "chunk_id")
-    top5 = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"].cast("string"))
-    found = hits.filter("rank <= 5").groupBy("query_id").agg(F.lit(1).alias("step"), F.lit("hybrid_search").alias("action"), F.array_join(top5, ",").alias("observation"))
-    near = hits.filter("rank = 1").select("query_id", F.lit(2).alias("step"), F.lit("follow_call_hierarchy").alias("action"), F.col("source").alias("observation"))
-    read = hits.filter("rank = 2").select("query_id", F.lit(3).alias("step"), F.lit("read_symbol").alias("action"), F.substring("text", 1, 200).alias("observation"))
-    packed = search.pack_context(hits.select("query_id", "rank", F.col("chunk_id").alias("key"), F.substring("text", 1, 400).alias("block")), 6000)
-    answer = packed.select("query_id", F.lit(4).alias("step"), F.lit("answer").alias("action"), T.fallback_answer(F.col("context")).alias("observation"))
-    return found.unionByName(near).unionByName(read).unionByName(answer)
-
-
-@query()
-def code_parse_chunk(spark, d):
-    """A generated corpus: a hub file and modules whose functions call it."""
-    hub = "def hub(x):\n    return x\n\n\nclass Store:\n    def get(self, k):\n        return hub(k)\n"
-    part = lambda m: "from hub import hub\n\n" + "".join(f"def f{m}_{i}(x):\n    y = hub(x)\n    z = y + {i}\n    return hub(z)\n\n" for i in range(10))
-    files = [("hub.py", "python", hub), *[(f"mod{m}.py", "python", part(m)) for m in range(10)], ("web/a.ts", "typescript", "import { hub } from './hub'\nexport function run(a) {\n  return hub(a)\n}\n")]
-    df = spark.createDataFrame(files, "path string, language string, text string")
-    return code.chunk(df, code.parse(df)).drop("content")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,9 +30,13 @@ def build_session(app: str = "corvane", master: str = "local[*]", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a local session gets a new
+    local folder; on a cluster, whose executors would not see it, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,13 +59,16 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and nothing reads any more."""
     path = getattr(df, "_corvane_path", None)
     if path:
-        spark = df.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        discard_path(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import line_count
+from corvane.session import materialise
 
 # Languages by extension, ignore patterns, limits, manifest words.
 LANGUAGES = {
@@ -22,6 +23,7 @@ IGNORED = [
     "Cargo.lock", "go.sum", "composer.lock", "*.min.js", "*.min.css", "*.map", "*.exe", "*.dll", "*.so", "*.dylib", "*.png", "*.jpg", "*.jpeg",
     "*.gif", "*.ico", "*.svg", "*.pdf", "*.zip", "*.tar", "*.gz", "*.7z", "*.mp4", "*.mp3", "*.wasm", "*.pyc", "*.pyo", "*.db", "*.sqlite", "*.sqlite3",
 ]
+PRUNED = [".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build", ".next", "target"]
 MAX_BYTES = 1024 * 1024
 NODE_STACK = {"next": "Next.js", "react": "React", "express": "Express", "typescript": "TypeScript", "vue": "Vue"}
 PYTHON_STACK = {"fastapi": "FastAPI", "django": "Django", "flask": "Flask", "sqlalchemy": "SQLAlchemy", "pydantic": "Pydantic"}
@@ -30,6 +32,9 @@ ENTRY_FILES = [
     "src/index.ts", "src/index.js", "app/main.py",
 ]
 # End of fixed values.
+RAW = "path string, length bigint, content binary"
+#: Bytes of files that Spark's readers hide, read at once.
+HIDDEN_BYTES = 64 << 20
 
 
 def ignore_regex(pattern: str) -> tuple[str, bool]:
@@ -54,11 +59,15 @@ def ignore_regex(pattern: str) -> tuple[str, bool]:
     return ("^" if anchored else "(?:^|/)") + out + ("/" if only_dirs else "(?:/|$)"), negated
 
 
+def _clean(rules: list[str] | None) -> list[str]:
+    return [x for x in (r.strip() for r in rules or []) if x and not x.startswith("#")]
+
+
 def ignored(path: Column, extra: list[str] | None = None) -> Column:
     """The last matching pattern decides; runs of one polarity are one regex."""
     out: Column = F.lit(False)
     runs: list[tuple[list[str], bool]] = []
-    for rule in [*IGNORED, *[x for x in (r.strip() for r in extra or []) if x and not x.startswith("#")]]:
+    for rule in [*IGNORED, *_clean(extra)]:
         regex, negated = ignore_regex(rule)
         if runs and runs[-1][1] == negated:
             runs[-1][0].append(regex)
@@ -74,19 +83,106 @@ def language(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext]
 
 
+def pruned(path: Column) -> Column:
+    """Whether a folder above the file is one that is never entered. A folder's path is tested without the dots and slashes before it."""
+    above = F.regexp_replace(path, "/?[^/]*$", "")
+    hard = "|".join(re.escape(d) for d in PRUNED)
+    return above.rlike(f"(^|/)({hard})(/|$)") | F.regexp_replace(above, "^[./]+", "").rlike(f"^({hard})(/|$)")
+
+
+def kept(path: Column, length: Column, gitignore: list[str] | None = None) -> Column:
+    """Whether a file is of the tree: of some size, at most ``MAX_BYTES``, not ignored, in no pruned folder, of a known language."""
+    return length.between(1, MAX_BYTES) & ~ignored(path, gitignore) & ~pruned(path) & language(path).isNotNull()
+
+
 def describe(files: DataFrame, gitignore: list[str] | None = None) -> DataFrame:
-    """files: path (relative), length, content. Kept ones with language, text, hash and line count."""
-    kept = files.filter(F.col("length").between(1, MAX_BYTES)).filter(~ignored(F.col("path"), gitignore)).withColumn("language", language(F.col("path"))).filter("language IS NOT NULL")
+    """files: path (relative), length, content. Kept ones with language, text, hash and line count; malformed UTF-8 is replaced."""
+    found = files.filter(kept(F.col("path"), F.col("length"), gitignore)).withColumn("language", language(F.col("path")))
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return kept.select("path", "language", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), text.alias("text")).withColumn("line_count", line_count(F.col("text")))
+    return found.select("path", "language", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), text.alias("text")).withColumn("line_count", line_count(F.col("text")))
+
+
+def _rules(gitignore: list[str] | None) -> list[tuple[re.Pattern, bool]]:
+    return [(re.compile(regex), negated) for regex, negated in map(ignore_regex, [*IGNORED, *_clean(gitignore)])]
+
+
+def _ignored(path: str, rules: list[tuple[re.Pattern, bool]]) -> bool:
+    return next((not negated for regex, negated in reversed(rules) if regex.search(path)), False)
+
+
+def walk(spark: SparkSession, root: str, gitignore: list[str] | None = None) -> list[tuple[str, int]]:
+    """(path below root, length) of the files that are kept: one listing a folder, pruned folders are not entered.
+
+    A tree's listing is the driver's, as a repository's is small beside its contents, which are read by tasks.
+    """
+    fs, top = _file_system(spark, root)
+    rules, out, todo = _rules(gitignore), [], [""]
+    while todo:
+        folder = todo.pop()
+        for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(top + folder)):
+            name = status.getPath().getName()
+            path = f"{folder}{name}"
+            if status.isDirectory():
+                if name not in PRUNED and not _ignored(path.lstrip("./"), rules):
+                    todo.append(path + "/")
+            elif 0 < status.getLen() <= MAX_BYTES and not _ignored(path, rules) and re.sub(r"^.*(?=\.[^./]+$)", "", path.rsplit("/", 1)[-1]).lower() in LANGUAGES:
+                out.append((path, status.getLen()))
+    return sorted(out)
+
+
+def _file_system(spark: SparkSession, root: str):
+    """The file system, and the root's full name with a slash at its end."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(top).toString().rstrip("/") + "/"
+
+
+def _contents(spark: SparkSession, fs, path: str) -> bytes:
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(path))
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
 
 
 def scan(spark: SparkSession, root: str, gitignore: list[str] | None = None) -> DataFrame:
-    """A source tree below ``root`` on any file system that Spark reads."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length").between(1, MAX_BYTES))
-    base = re.sub("^[a-z]+:/*", "/", root).rstrip("/") + "/"
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base), "")
-    return describe(raw.select(path.alias("path"), "length", "content"), gitignore)
+    """A source tree below ``root`` on any file system that Spark reads; without ``gitignore``, the file of that name at
+    its top is obeyed. Paths and lengths are listed first; only files that are kept are then read, by tasks. Spark's
+    readers hide names that begin with ``_`` or ``.`` (``__init__.py``): the driver reads those, so many bytes at a time.
+    """
+    fs, top = _file_system(spark, root)
+    rules = top + ".gitignore"
+    if gitignore is None and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(rules)):
+        gitignore = _contents(spark, fs, rules).decode("utf-8", "replace").splitlines()
+    listed = walk(spark, root, gitignore)
+    shown = [p for p, _ in listed if p.rsplit("/", 1)[-1][0] not in "_."]
+    parts, batch, size = [], [], 0
+    if shown:
+        escaped = [top + re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in shown]
+        raw = spark.read.format("binaryFile").load(escaped)
+        plain = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
+        parts.append(raw.select(F.substr(plain, F.lit(len(re.sub("^[a-z]+:/+", "/", top)) + 1)).alias("path"), "length", "content"))
+    hidden = [(p, n) for p, n in listed if p.rsplit("/", 1)[-1][0] in "_."]
+    for k, (path, n) in enumerate(hidden, 1):
+        batch.append((path, n, _contents(spark, fs, top + path)))
+        size += n
+        if size >= HIDDEN_BYTES or k == len(hidden):
+            parts.append(materialise(spark.createDataFrame(batch, RAW), "hidden-files"))
+            batch, size = [], 0
+    raw = parts[0] if parts else spark.createDataFrame([], RAW)
+    for more in parts[1:]:
+        raw = raw.unionByName(more)
+    return describe(raw, gitignore)
+
+
+def write_tree(spark: SparkSession, root: str, files: list[tuple[str, bytes]]) -> str:
+    """A small tree from the driver, for demonstrations and tests, on any file system."""
+    for path, content in files:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")
+        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+        stream.write(bytearray(content))
+        stream.close()
+    return root
 
 
 def tech_stack(files: DataFrame) -> DataFrame:

@@ -62,12 +62,12 @@ def test_cosine_and_hashing(spark):
     assert (one(spark, i), one(spark, s)) == (h % 768, 1 if (h // 768) % 2 == 0 else -1)
 
 
-def plain_pagerank(nodes, edges, d=0.85):
+def plain_pagerank(nodes, edges, d=0.85, most=100):
     n, out = len(nodes), {}
     for a, b in edges:
         out.setdefault(a, []).append(b)
     r = dict.fromkeys(nodes, 1 / n)
-    for _ in range(100):
+    for _ in range(most):
         loose = sum(r[v] for v in nodes if v not in out)
         new = {v: (1 - d) / n + d * (sum(r[a] / len(out[a]) for a, b in edges if b == v) + loose / n) for v in nodes}
         change, r = sum(abs(new[v] - r[v]) for v in nodes), new
@@ -77,15 +77,27 @@ def plain_pagerank(nodes, edges, d=0.85):
     return {v: max(round(x / mean, 4), 0.1) for v, x in r.items()}
 
 
+EDGES = [(0, 1), (1, 2), (2, 0), (3, 2), (4, 2), (4, 4)]
+
+
 def test_pagerank(spark):
-    edges = [(0, 1), (1, 2), (2, 0), (3, 2), (4, 2), (4, 4)]
-    got = graph.pagerank(spark.range(6).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "src bigint, dst bigint"))
-    want = plain_pagerank(list(range(6)), edges)
+    got = graph.pagerank(spark.range(6).withColumnRenamed("id", "node"), spark.createDataFrame(EDGES, "src bigint, dst bigint"))
+    want = plain_pagerank(list(range(6)), EDGES)
     assert all(abs(r.score - want[r.node]) < 2e-4 for r in got.collect())
     assert graph.pagerank(spark.range(1).withColumnRenamed("id", "node"), spark.createDataFrame([], "src bigint, dst bigint")).first().score == 1.0
     assert graph.pagerank(spark.range(0).withColumnRenamed("id", "node"), spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+@pytest.mark.parametrize("nodes", [graph.BROADCAST_NODES, 0])
+def test_pagerank_in_steps(spark, monkeypatch, nodes):
+    """As for a graph that the driver does not rank: with broadcast shares, and with all exchanged."""
+    monkeypatch.setattr(graph, "LOCAL_LINKS", 0)
+    monkeypatch.setattr(graph, "BROADCAST_NODES", nodes)
+    got = graph.pagerank(spark.range(6).withColumnRenamed("id", "node"), spark.createDataFrame(EDGES, "src bigint, dst bigint"), most=5)
+    want = plain_pagerank(list(range(6)), EDGES, most=5)
+    assert all(abs(r.score - want[r.node]) < 2e-4 for r in got.collect())
+
+
 def test_bfs_cap_and_visited(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "a", 1), ("c", "d", 1), ("d", "e", 1)], "src string, dst string, ordinal int")
     seeds = spark.createDataFrame([("a",)], "node string")
