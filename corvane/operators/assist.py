@@ -19,6 +19,7 @@ FOUND, FOUND_LINE = "Top candidate symbols:\n%s", "- %s in `%s` (Lines %d-%d)"
 HIERARCHY = "Inspecting call hierarchy for `%s`:\n- Callers: %s\n- Callees: %s"
 NO_CALLERS, NO_CALLEES, READ, NO_PURPOSE = "None (Top-level or entrypoint)", "None (Leaf function)", "Signature: %s\nPurpose: %s", "Core module logic"
 BEGINNER_LABELS = ["good first issue", "help wanted", "beginner-friendly"]
+STATUS = "Analyzing symbol graph and citations..."
 GUIDELINES = ["CONTRIBUTING.md", "CONTRIBUTING", ".github/CONTRIBUTING.md", "docs/CONTRIBUTING.md", "CONTRIBUTE.md"]
 # End of fixed values.
 FIELDS = ["path", "name", "header", "content", "docstring", "start_line", "end_line", "importance"]
@@ -161,6 +162,30 @@ def good_first_issues(chunks: DataFrame, issues: DataFrame, files: DataFrame, la
     return told.select("number", "title", "matched_files", plan.alias("plan"), level.alias("difficulty"), hours.alias("estimated_time"))
 
 
+def shown_issues(issues: DataFrame, text: str = "", difficulty: str | None = None) -> DataFrame:
+    """Issues whose title contains the text, letters in either case, and that have the difficulty asked for."""
+    kept = issues.filter(F.contains(F.lower("title"), F.lit(text.lower())))
+    return kept if difficulty is None else kept.filter(F.lower("difficulty") == difficulty.lower())
+
+
+def repository_facts(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """facts: json, as a forge describes a repository; files: path, text. One row each, with its guidelines' head and test commands."""
+    kind = "full_name string, description string, stargazers_count bigint, forks_count bigint, open_issues_count bigint, language string, html_url string"
+    told = facts.select(F.from_json("json", kind).alias("f")).select("f.*").withColumnsRenamed({"stargazers_count": "stars", "forks_count": "forks", "open_issues_count": "open_issues"})
+    rules = guidelines(files).agg(F.max("guidelines").alias("_g"))  # one row
+    commands = F.coalesce(T.commands(F.coalesce("_g", F.lit(""))), F.array().cast("array<string>"))
+    return told.crossJoin(F.broadcast(rules)).select(*told.columns, F.col("_g").isNotNull().alias("has_contributing"), F.substring("_g", 1, 500).alias("contributing_excerpt"), commands.alias("test_commands"))
+
+
+def answer_events(answers: DataFrame) -> DataFrame:
+    """answers: query_id, answer, citations. (query_id, position, event): what a client is sent, each a JSON text: a status,
+    the answer four words at a time, the citations, the end."""
+    said = lambda kind, **more: F.to_json(F.struct(F.lit(kind).alias("type"), *[c.alias(n) for n, c in more.items()]))
+    tokens = F.transform(T.word_slices(F.col("answer")), lambda w: said("token", text=F.concat(w, F.lit(" "))))
+    events = F.concat(F.array(said("status", text=F.lit(STATUS))), tokens, F.array(said("citations", citations=F.col("citations")), said("done")))
+    return answers.select("query_id", F.posexplode(events).alias("position", "event"))
+
+
 # --- tours --------------------------------------------------------------------------------------------------------
 
 

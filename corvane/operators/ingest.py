@@ -25,6 +25,10 @@ def _line(form: str, *parts: Column) -> Column:
     return F.concat(*[x for piece, part in zip(pieces, [*parts, None], strict=True) for x in (F.lit(piece), part) if x is not None])
 
 
+def summary_line(name: Column, kind: Column, summary: Column) -> Column:
+    return _line(SYMBOL_LINE, name, kind, summary)
+
+
 @dataclass
 class Parts:
     """What a run makes of a tree before anything is stored."""
@@ -49,7 +53,7 @@ def analyse(files: DataFrame, model: TextModel = OFFLINE, most_steps: int = 100)
     scored = sym.withColumn("node", F.concat(F.lit("sym:"), "path", F.lit(":"), "name")).join(scores, "node", "left").drop("node")
     summary = T.symbol_summary(F.col("kind"), F.col("name"), F.col("signature"), F.coalesce("docstring", F.lit("")), F.col("content"))
     symbols = scored.withColumns({"importance": F.coalesce("score", F.lit(1.0)), "summary": summary}).drop("score", "calls")
-    lines = tours.first_of(symbols.withColumn("line", _line(SYMBOL_LINE, F.col("name"), F.col("kind"), F.col("summary"))), "path", "line", "ordinal", 20, "\n")
+    lines = tours.first_of(symbols.withColumn("line", summary_line(F.col("name"), F.col("kind"), F.col("summary"))), "path", "line", "ordinal", 20, "\n")
     heads = parsed.select("path", F.coalesce(_line(FILE_HEAD, F.col("file_docstring")), F.lit("")).alias("head"))
     own = scores.filter("node LIKE 'file:%'").select(F.substr("node", F.lit(6)).alias("path"), "score")
     importance = graph.file_importance(files.select("path").join(own, "path", "left"), symbols.select("path", F.col("importance").alias("score")))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import assist, graph, ingest
+from corvane.functions import text as T
+from corvane.operators import assist, graph, incremental, ingest, tours
 from corvane.plans.catalog import embedded_sql, query, rank_sql, table, tokens_sql
-from corvane.session import table_path
+from corvane.session import discard_path, table_path
 from corvane.sources import code as sources
 
 # --- a tree on disk ---------------------------------------------------------------------------------------------------
@@ -284,3 +285,60 @@ def evaluate_questions(spark, d):
     """Questions with the names of their nations' files, against what five hits hold."""
     names = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.array(F.format_string("n%d.py", "n_nationkey")).alias("expected_files"))
     return assist.evaluate(stored(spark, d, "chunks"), asked(spark, d).join(names, "query_id"))
+
+
+@query("""SELECT lang AS repo, count(*) AS files, sum(n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END)::BIGINT AS characters FROM documents WHERE lang <> 'es' GROUP BY 1""")
+def partition_rewrite(spark, d):
+    """A table by partitions: written, one replaced alone, one dropped, and read again."""
+    path, doc = table_path(spark, "partitions"), table(spark, d, "documents").select("doc_id", "n_chars", "lang")
+    incremental.write_partition(doc, path, "lang")
+    incremental.write_partition(doc.filter("lang = 'de'").withColumn("n_chars", F.col("n_chars") + 1), path, "lang")
+    discard_path(spark, f"{path}/lang=es")
+    return spark.read.parquet(path).groupBy(F.col("lang").alias("repo")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("characters"))
+
+
+@query("""WITH w AS (SELECT conv_id * 1000 + turn AS query_id, string_split(text, ' ') AS w FROM conversations),
+e AS (SELECT query_id, 0 AS position, '{"type":"status","text":"Analyzing symbol graph and citations..."}' AS event FROM w
+ UNION ALL SELECT query_id, 1 + i, '{"type":"token","text":' || to_json(array_to_string(w[4 * i + 1:4 * i + 4], ' ') || ' ') || '}' FROM (SELECT query_id, w, unnest(range(0, (len(w) - 1) // 4 + 1)) AS i FROM w)
+ UNION ALL SELECT query_id, 2 + (len(w) - 1) // 4, '{"type":"citations","citations":[]}' FROM w UNION ALL SELECT query_id, 3 + (len(w) - 1) // 4, '{"type":"done"}' FROM w)
+SELECT query_id, position::INT AS position, event FROM e""")
+def answer_events(spark, d):
+    c = table(spark, d, "conversations")
+    return assist.answer_events(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"), F.array().cast("array<string>").alias("citations")))
+
+
+@query("""SELECT lower(n_name) || '/repo' AS full_name, n_nationkey * 3 AS stars, n_regionkey AS forks, true AS has_contributing, 'make test|pytest -q' AS test_commands FROM nation""")
+def repository_facts(spark, d):
+    n = table(spark, d, "nation")
+    facts = n.select(F.to_json(F.struct(F.concat(F.lower("n_name"), F.lit("/repo")).alias("full_name"), (F.col("n_nationkey") * 3).alias("stargazers_count"), F.col("n_regionkey").alias("forks_count"))).alias("json"))
+    out = assist.repository_facts(facts, spark.createDataFrame([("docs/CONTRIBUTING.md", "no"), ("CONTRIBUTING.md", "Run `make test` or\n$ pytest -q\n")], "path string, text string"))
+    return out.select("full_name", "stars", "forks", "has_contributing", F.array_join("test_commands", "|").alias("test_commands"))
+
+
+@query("SELECT s_suppkey, s_name AS title, CASE s_suppkey % 2 WHEN 0 THEN 'Beginner' ELSE 'Advanced' END AS difficulty FROM supplier WHERE contains(lower(s_name), '7') AND s_suppkey % 2 = 0")
+def shown_issues(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 2 == 0, "Beginner").otherwise("Advanced").alias("difficulty"))
+    return assist.shown_issues(s, "7", "beginner")
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '^(.*)/[^/]*$', 1), ''), 'root') AS folder, regexp_extract(url, '[^/]*$') AS name FROM pages""")
+def path_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", T.dirname(F.col("url")).alias("folder"), T.basename(F.col("url")).alias("name"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, '- ' || o_orderkey || ' (order): ' || o_orderpriority AS l FROM orders)
+SELECT o_custkey AS path, string_agg(l, chr(10) ORDER BY o_orderkey) AS text FROM o WHERE r <= 20 GROUP BY 1""")
+def file_rollup(spark, d):
+    line = ingest.summary_line(F.col("o_orderkey").cast("string"), F.lit("order"), F.col("o_orderpriority"))
+    return tours.first_of(table(spark, d, "orders").select(F.col("o_custkey").alias("path"), "o_orderkey", line.alias("line")), "path", "line", "o_orderkey", 20, "\n")
+
+
+@query("""WITH l AS (SELECT string_agg('- Directory `' || n_name || '`: key ' || n_nationkey, chr(10) ORDER BY n_name) AS t FROM nation),
+s AS (SELECT list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5) AS l FROM l) SELECT 'Component summary: ' || array_to_string(l[1:4], ' | ') AS repo_summary FROM s""")
+def repo_rollup(spark, d):
+    return ingest.repo_summary(table(spark, d, "nation").select(F.col("n_name").alias("folder_path"), F.concat(F.lit("key "), F.col("n_nationkey").cast("string")).alias("summary_text")))
+
+
+@query("""SELECT doc_id AS number, lang || chr(10) || chr(10) || substr(text, 1, 500) AS query FROM documents""")
+def issue_query(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("number"), F.col("lang").alias("title"), F.col("text").alias("body")).select("number", assist.issue_query().alias("query"))
