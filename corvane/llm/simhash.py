@@ -27,6 +27,8 @@ SHINGLE = 3
 SEED = 42
 BITS = 64
 SHARD_LIMIT = 4096
+#: Ids of removed documents, of 8 bytes each, that are broadcast.
+BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 18
 
@@ -235,17 +237,23 @@ def cluster(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) ->
 def keep_first(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Of each component the row with the smallest doc_id, then fingerprint; a null doc_id comes last. Of rows with one
     id and one fingerprint, one stays. Only linked rows remove each other, whatever ids are repeated or null.
+
+    Rows leave by an anti join on the ids that go, broadcast if there are at most ``BROADCAST_IDS``: no text moves then.
     """
     leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    counted = clusters.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(leads).alias("_leads")).filter("_leads")
-    single = docs.join(counted.filter("_n = 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
-    shared = counted.filter("_n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    counted = materialise(clusters.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(leads).alias("_leads")), "lead-counts")
+    alone = (F.col("_n") == 1) & F.col("doc_id").isNotNull()
+    gone = materialise(counted.filter(~(F.col("_leads") & alone)).select("doc_id"), "ids-gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    single = docs.filter(F.col("doc_id").isNotNull()).join(few, "doc_id", "left_anti")
+    shared = materialise(counted.filter(F.col("_leads") & ~alone).select(F.col("doc_id").alias("_id")), "ids-shared")
+    discard(counted)
     if shared.isEmpty():
         return single
     among = lambda df: df.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     chosen = among(clusters.filter(leads)).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("_c")).select("_c.*").toDF("_id", "_fp")
     # A document's own columns travel as one, so that none is taken for the fingerprint.
-    rows = fingerprints(among(docs).select("doc_id", "text", F.struct(*docs.columns).alias("_row")), "_row").withColumnRenamed("fp", "_own")
+    rows = fingerprints(among(docs).select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "_row").withColumnRenamed("fp", "_own")
     kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp"))).dropDuplicates(["doc_id", "_own"])
     return single.unionByName(kept.select("_row.*"))
 
