@@ -1,15 +1,17 @@
-"""Removal of repeated passages.
-
-``strip_reference`` is for a reference of bounded size: suffix automata over the words of reference shards are broadcast,
-documents are streamed through each for matching statistics (the longest suffix of the words read so far that occurs in
-the shard), and maximal spans at or above the threshold go.
-
-``strip_repeats`` takes every document as reference for those after it. Automata of a whole corpus have no size bound
-and every document would have to pass every shard, so this path deals windows by hash instead. Of each window's
-five-word runs the one with the smallest hash is its anchor; windows that are equal have equal anchors, so only windows
-whose anchor occurs in two documents are compared, by 96 bits of hashes of their words (over the 1e13 windows of 100 TB
-less than one pair in a thousand such corpora is taken for equal wrongly). Windows of a very common anchor
-are dealt by document too: each share of them settles all but its smallest document, and those settle among themselves.
+"""Removal of repeated passages by suffix automata of reference shards.
+
+Documents are streamed through an automaton of a shard's words for matching statistics (the longest suffix of the words
+read so far that occurs in the shard), and spans of matches at or above the threshold go.
+
+``strip_reference`` is for a reference of bounded size: all its shards are broadcast, and every document passes each.
+
+``strip_repeats`` takes every document as reference for those after it. Its shards have no size bound together, so they
+are not broadcast but dealt, and only stretches that may repeat are dealt to them: of each window's five-word runs the one
+with the smallest hash is its anchor, equal windows have equal anchors, and neighbouring windows of one anchor are a
+stretch. A shard holds the stretches of an anchor that occurs in two documents, words by 48 bits of hash each (624 a
+window). In a shard, documents come in order of their ids: each is matched against those before it and then added, but
+for stretches that are there already. An anchor of very many documents has several shards, of some of its documents each;
+windows that are new to their shard are then compared among those shards by 96 bits of hash.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.common import words as split_words
-from corvane.session import ship
+from corvane.session import materialise, ship
 
 WINDOW = 13
 ANCHOR = 5
@@ -38,8 +40,10 @@ _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 LAST = (1 << 63) - 1
 #: Bits of an anchor: enough to tell apart the anchors of 100 TB but for some hundredths, which the windows' own hashes then part.
 _ANCHOR_BITS = 48
-#: Documents of an anchor whose windows meet in one group; beyond it they are dealt into powers of two of shares, 2**16 at most.
-SHARE_DOCS = 4096
+#: Documents of an anchor that meet in one shard; beyond it they are dealt into powers of two of shards, 2**16 at most.
+SHARE_DOCS = 512
+#: Bytes of a word's hash.
+_WORD_BYTES = 6
 #: Bit of a place: its window occurs in the text again.
 _AGAIN = 1 << 30
 
@@ -55,9 +59,9 @@ class SuffixAutomaton:
         self.link, self.length = [-1], [0]
         self.last, self.parts = 0, 0
 
-    def add(self, words: list[str]) -> None:
+    def add(self, words: list) -> None:
         self.parts += 1
-        for w in [*words, self.parts]:  # an int never equals a word
+        for w in [*words, -self.parts]:  # a negative number never equals a word or a hash
             self._extend(w)
 
     def _extend(self, w) -> None:
@@ -84,7 +88,7 @@ class SuffixAutomaton:
                 self.link[q] = self.link[cur] = clone
         self.last = cur
 
-    def statistics(self, words: list[str]) -> list[int]:
+    def statistics(self, words: list) -> list[int]:
         """For each word, the length of the longest match that ends with it."""
         out, state, n = [], 0, 0
         for w in words:
@@ -233,11 +237,11 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc, pa.int64())], names=["anchor", "doc"])
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, anchors, repeated): the windows whose anchor is among the row's.
+def _stretch_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, text, anchors, repeated): the stretches of windows whose anchor is among the row's.
 
-    Above an anchor's bits is the binary logarithm of its shares. A window's check holds 32 bits of hash and above them
-    its share; the place of a window of several shares is negative. A text gives a window once, at its first place.
+    Above an anchor's bits is the binary logarithm of its shards. A key is an anchor and above it the number of the shard;
+    the place of a stretch of an anchor with several shards is negative. A text gives a stretch once, at its first place.
     ``repeated``: other rows have this doc.
     """
     for whole in batches:
@@ -246,66 +250,159 @@ def _window_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Ite
             first, text, anchor = _windows(h, at, size, k)
             lists = b.column(2)
             given = np.asarray(lists.flatten(), dtype=np.int64)
-            own, shares = (given & (1 << _ANCHOR_BITS) - 1).view(np.uint64), given >> _ANCHOR_BITS
+            own, shards = (given & (1 << _ANCHOR_BITS) - 1).view(np.uint64), given >> _ANCHOR_BITS
             owner = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists), dtype=np.int64))
             # One key of text and anchor: the anchor mixed with the text's number; membership by sorted search.
             key = lambda t, a: _mix(a + (t.astype(np.uint64) + np.uint64(1)) * _Q)
             have = key(owner, own)
             order = np.argsort(have)
-            have, shares = have[order], shares[order]
+            have, shards = have[order], shards[order]
             asked = key(text, anchor)
             found = np.minimum(np.searchsorted(have, asked), max(0, len(have) - 1))
-            ok = have[found] == asked if len(have) else np.zeros(len(asked), bool)
-            at_first, text = first[ok], text[ok]
-            bits = shares[found[ok]] if len(have) else np.zeros(0, np.int64)
-            window = _rolled(h, size, _Q)[at_first]
-            order = np.lexsort((window, text))
+            ok = np.flatnonzero(have[found] == asked) if len(have) else np.zeros(0, np.int64)
+            if not len(ok):
+                continue
+            first, text, anchor, bits = first[ok], text[ok], anchor[ok], shards[found[ok]]
+            new = np.ones(len(ok), bool)
+            new[1:] = (np.diff(first) != 1) | (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
+            begin = np.flatnonzero(new)
+            windows = np.diff(begin, append=len(ok))
+            inside = np.arange(len(ok)) - np.repeat(begin, windows)
+            digest = np.add.reduceat(_mix(_rolled(h, size, _Q)[first] + inside.astype(np.uint64) * _R), begin)
+            first, text, anchor, bits = first[begin], text[begin], anchor[begin], bits[begin]
+            order = np.lexsort((digest, windows, anchor, text))
+            same = lambda x: x[order][1:] == x[order][:-1]
             new = np.ones(len(order), bool)
-            new[1:] = (np.diff(text[order]) != 0) | (window[order][1:] != window[order][:-1])
+            new[1:] = ~(same(digest) & same(windows) & same(anchor) & same(text))
             one = np.flatnonzero(new)
             again = np.diff(one, append=len(order)) > 1
             one = order[one]
-            at_first, text, window, bits = at_first[one], text[one], window[one], bits[one]
-            check = _rolled(h, size, _R)[at_first] >> np.uint64(32)
+            first, text, anchor, bits, words = first[one], text[one], anchor[one], bits[one], windows[one] + size - 1
             doc = np.asarray(b.column(0), dtype=np.int64)[text]
-            share = _mix(doc.view(np.uint64) * _P) & ((1 << bits) - 1).view(np.uint64)
+            shard = _mix(doc.view(np.uint64) * _P) & ((1 << bits) - 1).view(np.uint64)
             tag = np.array([_tag(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)], np.int64)
-            place = tag[text] << 31 | at_first - at[text] | again * _AGAIN
-            columns = [window.view(np.int64), (check | share << np.uint64(32)).view(np.int64), doc, np.where(bits > 0, ~place, place)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "check", "doc", "place"])
+            place = tag[text] << 31 | first - at[text] | again * _AGAIN
+            ends = np.cumsum(words)
+            rows = np.arange(ends[-1]) + np.repeat(first - (ends - words), words)
+            data = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[rows, :_WORD_BYTES])
+            offsets = np.concatenate(([0], ends * _WORD_BYTES)).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            columns = [pa.array((anchor | shard << np.uint64(_ANCHOR_BITS)).view(np.int64)), pa.array(doc), pa.array(np.where(bits > 0, ~place, place)), held]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "place", "words"])
+
+
+class _Shard:
+    """The stretches of documents before the one at hand; an automaton is made only once a stretch is not there as a whole."""
+
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
+        self.waiting: list[bytes] = []
+        self.automaton: SuffixAutomaton | None = None
+
+    def add(self, stretches: list[bytes]) -> None:
+        new = [s for s in dict.fromkeys(stretches) if s not in self.seen]
+        self.seen.update(new)
+        self.waiting += new
+
+    def statistics(self, words: list[int]) -> list[int]:
+        if self.automaton is None:
+            self.automaton = SuffixAutomaton()
+        for s in self.waiting:
+            self.automaton.add(_word_hashes(s).tolist())
+        self.waiting.clear()
+        return self.automaton.statistics(words)
+
+
+def _word_hashes(stretch: bytes) -> np.ndarray:
+    out = np.zeros((len(stretch) // _WORD_BYTES, 8), np.uint8)
+    out[:, :_WORD_BYTES] = np.frombuffer(stretch, np.uint8).reshape(-1, _WORD_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def _match_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and doc; one shard is held at a time. Spans (place, length) that repeat words of a smaller
+    doc, and, of anchors with several shards, the windows that are new to theirs, by their hashes."""
+    key = doc = None
+    shard, held = _Shard(), []
+    out: list[list] = [[] for _ in range(5)]
+
+    def emit(*row) -> None:
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+
+    for b in batches:
+        for k, d, place, words in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if k != key:
+                shard, held, key, doc = _Shard(), [], k, d
+            elif d != doc:
+                shard.add(held)
+                held, doc = [], d
+            held.append(words)
+            several, place = place < 0, ~place if place < 0 else place
+            n = len(words) // _WORD_BYTES
+            if words in shard.seen:
+                emit(d, place, n, None, None)
+                continue
+            if not several and not shard.seen:
+                continue
+            hashes = _word_hashes(words)
+            found = np.array(shard.statistics(hashes.tolist()) if shard.seen else [0] * n)
+            hit = np.flatnonzero(found >= size)
+            if len(hit):
+                edges = np.diff(np.concatenate(([0], covered(found.tolist(), size).astype(np.int8), [0])))
+                for start, end in zip(np.flatnonzero(edges > 0).tolist(), np.flatnonzero(edges < 0).tolist(), strict=True):
+                    emit(d, place + start, end - start, None, None)
+            if several:
+                new = np.flatnonzero(found[size - 1 :] < size)
+                window, check = _rolled(hashes, size, _Q)[new].view(np.int64), (_rolled(hashes, size, _R)[new] >> np.uint64(32)).view(np.int64)
+                for start, w, c in zip(new.tolist(), window.tolist(), check.tolist(), strict=True):
+                    emit(d, place + start, size, w, c)
+        if len(out[0]) > 50_000:
+            yield _matches(out)
+    yield _matches(out)
+
+
+def _matches(out: list[list]) -> pa.RecordBatch:
+    done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "place", "length", "window", "check"])
+    for c in out:
+        c.clear()
+    return done
 
 
 def _tag(text: str | None, repeated: bool) -> int:
     return zlib.crc32((text or "").encode("utf-8", "surrogatepass")) if repeated else 0
 
 
-def _all_places(words: list[bytes], places: np.ndarray, size: int) -> np.ndarray:
-    """With the other places of windows that occur again."""
-    again = places & _AGAIN > 0
-    places = places & ~_AGAIN
+def _spans(words: list[bytes], places: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends), with the other places of windows that occur again."""
+    again, starts = places & _AGAIN > 0, places & ~_AGAIN
+    ends = starts + lengths
     if not again.any():
-        return places
+        return starts, ends
     codes: dict[bytes, int] = {}
     h = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.uint64, len(words))
     window = _rolled(_mix(h + np.uint64(1)), size, _Q)
-    return np.union1d(places, np.flatnonzero(np.isin(window, window[places[again]])))
+    asked = np.concatenate([window[a : b - size + 1] for a, b in zip(starts[again].tolist(), ends[again].tolist(), strict=True)])
+    more = np.flatnonzero(np.isin(window, asked))
+    return np.concatenate([starts, more]), np.concatenate([ends, more + size])
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, is a copy, places, repeated): what stays. A place is a window's first word under the text's tag."""
+    """Rows (doc, text, is a copy, places, lengths, repeated): what stays. A place is a span's first word under the text's tag."""
     for b in batches:
         rows: list[tuple] = []
-        for doc, text, copy, places, repeated in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for doc, text, copy, places, lengths, repeated in zip(*[c.to_pylist() for c in b.columns], strict=True):
             words = _ascii_words(text)
             n = len(words)
             if copy and n >= size:
                 gone, words = n, []
             elif places:
                 mark = np.zeros(n + 1, np.int64)
-                p = np.array(places, np.int64)
-                p = _all_places(words, p[p >> 31 == _tag(text, repeated)] & 0x7FFFFFFF, size)
-                np.add.at(mark, p, 1)
-                np.add.at(mark, p + size, -1)
+                p, m = np.array(places, np.int64), np.array(lengths, np.int64)
+                mine = p >> 31 == _tag(text, repeated)
+                starts, ends = _spans(words, p[mine] & 0x7FFFFFFF, m[mine], size)
+                np.add.at(mark, starts, 1)
+                np.add.at(mark, ends, -1)
                 stay = np.cumsum(mark[:-1]) == 0
                 words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 gone = n - len(words)
@@ -322,7 +419,7 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, sha
 
     doc_id is a whole number. Null and blank texts have no words and are kept empty; texts under ``size`` words are kept
     whole. A null doc_id is larger than any other. Rows with one doc_id, or with none, are one document: they do not
-    remove from each other. An empty table gives no rows; other columns are ignored. Exact copies are settled by a digest of the text and take no part in the comparison, and
+    remove from each other. An empty table gives no rows; other columns are ignored, whatever their names. Exact copies are settled by a digest of the text and take no part in the comparison, and
     anchors meet only in counts and in a join with those, so groups of copies cost in proportion to their rows. That
     join is on a key derived from the counts' own: both its sides are then exchanges, of which adaptive execution splits
     one with a very common key (below an aggregate it could not).
@@ -343,22 +440,21 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, sha
     held = anchors.select("doc", of_anchor).join(shared.select(of_anchor, shares.alias("shares")), "key")
     wanted = held.groupBy("doc").agg(F.collect_list(F.col("key") - 1 + F.shiftleft("shares", _ANCHOR_BITS)).alias("anchors"))
     copy, repeated = F.coalesce(F.array_contains("copies", md5), F.lit(False)), F.coalesce("repeated", F.lit(False))
-    windows = (
+    stretches = (
         texts.join(wanted, "doc")
         .join(copies, "doc", "left")
         .join(repeats, "doc", "left")
         .filter(~copy)
         .select("doc", "text", "anchors", repeated.alias("repeated"))
-        .mapInArrow(lambda it: _window_batches(it, size, anchor), "window bigint, check bigint, doc bigint, place bigint")
+        .mapInArrow(lambda it: _stretch_batches(it, size, anchor), "key bigint, doc bigint, place bigint, words binary")
     )
-    met = windows.withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
-    place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place")
-    least = met.filter("low = doc AND place < 0").select("window", F.col("check").bitwiseAND(0xFFFFFFFF).alias("check"), "doc", place)
-    again = least.withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
-    hits = met.filter("low < doc").select("doc", place).unionAll(again.filter("low < doc").select("doc", "place"))
-    hit = hits.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    dealt = stretches.repartition("key").sortWithinPartitions("key", "doc")
+    matches = materialise(dealt.mapInArrow(lambda it: _match_batches(it, size), "doc bigint, place bigint, length bigint, window bigint, check bigint"), "substring-matches")
+    met = matches.filter("window IS NOT NULL").withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
+    hits = matches.filter("window IS NULL").select("doc", "place", "length").unionAll(met.filter("low < doc").select("doc", "place", "length"))
+    hit = hits.groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("length").alias("lengths"))
     out = texts.join(hit, "doc", "left").join(copies, "doc", "left").join(repeats, "doc", "left")
-    kept = out.select("doc", "text", copy.alias("copy"), "places", repeated.alias("repeated")).mapInArrow(
+    kept = out.select("doc", "text", copy.alias("copy"), "places", "lengths", repeated.alias("repeated")).mapInArrow(
         lambda it: _kept_batches(it, size), "doc bigint, n_words bigint, n_removed bigint, kept string"
     )
     kind = docs.schema["doc_id"].dataType

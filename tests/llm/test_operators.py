@@ -296,6 +296,34 @@ def test_substrings(docs, share_docs):
         assert (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)) in got[d], d
 
 
+@pytest.mark.parametrize("share_docs", [1, 3, 512])
+def test_substrings_of_near_copies(spark, share_docs):
+    """Few words, passages in many documents, small changes, repeats inside a text: all anchors are common, most windows are not."""
+    rng = random.Random(share_docs)
+    passages = [[rng.choice("abcdefgh") for _ in range(rng.randint(10, 40))] for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        t = []
+        for _ in range(rng.randint(1, 5)):
+            p = list(rng.choice(passages))
+            if rng.random() < 0.6:
+                p[rng.randrange(len(p))] = rng.choice("xyz")
+            t += p * rng.choice([1, 1, 2]) + [rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))]
+        texts.append(t)
+    ids = [rng.randrange(50) for _ in texts]
+    low = {}
+    for d, w in zip(ids, texts, strict=True):
+        for i in range(len(w) - 12):
+            low[tuple(w[i : i + 13])] = min(low.get(tuple(w[i : i + 13]), 99), d)
+    want = []
+    for d, w in zip(ids, texts, strict=True):
+        gone = {i + j for i in range(len(w) - 12) if low[tuple(w[i : i + 13])] < d for j in range(13)}
+        want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in zip(ids, texts, strict=True)], "doc_id bigint, text string").repartition(4)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.strip_repeats(df, share_docs=share_docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_windows_that_recur_in_a_text(spark):
     line, runs = " ".join(f"w{i}" for i in range(14)), "ha " * 40
     texts = {1: line + " a", 2: f"{line} b {line} {line} c", 3: runs, 4: "x " + runs + "y " + runs + "z", 5: f"{line} {line}"}
