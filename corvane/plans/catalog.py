@@ -121,13 +121,18 @@ vs AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(coalesce(s / (dn.n
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM vs QUALIFY rank <= 50)"""
 
 
+def half_up(x: str, k: int) -> str:
+    """Rounded as the engine does: ties of the decimal form go up."""
+    return f"round(({x})::VARCHAR::DECIMAL(38, 20), {k})::DOUBLE"
+
+
 def fused_sql(imp: str, k: int = 8) -> str:
     return f"""WITH {KEYWORD}, {HYBRID},
 f AS (SELECT query_id, chunk_id, vr.rank AS vrank, kw.rank AS krank, coalesce(0.6::DOUBLE / (60 + vr.rank), 0) + coalesce(0.4::DOUBLE / (60 + kw.rank), 0) AS rrf
       FROM vr FULL JOIN kw USING (query_id, chunk_id)),
 g AS (SELECT f.*, round(rrf * (1 + 0.35 * ({imp} - 1)), 9) AS s FROM f LEFT JOIN labels ON doc_id = chunk_id),
 h AS (SELECT query_id, chunk_id, vrank, krank, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INT AS rank FROM g QUALIFY rank <= {k})
-SELECT query_id::BIGINT AS query_id, chunk_id, coalesce(vrank, 0) AS vrank, coalesce(krank, 0) AS krank, round(s, 5) AS score, rank FROM h"""
+SELECT query_id::BIGINT AS query_id, chunk_id, coalesce(vrank, 0) AS vrank, coalesce(krank, 0) AS krank, {half_up('s', 5)} AS score, rank FROM h"""
 
 
 @query(f"WITH {TF} SELECT * FROM tf")

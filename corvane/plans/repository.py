@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import assist, graph, incremental, ingest, tours
-from corvane.plans.catalog import embedded_sql, query, rank_sql, table, tokens_sql
+from corvane.plans.catalog import embedded_sql, half_up, query, rank_sql, table, tokens_sql
 from corvane.session import discard_path, table_path
 from corvane.sources import code as sources
 
@@ -63,7 +63,7 @@ RANKED = f"""{REPO}, sc AS MATERIALIZED ({rank_sql('''el AS (SELECT CASE WHEN ed
  CASE WHEN edge_type = 'imports' THEN 'file:' || target_file ELSE 'sym:' || target_file || ':' || target_symbol END AS dst FROM ed),
 nd AS (SELECT 'file:' || path AS node FROM fl UNION ALL SELECT node FROM sy)''', 60, 1e-5)}),
 ys AS (SELECT sy.*, score FROM sy JOIN sc USING (node)), fa AS (SELECT path, avg(score) AS s FROM ys GROUP BY 1),
-fi AS (SELECT fl.path, t, n, round((CASE WHEN s IS NULL THEN score ELSE 0.5 * score + 0.5 * s END)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS importance FROM fl JOIN sc ON node = 'file:' || fl.path LEFT JOIN fa ON fa.path = fl.path)"""
+fi AS (SELECT fl.path, t, n, {half_up('CASE WHEN s IS NULL THEN score ELSE 0.5 * score + 0.5 * s END', 4)} AS importance FROM fl JOIN sc ON node = 'file:' || fl.path LEFT JOIN fa ON fa.path = fl.path)"""
 CODE_CHUNKS = f"""{RANKED},
 ty AS (SELECT path, string_agg(name, ', ' ORDER BY ordinal) AS names, min(start_line) AS a, max(end_line) AS b, string_agg('# function ' || name || chr(10) || content, chr(10) || chr(10) ORDER BY ordinal) AS body
        FROM sy WHERE NOT long GROUP BY path),
@@ -197,7 +197,7 @@ def _tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return stored(spark, d, "chunks"), stored(spark, d, "edges"), stored(spark, d, "symbols")
 
 
-@query(f"WITH {_hits_sql(12)} SELECT query_id, rank, path, name, start_line, end_line, round(s, 5) AS score FROM hits")
+@query(f"WITH {_hits_sql(12)} SELECT query_id, rank, path, name, start_line, end_line, {half_up('s', 5)} AS score FROM hits")
 def repo_search(spark, d):
     """Sanitised, checked, hybrid with importance: twelve hits a question."""
     hits, _ = assist.search_repository(*_tables(spark, d), asked(spark, d))
@@ -270,7 +270,7 @@ def issue_difficulty(spark, d):
 
 
 @query(f"""WITH {_issue_sql("'Trouble ' || query_id || chr(10) || chr(10) || substr(text, 1, 500)", 5)}
-SELECT query_id AS number, path AS file_path, round(max(s), 5) AS relevance, string_agg(name || ' ' || start_line || '-' || end_line, '|' ORDER BY rank) AS symbols FROM hits
+SELECT query_id AS number, path AS file_path, {half_up('max(s)', 5)} AS relevance, string_agg(name || ' ' || start_line || '-' || end_line, '|' ORDER BY rank) AS symbols FROM hits
 WHERE query_id % 2 = 0 AND query_id % 5 <> 0 AND query_id IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0 ORDER BY n_nationkey DESC LIMIT 20) GROUP BY ALL""")
 def good_first_issues(spark, d):
     """Open issues for beginners, a row a matched file."""
