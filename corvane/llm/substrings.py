@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.common import words as split_words
-from corvane.session import materialise, ship
+from corvane.session import ship
 
 WINDOW = 13
 ANCHOR = 5
@@ -321,7 +321,7 @@ def _word_hashes(stretch: bytes) -> np.ndarray:
 
 def _match_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key and doc; one shard is held at a time. Spans (place, length) that repeat words of a smaller
-    doc, and, of anchors with several shards, the windows that are new to theirs, by their hashes."""
+    doc, with check -1 and a window of their own; and, of anchors with several shards, the windows that are new to theirs."""
     key = doc = None
     shard, held = _Shard(), []
     out: list[list] = [[] for _ in range(5)]
@@ -341,7 +341,7 @@ def _match_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
             several, place = place < 0, ~place if place < 0 else place
             n = len(words) // _WORD_BYTES
             if words in shard.seen:
-                emit(d, place, n, None, None)
+                emit(d, place, n, _own(d, place), -1)
                 continue
             if not several and not shard.seen:
                 continue
@@ -351,7 +351,7 @@ def _match_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
             if len(hit):
                 edges = np.diff(np.concatenate(([0], covered(found.tolist(), size).astype(np.int8), [0])))
                 for start, end in zip(np.flatnonzero(edges > 0).tolist(), np.flatnonzero(edges < 0).tolist(), strict=True):
-                    emit(d, place + start, end - start, None, None)
+                    emit(d, place + start, end - start, _own(d, place + start), -1)
             if several:
                 new = np.flatnonzero(found[size - 1 :] < size)
                 window, check = _rolled(hashes, size, _Q)[new].view(np.int64), (_rolled(hashes, size, _R)[new] >> np.uint64(32)).view(np.int64)
@@ -362,6 +362,11 @@ def _match_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
     yield _matches(out)
 
 
+def _own(doc: int, place: int) -> int:
+    """A number that spreads spans evenly."""
+    return ((doc * int(_P) ^ place * int(_R)) & LAST) >> 1
+
+
 def _matches(out: list[list]) -> pa.RecordBatch:
     done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "place", "length", "window", "check"])
     for c in out:
@@ -449,9 +454,10 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, sha
         .mapInArrow(lambda it: _stretch_batches(it, size, anchor), "key bigint, doc bigint, place bigint, words binary")
     )
     dealt = stretches.repartition("key").sortWithinPartitions("key", "doc")
-    matches = materialise(dealt.mapInArrow(lambda it: _match_batches(it, size), "doc bigint, place bigint, length bigint, window bigint, check bigint"), "substring-matches")
-    met = matches.filter("window IS NOT NULL").withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
-    hits = matches.filter("window IS NULL").select("doc", "place", "length").unionAll(met.filter("low < doc").select("doc", "place", "length"))
+    # One plan to the end, so that the texts' exchange by doc is made once; spans that are settled pass the comparison alone.
+    matches = dealt.mapInArrow(lambda it: _match_batches(it, size), "doc bigint, place bigint, length bigint, window bigint, check bigint")
+    met = matches.withColumn("low", F.min("doc").over(Window.partitionBy("window", "check")))
+    hits = met.filter("check < 0 OR low < doc").select("doc", "place", "length")
     hit = hits.groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("length").alias("lengths"))
     out = texts.join(hit, "doc", "left").join(copies, "doc", "left").join(repeats, "doc", "left")
     kept = out.select("doc", "text", copy.alias("copy"), "places", "lengths", repeated.alias("repeated")).mapInArrow(
