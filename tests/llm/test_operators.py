@@ -397,6 +397,21 @@ def test_decontamination_of_repeated_rows(docs, spark):
         assert left[0]["a.b"] == 3
 
 
+def test_empty_benchmark(docs, spark):
+    for bench in (spark.createDataFrame([], "item_id bigint, text string"), spark.createDataFrame([(1, None), (2, "...")], "item_id bigint, text string")):
+        assert decontaminate.mark(docs, bench).filter("contaminated OR n_hit > 0").count() == 0
+        assert decontaminate.clean(docs, bench).count() == len(corpus())
+
+
+def test_columns_to_keep(docs, spark):
+    """Of any name and kind."""
+    df = docs.select("doc_id", "text", F.lit(1).alias("a.b"), F.array(F.struct(F.lit("x").alias("c d"))).alias("n_hit2"), F.lit(None).cast("timestamp").alias("_w"))
+    keep, bench = ["a.b", "n_hit2", "_w", "doc_id"], spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    for out in (quality.ledger(df, keep), pii.scan(df, keep), secrets.scan(df, keep), decontaminate.mark(df, bench, keep=keep)):
+        rows = out.collect()
+        assert out.columns[:4] == keep and len(rows) == len(corpus()) and all(r["a.b"] == 1 and r.n_hit2[0][0] == "x" for r in rows)
+
+
 def test_sharding(docs):
     rows = sharding.shard_documents(docs, sharding.topology(8), sharding.grow(sharding.topology(8))).collect()
     assert len(rows) == len(corpus())
