@@ -404,9 +404,11 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = ["doc_id"] if keep is None else keep
     ship(docs.sparkSession)
     w = trained()
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    # Arrow batches go by names without dots.
+    src = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     new = StructType.fromDDL(", ".join(f"n_{k} bigint" for k in KINDS) + ", base_spans string, spans string, n_added bigint, redacted string")
-    return src.mapInArrow(lambda it: _batches(it, w), StructType(src.schema.fields[:-1] + new.fields))
+    found = src.mapInArrow(lambda it: _batches(it, w), StructType(src.schema.fields[:-1] + new.fields))
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *new.names)
 
 
 def digest(found: DataFrame) -> DataFrame:
