@@ -52,16 +52,10 @@ def _measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     d = barrier(docs, _w=words(F.col("text")), _lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("_w")
-    triples = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")),
-        ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    triple = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
     d = barrier(
         d,
-        _s=F.sort_array(triples),
+        _h=F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), triple)).otherwise(F.array().cast("array<bigint>")),
         n_words=n.cast("long"),
         word_chars=F.length(F.concat_ws("", "_w")).cast("long"),
         n_symbols=F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
@@ -70,6 +64,10 @@ def _measure(docs: DataFrame) -> DataFrame:
         n_capitals=F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long"),
         n_bangs=F.regexp_count(text, F.lit("!")).cast("long"),
     ).drop("_w", "_lines")
+    # Only a text with a repeated window has its windows sorted.
+    paired = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    d = barrier(d, _s=F.when(F.size(F.array_distinct("_h")) == F.size("_h"), none).otherwise(paired)).drop("_h")
 
     def again(x: Column, k: Column) -> Column:
         twin = (F.get("_s", k - 1)["h"] == x["h"]) | (F.get("_s", k + 1)["h"] == x["h"])
