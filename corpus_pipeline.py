@@ -15,9 +15,9 @@ from corvane.llm import decontaminate, packing, pii, quality, simhash
 from corvane.session import discard, materialise
 
 
-def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+def _whole(docs: DataFrame, *columns: str, without: str | None = None) -> DataFrame:
     """Each row as one column ``_row``, and the named columns: no other column's name can clash with an operator's."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without]).alias("_row"), *columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Replaces spans by the names of their kinds; n_chars, where there is one, follows the text. Null text stays null, empty
     text empty; every row stays a row, and all other columns are kept as they are, whatever their names.
     """
-    found = pii.scan(_whole(docs, "text"), keep=["_row"])
+    found = pii.scan(_whole(docs, "text", without="text"), keep=["_row"])  # a text goes to Python once
     new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
     return found.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
