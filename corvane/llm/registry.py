@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, licenses, packing, pii, quality, secrets, sharding, simhash, substrings, tokenids
+from corvane.llm import decontaminate, licenses, neighbours, packing, pii, quality, secrets, sharding, simhash, substrings, tokenids, whitening
 from corvane.llm.common import documents
 
 
@@ -51,6 +51,14 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.cluster(documents(spark, sf_dir)))
 
 
+def op11_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search_embeddings(spark, sf_dir)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_quality_rules": op2_quality_rules,
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_simhash_bktree": op10_simhash_bktree,
+    "op11_multiprobe": op11_multiprobe,
+    "op12_whitening": op12_whitening,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
