@@ -16,6 +16,7 @@ from corvane.llm.common import UPPER, barrier
 from corvane.session import discard, materialise
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 WINDOW = 13
 #: Windows up to this many, of at most this many bytes, are broadcast, and their prefix words made a literal set; more are shuffled.
 BROADCAST_WINDOWS = 50_000
@@ -29,7 +30,7 @@ def item_words(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     lowered = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
-    trimmed = F.regexp_replace(lowered, f"^{SPLIT}|{SPLIT}$", "")
+    trimmed = F.btrim(lowered, F.lit(SEPARATORS))  # a pattern for either end would be tried from every place of a long run
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -590,3 +591,15 @@ def test_license_best_run():
 def test_kept_digest(docs):
     r = {x.doc_id: x for x in substrings.digest(substrings.strip_repeats(docs)).collect()}
     assert r[4].kept_sha256 == hashlib.sha256(b"one two").hexdigest()
+
+
+def test_decontaminate_long_runs_of_separators(spark):
+    """A million separators at either end and between: read in a time that grows with the text alone."""
+    run = "-" * 1_000_000
+    passage = " ".join(f"pass{i}" for i in range(13))
+    texts = [(0, f"{run}{passage}"), (1, f"{passage}{run}"), (2, f"one {run} two"), (3, run), (4, f"{run}{passage}{run}\n{run}"), (5, "\x00" + passage + "\x7f")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.mark(docs, bench).collect()}
+    assert got == {0: (13, 13), 1: (13, 13), 2: (2, 0), 3: (0, 0), 4: (13, 13), 5: (13, 13)}
+    assert time.time() - began < 120
