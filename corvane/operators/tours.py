@@ -15,11 +15,12 @@ ENTRY_PATTERNS = ["main.py", "app.py", "index.", "server.", "cli.", "__main__"]
 
 
 def entry_points(files: DataFrame, patterns: list[str] = ENTRY_PATTERNS, per_pattern: int = 2, most: int = 5) -> DataFrame:
-    """files: path, importance. The best of each pattern, together the first ``most``; without any, the three best files."""
+    """files: path, importance. The most important ``most`` of each pattern's best (of equal ones the first pattern's);
+    without any, the three best files."""
     hits = files.select("path", "importance", F.posexplode(F.array(*[F.col("path").contains(p) for p in patterns])).alias("pattern", "hit")).filter("hit")
     w = Window.partitionBy("pattern").orderBy(F.desc("importance"), "path")
     best = hits.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_pattern)
-    found = best.groupBy("path").agg(F.min(F.struct("pattern", "r")).alias("o"), F.max("importance").alias("importance")).orderBy("o", "path").limit(most).select("path", "importance")
+    found = best.groupBy("path").agg(F.min(F.struct("pattern", "r")).alias("o"), F.max("importance").alias("importance")).orderBy(F.desc("importance"), "o", "path").limit(most).select("path", "importance")
     if found.isEmpty():
         return files.orderBy(F.desc("importance"), "path").limit(3).select("path", "importance")
     return found

@@ -480,7 +480,7 @@ def issue_file_match(spark, d):
 
 @query("""WITH f AS (SELECT url AS path, length(html)::DOUBLE AS importance FROM pages),
 h AS (SELECT path, importance, p, row_number() OVER (PARTITION BY p ORDER BY importance DESC, path) AS r FROM f, (VALUES (0, '/a'), (1, '/e'), (2, 'th')) t(p, s) WHERE contains(path, s)),
-b AS (SELECT path, importance, min(p * 10 + r) AS o FROM h WHERE r <= 2 GROUP BY ALL) SELECT path, importance FROM b ORDER BY o, path LIMIT 5""")
+b AS (SELECT path, importance, min(p * 10 + r) AS o FROM h WHERE r <= 2 GROUP BY ALL) SELECT path, importance FROM b ORDER BY importance DESC, o, path LIMIT 5""")
 def entry_points(spark, d):
     files = table(spark, d, "pages").select(F.col("url").alias("path"), F.length("html").cast("double").alias("importance"))
     return tours.entry_points(files, ["/a", "/e", "th"])

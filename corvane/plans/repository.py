@@ -26,16 +26,16 @@ _ext_sql = "CASE n_nationkey % 5 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in
  UNION ALL SELECT 'r' || r_regionkey || '/__init__.py', r_name, 1, 0 FROM region)
 SELECT path, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' ELSE 'markdown' END AS language, strlen(t)::BIGINT AS size_bytes, sha256(t) AS content_hash,
  (CASE WHEN path LIKE '%__init__.py' THEN 1 ELSE k + x END)::BIGINT AS line_count FROM t
-WHERE t <> '' AND path NOT LIKE 'node_modules/%' AND path NOT LIKE '%.min.js' AND path NOT LIKE '%.txt' AND path NOT LIKE 'r4/%'""")
+WHERE t <> '' AND path NOT LIKE 'node_modules/%' AND path NOT LIKE '%.min.js' AND path NOT LIKE '%.txt' AND path NOT LIKE 'r4/%' AND NOT regexp_matches(path, '/n1[0-2]\\.[^t]')""")
 def scan_tree(spark, d):
-    """A file a nation and a region, scanned again: empty and ignored ones, unknown languages and one folder are left out."""
+    """A file a nation and a region, scanned again: empty and ignored ones, unknown languages, one folder and a class of names are left out."""
     root = table_path(spark, "tree")
     files = []
     for r in table(spark, d, "nation").collect():  # 25 nations and 5 regions at any scale
         text = f"{r.n_name}\r\n" * r.n_nationkey + "end" * (r.n_nationkey % 2)
         files.append(("node_modules/" * (r.n_nationkey % 7 == 3) + f"r{r.n_regionkey}/n{r.n_nationkey}{_EXT[r.n_nationkey % 5]}", text.encode()))
     files += [(f"r{r.r_regionkey}/__init__.py", r.r_name.encode()) for r in table(spark, d, "region").collect()]
-    sources.write_tree(spark, root, [*files, (".gitignore", b"# one folder\nr4/\n")])
+    sources.write_tree(spark, root, [*files, (".gitignore", b"# one folder\nr[4-9]/\nn1[0-2].[!t]*\n")])
     return sources.scan(spark, root).select("path", "language", "size_bytes", "content_hash", "line_count")
 
 

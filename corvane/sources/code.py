@@ -37,8 +37,27 @@ RAW = "path string, length bigint, content binary"
 HIDDEN_BYTES = 64 << 20
 
 
+def _class(p: str, i: int) -> tuple[str, int] | None:
+    """The class that opens at p[i] as a regex and where it ends; None where it is never closed. No class matches a slash."""
+    at = i + 1
+    negated = p[at : at + 1] in ("!", "^")
+    at += negated
+    first, members = at, ""
+    while at < len(p) and (p[at] != "]" or at == first):
+        if p[at] == "-" and at > first and p[at + 1 : at + 2] not in ("", "]"):
+            members, at = members + "-", at + 1
+            continue
+        at += p[at] == "\\" and at + 1 < len(p)
+        members, at = members + re.escape(p[at]) if p[at].isalnum() else members + "\\" + p[at], at + 1
+    return (f"(?!/)[{'^' * negated}{members}]", at + 1) if at < len(p) else None
+
+
 def ignore_regex(pattern: str) -> tuple[str, bool]:
-    """A gitignore pattern as (regex over a relative path, negated)."""
+    """A gitignore pattern as (regex over a relative path, negated), for Java's and Python's expressions alike.
+
+    Classes with ranges and negation, escapes by a backslash, ``*``, ``?`` and ``**``; a class that is not closed is literal,
+    and a pattern that ends in a lone backslash matches nothing.
+    """
     negated = pattern.startswith("!")
     p = pattern[negated:].rstrip("/") if pattern.endswith("/") else pattern[negated:]
     only_dirs = pattern.endswith("/")
@@ -54,8 +73,16 @@ def ignore_regex(pattern: str) -> tuple[str, bool]:
             out, i = out + "[^/]*", i + 1
         elif p[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif p[i] == "[" and (found := _class(p, i)):
+            out, i = out + found[0], found[1]
+        elif p[i] == "\\":
+            out, i = out + (re.escape(p[i + 1]) if i + 1 < len(p) else "(?!)"), i + 2
         else:
             out, i = out + re.escape(p[i]), i + 1
+    try:
+        re.compile(out)
+    except re.error:  # a range from a later to an earlier character
+        out = "(?!)"
     return ("^" if anchored else "(?:^|/)") + out + ("/" if only_dirs else "(?:/|$)"), negated
 
 

@@ -207,12 +207,29 @@ def test_scan_tree(spark, tmp_path):
     assert code.chunk(spark.createDataFrame(got), parsed).count() == 3
 
 
-@pytest.mark.parametrize("rule, hit, miss", [("*.log", "a/b.log", "a/b.logs"), ("/top", "top/x", "a/top/x"), ("docs/", "docs/x", "docs"), ("a/**/b", "a/x/y/b", "b/a"), ("f?.c", "f1.c", "f12.c")])
+@pytest.mark.parametrize("rule, hit, miss", [("*.log", "a/b.log", "a/b.logs"), ("/top", "top/x", "a/top/x"), ("docs/", "docs/x", "docs"), ("a/**/b", "a/x/y/b", "b/a"), ("f?.c", "f1.c", "f12.c"),
+         ("[Bb]in/", "a/Bin/x", "a/cin/x"), ("test[0-9].py", "test7.py", "testa.py"), ("x[!0-9_].c", "xa.c", "x_.c"), ("x[^ab]", "xc", "xa"), ("q[]-]z", "q]z", "qaz"),
+         ("w[a-c-]", "w-", "wd"), ("lit[", "lit[", "lit"), (r"\!keep", "!keep", "keep"), (r"a\*b", "a*b", "axb"), (r"c[\]x]", "c]", "cy"), ("d?x", "dyx", "d/x"), ("e[!a]f", "ebf", "e/f"), ("g[&&]h", "g&h", "gah")])
 def test_ignore_rules(rule, hit, miss):
     regex, negated = sources.ignore_regex(rule)
     assert re.search(regex, hit) and not re.search(regex, miss) and not negated
 
 
+def test_ignore_rules_in_spark(spark):
+    """The same expressions, as the engine reads them; a pattern that cannot match leaves the others alone."""
+    rules = ["[Bb]in/", "test[0-9].py", "x[!0-9_].c", "q[]-]z", "w[a-c-]", r"\!keep", r"a\*b", "g[&&]h", "lit[", "[z-a]", "end\\"]
+    paths = {"Bin/x": True, "cin/x": False, "test7.py": True, "testa.py": False, "xa.c": True, "x_.c": False, "q]z": True, "w-": True, "wd": False, "!keep": True, "a*b": True, "axb": False, "g&h": True, "lit[": True, "z": False}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.path: r.i for r in df.select("path", sources.ignored(F.col("path"), rules).alias("i")).collect()} == paths
+
+
+def test_entry_points_by_importance(spark):
+    """Two files a pattern, then the most important five, whatever their pattern; ties by the first pattern."""
+    files = [("a/main.py", 1.0), ("b/main.py", 5.0), ("c/main.py", 4.0), ("app.py", 3.0), ("x/app.py", 2.0), ("index.ts", 9.0), ("web/index.js", 8.0), ("server.go", 0.5), ("cli.py", 3.0)]
+    got = tours.entry_points(spark.createDataFrame(files, "path string, importance double"))
+    assert [r.path for r in got.collect()] == ["index.ts", "web/index.js", "b/main.py", "c/main.py", "app.py"]
+
+
 def test_logs(spark):
     rows = [("a", "2024-01-01 00:00:01"), ("a", "2024-01-01 00:00:30"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:00:02")]
     log = spark.createDataFrame(rows, "c string, t string").withColumn("t", F.to_timestamp("t"))
