@@ -166,10 +166,14 @@ def _power_steps(n: int, a: np.ndarray, b: np.ndarray, damping: float, most: int
 
 
 def file_importance(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """files: path, score; symbols: path, score. Half of each; the file's alone without symbols; missing scores are 1."""
-    means = symbols.groupBy("path").agg(F.avg(F.coalesce("score", F.lit(1.0))).alias("s"))
-    own = F.coalesce("score", F.lit(1.0))
-    return files.join(means, "path", "left").select("path", F.round(F.when(F.col("s").isNotNull(), 0.5 * own + 0.5 * F.col("s")).otherwise(own), 4).alias("importance"))
+    """files: path, score; symbols: path, score. Half of each; the file's alone without symbols; missing scores are 1.
+
+    In decimals, so that no order of summation decides how a tie is rounded.
+    """
+    exact = F.coalesce("score", F.lit(1.0)).cast("decimal(28,12)")
+    means = symbols.groupBy("path").agg(F.avg(exact).alias("s"))
+    both = F.when(F.col("s").isNotNull(), (exact + F.col("s")) / 2).otherwise(exact)
+    return files.join(means, "path", "left").select("path", F.round(both, 4).cast("double").alias("importance"))
 
 
 def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = 3, fan_out: int | None = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import discard_path
+
 
 def classify(stored: DataFrame, scanned: DataFrame) -> DataFrame:
     """Both: path, hash. (path, status): new, changed, same or deleted."""
@@ -33,6 +35,18 @@ def write_partition(df: DataFrame, path: str, partition: str = "repo_id") -> Non
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def replace_partition(df: DataFrame, path: str, value: object, partition: str = "repo_id") -> None:
+    """df: a partition's new rows, without its column. They take the old ones' place; no rows leave an empty partition.
+
+    The value is one that a folder's name may hold as it is. Rows are looked for first, as a dynamic overwrite replaces only
+    what it is given.
+    """
+    if df.isEmpty():
+        discard_path(df.sparkSession, f"{path}/{partition}={value}")
+    else:
+        write_partition(df.withColumn(partition, F.lit(value)), path, partition)
+
+
 def drop_partition(df: DataFrame, value: object, partition: str = "repo_id") -> DataFrame:
     return df.filter(~F.col(partition).eqNullSafe(F.lit(value)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Calls a client may make in a window, by tier.
@@ -10,10 +10,10 @@ TIERS = {"default": (60, "1 minute"), "search": (30, "1 minute"), "llm": (10, "1
 # End of fixed values.
 
 
-def cost_report(calls: DataFrame, by: list[str]) -> DataFrame:
-    """calls: prompt, completion, cost. Totals by the given columns and over all (null)."""
+def cost_report(calls: DataFrame, by: list[str], n: Column | None = None) -> DataFrame:
+    """calls: prompt, completion, cost. Totals by the given columns and over all (null); a row is a call, unless ``n`` counts them."""
     return calls.rollup(*by).agg(
-        F.count(F.lit(1)).alias("n_calls"), F.sum("prompt").alias("prompt_tokens"), F.sum("completion").alias("completion_tokens"), F.round(F.sum("cost"), 4).alias("cost_usd")
+        (F.count(F.lit(1)) if n is None else n).alias("n_calls"), F.sum("prompt").alias("prompt_tokens"), F.sum("completion").alias("completion_tokens"), F.round(F.sum("cost"), 4).alias("cost_usd")
     )
 
 

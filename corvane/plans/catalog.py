@@ -353,8 +353,8 @@ def pagerank_converged(spark, d):
     return graph.pagerank(nodes(e), e)
 
 
-@query("""WITH f AS (SELECT o_orderkey AS path, o_totalprice / 100000 AS score FROM orders), s AS (SELECT l_orderkey AS path, avg(l_quantity / 25) AS s FROM lineitem GROUP BY 1)
-SELECT f.path, round(CASE WHEN s IS NOT NULL THEN 0.5 * score + 0.5 * s ELSE score END, 4) AS importance FROM f LEFT JOIN s USING (path)""")
+@query("""WITH f AS (SELECT o_orderkey AS path, round(o_totalprice * 100)::HUGEINT AS t FROM orders), s AS (SELECT l_orderkey AS path, sum(l_quantity * 400000)::HUGEINT AS s, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT f.path, (CASE WHEN s IS NOT NULL THEN (t * n + s + 1000 * n) // (2000 * n) ELSE (t + 500) // 1000 END)::DOUBLE / 10000 AS importance FROM f LEFT JOIN s USING (path)""")
 def file_importance(spark, d):
     files = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_totalprice") / 100000).alias("score"))
     return graph.file_importance(files, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_quantity") / 25).alias("score")))

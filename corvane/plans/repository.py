@@ -1,7 +1,7 @@
 """Queries over source trees made from the test tables, and their SQL: scan, ingestion, search, tours, issues.
 
 ``nation`` and ``region`` give a small tree that is written and scanned. ``supplier`` gives a repository of Python files,
-one a nation: each supplier is a function that calls another supplier's, and each file imports from the next nation's.
+one a nation and block of keys: each supplier is a function that calls another supplier's, and each file imports from the next nation's.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import assist, graph, incremental, ingest, tours
-from corvane.plans.catalog import embedded_sql, half_up, query, rank_sql, table, tokens_sql
+from corvane.operators import assist, graph, incremental, ingest, store, tours
+from corvane.plans.catalog import ORACLES, embedded_sql, half_up, query, rank_sql, table, tokens_sql
 from corvane.session import discard_path, table_path
 from corvane.sources import code as sources
 
@@ -41,13 +41,17 @@ def scan_tree(spark, d):
 
 # --- a repository -----------------------------------------------------------------------------------------------------
 
-REPO = """np AS (SELECT n_nationkey AS k, n_name, 'r' || n_regionkey || '/n' || n_nationkey || '.py' AS path, 'r' || n_regionkey || '.n' || n_nationkey AS module FROM nation),
+#: Keys of suppliers by which a nation's functions are parted into files, so that no file grows with the tables.
+BLOCK = 1000
+REPO = f"""bl AS (SELECT s_nationkey AS k, s_suppkey // {BLOCK} AS b FROM supplier UNION SELECT n_nationkey, 0 FROM nation),
+np AS (SELECT k, b, n_name, 'r' || n_regionkey || '/n' || n_nationkey || CASE WHEN b > 0 THEN '_' || b ELSE '' END || '.py' AS path,
+       'r' || n_regionkey || '.n' || n_nationkey || CASE WHEN b > 0 THEN '_' || b ELSE '' END AS module FROM nation JOIN bl ON k = n_nationkey),
 fm AS (SELECT s_nationkey AS k, min(s_suppkey) AS m FROM supplier GROUP BY 1), sn AS (SELECT count(*) AS n FROM supplier),
 hd AS (SELECT a.k, a.path, a.n_name, b.path AS target, 'from ' || b.module || ' import s' || coalesce(m, 0) AS raw, 's' || coalesce(m, 0) AS imported
-       FROM np a JOIN np b ON b.k = (a.k + 1) % 25 LEFT JOIN fm ON fm.k = b.k),
+       FROM np a JOIN np b ON b.k = (a.k + 1) % 25 AND b.b = 0 LEFT JOIN fm ON fm.k = b.k),
 df AS (SELECT path, s_suppkey, 's' || s_suppkey AS name, 's' || (7 * s_suppkey % n + 1) AS called, s_suppkey % 2 = 1 AS long,
        CASE WHEN s_suppkey % 2 = 1 THEN s_name || ' of ' || n_name || '.' END AS doc, CASE WHEN s_suppkey % 2 = 1 THEN 6 ELSE 2 END AS lines,
-       row_number() OVER (PARTITION BY path ORDER BY s_suppkey)::INT - 1 AS ordinal FROM supplier JOIN np ON k = s_nationkey, sn),
+       row_number() OVER (PARTITION BY path ORDER BY s_suppkey)::INT - 1 AS ordinal FROM supplier JOIN np ON k = s_nationkey AND b = s_suppkey // {BLOCK}, sn),
 dt AS (SELECT *, CASE WHEN long THEN 'def ' || name || '(x):' || chr(10) || '    \"\"\"' || doc || '\"\"\"' || chr(10) || '    a = ' || called || '(x)' || chr(10) || '    b = [a, x]' || chr(10) || '    c = helper(b)' || chr(10) || '    return c' || chr(10)
               ELSE 'def ' || name || '(x):' || chr(10) || '    return ' || called || '(x)' || chr(10) END AS content,
        (5 + coalesce(sum(lines + 2) OVER (PARTITION BY path ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS start_line FROM df),
@@ -62,8 +66,8 @@ ed AS (SELECT source_file, source_symbol, target_file, target_symbol, ['defines'
 RANKED = f"""{REPO}, sc AS MATERIALIZED ({rank_sql('''el AS (SELECT CASE WHEN edge_type = 'calls' THEN 'sym:' || source_file || ':' || source_symbol ELSE 'file:' || source_file END AS src,
  CASE WHEN edge_type = 'imports' THEN 'file:' || target_file ELSE 'sym:' || target_file || ':' || target_symbol END AS dst FROM ed),
 nd AS (SELECT 'file:' || path AS node FROM fl UNION ALL SELECT node FROM sy)''', 60, 1e-5)}),
-ys AS (SELECT sy.*, score FROM sy JOIN sc USING (node)), fa AS (SELECT path, avg(score) AS s FROM ys GROUP BY 1),
-fi AS (SELECT fl.path, t, n, {half_up('CASE WHEN s IS NULL THEN score ELSE 0.5 * score + 0.5 * s END', 4)} AS importance FROM fl JOIN sc ON node = 'file:' || fl.path LEFT JOIN fa ON fa.path = fl.path)"""
+ys AS (SELECT sy.*, score FROM sy JOIN sc USING (node)), fa AS (SELECT path, sum(round(score * 10000)::BIGINT) AS s, count(*) AS m FROM ys GROUP BY 1),
+fi AS (SELECT fl.path, t, n, CASE WHEN s IS NULL THEN score ELSE ((round(score * 10000)::BIGINT * m + s + m) // (2 * m))::DOUBLE / 10000 END AS importance FROM fl JOIN sc ON node = 'file:' || fl.path LEFT JOIN fa ON fa.path = fl.path)"""
 CODE_CHUNKS = f"""{RANKED},
 ty AS (SELECT path, string_agg(name, ', ' ORDER BY ordinal) AS names, min(start_line) AS a, max(end_line) AS b, string_agg('# function ' || name || chr(10) || content, chr(10) || chr(10) ORDER BY ordinal) AS body
        FROM sy WHERE NOT long GROUP BY path),
@@ -75,38 +79,63 @@ cc AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY o)::INT - 1 AS or
        || CASE WHEN docstring <> '' THEN 'Docstring: ' || docstring || chr(10) ELSE '' END || chr(10) || 'Code:' || chr(10) || content AS etext FROM ca)""".replace('\\"', '"')
 
 
-def repository_files(spark: SparkSession, d: str) -> DataFrame:
-    """path, length, content of the files; a file's functions are one aggregate of its nation's suppliers."""
-    n = table(spark, d, "nation").select(
-        F.col("n_nationkey").alias("k"), "n_name", F.format_string("r%d/n%d.py", "n_regionkey", "n_nationkey").alias("path"), F.format_string("r%d.n%d", "n_regionkey", "n_nationkey").alias("module")
-    )
-    s = table(spark, d, "supplier")
+def repository_files(spark: SparkSession, d: str, block: int | None = None) -> DataFrame:
+    """path, length, content of the files; a file's functions are one aggregate of its nation's suppliers in a block of keys."""
+    block = block or BLOCK
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name", F.format_string("r%d", "n_regionkey").alias("folder"))
+    key = F.col("s_suppkey").cast("long")
+    s = table(spark, d, "supplier").withColumn("b", F.floor(key / block))
     total = s.count()
     first = s.groupBy(F.col("s_nationkey").alias("k")).agg(F.min("s_suppkey").alias("m"))
-    nxt = n.join(first, "k", "left").select(((F.col("k") + 24) % 25).alias("k"), F.format_string("from %s import s%d", "module", F.coalesce("m", F.lit(0).cast("long"))).alias("raw"))
-    key = F.col("s_suppkey").cast("long")
+    module = F.format_string("%s.n%d", "folder", "k")
+    nxt = n.join(first, "k", "left").select(((F.col("k") + 24) % 25).alias("k"), F.format_string("from %s import s%d", module, F.coalesce("m", F.lit(0).cast("long"))).alias("raw"))
     called = (7 * key) % total + 1
     long = F.format_string('def s%d(x):\n    """%s of %s."""\n    a = s%d(x)\n    b = [a, x]\n    c = helper(b)\n    return c\n', key, "s_name", "n_name", called)
-    each = s.join(n, F.col("s_nationkey") == F.col("k")).select("k", key.alias("s"), F.when(key % 2 == 1, long).otherwise(F.format_string("def s%d(x):\n    return s%d(x)\n", key, called)).alias("def"))
-    body = each.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "def"))), lambda x: x["def"]), "\n\n").alias("body"))
+    each = s.join(n, F.col("s_nationkey") == F.col("k")).select("k", "b", key.alias("s"), F.when(key % 2 == 1, long).otherwise(F.format_string("def s%d(x):\n    return s%d(x)\n", key, called)).alias("def"))
+    body = each.groupBy("k", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "def"))), lambda x: x["def"]), "\n\n").alias("body"))
     text = F.concat(F.format_string('"""%s."""\n%s\n\n\n', "n_name", "raw"), F.coalesce("body", F.lit("")))
-    files = n.join(nxt, "k").join(body, "k", "left").select("path", F.encode(text, "utf-8").alias("content"))
+    blocks = body.select("k", "b").union(n.select("k", F.lit(0).cast("long"))).distinct()
+    path = F.concat("folder", F.lit("/n"), F.col("k").cast("string"), F.when(F.col("b") > 0, F.concat(F.lit("_"), F.col("b").cast("string"))).otherwise(""), F.lit(".py"))
+    files = blocks.join(n, "k").join(nxt, "k").join(body, ["k", "b"], "left").select(path.alias("path"), F.encode(text, "utf-8").alias("content"))
     return files.select("path", F.octet_length("content").cast("long").alias("length"), "content")
 
 
-_DONE: dict[tuple[str, str], str] = {}
+def earlier_files(spark: SparkSession, d: str) -> DataFrame:
+    """The repository as it was before: nation 5's file reads otherwise, nation 7's is not there yet, and one that went since is."""
+    files, at = repository_files(spark, d), lambda k: F.regexp_like("path", F.lit(f"/n{k}(_[0-9]+)?[.]py$"))
+    other = F.encode(F.concat(F.decode("content", "utf-8"), F.lit("\n\ndef gone(x):\n    return x\n")), "utf-8")
+    was = files.filter(~at(7)).withColumn("content", F.when(at(5), other).otherwise(F.col("content")))
+    more = spark.createDataFrame([("r0/old.py", bytearray(b"x = 1\n"))], "path string, content binary")
+    return was.select("path", "content").unionByName(more).select("path", F.octet_length("content").cast("long").alias("length"), "content")
 
 
-def repository(spark: SparkSession, d: str) -> str:
-    """The folder of the repository's tables: ingested once a job, in the shared folder."""
-    key = (spark.sparkContext.applicationId, d)
+_DONE: dict[tuple[str, ...], str] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, fill) -> str:
+    """The folder of a repository's tables: filled once a job, in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _DONE:
-        out = table_path(spark, "repository")
-        ingest.ingest(spark, sources.describe(repository_files(spark, d)), out, 1, "suppliers")
+        out = table_path(spark, name)
+        fill(out)
         _DONE[key] = out
     return _DONE[key]
 
 
+def repository(spark: SparkSession, d: str) -> str:
+    return _once(spark, d, "repository", lambda out: ingest.ingest(spark, sources.describe(repository_files(spark, d)), out, 1, "suppliers"))
+
+
+def grown(spark: SparkSession, d: str) -> str:
+    """The repository in two runs: as it was, then incrementally as it is."""
+
+    def fill(out: str) -> None:
+        ingest.ingest(spark, sources.describe(earlier_files(spark, d)), out, 1, "suppliers")
+        ingest.ingest(spark, sources.describe(repository_files(spark, d)), out, 1, "suppliers", incremental_run=True)
+
+    return _once(spark, d, "grown", fill)
+
+
 def stored(spark: SparkSession, d: str, name: str) -> DataFrame:
     return ingest.table(spark, repository(spark, d), name, 1)
 
@@ -116,6 +145,12 @@ def ingest_files(spark, d):
     return stored(spark, d, "files").select("path", "language", "size_bytes", "content_hash", "line_count", "importance")
 
 
+@query(ORACLES["ingest_files"])
+def incremental_files(spark, d):
+    """The second run's files: as those of a full run."""
+    return ingest.table(spark, grown(spark, d), "files", 1).select("path", "language", "size_bytes", "content_hash", "line_count", "importance")
+
+
 @query(f"""WITH {RANKED} SELECT path, ordinal, name, 'function' AS kind, signature, coalesce(doc, '') AS docstring, start_line, end_line, sha256(content) AS content_hash, score AS importance,
  CASE WHEN long THEN 'Function `' || name || '` (' || signature || '): ' || doc ELSE 'Component summary: ' || signature || ' | ' || signature || ': | return ' || called || '(x)' END AS summary FROM ys""")
 def ingest_symbols(spark, d):
@@ -128,9 +163,58 @@ def ingest_edges(spark, d):
     return stored(spark, d, "edges").drop("repo_id")
 
 
+@query(ORACLES["ingest_edges"])
+def incremental_edges(spark, d):
+    return ingest.table(spark, grown(spark, d), "edges", 1).drop("repo_id")
+
+
 @query(f"WITH {CODE_CHUNKS} SELECT path, ordinal, name, chunk_type, header, start_line, end_line, greatest(1, length(content) // 4)::BIGINT AS token_count, sha256(etext) AS content_hash, importance::DOUBLE AS importance FROM cc")
 def ingest_chunks(spark, d):
-    return stored(spark, d, "chunks").select("path", "ordinal", "name", "chunk_type", "header", "start_line", "end_line", "token_count", "content_hash", "importance")
+    return _chunks_told(stored(spark, d, "chunks"))
+
+
+def _chunks_told(chunks: DataFrame) -> DataFrame:
+    return chunks.select("path", "ordinal", "name", "chunk_type", "header", "start_line", "end_line", "token_count", "content_hash", "importance")
+
+
+@query(ORACLES["ingest_chunks"])
+def incremental_chunks(spark, d):
+    return _chunks_told(ingest.table(spark, grown(spark, d), "chunks", 1))
+
+
+_AT5, _AT7 = "regexp_matches(path, '/n5(_[0-9]+)?[.]py$')", "regexp_matches(path, '/n7(_[0-9]+)?[.]py$')"
+
+
+@query(f"""WITH {CODE_CHUNKS}, pr AS (SELECT path FROM fl WHERE {_AT5} OR {_AT7}
+ UNION SELECT source_file FROM ed WHERE {_AT5.replace('path', 'target_file')} AND NOT {_AT7.replace('path', 'source_file')})
+SELECT (SELECT count(*) FROM fl) AS total_files, (SELECT count(*) FROM pr) AS processed_files, (SELECT count(*) FROM fl WHERE NOT {_AT5} AND NOT {_AT7}) AS unchanged_files, 1::BIGINT AS deleted_files,
+ (SELECT count(*) FROM fl WHERE {_AT5} OR {_AT7}) AS parsed_texts, (SELECT count(DISTINCT sha256(etext)) FROM cc WHERE {_AT7} OR ({_AT5} AND chunk_type = 'tiny_symbols')) AS embedded_texts""")
+def incremental_run(spark, d):
+    """The second run's counts: files of which a text changed or that depend on one, texts parsed, chunks embedded."""
+    counts = ["total_files", "processed_files", "unchanged_files", "deleted_files", "parsed_texts", "embedded_texts"]
+    return ingest.ready(ingest.table(spark, grown(spark, d), "repositories"), 1).select(*counts)
+
+
+@query(f"""WITH {REPO} SELECT 1::BIGINT AS repo_id, 'ready' AS status, 'suppliers' AS name, 'local_' || substr(sha256(count(*)::VARCHAR), 1, 12) AS commit_id, count(*) AS total_files, sum(n)::BIGINT AS total_symbols,
+ 2::BIGINT AS runs, 10::BIGINT AS states FROM fl""")
+def repository_list(spark, d):
+    """Repositories with the states that their two runs went through, after ``pending``."""
+    out = grown(spark, d)
+    log = store.runs(spark, out).filter("status <> 'pending'").groupBy("repo_id").agg(F.countDistinct("version").alias("runs"), F.count(F.lit(1)).alias("states"))
+    return store.repositories(spark, out).join(log, "repo_id").select("repo_id", "status", "name", "commit_id", "total_files", "total_symbols", "runs", "states")
+
+
+@query(f"""WITH {CODE_CHUNKS}, ln AS (SELECT path, string_agg('- ' || name || ' (function): ' || CASE WHEN long THEN 'Function `' || name || '` (' || signature || '): ' || doc
+  ELSE 'Component summary: ' || signature || ' | ' || signature || ': | return ' || called || '(x)' END, chr(10) ORDER BY ordinal) AS t FROM sy WHERE ordinal < 20 GROUP BY 1),
+pt AS (SELECT fl.path, 'File Header: ' || n_name || '.' || chr(10) || coalesce(ln.t, 'No discrete exported functions.') AS p FROM fl JOIN hd USING (path) LEFT JOIN ln USING (path)),
+sm AS (SELECT path, p, list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5) AS l FROM pt),
+us AS (SELECT '2.0-flash' AS model, count(*) AS n, sum(greatest(1, length(p) // 4)) AS p, sum(greatest(1, length('Component summary: ' || array_to_string(l[1:4], ' | ')) // 4)) AS c FROM sm
+ UNION ALL SELECT 'embedding', count(*), sum(t), 0 FROM (SELECT DISTINCT etext, greatest(1, length(etext) // 4) AS t FROM cc)),
+cs AS (SELECT *, CASE WHEN model = 'embedding' THEN 0 ELSE (p * 0.075::DOUBLE + c * 0.3::DOUBLE) / 1000000 END AS cost FROM us)
+SELECT model, sum(n)::BIGINT AS n_calls, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, round(sum(cost), 4) AS cost_usd FROM cs GROUP BY ROLLUP (model)""")
+def repository_cost(spark, d):
+    """What the run's calls of models took, by model and in all."""
+    return store.cost(spark, repository(spark, d), 1)
 
 
 @query(f"""WITH {embedded_sql('de', '(SELECT path, ordinal, etext AS text FROM x)', "path || '#' || ordinal").replace('(SELECT path, ordinal, etext AS text FROM x)', 'ct').replace('dew AS', f'{CODE_CHUNKS}, ct AS (SELECT path, ordinal, etext AS text FROM cc), dew AS', 1)}
@@ -157,7 +241,7 @@ def ingest_repository(spark, d):
 
 # --- answers over it --------------------------------------------------------------------------------------------------
 
-ASKED = "aq AS (SELECT k AS query_id, 'How does s' || coalesce(m, 1) || ' of ' || n_name || ' use a helper?' AS text FROM np LEFT JOIN fm USING (k))"
+ASKED = "aq AS (SELECT k AS query_id, 'How does s' || coalesce(m, 1) || ' of ' || n_name || ' use a helper?' AS text FROM np LEFT JOIN fm USING (k) WHERE b = 0)"
 
 
 def asked(spark, d) -> DataFrame:
@@ -279,7 +363,7 @@ def good_first_issues(spark, d):
     return m.select("number", "file_path", "relevance", F.array_join(F.transform("symbols", lambda x: F.concat_ws(" ", x["name"], x["line_range"])), "|").alias("symbols"))
 
 
-@query(f"""WITH {_hits_sql(5)}, r AS (SELECT query_id, min(rank) FILTER (WHERE hits.path = np.path) AS r FROM hits JOIN np ON k = query_id GROUP BY 1)
+@query(f"""WITH {_hits_sql(5)}, r AS (SELECT query_id, min(rank) FILTER (WHERE hits.path = np.path) AS r FROM hits JOIN np ON k = query_id AND b = 0 GROUP BY 1)
 SELECT count(*) AS n, round(100 * avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_1, round(100 * avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM r""")
 def evaluate_questions(spark, d):
     """Questions with the names of their nations' files, against what five hits hold."""
@@ -287,12 +371,13 @@ def evaluate_questions(spark, d):
     return assist.evaluate(stored(spark, d, "chunks"), asked(spark, d).join(names, "query_id"))
 
 
-@query("""SELECT lang AS repo, count(*) AS files, sum(n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END)::BIGINT AS characters FROM documents WHERE lang <> 'es' GROUP BY 1""")
+@query("""SELECT lang AS repo, count(*) AS files, sum(n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END)::BIGINT AS characters FROM documents WHERE lang NOT IN ('es', 'fr') GROUP BY 1""")
 def partition_rewrite(spark, d):
-    """A table by partitions: written, one replaced alone, one dropped, and read again."""
+    """A table by partitions: written, one replaced alone, one by no rows, one dropped, and read again."""
     path, doc = table_path(spark, "partitions"), table(spark, d, "documents").select("doc_id", "n_chars", "lang")
     incremental.write_partition(doc, path, "lang")
-    incremental.write_partition(doc.filter("lang = 'de'").withColumn("n_chars", F.col("n_chars") + 1), path, "lang")
+    incremental.replace_partition(doc.filter("lang = 'de'").withColumn("n_chars", F.col("n_chars") + 1).drop("lang"), path, "de", "lang")
+    incremental.replace_partition(doc.filter("lang = 'fr' AND doc_id < 0").drop("lang"), path, "fr", "lang")
     discard_path(spark, f"{path}/lang=es")
     return spark.read.parquet(path).groupBy(F.col("lang").alias("repo")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("characters"))
 
