@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,14 @@ def _parted(text: Column) -> Column:
     return F.split(cased, _PARTS)
 
 
+_LOWER_UPPER, _UPPER_WORD, _PARTED = re.compile("([a-z0-9])([A-Z])"), re.compile("([A-Z]+)([A-Z][a-z])"), re.compile(_PARTS)
+
+
+def parted(text: str) -> list[str]:
+    """What ``identifier_tokens`` lower-cases, with single characters, of one text."""
+    return _PARTED.split(_UPPER_WORD.sub(r"\1 \2", _LOWER_UPPER.sub(r"\1 \2", text)))
+
+
 def identifier_tokens(text: Column) -> Column:
     """Words of identifiers: parts at case changes, ``_ . - /`` and white space; single characters go; lower case."""
     return F.transform(F.filter(_parted(text), lambda t: F.length(t) > 1), F.lower)

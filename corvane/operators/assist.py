@@ -32,8 +32,7 @@ def keyword_text() -> Column:
 
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 8, model: TextModel = OFFLINE) -> DataFrame:
     """chunks: chunk_id, ``FIELDS``, embedding; queries: query_id, text. (query_id, rank, score, vrank, krank, chunk_id, ``FIELDS``)."""
-    index = search.matching_terms(chunks, keyword_text(), queries)
-    keyword = search.keyword_topk(index, queries, symbols=chunks.select("chunk_id", F.col("name").alias("symbol")))
+    keyword = search.keyword_topk(chunks, keyword_text(), queries, symbol=F.col("name"))
     vector = search.vector_topk(chunks.select("chunk_id", "embedding"), with_embedding(queries, F.col("text"), model.embed))
     best = search.fuse(vector, keyword, chunks.select("chunk_id", "importance"), k)
     return best.drop("importance").join(chunks.select("chunk_id", *FIELDS), "chunk_id")

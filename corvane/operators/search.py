@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -11,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import exploded_tokens, or_default, token_estimate
+from corvane.functions.text import exploded_tokens, identifier_tokens, or_default, parted, token_estimate
+from corvane.operators.best import Best, ids_of
 from corvane.session import ship
 
 POOL, K, W_VECTOR, W_KEYWORD, BOOST, MOST = 50, 60, 0.6, 0.4, 0.35, 20
 SYMBOL_BONUS = 15.0
-#: Distinct words of a batch of queries that are broadcast, and numbers of query vectors that one pass over the chunks takes.
-BROADCAST_WORDS, BLOCK_NUMBERS = 500_000, 4 << 20
+#: Words that are broadcast; what one pass over the chunks takes: numbers of query vectors, queries and their words, short items.
+BROADCAST_WORDS, BLOCK_NUMBERS, BLOCK_QUERIES, BLOCK_TERMS, SHORT_ITEMS = 500_000, 4 << 20, 4096, 500_000, 500
 
 
 def term_frequency(chunks: DataFrame, text: Column) -> DataFrame:
@@ -25,65 +29,115 @@ def term_frequency(chunks: DataFrame, text: Column) -> DataFrame:
     return exploded_tokens(chunks, text, "chunk_id").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, token, k): terms as often as a query repeats them."""
-    return exploded_tokens(queries, F.col("text"), "query_id").groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("k"))
-
-
-def matching_terms(chunks: DataFrame, text: Column, queries: DataFrame) -> DataFrame:
-    """The part of ``term_frequency`` that the queries ask for: other words go before anything is counted or moved."""
-    words = query_terms(queries).select("token").distinct()
-    hint = F.broadcast if words.count() <= BROADCAST_WORDS else (lambda df: df)
-    asked = exploded_tokens(chunks, text, "chunk_id").join(hint(words), "token", "left_semi")
-    return asked.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def top(df: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
-def symbol_bonus(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """symbols: chunk_id, symbol; queries: query_id, text. (query_id, chunk_id, bonus) where a symbol's name occurs in a
-    query, letters in either case: every stretch of a query that is as long as some name meets the names in an equi-join,
-    on the name reversed, so that the chunks of a common one can be split.
+@dataclass
+class _Asked:
+    """A block of queries: ids, lower-cased texts, and for each word the queries that have it and how often."""
+
+    ids: pa.Array
+    texts: list[str]
+    words: dict[str, int]
+    first: np.ndarray
+    query: np.ndarray
+    times: np.ndarray
+
+    @staticmethod
+    def of(rows: list, kind: pa.DataType) -> _Asked:
+        words, query, times = [], [], []
+        for q, r in enumerate(rows):
+            for token, k in Counter(r.tokens).items():
+                words.append(token)
+                query.append(q)
+                times.append(k)
+        names, at = np.unique(np.array(words, dtype=object), return_inverse=True) if words else (np.array([], object), np.array([], int))
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(len(names) + 1))
+        return _Asked(pa.array([r.query_id for r in rows], kind), [r.text for r in rows], {w: i for i, w in enumerate(names)}, first, np.array(query, int)[order], np.array(times, float)[order])
+
+    def scores(self, text: str, symbol: str, everywhere: str) -> np.ndarray | None:
+        """A score a query, -inf where there is none; None where no query has one."""
+        tf: Counter = Counter()
+        for part, n in Counter(parted(text)).items():
+            if len(part) > 1 and (w := self.words.get(part.lower())) is not None:
+                tf[w] += n
+        named = [q for q, t in enumerate(self.texts) if symbol in t] if symbol and symbol in everywhere else []
+        if not tf and not named:
+            return None
+        words = np.fromiter(tf.keys(), int, len(tf))
+        count = self.first[words + 1] - self.first[words]
+        at = np.arange(count.sum()) + np.repeat(self.first[words] - (np.cumsum(count) - count), count)
+        weight = np.repeat(1 + np.log1p(np.fromiter(tf.values(), float, len(tf))), count)
+        base, m = (np.bincount(self.query[at], w, len(self.texts)).astype(float) for w in (self.times[at] * weight, self.times[at]))
+        base[named] += SYMBOL_BONUS
+        score = np.round(np.where(m > 1, base * (1 + 0.25 * m), base), 6)
+        return np.where(score > 0, score, -np.inf)
+
+
+def _keyword_batches(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.RecordBatch]:
+    asked: _Asked = shared.value
+    best, everywhere = Best(k, len(asked.texts)), "\0".join(asked.texts)
+    for b in batches:
+        texts, symbols, ids = b.column(1).to_pylist(), b.column(2).to_pylist(), ids_of(b.column(0))
+        for at in range(0, b.num_rows, best.rows_at_once()):
+            rows = range(at, min(b.num_rows, at + best.rows_at_once()))
+            found = [(r, s) for r in rows if (s := asked.scores(texts[r] or "", symbols[r] or "", everywhere)) is not None]
+            if found:
+                best.add(np.array([s for _, s in found]), ids[[r for r, _ in found]])
+        kind = b.schema.field(0).type
+    if best.parts:
+        yield from best.batches(asked.ids, kind)
+
+
+def keyword_topk(chunks: DataFrame, text: Column, queries: DataFrame, k: int = POOL, symbol: Column | None = None) -> DataFrame:
+    """chunks: chunk_id, and a text to be searched; queries: query_id, text: a stated set. (query_id, chunk_id, score, rank).
+
+    A chunk is scored where it is read, for all queries of a block (``BLOCK_QUERIES``, of ``BLOCK_TERMS`` words): their words are
+    broadcast, other words of the chunk count for nothing. A task gives out its best ``k`` of each query, so what is exchanged
+    does not grow with the words. ``symbol``: a chunk's name; where it occurs in a query, letters in either case, that adds.
     """
-    names = symbols.filter("symbol <> ''").select("chunk_id", F.lower("symbol").alias("name"))
-    sizes = names.select(F.length("name").alias("n")).distinct()
-    said = queries.select("query_id", F.lower("text").alias("q")).join(F.broadcast(sizes), F.col("n") <= F.length("q"))  # a row a length of names
-    parts = said.select("query_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring(F.col("q"), i, F.col("n"))))).alias("name"))
-    met = parts.withColumn("_turned", F.reverse("name")).drop("name").join(names.withColumn("_turned", F.reverse("name")), "_turned")
-    return met.select("query_id", "chunk_id", F.lit(SYMBOL_BONUS).alias("bonus")).distinct()
-
-
-def keyword_scores(index: DataFrame, queries: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """index: as ``matching_terms`` or ``term_frequency`` give; queries: query_id, text; symbols: chunk_id, symbol."""
-    terms = query_terms(queries).select("query_id", F.reverse("token").alias("_turned"), "k")
-    # On the word reversed both sides are exchanged, so the chunks of a common word can be split.
-    scored = index.withColumn("_turned", F.reverse("token")).join(terms, "_turned").groupBy("query_id", "chunk_id")
-    scored = scored.agg(F.sum(F.col("k") * (1 + F.log1p("tf"))).alias("base"), F.sum("k").alias("m"))
-    if symbols is not None:
-        bonus = symbol_bonus(symbols, queries)
-        scored = scored.join(bonus, ["query_id", "chunk_id"], "full").withColumns({"base": F.coalesce("base", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)), "m": F.coalesce("m", F.lit(0))})
-    score = F.when(F.col("m") > 1, F.col("base") * (1 + 0.25 * F.col("m"))).otherwise(F.col("base"))
-    return scored.select("query_id", "chunk_id", F.round(score, 6).alias("score")).filter("score > 0")
+    spark = chunks.sparkSession
+    ship(spark)
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((chunks, "chunk_id"), (queries, "query_id"))}
+    held = chunks.select("chunk_id", text.alias("text"), F.lower(F.coalesce(F.lit("") if symbol is None else symbol, F.lit(""))).alias("symbol"))
+    schema, parts = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double", []
+    rows = queries.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), identifier_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).orderBy("query_id").toLocalIterator()
+    kind = pa.int32() if kinds["query_id"] == "int" else None
+    for block in _blocks(rows):
+        shared = spark.sparkContext.broadcast(_Asked.of(block, kind))
+        parts.append(held.mapInArrow(lambda it, s=shared: _keyword_batches(it, s, k), schema))
+    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return top(out, "query_id", [F.desc("score"), "chunk_id"], k)
 
 
-def keyword_topk(index: DataFrame, queries: DataFrame, k: int = POOL, symbols: DataFrame | None = None) -> DataFrame:
-    return top(keyword_scores(index, queries, symbols), "query_id", [F.desc("score"), "chunk_id"], k)
+def _blocks(rows: Iterator) -> Iterator[list]:
+    block, terms = [], 0
+    for r in rows:
+        block.append(r)
+        terms += len(r.tokens)
+        if terms >= BLOCK_TERMS or len(block) >= BLOCK_QUERIES:
+            yield block
+            block, terms = [], 0
+    if block:
+        yield block
 
 
 def _near_batches(batches: Iterator[pa.RecordBatch], asked, k: int) -> Iterator[pa.RecordBatch]:
-    """Of a batch's chunks those that may be among the k best of a query: as good as the batch's own k-th best."""
+    """A task's k best chunks of each query, ties to the smaller chunk_id."""
     ids, q = asked.value
+    best = Best(k, len(q))
     for b in batches:
-        vectors = b.column(1)
-        v = np.asarray(vectors.flatten(), dtype=np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, q.shape[1]))
-        norm = np.sqrt((v * v).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
-        cosine = np.round(np.where(norm < 1e-9, 0.0, (v @ q.T) / np.where(norm < 1e-9, 1.0, norm)), 6)
-        least = np.partition(cosine, -k, axis=0)[-k] if b.num_rows > k else np.full(len(q), -np.inf)
-        row, query = np.nonzero(cosine >= least)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), b.column(0).take(pa.array(row)), pa.array(cosine[row, query] + 0.0)], names=["query_id", "chunk_id", "score"])
+        for at in range(0, b.num_rows, best.rows_at_once()):
+            part = b.slice(at, best.rows_at_once())
+            v = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+            norm = np.sqrt((v * v).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
+            best.add(np.round(np.where(norm < 1e-9, 0.0, (v @ q.T) / np.where(norm < 1e-9, 1.0, norm)), 6), ids_of(part.column(0)))
+        kind = b.schema.field(0).type
+    if best.parts:
+        yield from best.batches(ids, kind)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
@@ -104,29 +158,26 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFr
         kind = pa.int32() if queries.schema["query_id"].dataType.simpleString() == "int" else None
         shared = spark.sparkContext.broadcast((pa.array([r[0] for r in part], kind), np.array([r[1] for r in part], np.float64)))
         parts.append(held.mapInArrow(lambda it, s=shared: _near_batches(it, s, k), schema))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return top(out, "query_id", [F.desc("score"), "chunk_id"], k)
+    return top(reduce(DataFrame.unionByName, parts), "query_id", [F.desc("score"), "chunk_id"], k)
 
 
 def containing(chunks: DataFrame, items: DataFrame) -> DataFrame:
     """chunks: chunk_id, text; items: query_id, text. (query_id, chunk_id) where the item's text stands in the chunk's.
 
-    Between its first and its last space an item's longest word is whole in any text that holds the item, so texts and
-    items meet on that word and only those pairs are compared. Items of under three words are looked for in each text.
+    Between its first and its last space an item's longest word is whole in any text that holds the item, so ids of chunks and
+    items meet on that word, and only the texts of those pairs are compared. Items of under three words are a stated set that
+    is looked for in each text, in blocks.
     """
     inner = F.filter(F.slice(F.split("text", " "), 2, F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0))), lambda w: w != "")
     keyed = items.select("query_id", F.col("text").alias("item"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
     words = keyed.filter("word IS NOT NULL")
     hint = F.broadcast if words.count() <= BROADCAST_WORDS else (lambda df: df)
-    each = chunks.select("chunk_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    found = each.join(hint(words), "word").filter(F.contains("text", F.col("item"))).select("query_id", "chunk_id")
-    short = keyed.filter("word IS NULL AND item <> ''").select("query_id", "item").collect() if keyed.filter("word IS NULL AND item <> ''").count() <= 1000 else None
-    if short is None:
-        raise ValueError("over 1000 items of under three words")
-    if short:
-        hits = F.array(*[F.when(F.contains("text", F.lit(r.item)), F.lit(r.query_id)) for r in short])
+    each = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    pairs = each.join(hint(words.select("query_id", "word")), "word").select("query_id", "chunk_id")
+    found = chunks.select("chunk_id", "text").join(pairs, "chunk_id").join(keyed.select("query_id", "item"), "query_id").filter(F.contains("text", F.col("item"))).select("query_id", "chunk_id")
+    short = keyed.filter("word IS NULL AND item <> ''").select("query_id", "item").toLocalIterator()
+    while block := list(islice(short, SHORT_ITEMS)):
+        hits = F.array(*[F.when(F.contains("text", F.lit(r.item)), F.lit(r.query_id)) for r in block])
         few = chunks.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("query_id"), "chunk_id")
         found = found.unionByName(few.withColumn("query_id", F.col("query_id").cast(items.schema["query_id"].dataType)))
     return found.distinct()

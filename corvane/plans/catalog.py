@@ -142,7 +142,7 @@ def term_frequency(spark, d):
 
 def _keyword(spark, d) -> DataFrame:
     chunk, asked = chunks(spark, d), questions(spark, d)
-    return search.keyword_topk(search.matching_terms(chunk, assist.keyword_text(), asked), asked, symbols=chunk.select("chunk_id", F.col("name").alias("symbol")))
+    return search.keyword_topk(chunk, assist.keyword_text(), asked, symbol=F.col("name"))
 
 
 @query(f"WITH {KEYWORD} SELECT * FROM kw")

@@ -114,10 +114,8 @@ def test_call_preference(spark):
 
 
 def test_symbol_bonus_is_multiplied(spark):
-    chunks = spark.createDataFrame([(1, "parse the file"), (2, "other words")], "chunk_id bigint, text string")
-    index = search.term_frequency(chunks, F.col("text"))
-    names = spark.createDataFrame([(1, "Parse"), (2, "")], "chunk_id bigint, symbol string")
-    got = search.keyword_topk(index, spark.createDataFrame([(7, "parse file parse")], "query_id bigint, text string"), symbols=names).collect()
+    chunks = spark.createDataFrame([(1, "parse the file", "Parse"), (2, "other words", "")], "chunk_id bigint, text string, symbol string")
+    got = search.keyword_topk(chunks, F.col("text"), spark.createDataFrame([(7, "parse file parse")], "query_id bigint, text string"), symbol=F.col("symbol")).collect()
     import math
 
     base = 15 + 3 * (1 + math.log(2))

@@ -1,12 +1,14 @@
 """Ingestion over a small tree, and the operators behind it against plain Python."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from corvane.functions import vectors as V
-from corvane.functions.text import exploded_tokens, identifier_tokens
+from corvane.functions.text import exploded_tokens, identifier_tokens, parted
 from corvane.operators import assist, code, graph, ingest, observe, search
 from corvane.session import shared_dir
 from corvane.sources import code as sources
@@ -144,14 +146,43 @@ def test_embeddings(spark):
     assert all(r.embedding == [float(len(r.t))] for r in got)
 
 
-def test_bonus_and_containing(spark):
-    names = ["Parse", "a", "", "the file", "FILE", "zz"]
-    queries = [(1, "parse THE FILE"), (2, "x"), (3, "zzz a")]
-    got = {(r.query_id, r.chunk_id) for r in search.symbol_bonus(spark.createDataFrame(list(enumerate(names)), "chunk_id int, symbol string"), spark.createDataFrame(queries, "query_id int, text string")).collect()}
-    assert got == {(q, k) for q, t in queries for k, n in enumerate(names) if n and n.lower() in t.lower()}
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_QUERIES": 2}, {"BLOCK_TERMS": 5}])
+def test_keywords_by_hand(spark, monkeypatch, limits):
+    """Names and words in either case, ties, words that queries repeat, empty and null texts, several blocks of queries."""
+    for name, value in limits.items():
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(7)
+    vocabulary = ["parseFile", "parse", "file", "the", "Store", "HTTPServer", "get_item", "x", "ärger", "ÄRGER", "ΣΑΣ"]
+    chunks = [(f"c{k:03}", " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 12))), rng.choice(["Parse", "a", "", "the file", "FILE", None])) for k in range(200)] + [("n", None, "Parse")]
+    queries = [(1, "parse THE FILE"), (2, "x"), (3, "zzz a file file"), (4, "HTTP server ärger σας"), (5, ""), (6, None), (7, "getItem store")]
+    got = search.keyword_topk(spark.createDataFrame(chunks, "chunk_id string, text string, name string").repartition(5), F.col("text"), spark.createDataFrame(queries, "query_id int, text string"), 9, F.col("name")).collect()
+    tokens = lambda t: [w.lower() for w in parted(t or "") if len(w) > 1]
+    for q, asked in queries:
+        scored = []
+        for c, t, n in chunks:
+            tf, base, m = Counter(tokens(t)), 0.0, 0
+            for w, k in Counter(tokens(asked)).items():
+                if tf[w]:
+                    base, m = base + k * (1 + math.log1p(tf[w])), m + k
+            base += 15 if n and n.lower() in (asked or "").lower() else 0
+            score = round(base * (1 + 0.25 * m) if m > 1 else base, 6)
+            scored += [(-score, c)] * (score > 0)
+        assert [(-r.score, r.chunk_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == sorted(scored)[:9]
+    assert search.keyword_topk(spark.createDataFrame(chunks, "chunk_id string, text string, name string"), F.col("text"), spark.createDataFrame([], "query_id int, text string")).count() == 0
+
+
+def test_equal_cosines_are_cut_by_id(spark):
+    """All chunks are as good: a task gives out k, those of the smallest ids, not all."""
+    chunks = spark.range(3000, numPartitions=3).select((2999 - F.col("id")).alias("chunk_id"), F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
+    got = search.vector_topk(chunks, spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "query_id int, embedding array<double>"), 5)
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == [(q, k + 1, k) for q in (1, 2) for k in range(5)]
+
+
+def test_containing(spark, monkeypatch):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["aa", "b", "ccc", "", "dd\nee"]) for _ in range(30)) for _ in range(60)]
     items = [(k, t[a : a + rng.randrange(1, 25)]) for k, t in enumerate(texts[:40]) for a in [rng.randrange(30)]]
+    monkeypatch.setattr(search, "SHORT_ITEMS", 3)
     found = {(r.query_id, r.chunk_id) for r in search.containing(spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string"), spark.createDataFrame(items, "query_id int, text string")).collect()}
     assert found == {(q, k) for q, i in items for k, t in enumerate(texts) if i and i in t}
 
@@ -163,6 +194,7 @@ def test_tokens_either_way(spark):
     for r in exploded_tokens(df, F.col("t"), "k").collect():
         each.setdefault(r.k, []).append(r.token)
     assert {r.k: r.x for r in df.select("k", identifier_tokens(F.col("t")).alias("x")).collect() if r.x} == each
+    assert {k: x for k, t in enumerate(texts) if (x := [w.lower() for w in parted(t) if len(w) > 1])} == each
     plain = [[w.lower() for w in re.split(r"[_.\-/\s]+", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", t))) if len(w) > 1] for t in texts]
     assert {k: w for k, w in enumerate(plain) if w} == each
 
