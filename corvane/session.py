@@ -71,8 +71,17 @@ def discard(df: DataFrame) -> None:
         discard_path(df.sparkSession, path)
 
 
+#: Bytes of an Arrow batch, in place of the engine's default of 64 MB: a worker holds several copies of one, so does its executor.
+ARROW_BYTES, ARROW_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: nothing to do where PYTHONPATH has it, else add it to the job's files."""
+    """Let Python workers import this package: nothing to do where PYTHONPATH has it, else add it to the job's files.
+
+    Batches that go to them are bounded by ``ARROW_BYTES``, unless the session has a bound of its own.
+    """
+    if spark.conf.get(ARROW_SETTING).rstrip("b") == str(64 << 20):
+        spark.conf.set(ARROW_SETTING, str(ARROW_BYTES))
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc = spark.sparkContext
