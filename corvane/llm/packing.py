@@ -25,6 +25,8 @@ END_ID = 1
 OPEN_WINDOWS = 32
 #: Partitions whose leftovers one merging task takes: so many windows of so many pieces at most.
 MERGE_GROUP = 64
+#: Bytes of text that are encoded at once, and of ids that are given out at once.
+SLICE_BYTES = 2 << 20
 #: Rests shorter than this are not cut to fill a window.
 SMALLEST_CUT = 1
 
@@ -107,7 +109,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, length: int, end
 
     for whole in batches:
         schema = _SCHEMA.set(0, pa.field("doc_id", whole.schema.field(0).type))
-        for b in tokens.slices(whole):
+        for b in tokens.slices(whole, SLICE_BYTES):
             ids, at = encoder.encode(b.column(1))
             ends = at.tolist()
             for doc, x, y in zip(b.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
@@ -119,8 +121,9 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, length: int, end
                 if full < total:
                     for window in packer.put((doc, full, own[full:], total), total - full, cut):
                         emit(window, False)
-            if len(out[0]) >= 4096:
+            if 4 * sum(out[2]) >= SLICE_BYTES:
                 yield batch()
+                pa.default_memory_pool().release_unused()
     for window in packer.rest():
         emit(window, True)
     yield batch()
