@@ -11,6 +11,7 @@ from corvane.functions import text as T
 from corvane.functions.model import OFFLINE, TextModel
 from corvane.functions.vectors import with_embedding
 from corvane.operators import graph, search, tours
+from corvane.session import materialise
 
 # Forms of contexts, observations and names, labels of issues for beginners, files of guidelines in order.
 BLOCK_HEAD, BLOCK_BODY = "### [File: %s (Lines %d-%d)] Symbol: %s (%s)\n", "```\n%s\n```\n"
@@ -19,6 +20,12 @@ FOUND, FOUND_LINE = "Top candidate symbols:\n%s", "- %s in `%s` (Lines %d-%d)"
 HIERARCHY = "Inspecting call hierarchy for `%s`:\n- Callers: %s\n- Callees: %s"
 NO_CALLERS, NO_CALLEES, READ, NO_PURPOSE = "None (Top-level or entrypoint)", "None (Leaf function)", "Signature: %s\nPurpose: %s", "Core module logic"
 BEGINNER_LABELS = ["good first issue", "help wanted", "beginner-friendly"]
+ANSWER_PROMPT = (
+    "You are an expert software architect analyzing the repository '%s'.\nUser Question: \"%s\"\n\nRetrieved Code and Call Hierarchy:\n%s\n\nInstructions:\n"
+    "1. Answer the question thoroughly, explaining the end-to-end execution flow.\n"
+    "2. Cite every key function, class, and method with its exact file and line numbers (e.g. `[path:start-end]`).\n"
+    "3. Mention who calls whom based on the provided call graph.\n4. Be direct, technical, and precise."
+)
 STATUS = "Analyzing symbol graph and citations..."
 GUIDELINES = ["CONTRIBUTING.md", "CONTRIBUTING", ".github/CONTRIBUTING.md", "docs/CONTRIBUTING.md", "CONTRIBUTE.md"]
 # End of fixed values.
@@ -73,13 +80,14 @@ def blocks(expanded: DataFrame) -> DataFrame:
     return expanded.select("query_id", "rank", F.concat_ws(":", "path", c("start_line").cast("string"), c("end_line").cast("string")).alias("key"), block.alias("block"))
 
 
-def agent(chunks: DataFrame, edges: DataFrame, symbols: DataFrame, queries: DataFrame, budget: int = 6000, model: TextModel = OFFLINE) -> tuple[DataFrame, DataFrame]:
+def agent(chunks: DataFrame, edges: DataFrame, symbols: DataFrame, queries: DataFrame, budget: int = 6000, model: TextModel = OFFLINE, name: str = "Project") -> tuple[DataFrame, DataFrame]:
     """(steps: query_id, step, action, observation; citations: query_id, path, name, start_line, end_line, importance).
 
     Search; all callers and callees of the first hit; the second hit; an answer from the packed contexts of the first four.
+    The hits are written once, as every step reads them; ``name`` is the repository's, for the prompt.
     """
     c, place = F.col, F.concat_ws(":", "path", F.col("start_line").cast("string"))
-    hits = hybrid(chunks, queries, 8, model).withColumn("symbol", F.col("name"))
+    hits = materialise(hybrid(chunks, queries, 8, model), "agent-hits").withColumn("symbol", F.col("name"))
     line = F.format_string(FOUND_LINE, "name", "path", "start_line", "end_line")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n")
     found = hits.filter("rank <= 5").groupBy("query_id").agg(F.format_string(FOUND, lines).alias("observation"))
@@ -90,7 +98,8 @@ def agent(chunks: DataFrame, edges: DataFrame, symbols: DataFrame, queries: Data
     read = hits.filter("rank = 2").select("query_id", F.format_string(READ, "header", some(F.coalesce("docstring", F.lit("")), NO_PURPOSE)).alias("observation"))
     expanded = contexts(hits.drop("symbol"), edges, symbols, 4)
     packed = search.pack_context(blocks(expanded), budget)
-    answer = packed.select("query_id", model.answer(c("context")).alias("observation"))
+    prompt = F.format_string(ANSWER_PROMPT, F.lit(name), c("text"), c("context"))
+    answer = packed.join(queries.select("query_id", "text"), "query_id").select("query_id", model.answer(prompt).alias("observation"))
     steps = None
     for k, (action, df) in enumerate((("hybrid_search", found), ("follow_call_hierarchy", near), ("read_symbol", read), ("answer", answer)), 1):
         part = df.select("query_id", F.lit(k).alias("step"), F.lit(action).alias("action"), "observation")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import circle, or_default
 from corvane.operators import code
-from corvane.session import discard, materialise
+from corvane.session import discard, materialise, ship
 
 # The order in which kinds of edges are made, endings of module files, strokes of drawn edges.
 PHASES = {"defines": 0, "imports": 1, "imports_symbol": 2, "calls": 3}
@@ -19,7 +21,7 @@ STROKES = {"calls": "#3b82f6", "other": "#10b981"}
 # End of fixed values.
 #: Nodes whose shares of rank are broadcast, of 16 bytes each, and bytes of their names.
 BROADCAST_NODES, BROADCAST_NAMES = 1_000_000, 16 << 20
-#: Links, and nodes, that the driver ranks itself.
+#: Links, and nodes, that one task ranks.
 LOCAL_LINKS = 500_000
 
 
@@ -106,12 +108,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.join(inn, "node", "full").select("node", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float | None = 1e-5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float | None = 1e-5, local: int | None = None) -> DataFrame:
     """nodes: node; edges: src, dst, each pair once. (node, score): mean 1, to four decimals, 0.1 at least.
 
     Rank of nodes without out-edges goes to all. Stops after the step whose total change is under the tolerance. Nodes
-    are numbered first. Up to ``LOCAL_LINKS`` links between as many nodes, of 16 bytes each, are counted and then ranked by
-    the driver, where a step takes milliseconds. Of a larger graph, in a step the links meet the shares of their sources, which are broadcast while there are at most
+    are numbered first. Up to ``local`` links between as many nodes, of 16 bytes each, are counted and then ranked by one
+    task, where a step takes milliseconds. Of a larger graph, in a step the links meet the shares of their sources, which are broadcast while there are at most
     ``BROADCAST_NODES`` of them (so links stay where they are; beyond, both sides are exchanged), and one exchange takes
     partial sums to their nodes. Each step is written to the shared folder: a lost executor repeats one step.
     """
@@ -124,12 +126,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     numbered = edges.select("src", "dst").join(by("src", "a"), "src").join(by("dst", "b"), "dst").select("a", "b")
     links = materialise(numbered, "rank-links")
     score = F.greatest(F.round(F.col("rank") / F.col("mean"), 4), F.lit(0.1)).alias("score")
-    if n <= LOCAL_LINKS and links.count() <= LOCAL_LINKS:
-        ids = np.sort(named.select("id").toArrow().column(0).to_numpy())
-        a, b = (np.searchsorted(ids, c.to_numpy()) for c in links.toArrow().columns)
-        r = _power_steps(len(ids), a, b, damping, most, tolerance)
+    local = LOCAL_LINKS if local is None else local
+    if n <= local and links.count() <= local:
+        ship(named.sparkSession)
+        both = links.unionByName(named.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"))).coalesce(1)
+        ranks = materialise(both.mapInArrow(lambda it: _rank_batches(it, damping, most, tolerance), "id bigint, rank double, mean double"), "ranks")
         discard(links)
-        ranks = named.sparkSession.createDataFrame(pa.table({"id": ids, "rank": r, "mean": np.full(len(ids), r.mean())}))
         return named.join(ranks, "id").select("node", score)
     out = links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
     start = F.lit(1.0 / n)
@@ -152,6 +154,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     return named.join(rank, "id").withColumn("mean", F.lit(mean)).select("node", score)
 
 
+def _rank_batches(batches: Iterator[pa.RecordBatch], damping: float, most: int, tolerance: float | None) -> Iterator[pa.RecordBatch]:
+    """All links (a, b) and nodes (a, null) of a small graph."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).is_valid().to_numpy(zero_copy_only=False), b.column(1).fill_null(0).to_numpy(zero_copy_only=False)) for b in batches]
+    a, link, to = (np.concatenate(c) for c in zip(*held, strict=True))
+    ids = np.sort(a[~link])
+    r = _power_steps(len(ids), np.searchsorted(ids, a[link]), np.searchsorted(ids, to[link]), damping, most, tolerance)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(r), pa.array(np.full(len(ids), r.mean()))], names=["id", "rank", "mean"])
+
+
 def _power_steps(n: int, a: np.ndarray, b: np.ndarray, damping: float, most: int, tolerance: float | None) -> np.ndarray:
     """The same steps over arrays: links from a to b, nodes from 0 to n - 1."""
     deg = np.bincount(a, minlength=n)

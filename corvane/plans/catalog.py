@@ -344,13 +344,14 @@ def rank_sql(graph: str, steps: int, tolerance: float | None = None) -> str:
 
 @query(rank_sql(STAR, 10))
 def pagerank_fixed10(spark, d):
-    return graph.pagerank(*star_links(spark, d), most=10, tolerance=None)
+    return graph.pagerank(*star_links(spark, d), most=10, tolerance=None, local=0)
 
 
 @query(rank_sql(LINKS, 30, 1e-5))
 def pagerank_converged(spark, d):
+    """Step by step over all executors, whatever the graph's size."""
     e = links(spark, d)
-    return graph.pagerank(nodes(e), e)
+    return graph.pagerank(nodes(e), e, local=0)
 
 
 @query("""WITH f AS (SELECT o_orderkey AS path, round(o_totalprice * 100)::HUGEINT AS t FROM orders), s AS (SELECT l_orderkey AS path, sum(l_quantity * 400000)::HUGEINT AS s, count(*) AS n FROM lineitem GROUP BY 1)
@@ -486,10 +487,19 @@ def entry_points(spark, d):
     return tours.entry_points(files, ["/a", "/e", "th"])
 
 
-@query()
+def ring_sql(steps: str, most: int = 12) -> str:
+    """CTEs from ``steps`` (folder, place, importance) to ``turns`` (step, place, importance): folders take turns, an emptied one leaves."""
+    return f"""fo AS (SELECT folder, list({{'place': place, 'importance': importance}} ORDER BY importance DESC, place) AS items FROM {steps} GROUP BY folder),
+turns(step, turn, ring, place, importance) AS (SELECT 0, 0, (SELECT list(items ORDER BY items[1].importance DESC, items[1].place) FROM fo), (SELECT any_value(items[1].place) FROM fo), 0::DOUBLE
+ UNION ALL SELECT step + 1, a + 1, list_concat(list_slice(ring, 1, a), list_concat(CASE WHEN len(ring[a + 1]) = 1 THEN [] ELSE [list_slice(ring[a + 1], 2, len(ring[a + 1]))] END, list_slice(ring, a + 2, len(ring)))),
+  ring[a + 1][1].place, ring[a + 1][1].importance FROM (SELECT *, CASE WHEN turn >= len(ring) THEN 0 ELSE turn END AS a FROM turns WHERE step < {most} AND len(ring) > 0))"""
+
+
+@query(f"""WITH RECURSIVE st AS (SELECT source || '/' || lang AS folder, {PATH} AS place, n_chars::DOUBLE / 1000 AS importance FROM documents), {ring_sql('st')}
+SELECT step::INT AS step_order, place AS path, importance FROM turns WHERE step > 0""")
 def tour_round_robin(spark, d):
     steps = table(spark, d, "documents").select(F.lit(1).alias("group"), doc_path().alias("path"), (F.col("n_chars") / 1000.0).alias("importance"))
-    return tours.round_robin(steps)
+    return tours.round_robin(steps).drop("group")
 
 
 @query("""SELECT l_orderkey AS path, l_linenumber AS start_line, (l_linenumber + l_quantity - 5)::INT AS end_line FROM lineitem JOIN (SELECT o_orderkey, 10 AS line_count FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey

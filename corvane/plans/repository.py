@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import assist, graph, incremental, ingest, store, tours
-from corvane.plans.catalog import ORACLES, embedded_sql, half_up, query, rank_sql, table, tokens_sql
+from corvane.plans.catalog import ORACLES, embedded_sql, half_up, query, rank_sql, ring_sql, table, tokens_sql
 from corvane.session import discard_path, table_path
 from corvane.sources import code as sources
 
@@ -295,19 +295,55 @@ def repo_expand(spark, d):
     return found.select("query_id", "rank", "path", "name", told("callers"), told("callees"))
 
 
-@query()
+_PACKED = """cr AS (SELECT target_symbol AS name, string_agg('`' || source_symbol || '` in ' || source_file, ', ' ORDER BY r) AS every, string_agg('`' || source_symbol || '` in ' || source_file, ', ' ORDER BY r) FILTER (r <= 5) AS five
+ FROM (SELECT *, row_number() OVER (PARTITION BY target_symbol ORDER BY source_file, source_symbol, target_file, target_symbol) AS r FROM ed WHERE edge_type = 'calls') GROUP BY 1),
+cl AS (SELECT source_symbol AS name, string_agg('`' || target_symbol || '`', ', ' ORDER BY r) AS every, string_agg('`' || target_symbol || '`', ', ' ORDER BY r) FILTER (r <= 5) AS five
+ FROM (SELECT *, row_number() OVER (PARTITION BY source_symbol ORDER BY source_file, source_symbol, target_file, target_symbol) AS r FROM ed WHERE edge_type = 'calls') GROUP BY 1),
+bk AS (SELECT query_id, rank, path, start_line, end_line, path || ':' || start_line || ':' || end_line AS key, '### [File: ' || path || ' (Lines ' || start_line || '-' || end_line || ')] Symbol: ' || name || ' (' || header || ')' || chr(10)
+ || coalesce('  * Called by: ' || cr.five || chr(10), '') || coalesce('  * Calls: ' || cl.five || chr(10), '') || '```' || chr(10) || content || chr(10) || '```' || chr(10) AS block
+ FROM hits LEFT JOIN cr USING (name) LEFT JOIN cl USING (name) WHERE rank <= 4),
+b1 AS (SELECT * FROM bk QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY rank) = 1),
+b2 AS (SELECT *, sum(greatest(1, length(block) // 4)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM b1),
+cx AS (SELECT query_id, count(*) AS n_blocks, string_agg(block, chr(10) ORDER BY rank) AS context FROM b2 WHERE running <= 6000 GROUP BY 1)"""
+
+
+def _text_sql(form: str, *parts: str) -> str:
+    """A fixed form as an expression."""
+    pieces = [f"'{p}'" for p in form.replace("'", "''").split("%s")]
+    return "(" + " || ".join(x for pair in zip(pieces, [*parts, "''"], strict=True) for x in pair) + ")"
+
+
+@query(f"""WITH {_hits_sql(8)}, {_PACKED}
+SELECT query_id, 1 AS step, 'hybrid_search' AS action, 'Top candidate symbols:' || chr(10) || string_agg('- ' || name || ' in `' || path || '` (Lines ' || start_line || '-' || end_line || ')', chr(10) ORDER BY rank) AS observation FROM hits WHERE rank <= 5 GROUP BY 1
+UNION ALL SELECT query_id, 2, 'follow_call_hierarchy', 'Inspecting call hierarchy for `' || name || '`:' || chr(10) || '- Callers: ' || coalesce(cr.every, 'None (Top-level or entrypoint)') || chr(10) || '- Callees: ' || coalesce(cl.every, 'None (Leaf function)')
+ FROM hits LEFT JOIN cr USING (name) LEFT JOIN cl USING (name) WHERE rank = 1
+UNION ALL SELECT query_id, 3, 'read_symbol', 'Signature: ' || header || chr(10) || 'Purpose: ' || coalesce(nullif(docstring, ''), 'Core module logic') FROM hits WHERE rank = 2
+UNION ALL SELECT query_id, 4, 'answer', '### Retrieval synthesis' || chr(10) || chr(10) || substr({_text_sql(assist.ANSWER_PROMPT, "'suppliers'", 'aq.text', 'context')}, 1, 1200) || chr(10) || chr(10) || '*(offline)*' FROM cx JOIN aq USING (query_id)""")
 def agent_trace(spark, d):
     """A row a step of the agent, for every question."""
-    return assist.agent(*_tables(spark, d), asked(spark, d))[0]
+    return assist.agent(*_tables(spark, d), asked(spark, d), name="suppliers")[0]
 
 
-@query()
+@query(f"""WITH {_hits_sql(8)}, {_PACKED},
+c1 AS (SELECT bk.*, n_blocks FROM bk JOIN cx USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id, path, start_line, end_line ORDER BY rank) = 1),
+c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= n_blocks),
+c3 AS (SELECT *, min(rank) OVER (PARTITION BY query_id, path, start_line) AS place FROM c2 QUALIFY row_number() OVER (PARTITION BY query_id, path, start_line ORDER BY rank DESC) = 1),
+fs AS (SELECT query_id, place, c3.path, sy.name, sy.start_line, sy.end_line, signature FROM c3 JOIN sy ON sy.path = c3.path AND sy.start_line <= c3.start_line AND sy.end_line >= c3.end_line QUALIFY row_number() OVER (PARTITION BY query_id, place ORDER BY sy.ordinal) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS step_order, path, name, start_line, end_line, signature AS body FROM fs""")
 def feature_trace_tour(spark, d):
     chunks, edges, symbols = _tables(spark, d)
     return assist.feature_trace(assist.agent(chunks, edges, symbols, asked(spark, d))[1], symbols)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RANKED},
+en AS (SELECT path FROM fi ORDER BY importance DESC, path LIMIT 3),
+s0 AS (SELECT name FROM (SELECT * FROM ys QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, ordinal) <= 3) JOIN en USING (path)),
+cs AS (SELECT source_symbol AS a, target_symbol AS b FROM ed WHERE edge_type = 'calls' QUALIFY row_number() OVER (PARTITION BY source_symbol ORDER BY source_file, target_file, target_symbol) <= 5),
+s1 AS (SELECT b FROM cs WHERE a IN (SELECT name FROM s0)), s2 AS (SELECT b FROM cs WHERE a IN (SELECT b FROM s1)), s3 AS (SELECT b FROM cs WHERE a IN (SELECT b FROM s2)),
+nm AS (SELECT name FROM s0 UNION SELECT b FROM s1 UNION SELECT b FROM s2 UNION SELECT b FROM s3),
+st AS (SELECT split_part(path, '/', 1) AS folder, {{'path': path, 'name': name, 'start': start_line::VARCHAR}} AS place, score AS importance FROM ys WHERE name IN (SELECT name FROM nm)), {ring_sql('st')},
+va AS (SELECT step, sy.*, length(t) - length(replace(t, chr(10), '')) AS line_count FROM turns JOIN sy ON sy.path = place.path AND sy.name = place.name JOIN fl ON fl.path = sy.path WHERE step > 0)
+SELECT row_number() OVER (ORDER BY step)::INT AS step_order, path, name, start_line, end_line, 'Step ' || row_number() OVER (ORDER BY step) || ': ' || name AS title, signature AS body FROM va WHERE end_line <= line_count + 10""")
 def big_picture_tour(spark, d):
     return assist.big_picture(stored(spark, d, "files"), stored(spark, d, "symbols"), stored(spark, d, "edges"))
 
