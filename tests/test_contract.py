@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from corvane.plans import catalog, repository  # noqa: F401  (fills the catalogue)
+from corvane.plans import catalog, parsing, repository  # noqa: F401  (fill the catalogue)
 
 DIR = "/root/testdata/sf0.001"
 
