@@ -240,10 +240,25 @@ def big_picture(files: DataFrame, symbols: DataFrame, edges: DataFrame, most: in
     return out.select("step_order", "path", "name", "start_line", "end_line", F.format_string("Step %d: %s", "step_order", "name").alias("title"), F.col("signature").alias("body"))
 
 
+#: Lines of a stretch by which citations and symbols of a file meet.
+STRETCH = 64
+
+
+def enclosing(spans: DataFrame, symbols: DataFrame) -> DataFrame:
+    """spans: path, start_line, end_line; symbols: path, a, b (first and last line). Each span with each symbol around it.
+
+    A symbol stands in every stretch of lines that it reaches into, a span in the one that it begins in, so the two meet by
+    path and stretch, and not all symbols of a file meet all its spans.
+    """
+    stretches = F.sequence(F.floor(F.col("a") / STRETCH), F.floor(F.greatest("a", "b") / STRETCH))
+    held = symbols.withColumn("_s", F.explode(stretches))
+    return spans.withColumn("_s", F.floor(F.col("start_line") / STRETCH)).join(held, ["path", "_s"]).filter("a <= start_line AND b >= end_line").drop("_s")
+
+
 def feature_trace(citations: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
     """citations: query_id, rank, path, start_line, end_line. (query_id, step_order, path, name, ...): the first symbol around each."""
     c, s = citations.filter(F.col("rank") <= most), symbols.select("path", "name", "ordinal", "kind", "signature", "importance", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    around = c.select("query_id", "rank", "path", "start_line", "end_line").join(s, "path").filter("a <= start_line AND b >= end_line")
+    around = enclosing(c.select("query_id", "rank", "path", "start_line", "end_line"), s)
     first = around.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "rank").orderBy("ordinal"))).filter("_r = 1")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return first.select("query_id", order.alias("step_order"), "path", "name", F.col("a").alias("start_line"), F.col("b").alias("end_line"), F.col("signature").alias("body"))

@@ -130,6 +130,40 @@ def file_text(spark: SparkSession, out: str, repo_id: int, path: str) -> DataFra
     return files.join(held, "path", "left").orderBy("ordinal")
 
 
+# --- tours ------------------------------------------------------------------------------------------------------------
+
+TOURS = "kind string, title string, step_order int, path string, name string, start_line int, end_line int, body string, repo_id bigint, tour_id bigint"
+
+
+def _tours(spark: SparkSession, out: str, repo_id: int) -> DataFrame:
+    held = spark.read.schema(TOURS).parquet(f"{out}/tours") if exists(spark, f"{out}/tours") else spark.createDataFrame([], TOURS)
+    return held.filter(F.col("repo_id") == repo_id)
+
+
+def save_tour(steps: DataFrame, out: str, repo_id: int, kind: str, title: str) -> int:
+    """steps: step_order, path, name, start_line, end_line, body. The new tour's number; one without steps is not kept (0)."""
+    spark = steps.sparkSession
+    tour_id = 1 + (_tours(spark, out, repo_id).agg(F.max("tour_id")).first()[0] or 0)
+    values = {"kind": F.lit(kind), "title": F.lit(title), "repo_id": F.lit(repo_id).cast("bigint"), "tour_id": F.lit(tour_id).cast("bigint")}
+    fields = StructType.fromDDL(TOURS).fields
+    rows = steps.withColumns(values).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id", "tour_id").parquet(f"{out}/tours")
+    return tour_id if exists(spark, f"{out}/tours/repo_id={repo_id}/tour_id={tour_id}") else 0
+
+
+def tours_of(spark: SparkSession, out: str, repo_id: int) -> DataFrame:
+    """A row a tour, the newest first: tour_id, kind, title, steps (a list in order)."""
+    step = F.struct("step_order", "path", "name", "start_line", "end_line", "body")
+    return _tours(spark, out, repo_id).groupBy("tour_id", "kind", "title").agg(F.array_sort(F.collect_list(step)).alias("steps")).orderBy(F.desc("tour_id"))
+
+
+def delete_tour(spark: SparkSession, out: str, repo_id: int, tour_id: int) -> None:
+    discard_path(spark, f"{out}/tours/repo_id={repo_id}/tour_id={tour_id}")
+
+
+# --- removing ---------------------------------------------------------------------------------------------------------
+
+
 def sweep(spark: SparkSession, out: str, repo_id: int, keep: set[int]) -> None:
     """Removes the tables' other versions; stores stay."""
     for name in TABLES.keys() - {"usage"}:
@@ -144,5 +178,5 @@ def sweep(spark: SparkSession, out: str, repo_id: int, keep: set[int]) -> None:
 def drop_repository(spark: SparkSession, out: str, repo_id: int) -> None:
     """Logged first, so that no reader finds a repository of which a part is gone."""
     log(spark, out, repo_id, begin(spark, out, repo_id, ""), "deleted", "")
-    for name in TABLES | STORES:
+    for name in [*TABLES, *STORES, "tours"]:
         discard_path(spark, f"{out}/{name}/repo_id={repo_id}")

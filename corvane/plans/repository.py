@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import assist, graph, incremental, ingest, store, tours
 from corvane.plans.catalog import ORACLES, embedded_sql, half_up, query, rank_sql, ring_sql, table, tokens_sql
-from corvane.session import discard_path, table_path
+from corvane.session import discard_path, materialise, table_path
 from corvane.sources import code as sources
 
 # --- a tree on disk ---------------------------------------------------------------------------------------------------
@@ -39,6 +39,15 @@ def scan_tree(spark, d):
     return sources.scan(spark, root).select("path", "language", "size_bytes", "content_hash", "line_count")
 
 
+@query("""SELECT 'f' || n_nationkey || '.md' AS path, n_name || chr(65533) || chr(10) || chr(65533) || 'x' AS text, strlen(n_name)::BIGINT + 4 AS size_bytes,
+ sha256(n_name::BLOB || '\\xE9'::BLOB || chr(10)::BLOB || '\\xFF'::BLOB || 'x'::BLOB) AS content_hash, 2::BIGINT AS line_count FROM nation""")
+def malformed_text(spark, d):
+    """Files with bytes that are no UTF-8: these are replaced, the hash is of the bytes as they are."""
+    bad = F.concat(F.encode("n_name", "utf-8"), F.unhex(F.lit("E90AFF78")))
+    files = table(spark, d, "nation").select(F.format_string("f%d.md", "n_nationkey").alias("path"), bad.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return sources.describe(files).select("path", "text", "size_bytes", "content_hash", "line_count")
+
+
 # --- a repository -----------------------------------------------------------------------------------------------------
 
 #: Keys of suppliers by which a nation's functions are parted into files, so that no file grows with the tables.
@@ -335,7 +344,7 @@ def feature_trace_tour(spark, d):
     return assist.feature_trace(assist.agent(chunks, edges, symbols, asked(spark, d))[1], symbols)
 
 
-@query(f"""WITH RECURSIVE {RANKED},
+_BIG_PICTURE = f"""WITH RECURSIVE {RANKED},
 en AS (SELECT path FROM fi ORDER BY importance DESC, path LIMIT 3),
 s0 AS (SELECT name FROM (SELECT * FROM ys QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, ordinal) <= 3) JOIN en USING (path)),
 cs AS (SELECT source_symbol AS a, target_symbol AS b FROM ed WHERE edge_type = 'calls' QUALIFY row_number() OVER (PARTITION BY source_symbol ORDER BY source_file, target_file, target_symbol) <= 5),
@@ -343,11 +352,28 @@ s1 AS (SELECT b FROM cs WHERE a IN (SELECT name FROM s0)), s2 AS (SELECT b FROM
 nm AS (SELECT name FROM s0 UNION SELECT b FROM s1 UNION SELECT b FROM s2 UNION SELECT b FROM s3),
 st AS (SELECT split_part(path, '/', 1) AS folder, {{'path': path, 'name': name, 'start': start_line::VARCHAR}} AS place, score AS importance FROM ys WHERE name IN (SELECT name FROM nm)), {ring_sql('st')},
 va AS (SELECT step, sy.*, length(t) - length(replace(t, chr(10), '')) AS line_count FROM turns JOIN sy ON sy.path = place.path AND sy.name = place.name JOIN fl ON fl.path = sy.path WHERE step > 0)
-SELECT row_number() OVER (ORDER BY step)::INT AS step_order, path, name, start_line, end_line, 'Step ' || row_number() OVER (ORDER BY step) || ': ' || name AS title, signature AS body FROM va WHERE end_line <= line_count + 10""")
+SELECT row_number() OVER (ORDER BY step)::INT AS step_order, path, name, start_line, end_line, 'Step ' || row_number() OVER (ORDER BY step) || ': ' || name AS title, signature AS body FROM va WHERE end_line <= line_count + 10"""
+
+
+@query(_BIG_PICTURE)
 def big_picture_tour(spark, d):
     return assist.big_picture(stored(spark, d, "files"), stored(spark, d, "symbols"), stored(spark, d, "edges"))
 
 
+@query(f"""SELECT 1 AS tour_id, 'big_picture' AS kind, 'Around suppliers' AS title, count(*) AS n_steps, string_agg(step_order || ' ' || path || ' ' || name || ' ' || start_line || '-' || end_line || ' ' || body, '|' ORDER BY step_order) AS steps FROM ({_BIG_PICTURE})
+UNION ALL SELECT 3, 'big_picture', 'Its first half', count(*), string_agg(step_order || ' ' || path || ' ' || name || ' ' || start_line || '-' || end_line || ' ' || body, '|' ORDER BY step_order) FROM ({_BIG_PICTURE}) WHERE step_order <= 6""")
+def stored_tours(spark, d):
+    """Three tours are saved and listed, after the second is deleted."""
+    out = table_path(spark, "tours")
+    steps = materialise(big_picture_tour(spark, d), "tour-steps")
+    store.save_tour(steps, out, 1, "big_picture", "Around suppliers")
+    second = store.save_tour(steps.limit(3), out, 1, "big_picture", "To be deleted")
+    store.save_tour(steps.filter("step_order <= 6"), out, 1, "big_picture", "Its first half")
+    store.delete_tour(spark, out, 1, second)
+    told = F.transform("steps", lambda x: F.concat_ws(" ", x["step_order"].cast("string"), x["path"], x["name"], F.concat_ws("-", x["start_line"].cast("string"), x["end_line"].cast("string")), x["body"]))
+    return store.tours_of(spark, out, 1).select(F.col("tour_id").cast("int").alias("tour_id"), "kind", "title", F.size("steps").cast("bigint").alias("n_steps"), F.array_join(told, "|").alias("steps"))
+
+
 @query(f"""WITH {RANKED}, tp AS (SELECT *, row_number() OVER (ORDER BY importance DESC, path)::INT AS step FROM fi QUALIFY step <= 10),
 ky AS (SELECT path, string_agg(name, '|' ORDER BY r) AS k FROM (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY score DESC, ordinal) AS r FROM ys) WHERE r <= 4 GROUP BY 1)
 SELECT step, path, round(importance, 3) AS importance, CASE WHEN importance >= 2 THEN 'core' WHEN importance >= 1.2 THEN 'business logic' ELSE 'supporting' END AS tier,
@@ -407,6 +433,16 @@ def evaluate_questions(spark, d):
     return assist.evaluate(stored(spark, d, "chunks"), asked(spark, d).join(names, "query_id"))
 
 
+@query(ORACLES["evaluate_questions"])
+def evaluate_json_questions(spark, d):
+    """The same questions, written as a JSON list and read from it."""
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.array(F.format_string("n%d.py", "n_nationkey")).alias("expected_files"))
+    rows = asked(spark, d).join(names, "query_id").select(F.struct(F.col("query_id").alias("id"), F.col("text").alias("question"), "expected_files").alias("q"))
+    path = table_path(spark, "questions")
+    rows.agg(F.to_json(F.sort_array(F.collect_list("q"))).alias("value")).write.text(path)  # a question a nation
+    return assist.evaluate(stored(spark, d, "chunks"), assist.read_questions(spark, path))
+
+
 @query("""SELECT lang AS repo, count(*) AS files, sum(n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END)::BIGINT AS characters FROM documents WHERE lang NOT IN ('es', 'fr') GROUP BY 1""")
 def partition_rewrite(spark, d):
     """A table by partitions: written, one replaced alone, one by no rows, one dropped, and read again."""

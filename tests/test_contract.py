@@ -25,7 +25,9 @@ def duck():
 NAMES = ["keyword_topk", "diff_classify", "call_resolution", "import_resolution", "imported_symbol_edges", "context_pack", "pagerank_fixed10", "pagerank_converged", "bfs_depth3", "rate_limit",
          "trace_dedup", "hybrid_rrf", "importance_boosted_search", "vector_topk", "eval_recall_mrr", "extract_commands", "readme_section", "manifest_stack", "snippets", "cost_by_model",
          "scan_tree", "ingest_files", "ingest_symbols", "ingest_edges", "ingest_chunks", "ingest_embeddings", "ingest_folders", "ingest_repository", "repo_search", "repo_expand", "reading_order",
-         "graph_view", "issue_difficulty", "good_first_issues", "evaluate_questions"]
+         "graph_view", "issue_difficulty", "good_first_issues", "evaluate_questions", "evaluate_json_questions", "malformed_text", "incremental_files", "incremental_edges", "incremental_chunks", "incremental_run",
+         "repository_list", "repository_cost", "stored_tours", "agent_trace", "feature_trace_tour", "big_picture_tour", "tour_round_robin", "parse_classes", "parse_typescript", "parse_imports", "split_symbol",
+         "file_importance", "entry_points", "partition_rewrite"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -115,3 +117,18 @@ def test_tour_beside_a_hot_folder(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
     got = [r["path"] for r in catalog.QUERIES["tour_round_robin"](spark, str(tmp_path)).orderBy("step_order").collect()]
     assert got == ["hot/en/0.md"] + [f"s{k:02}/en/{1000 + k}.md" for k in range(0, 22, 2)]
+
+
+@pytest.mark.parametrize("name", ["ingest_files", "ingest_edges"])
+def test_files_by_blocks_of_keys(spark, duck, name, tmp_path, monkeypatch):
+    """The repository in more files a nation than the test tables give: the same SQL, with smaller blocks."""
+    monkeypatch.setattr(repository, "BLOCK", 4)
+    monkeypatch.setattr(repository, "_DONE", _SMALL_BLOCKS)
+    got, want = catalog.QUERIES[name](spark, DIR), duck.execute(catalog.ORACLES[name].replace("// 1000 ", "// 4 ").replace("// 1000,", "// 4,"))
+    names = [c[0] for c in want.description]
+    rows = sorted(map(str, (tuple(r) for r in got.select(names).collect())))
+    assert rows == sorted(map(str, want.fetchall()))
+    assert any("_1.py" in r for r in rows)
+
+
+_SMALL_BLOCKS: dict = {}
