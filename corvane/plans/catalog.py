@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import assist, graph, incremental, observe, search, tours
-from corvane.session import materialise
+from corvane.session import materialise, table_path
 from corvane.sources import code as sources
+from corvane.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -559,6 +560,16 @@ def rate_limit(spark, d):
     return observe.over_tiers(table(spark, d, "events"), "event_type", "ts")
 
 
+@query(f"SELECT event_type AS client, time_bucket(INTERVAL {observe.TIERS['ingestion'][1]}, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING n > {observe.TIERS['ingestion'][0]}")
+def rate_limit_stream(spark, d):
+    """The strictest tier's limit over the log as a stream: a client's window with its last number of calls."""
+    place, state = table_path(spark, "over"), table_path(spark, "over-state")
+    log = spark.readStream.schema("event_id bigint, ts timestamp, event_type string").parquet(f"{d}/events*.parquet")
+    over = logs.over_limit(log, "event_type", "ts", observe.TIERS["ingestion"][0], 3600)
+    over.writeStream.format("parquet").option("path", place).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("client string, window_start timestamp, n bigint").parquet(place).groupBy("client", "window_start").agg(F.max("n").alias("n"))
+
+
 @query("""WITH s AS (SELECT user_id, event_type AS model, sum((value * 10)::BIGINT)::BIGINT AS v FROM events GROUP BY ALL)
 SELECT user_id, '{' || string_agg('"' || model || '":' || v, ',' ORDER BY model) || '}' AS by_model FROM s GROUP BY 1""")
 def cost_by_model(spark, d):

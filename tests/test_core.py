@@ -253,3 +253,27 @@ def test_nest_and_recall(spark):
     relevant = spark.createDataFrame([(1, 10), (2, 20), (3, 99)], "query_id int, chunk_id int")
     r = search.recall(ranked, relevant).first()
     assert (r.n, r.recall_at_1, r.recall_at_5, r.mrr) == (3, 33.3333, 66.6667, 0.416667)
+
+
+def test_limits_over_a_growing_stream(spark, tmp_path):
+    """Counts go on from run to run; late calls and those without a client are left out; state goes with the watermark."""
+    from corvane.streaming import logs
+
+    src, place, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "c string, t string").withColumn("t", F.to_timestamp("t"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("c string, t timestamp").parquet(src)
+        over = logs.over_limit(stream, "c", "t", 2, 3600)
+        q = over.writeStream.format("parquet").option("path", place).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        return held[-1], sorted((r.client, r.n) for r in spark.read.schema("client string, window_start timestamp, n bigint").parquet(place).collect())
+
+    at = lambda c, *minutes: [(c, f"2024-01-01 {m // 60:02}:{m % 60:02}:00") for m in minutes]
+    assert run(at("a", 1, 2, 3) + at("b", 1) + [(None, "2024-01-01 00:00:01"), ("b", None)])[1] == [("a", 3)]
+    assert run(at("a", 4, 70) + at("b", 2, 3))[1] == [("a", 3), ("a", 4), ("b", 3)]
+    kept, _ = run(at("b", 300))
+    assert run(at("a", 5))[1] == [("a", 3), ("a", 4), ("b", 3)]  # too late
+    assert kept == 1
