@@ -128,27 +128,46 @@ def _backward(p: dict, cache: tuple, d: np.ndarray) -> dict:
     return g
 
 
-def labelled(seed: int, n: int) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, is a secret): generated findings, half of them keys, half long runs that are none."""
-    rng = random.Random(seed)
+def generators(rng: random.Random) -> tuple[dict, dict]:
+    """(keys, runs that are none): what makes one of each kind."""
     pick = lambda s, k: "".join(rng.choice(s) for _ in range(k))
-    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    lower, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
     alnum = lower + lower.upper() + digits
-    word = lambda a=2, b=9: pick("etaoinshrdlucmfw", rng.randint(a, b))
-    keys = [
-        lambda: pick(alnum, rng.randint(20, 64)), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick(digits, 11) + "-" + pick(alnum, 24),
-        lambda: pick(alnum + "+/", rng.randint(38, 60)) + "==", lambda: pick("0123456789abcdef", rng.choice([24, 28])), lambda: "AIza" + pick(alnum + "_-", 35), lambda: pick("ABCDEF" + digits, 32),
-    ]
-    others = [
-        lambda: f"{word(6)}-{word(4)}-{pick(digits, 2)}-{word(4)}", lambda: f"{word(5)}_{word(5)}_{word(5)}{pick(digits, 2)}", lambda: f"/usr/{word(4)}/{word(4)}{pick(digits, 1)}/{word(5)}",
-        lambda: f"2024-{pick(digits, 2)}-{pick(digits, 2)}T{pick(digits, 6)}Z", lambda: f"{pick(digits, 4)}-{pick(digits, 4)}-{pick(digits, 4)}-{word(2, 3)}1", lambda: f"{word(14, 20)}{pick(digits, 1)}",
-        lambda: "-".join([pick("0123456789abcdef", k) and word(3, 5) for k in (8, 4, 4)]) + pick(digits, 3), lambda: f"{word(5).title()}{word(5).title()}{word(5).title()}{pick(digits, 2)}", lambda: "=" * 14 + word(2, 3) + "1",
-    ]
+    word = lambda a=2, b=9: pick("etaoinshrdlucmfwgypbvk", rng.randint(a, b))
+    some = lambda sep, a, b: sep.join(word(2, 9) for _ in range(rng.randint(a, b)))
+    date = lambda sep: sep.join([str(rng.randint(1995, 2029)), f"{rng.randint(1, 12):02}", f"{rng.randint(1, 28):02}"])
+    keys = {
+        "letters and digits, 16 to 19": lambda: pick(alnum, rng.randint(16, 19)), "letters and digits, 20 to 31": lambda: pick(alnum, rng.randint(20, 31)),
+        "letters and digits, 32 to 64": lambda: pick(alnum, rng.randint(32, 64)), "letters and digits, 65 to 120": lambda: pick(alnum, rng.randint(65, 120)),
+        "small letters and digits": lambda: pick(lower + digits, rng.randint(20, 40)), "capitals and digits": lambda: pick(lower.upper() + digits, rng.randint(20, 40)),
+        "prefix": lambda: rng.choice([lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick(digits, 11) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "_-", 35)])(),
+        "base64": lambda: pick(alnum + "+/", rng.randint(38, 60)) + "==", "hexadecimal": lambda: pick(hexa, rng.choice([24, 28])),
+    }
+    others = {
+        "uuid": lambda: rng.choice([str, str.upper])("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))),
+        "constant": lambda: some("_", 2, 4).upper() + "_" + pick(digits, rng.randint(1, 4)),
+        "path": lambda: rng.choice(["", "/"]) + "/".join(rng.choice([word(2, 9), word(2, 6) + pick(digits, rng.randint(1, 4)), pick(digits, 4)]) for _ in range(rng.randint(3, 9))),
+        "dated slug": lambda: rng.choice([lambda: date("/") + "/" + some("-", 2, 8), lambda: some("-", 2, 7) + "-" + date(""), lambda: some("-", 2, 6) + "-" + date("-")])(),
+        "numbered name": lambda: rng.choice([lambda: some("_", 2, 5) + pick(digits, rng.randint(1, 3)), lambda: some("-", 2, 5) + "-v" + pick(digits, 2), lambda: some("", 2, 4) + pick(digits, rng.randint(1, 3))])(),
+        "camel case": lambda: "".join(word(3, 8).title() for _ in range(rng.randint(2, 5))) + pick(digits, rng.randint(1, 3)),
+        "time": lambda: date("-") + "T" + pick(digits, 6) + rng.choice(["Z", "UTC", ""]), "long word": lambda: word(14, 20) + pick(digits, 1),
+        "order number": lambda: word(2, 4).upper() + "-" + date("") + "-" + pick(digits, rng.randint(4, 8)) + rng.choice(["", "-" + word(2, 4).upper()]),
+        "ruler": lambda: rng.choice("=-_+") * rng.randint(12, 70) + word(2, 6) + pick(digits, 1),
+        "numbers with a word": lambda: "-".join(pick(digits, 4) for _ in range(rng.randint(3, 6))) + "-" + word(2, 5) + pick(digits, 1),
+    }
+    return keys, others
+
+
+def labelled(seed: int, n: int, only: str | None = None) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, is a secret): generated findings, half of them keys, half long runs that are none; or of one kind."""
+    rng = random.Random(seed)
+    word = lambda a=2, b=9: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(a, b)))
+    keys, others = generators(rng)
     cues = ["key", "auth", "bearer ", "secret_id = ", "Authorization: ", "credential: ", "access = ", "pass: ", "private "]
     out = []
     while len(out) < n:
-        good = rng.random() < 0.5
-        run = rng.choice(keys if good else others)()
+        good = rng.random() < 0.5 if only is None else only in keys
+        run = (keys | others)[only]() if only else rng.choice(list((keys if good else others).values()))()
         if len(run) < 16 or not _DIGIT.search(run) or not _LETTER.search(run):
             continue
         left = " ".join(word() for _ in range(rng.randint(1, 6))) + " "
@@ -159,6 +178,12 @@ def labelled(seed: int, n: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def _views(data: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the findings, and where each finding's begin."""
+    each = [list(windows(t, a, b)) for t, a, b, _ in data]
+    return np.stack([w for ws in each for w in ws]), np.cumsum([0, *map(len, each[:-1])])
+
+
 def _calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic fit of labels to scores, by Newton's steps towards targets short of 0 and 1."""
     good, bad = y.sum(), len(y) - y.sum()
@@ -183,8 +208,9 @@ def trained() -> dict:
     """Parameters, calibration and threshold, and (probabilities, labels) of the findings that neither saw; Adam on the logistic loss."""
     rng = np.random.default_rng(11)
     data = labelled(3, N_TRAIN + N_FIT + N_TEST)
-    x, y = np.stack([window(t, a, b) for t, a, b, _ in data]), np.array([d[3] for d in data], float)
-    cut, end = N_TRAIN, N_TRAIN + N_FIT
+    x, _ = _views(data[:N_TRAIN])  # a long run's parts are findings of their own to learn from
+    y = np.concatenate([[d[3]] * len(list(windows(*d[:3]))) for d in data[:N_TRAIN]]).astype(float)
+    cut = len(x)
     p = {
         "embed": rng.normal(0, 0.3, (97, EMBED)), "conv": rng.normal(0, 1 / math.sqrt(KERNEL * EMBED), (KERNEL * EMBED, FILTERS)), "conv_b": np.zeros(FILTERS),
         "hid": rng.normal(0, 1 / math.sqrt(3 * FILTERS), (3 * FILTERS, HIDDEN)), "hid_b": np.zeros(HIDDEN), "out": rng.normal(0, 0.3, HIDDEN), "out_b": np.zeros(()),
@@ -202,9 +228,21 @@ def trained() -> dict:
                 v[n] = 0.999 * v[n] + 0.001 * g[n] ** 2
                 p[n] = p[n] - 0.003 * ((m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8) + DECAY * p[n])
     net = {k: np.asarray(w, np.float32) for k, w in p.items()} | {"calibration": (1.0, 0.0)}
-    net["calibration"] = _calibration(_scores(net, x[cut:end]), y[cut:end])
-    net["threshold"] = _threshold(score(net, x[cut:end]), y[cut:end], MIN_RECALL)
-    return net | {"held": (score(net, x[end:]), y[end:])}
+    # Of a long run the highest score of its parts decides, so that is what is calibrated.
+    (fit, fit_y), (test, test_y) = (([*_views(part)], np.array([d[3] for d in part], float)) for part in (data[N_TRAIN : N_TRAIN + N_FIT], data[N_TRAIN + N_FIT :]))
+    net["calibration"] = _calibration(np.maximum.reduceat(_scores(net, fit[0]), fit[1]), fit_y)
+    highest = lambda views: np.maximum.reduceat(score(net, views[0]), views[1])
+    net["threshold"] = _threshold(highest(fit), fit_y, MIN_RECALL)
+    return net | {"held": (highest(test), test_y)}
+
+
+def rates(net: dict, seed: int = 77, n: int = 500) -> dict[str, float]:
+    """The share of findings of each kind that are called secret, of fresh ones."""
+    out = {}
+    for kind in [k for part in generators(random.Random(0)) for k in part]:
+        views, first = _views(labelled(seed, n, kind))
+        out[kind] = float((np.maximum.reduceat(score(net, views), first) >= net["threshold"]).mean())
+    return out
 
 
 def _scores(net: dict, windows: np.ndarray) -> np.ndarray:
