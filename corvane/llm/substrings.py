@@ -8,10 +8,11 @@ read so far that occurs in the shard), and spans of matches at or above the thre
 ``strip_repeats`` takes every document as reference for those after it. Its shards have no size bound together, so they
 are not broadcast but dealt, and only stretches that may repeat are dealt to them: of each window's five-word runs the one
 with the smallest hash is its anchor, equal windows have equal anchors, and neighbouring windows of one anchor are a
-stretch. A shard holds the stretches of an anchor that occurs in two documents, words by 48 bits of hash each (624 a
-window). In a shard, documents come in order of their ids: each is matched against those before it and then added, but
-for stretches that are there already. An anchor of very many documents has several shards, of some of its documents each;
-windows that are new to their shard are then compared among those shards by 96 bits of hash.
+stretch, cut at ``STRETCH`` windows, so that every window is in one piece. A shard holds the stretches of an anchor that
+occurs in two documents, words by 48 bits of hash each (624 a window). In a shard, documents come in order of their ids:
+each is matched against those before it and then added, but for stretches that are there already. An anchor of very many
+words has several shards, so what a shard holds is bounded in words, however long the texts; windows that are new to
+their shard are then compared among those shards by 96 bits of hash.
 """
 
 from __future__ import annotations
@@ -40,8 +41,13 @@ _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 LAST = (1 << 63) - 1
 #: Bits of an anchor: enough to tell apart the anchors of 100 TB but for some hundredths, which the windows' own hashes then part.
 _ANCHOR_BITS = 48
-#: Documents of an anchor that meet in one shard; beyond it they are dealt into powers of two of shards, 2**16 at most.
+#: Units of an anchor that meet in one shard; beyond it they are dealt into powers of two of shards, 2**16 at most. A document is a
+#: unit for every UNIT words, or part of them, of its stretches of the anchor.
 SHARE_DOCS = 512
+UNIT = 1024
+#: Windows of a stretch at most. The stretches that begin in one block of BLOCK words of a text go to one of the anchor's shards.
+STRETCH = 4096
+_BLOCK_BITS = 14
 #: Bytes of a word's hash.
 _WORD_BYTES = 6
 #: Bit of a place: its window occurs in the text again.
@@ -218,26 +224,31 @@ def _windows(h: np.ndarray, at: np.ndarray, size: int, k: int) -> tuple[np.ndarr
     return first, text[first], least[first] >> np.uint64(64 - _ANCHOR_BITS)
 
 
-def _changes(text: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without entries that equal the one before."""
+def _changes(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Places of the entries that differ from the one before."""
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-    return text[new], anchor[new]
+    return np.flatnonzero(new)
 
 
-def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
+def _anchor_batches(batches: Iterator[pa.RecordBatch], size: int, k: int, unit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, doc), one for every ``unit`` words, or part of them, of the stretches that a text has of an anchor."""
     for whole in batches:
         for b in _slices(whole, 1):
             h, at = _hashed(b.column(1))
             _, text, anchor = _windows(h, at, size, k)
-            text, anchor = _changes(text, anchor)  # neighbouring windows mostly share theirs; the sort then has far less
+            begin = _changes(text, anchor)  # neighbouring windows mostly share theirs; the sort then has far less
+            words, text, anchor = np.diff(begin, append=len(text)) + size - 1, text[begin], anchor[begin]
             order = np.lexsort((anchor, text))
-            text, anchor = _changes(text[order], anchor[order])
+            words, text, anchor = words[order], text[order], anchor[order]
+            begin = _changes(text, anchor)
+            units = -(-np.add.reduceat(words, begin) // unit) if len(begin) else begin
+            text, anchor = np.repeat(text[begin], units), np.repeat(anchor[begin], units)
             doc = np.asarray(b.column(0))[text]
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc, pa.int64())], names=["anchor", "doc"])
 
 
-def _stretch_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
+def _stretch_batches(batches: Iterator[pa.RecordBatch], size: int, k: int, stretch: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc, text, anchors, repeated): the stretches of windows whose anchor is among the row's.
 
     Above an anchor's bits is the binary logarithm of its shards. A key is an anchor and above it the number of the shard;
@@ -266,8 +277,9 @@ def _stretch_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> It
             new = np.ones(len(ok), bool)
             new[1:] = (np.diff(first) != 1) | (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
             begin = np.flatnonzero(new)
-            windows = np.diff(begin, append=len(ok))
-            inside = np.arange(len(ok)) - np.repeat(begin, windows)
+            inside = np.arange(len(ok)) - np.repeat(begin, np.diff(begin, append=len(ok)))
+            begin = np.flatnonzero(inside % stretch == 0)  # a long one in pieces: each of its windows is whole in one of them
+            windows, inside = np.diff(begin, append=len(ok)), inside % stretch
             digest = np.add.reduceat(_mix(_rolled(h, size, _Q)[first] + inside.astype(np.uint64) * _R), begin)
             first, text, anchor, bits = first[begin], text[begin], anchor[begin], bits[begin]
             order = np.lexsort((digest, windows, anchor, text))
@@ -279,7 +291,8 @@ def _stretch_batches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> It
             one = order[one]
             first, text, anchor, bits, words = first[one], text[one], anchor[one], bits[one], windows[one] + size - 1
             doc = np.asarray(b.column(0), dtype=np.int64)[text]
-            shard = _mix(doc.view(np.uint64) * _P) & ((1 << bits) - 1).view(np.uint64)
+            block = _mix((first - at[text] >> _BLOCK_BITS).view(np.uint64))  # 0 for the first
+            shard = _mix(doc.view(np.uint64) * _P + block) & ((1 << bits) - 1).view(np.uint64)
             tag = np.array([_tag(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)], np.int64)
             place = tag[text] << 31 | first - at[text] | again * _AGAIN
             ends = np.cumsum(words)
@@ -357,8 +370,8 @@ def _match_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
                 window, check = _rolled(hashes, size, _Q)[new].view(np.int64), (_rolled(hashes, size, _R)[new] >> np.uint64(32)).view(np.int64)
                 for start, w, c in zip(new.tolist(), window.tolist(), check.tolist(), strict=True):
                     emit(d, place + start, size, w, c)
-        if len(out[0]) > 50_000:
-            yield _matches(out)
+            if len(out[0]) > 50_000:
+                yield _matches(out)
     yield _matches(out)
 
 
@@ -418,7 +431,9 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc", "n_words", "n_removed", "kept"])
 
 
-def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, share_docs: int = SHARE_DOCS) -> DataFrame:
+def strip_repeats(
+    docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, share_docs: int = SHARE_DOCS, unit: int = UNIT, stretch: int = STRETCH
+) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept: without the words of windows that also start in a document
     with a smaller doc_id.
 
@@ -438,7 +453,7 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, sha
     of_md5 = F.concat("md5", F.lit(b"\0")).alias("key")
     copies = known.select("doc", "md5", of_md5).join(first.select(of_md5, "first"), "key").filter("first < doc").groupBy("doc").agg(F.collect_set("md5").alias("copies"))
     repeats = known.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", F.lit(True).alias("repeated"))
-    anchors = texts.mapInArrow(lambda it: _anchor_batches(it, size, anchor), "anchor bigint, doc bigint")
+    anchors = texts.mapInArrow(lambda it: _anchor_batches(it, size, anchor, unit), "anchor bigint, doc bigint")
     shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shares = F.when(F.col("n") > share_docs, F.least(F.ceil(F.log2(F.col("n") / share_docs)), F.lit(16))).otherwise(0).cast("long")
     of_anchor = (F.col("anchor") + 1).alias("key")
@@ -451,7 +466,7 @@ def strip_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, sha
         .join(repeats, "doc", "left")
         .filter(~copy)
         .select("doc", "text", "anchors", repeated.alias("repeated"))
-        .mapInArrow(lambda it: _stretch_batches(it, size, anchor), "key bigint, doc bigint, place bigint, words binary")
+        .mapInArrow(lambda it: _stretch_batches(it, size, anchor, stretch), "key bigint, doc bigint, place bigint, words binary")
     )
     dealt = stretches.repartition("key").sortWithinPartitions("key", "doc")
     # One plan to the end, so that the texts' exchange by doc is made once; spans that are settled pass the comparison alone.

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -323,8 +324,8 @@ def test_substrings(docs, share_docs):
         assert (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)) in got[d], d
 
 
-@pytest.mark.parametrize("share_docs", [1, 3, 512])
-def test_substrings_of_near_copies(spark, share_docs):
+@pytest.mark.parametrize("share_docs, unit, stretch", [(1, 1024, 4096), (3, 1024, 4096), (512, 1024, 4096), (512, 1, 1), (2, 16, 3)])
+def test_substrings_of_near_copies(spark, share_docs, unit, stretch):
     """Few words, passages in many documents, small changes, repeats inside a text: all anchors are common, most windows are not."""
     rng = random.Random(share_docs)
     passages = [[rng.choice("abcdefgh") for _ in range(rng.randint(10, 40))] for _ in range(6)]
@@ -347,10 +348,31 @@ def test_substrings_of_near_copies(spark, share_docs):
         gone = {i + j for i in range(len(w) - 12) if low[tuple(w[i : i + 13])] < d for j in range(13)}
         want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in zip(ids, texts, strict=True)], "doc_id bigint, text string").repartition(4)
-    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.strip_repeats(df, share_docs=share_docs).collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.strip_repeats(df, share_docs=share_docs, unit=unit, stretch=stretch).collect()]
     assert sorted(got) == sorted(want)
 
 
+def test_shards_of_long_texts_are_bounded():
+    """Texts of few words, each far longer than a stretch: shards, as the operator deals them, hold few words; no window is lost."""
+    rng = random.Random(4)
+    n, size, texts = 60_000, substrings.WINDOW, {1: "ha " * 60_000}
+    texts |= {d: " ".join(rng.choice("ab") for _ in range(n)) for d in range(2, 8)}
+    batch = pa.RecordBatch.from_arrays([pa.array(texts.keys(), pa.int64()), pa.array(texts.values())], names=["doc", "text"])
+    units = Counter()
+    for b in substrings._anchor_batches(iter([batch]), size, substrings.ANCHOR, substrings.UNIT):
+        units.update(b.column(0).to_pylist())
+    asked = [a | max(0, (c - 1) // 8).bit_length() << 48 for a, c in units.items()]  # eight units a shard
+    whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array([asked] * len(texts)), pa.array([False] * len(texts))], names=["doc", "text", "anchors", "repeated"])
+    held, windows = Counter(), Counter()
+    for b in substrings._stretch_batches(iter([whole]), size, substrings.ANCHOR, substrings.STRETCH):
+        for key, doc, _, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            held[key] += len(data) // 6
+            windows[doc] += len(data) // 6 - size + 1
+            assert len(data) // 6 <= substrings.STRETCH + size - 1
+    assert max(held.values()) <= 6 * 8 * substrings.UNIT and len(held) > len(units)
+    assert windows[1] < 2 * substrings.STRETCH + size and all(windows[d] > 0.1 * n for d in range(2, 8))
+
+
 def test_windows_that_recur_in_a_text(spark):
     line, runs = " ".join(f"w{i}" for i in range(14)), "ha " * 40
     texts = {1: line + " a", 2: f"{line} b {line} {line} c", 3: runs, 4: "x " + runs + "y " + runs + "z", 5: f"{line} {line}"}
