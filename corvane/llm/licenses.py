@@ -4,8 +4,9 @@ Templates are notices, usual headers, and whole licence texts (of the long ones,
 times the inverse document frequency over the templates; words that no template has weigh as the rarest do. In a text
 that speaks of licensing, the run of words nearest to a template decides, wherever it stands and whatever stands around
 it, over line ends too, if its cosine is at least ``MIN_RUN_COSINE`` and it has most of the template's words. Without
-such a run, notices as a whole count: every line that speaks of licensing is one, neighbouring ones are one block. A file
-without a licence takes that of the nearest directory above it that holds a licence file; directories and their
+such a run, notices as a whole count: every line that speaks of licensing is one, neighbouring ones are one block. A text may
+hold several licences: runs that share no word, and each part of an SPDX expression or of a list, written as a header of
+its own and compared alike. A file without a licence takes that of the nearest directory above it that holds a licence file; directories and their
 ancestors meet in joins on paths.
 """
 
@@ -41,7 +42,11 @@ _NAMES: dict[str, tuple[str, ...]] = {
     "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
     "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"),
     "MPL-1.1": ("Mozilla Public License, version 1.1",),
-    "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License v2.0"),
+    "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0"),
+    "EPL-1.0": ("Eclipse Public License, version 1.0", "Eclipse Public License v1.0", "Eclipse Public License 1.0"),
+    "EUPL-1.2": ("European Union Public Licence, version 1.2", "EUPL, Version 1.2"),
+    "CDDL-1.0": ("Common Development and Distribution License, version 1.0", "Common Development and Distribution License 1.0"),
+    "Artistic-2.0": ("Artistic License 2.0", "Artistic License, version 2.0"),
     "ISC": ("ISC License",),
     "BSL-1.0": ("Boost Software License, Version 1.0",),
 } | {
@@ -142,6 +147,20 @@ def _notices(licence: str) -> tuple[str, ...]:
 TEMPLATES: dict[str, tuple[str, ...]] = {licence: _notices(licence) for licence in sorted(_NAMES.keys() | _LINES.keys() | _WHOLE.keys())}
 _CUE = re.compile(r"licen[sc]e|spdx|copyright|public domain|all rights reserved|hereby granted|redistribution and use|provided .{0,8}as.is", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
+#: A negation and what may stand between it and the licence: up to three words of its sentence.
+_NEGATION = re.compile(r"(?:\b(?:not|never|no longer|cannot|neither)|n't)(?:[\s,]+[^\s.;:!?]+){0,3}[\s\"'(]*$")
+NEGATION_CHARS = 80
+_EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*[A-Za-z0-9.+)])", re.I)
+#: The rest of a sentence that says by which licences something goes; a full stop inside a word (2.0) does not end it.
+_STATEMENT = re.compile(r"\b(?:licen[sc]ed|released|available|distributed|offered) under((?:[^\n.;]|\.(?=\w))*)|\blicen[sc]es?:((?:[^\n.;]|\.(?=\w))*)", re.I)
+_ITEM = re.compile(r"\b(?:and/or|and|or)\b|/|,(?!\s*v(?:ersion|\.)?\s*[0-9])", re.I)
+_FILLER = re.compile(r"^(?:.*\bunder\b)?\s*(?:(?:the|terms|conditions|of|either|both|a|dual|following|under)\s+)*", re.I | re.S)
+_GNU = re.compile(r"\b(?:gnu\s+)?([al]?)gpl[ -]?(?:v|version\s)?\s?([23](?:\.1)?)(?:\.0)?(?:\+|-only|-or-later)?(?![\w.]*\d)", re.I)
+#: Licences whose texts include or take up others'.
+_INCLUDES = {"BSD-3-Clause": {"BSD-2-Clause"}, "LGPL-3.0": {"GPL-3.0"}, "AGPL-3.0": {"GPL-3.0"}, "LGPL-2.1": {"GPL-2.0"}}
+_LICENCE = re.compile("licen[sc]e", re.I)
+#: An SPDX identifier of several parts.
+_ID = re.compile(r"[A-Za-z]+(?:-[A-Za-z0-9.]+)+")
 _LICENSE_FILE = r"(?i)^(un)?licen[sc]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 
 
@@ -182,38 +201,57 @@ class Templates:
         scored = [(round(sum(x * t.get(w, 0.0) for w, x in v.items()), 9), name) for (name, t), bag in zip(self.vectors, self.bags, strict=True) if bag.total() > 2]
         return min(scored, key=lambda s: (-s[0], s[1]), default=(0.0, ""))
 
-
     def best_run(self, text: str) -> tuple[float, str] | None:
         """(cosine, name) of the run of words nearest to a template; the longest template, then the first by name among equals."""
-        words = _TERM.findall(text.lower())
-        places: dict[int, list[int]] = {}
-        for at, word in enumerate(words):
-            for k in self.anchors.get(word, ()):
-                places.setdefault(k, []).append(at)
-        found = None
-        for k in sorted(places, key=lambda k: (-self.bags[k].total(), self.vectors[k][0])):
-            bag, (name, v) = self.bags[k], self.vectors[k]
-            length = bag.total()
-            if found and found <= (-1.0, -length, name):
+        found = min(((-c, -self.bags[k].total(), self.vectors[k][0]) for c, k, _, _ in self._near(_TERM.findall(text.lower()))), default=None)
+        return found and (-found[0], found[2])
+
+    def runs(self, text: str) -> tuple[list[tuple[float, str]], bool]:
+        """(cosine, name) of each licence by its nearest run, nearest first, and whether a licence is named only to be denied.
+
+        A run counts if it shares no word with a nearer one. A run after a negation in its sentence denies its licence there.
+        """
+        text = text.lower()
+        places = [m.span() for m in _TERM.finditer(text)]
+        taken, found, denied = np.zeros(len(places), bool), {}, False
+        ranked = sorted((-c, -self.bags[k].total(), self.vectors[k][0], first, last) for c, k, first, last in self._near([text[a:b] for a, b in places]))
+        for c, _, name, first, last in ranked:
+            if taken[first:last].any():
                 continue
-            done = set()  # the same notice again and again
-            for first, last in _stretches(places[k], RUN * length, len(words)):
+            taken[first:last] = True
+            at = places[first][0]
+            if _NEGATION.search(text[max(0, at - NEGATION_CHARS) : at]):
+                denied = True
+            else:
+                found.setdefault(name, -c)
+        return [(c, name) for name, c in found.items()], denied
+
+    def _near(self, words: list[str]) -> Iterator[tuple[float, int, int, int]]:
+        """(cosine, template, first word, end) of the best near enough run from each word."""
+        at: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            for k in self.anchors.get(word, ()):
+                at.setdefault(k, []).append(i)
+        for k, places in at.items():
+            bag, v = self.bags[k], self.vectors[k][1]
+            seen: dict[tuple[str, ...], list] = {}  # the same notice again and again
+            for first, last in _stretches(places, RUN * bag.total(), len(words)):
                 near = tuple(words[first:last])
-                if len(near) < MIN_WORDS * length or near in done or sum(v[w] ** 2 for w in bag.keys() & set(near)) < MIN_RUN_COSINE**2 - 1e-9:
+                if len(near) < MIN_WORDS * bag.total() or sum(v[w] ** 2 for w in bag.keys() & set(near)) < MIN_RUN_COSINE**2 - 1e-9:
                     continue
-                done.add(near)
-                if (c := self._run(near, k)) >= MIN_RUN_COSINE:
-                    rank = (-c, -length, name)
-                    found = min(found or rank, rank)
-        return found and (-found[0], found[2])
+                if near not in seen:
+                    seen[near] = self._runs(near, k)
+                for c, i, j in seen[near]:
+                    yield c, k, first + i, first + j
 
-    def _run(self, near: tuple[str, ...], k: int) -> float:
-        """The best cosine of a run that begins and ends with words of the template, has enough of them and is not too long.
+    def _runs(self, near: tuple[str, ...], k: int) -> list[tuple[float, int, int]]:
+        """(cosine, first word, end) of the best run from each word: one that begins and ends with words of the template, has
+        enough of them, is not too long and is near enough.
 
         A near enough run holds an anchor, so runs without one do no harm.
         """
         bag, v = self.bags[k], self.vectors[k][1]
-        length, best = bag.total(), 0.0
+        length, out = bag.total(), []
         code: dict[str, int] = {}
         w = np.array([code.setdefault(x, len(code)) for x in near])
         weight, part = np.array([self.idf.get(x, self.rare) for x in code]), np.array([v.get(x, 0.0) for x in code])
@@ -231,9 +269,12 @@ class Templates:
                 has = np.cumsum(n < wanted[run])
                 if has[-1] >= least:
                     c = np.cumsum(dots[i : i + len(run)]) / np.sqrt(np.cumsum(squares[i : i + len(run)] * (2 * n + 1)))
-                    best = max(best, float(c[(has >= least) & inside[i : i + len(run)]].max(initial=0.0)))
+                    c[(has < least) | ~inside[i : i + len(run)]] = 0.0
+                    j = int(c.argmax())
+                    if (best := round(float(c[j]), 9)) >= MIN_RUN_COSINE:
+                        out.append((best, i, i + j + 1))
             before[x] += 1
-        return round(best, 9)
+        return out
 
 
 def _stretches(places: list[int], reach: int, n: int) -> Iterator[tuple[int, int]]:
@@ -264,20 +305,70 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-def detect(text: str | None, templates: Templates, least: float = MIN_COSINE) -> tuple[str | None, float, int]:
-    """(licence or None, cosine of the run or else the best of a block, number of notice blocks)."""
-    found = blocks(text or "")
-    if found and (run := templates.best_run(text)):
-        return run[1], run[0], len(found)
+def expressions(text: str) -> list[str]:
+    """The SPDX expressions of a text, in order, each once, with single blanks."""
+    return list(dict.fromkeys(" ".join(m[1].split()) for m in _EXPRESSION.finditer(text)))
+
+
+def _headers(expression: str) -> list[str]:
+    """A header for each licence of an SPDX expression; exceptions are left out, older forms are written as today's."""
+    out, words = [], expression.replace("(", " ").replace(")", " ").split()
+    for before, w in zip(["", *words], words, strict=False):
+        if w.upper() not in ("AND", "OR", "WITH") and before.upper() != "WITH":
+            if re.fullmatch(r"[AL]?GPL-[0-9.]+\+?", w, re.I):
+                w = w[:-1] + "-or-later" if w.endswith("+") else f"{w}-only"
+            out.append(f"SPDX-License-Identifier: {w}")
+    return out
+
+
+def _said(text: str) -> list[str]:
+    """A notice for each licence that a sentence lists."""
+    out = []
+    for m in _STATEMENT.finditer(text):
+        if _NEGATION.search(text[max(0, m.start() - NEGATION_CHARS) : m.start()].lower()):
+            continue
+        for item in _ITEM.split(m[1] if m[1] is not None else m[2]):
+            if item := _FILLER.sub("", item).strip():
+                if _ID.fullmatch(item):
+                    out += _headers(item)
+                    continue
+                item = _GNU.sub(lambda g: f"GNU {({'a': 'Affero ', 'l': 'Lesser '}).get(g[1].lower(), '')}General Public License version {g[2]}", item)
+                out.append(f"Licensed under the {item}" + ("" if _LICENCE.search(item) else " License"))
+    return list(dict.fromkeys(out))
+
+
+def detect(text: str | None, templates: Templates, least: float = MIN_COSINE) -> tuple[str | None, float, int, list[str], str | None]:
+    """(licence or None, cosine of its run or else the best of a block, number of notice blocks, all licences by name, SPDX
+    expression or None).
+
+    The licence is that of the nearest run. All licences are those of runs that share no word, of the parts of SPDX
+    expressions and of lists ("under MIT and Apache 2.0"), but for those that another one's text includes. A licence that is
+    only denied ("not under the MIT License") is none. Several expressions are joined by AND.
+    """
+    text = text or ""
+    found = blocks(text)
+    if not found:
+        return None, 0.0, 0, [], None
+    near, denied = templates.runs(text)
+    stated = expressions(text)
+    listed = [run for part in [*(h for e in stated for h in _headers(e)), *_said(text)] if (run := templates.best_run(part))]
+    spdx = " AND ".join(f"({e})" if len(stated) > 1 and " " in e else e for e in stated) or None
+    if near or listed:
+        score, name = near[0] if near else min(listed, key=lambda r: (-r[0], r[1]))
+        names = {n for _, n in near} | {n for _, n in listed}
+        names -= {i for n in names for i in _INCLUDES.get(n, ())} - {n for _, n in listed} - {name}
+        return name, score, len(found), sorted(names), spdx
     score, name = min((templates.best(b) for b in found), key=lambda s: (-s[0], s[1]), default=(0.0, None))
-    return (name if score >= least else None), score, len(found)
+    named = name if score >= least and not denied else None
+    return named, score, len(found), [named] if named else [], spdx
 
 
 def _batches(batches: Iterator[pa.RecordBatch], templates: Templates, least: float) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.string())
     for b in batches:
         rows = [detect(t, templates, least) for t in b.column(b.num_columns - 1).to_pylist()]
-        arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], "own", "cosine", "n_notices"])
+        arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], "own", "cosine", "n_notices", "all", "expression"])
 
 
 def directory(path: Column) -> Column:
@@ -291,8 +382,9 @@ def _ancestors(path: Column) -> Column:
 
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = MIN_COSINE, licence_file: Column | None = None) -> DataFrame:
-    """files: id, path, text. One row per row: id, path, own, cosine, n_notices, license (own or inherited),
-    inherited_from (a directory, null for own or none).
+    """files: id, path, text. One row per row: id, path, own (the nearest licence), cosine, n_notices, license (own or
+    inherited), inherited_from (a directory, null for own or none), licenses (all, by name, own or inherited; empty for
+    none), expression (SPDX, as the text itself has it, or null).
 
     ``licence_file``: a condition on files, whose licences their directories pass on; by default the usual names of such
     files. Null and empty texts hold no notice and inherit; a null path is a file of the root. Of several licence files
@@ -307,9 +399,9 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, le
     flag = F.element_at(F.split(path, "/"), -1).rlike(_LICENSE_FILE) if licence_file is None else licence_file
     kind = files.schema["id"].dataType.simpleString()
     src = files.select("id", path.alias("path"), flag.alias("flag"), "text")
-    found = src.mapInArrow(lambda it: _batches(it, held, least), f"id {kind}, path string, flag boolean, own string, cosine double, n_notices bigint")
+    found = src.mapInArrow(lambda it: _batches(it, held, least), f"id {kind}, path string, flag boolean, own string, cosine double, n_notices bigint, all array<string>, expression string")
     found = materialise(found.withColumn("dir", directory(F.col("path"))), "licences")
-    of_dir = found.filter("flag AND own IS NOT NULL").groupBy("dir").agg(F.min(F.struct("path", "own"))["own"].alias("given")).withColumnRenamed("dir", "above")
+    of_dir = found.filter("flag AND own IS NOT NULL").groupBy("dir").agg(F.min(F.struct("path", "own", "all")).alias("given")).withColumnRenamed("dir", "above")
     dirs = found.filter("own IS NULL").select("dir").distinct()
     near = (
         dirs.select("dir", F.explode(_ancestors(F.col("dir"))).alias("above"))
@@ -322,8 +414,9 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, le
     out = found.withColumn("_turned", F.reverse("dir")).join(turned, "_turned", "left")
     takes = F.col("own").isNull()
     return out.select(
-        "id", "path", "own", "cosine", "n_notices", F.when(takes, F.col("near.given")).otherwise(F.col("own")).alias("license"),
+        "id", "path", "own", "cosine", "n_notices", F.when(takes, F.col("near.given.own")).otherwise(F.col("own")).alias("license"),
         F.when(takes, F.col("near.above")).alias("inherited_from"),
+        F.when(takes, F.coalesce("near.given.all", F.array().cast("array<string>"))).otherwise(F.col("all")).alias("licenses"), "expression",
     )
 
 

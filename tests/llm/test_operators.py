@@ -593,6 +593,43 @@ def test_license_headers(text, licence):
     assert licenses.detect(text, licenses.Templates(licenses.TEMPLATES))[0] == licence
 
 
+LICENSE_SETS = [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"], "MIT OR Apache-2.0"),
+    ("# SPDX-License-Identifier: (GPL-2.0-only OR  BSD-3-Clause)\ncode", ["BSD-3-Clause", "GPL-2.0"], "(GPL-2.0-only OR BSD-3-Clause)"),
+    ("SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0", ["GPL-2.0"], "GPL-2.0+ WITH Classpath-exception-2.0"),
+    ("SPDX-License-Identifier: MIT\nx\nSPDX-License-Identifier: ISC OR Zlib\nSPDX-License-Identifier: MIT", ["ISC", "MIT", "Zlib"], "MIT AND (ISC OR Zlib)"),
+    ("SPDX-License-Identifier: LicenseRef-Ours", [], "LicenseRef-Ours"),
+    ("The code is dual-licensed under MIT and Apache 2.0", ["Apache-2.0", "MIT"], None),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"], None),
+    ("Licensed under MIT, BSD-3-Clause, or Apache 2.0.", ["Apache-2.0", "BSD-3-Clause", "MIT"], None),
+    ("License: GNU AGPL-3.0", ["AGPL-3.0"], None),
+    ("The license: it is available under GPLv3 or LGPL 2.1", ["GPL-3.0", "LGPL-2.1"], None),
+    ("This program is made available under the terms of the Eclipse Public License 2.0", ["EPL-2.0"], None),
+    (licenses._WHOLE["MIT"] + "\n\n" + licenses._WHOLE["Apache-2.0"], ["Apache-2.0", "MIT"], None),
+    (licenses._WHOLE["BSD-3-Clause"] + "\n" + licenses._WHOLE["BSD-3-Clause"], ["BSD-3-Clause"], None),
+    (licenses._WHOLE["LGPL-3.0"], ["LGPL-3.0"], None),
+    ("We do not use the MIT License", [], None),
+    ("This file is not licensed under the MIT License. It is licensed under the ISC License.", ["ISC"], None),
+    ("This file may not be copied. Released under the MIT License.", ["MIT"], None),
+    ("License: frei mit der Hand", [], None),
+    (None, [], None),
+    ("Released under the MIT License. " * 3000, ["MIT"], None),
+]
+
+
+@pytest.mark.parametrize("text, names, expression", LICENSE_SETS)
+def test_license_sets(text, names, expression):
+    own, _, _, got, spdx = licenses.detect(text, licenses.Templates(licenses.TEMPLATES))
+    assert (got, spdx) == (names, expression) and (own in names if names else own is None)
+
+
+def test_license_sets_are_inherited(spark):
+    rows = [(1, "a/LICENSE", "SPDX-License-Identifier: MIT OR Apache-2.0"), (2, "a/b.py", "x"), (3, "c.py", None), (4, "a/d.py", "License: ISC")]
+    got = {r.id: (r.licenses, r.expression) for r in licenses.scan(spark.createDataFrame(rows, "id int, path string, text string")).collect()}
+    both = ["Apache-2.0", "MIT"]
+    assert got == {1: (both, "MIT OR Apache-2.0"), 2: (both, None), 3: ([], None), 4: (["ISC"], None)}
+
+
 def test_license_query_against_brute_force(spark):
     """The whole query over a small table: texts one by one, directories by walking up."""
     templates = licenses.Templates(licenses.TEMPLATES)
