@@ -26,12 +26,12 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 24
 MAX_CHARS = 120
 #: Atoms before a span in which cue words count.
-CUE_ATOMS = 5
+CUE_ATOMS = 7
 #: Atoms whose segments are scored at once.
 BLOCK_ATOMS = 512
 L2 = 0.02
 EPOCHS = 30
-N_TRAIN = 360
+N_TRAIN = 720
 MIN_MARGIN = 1.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,6 +41,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[^\W\d_]")
+_DIGITS = frozenset("0123456789")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 _TRIGGER = re.compile(r"@|[0-9]+|[\[({<] ?at ?[\])}>]", re.I)
 #: What a trigger begins with.
@@ -109,10 +110,13 @@ _SHAPES: list[tuple[str, re.Pattern]] = [
     ("groups4444", re.compile(r"[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}")),
     ("double_zero", re.compile(r"00[ -]?[1-9][0-9]{0,2}[ .-][0-9 ().-]+[0-9]")),
     ("plain16", re.compile(r"[0-9]{14,19}")),
+    ("trunk", re.compile(r"0[1-9][0-9]{1,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,5}")),
+    ("pairs", re.compile(r"0[1-9]([ .-])[0-9]{2}(\1[0-9]{2}){3}")),
+    ("country", re.compile(r"[1-9][0-9]{0,2}( [0-9]{2,4}){3}")),
     ("dotted_four", re.compile(r"[0-9]+(\.[0-9]+){3}")),
 ]
 _PER_SPAN = ["bias", *[s for s, _ in _SHAPES], "luhn", "octet_range", "digits_le9", "digits_10_13", "digits_14_19", "digits_gt19",
-             "glued_left", "glued_right", "after_plus", "cue_same", "cue_other", "space_edge", "long_span", "has_letters", "no_shape"]
+             "glued_left", "glued_right", "row_left", "row_right", "after_plus", "cue_same", "cue_other", "space_edge", "long_span", "has_letters", "no_shape"]
 _N = len(_PER_SPAN)
 _AT = {n: i for i, n in enumerate(_PER_SPAN)}
 _LONG_SPAN = 60
@@ -167,6 +171,8 @@ class Region:
         x[_AT["digits_le9" if n <= 9 else "digits_10_13" if n <= 13 else "digits_14_19" if n <= 19 else "digits_gt19"]] = 1
         x[_AT["glued_left"]] = a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_.-/+%" and a > 1 and text[a - 2].isalnum())
         x[_AT["glued_right"]] = b < len(text) and (text[b].isalnum() or text[b] in "_-/@%" or text[b] == "." and b + 1 < len(text) and text[b + 1].isalnum())
+        x[_AT["row_left"]] = a > 1 and text[a - 1] in " .-\t|" and text[a - 2] in _DIGITS
+        x[_AT["row_right"]] = b + 1 < len(text) and text[b] in " .-\t|" and text[b + 1] in _DIGITS
         x[_AT["after_plus"]] = re.search(r"\+[0-9]{1,3}[ -]?$", text[max(0, a - 6) : a]) is not None
         x[_AT["long_span"]] = b - a > _LONG_SPAN
         x[_AT["has_letters"]] = any(c.isalpha() for c in span)
@@ -312,12 +318,30 @@ def labelled(seed: int, n: int) -> list[tuple[str, set[tuple[int, int, str]]]]:
         lambda: f"v{num(1)}.{num(1)}.{num(1)}.{num(1)}.{num(2)}", lambda: num(rng.randint(20, 30)), lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"{num(4)} {num(4)}", lambda: f"@{word()}", lambda: f"{num(3)}-{num(2)}", lambda: f"{num(5)} {num(5)} {num(6)}",
         lambda: " ".join(num(rng.randint(1, 4)) for _ in range(6)), lambda: f"{num(1)}.{num(4)}", lambda: rng.choice("-./").join(group(not_card())), lambda: f"{num(8)}.{num(6)}", lambda: f"{word()}{num(12)}",
     ]
+    called = [  # telephones only after a word that says so
+        lambda: f"0{rng.randint(20, 29)} {num(4)} {num(4)}", lambda: f"0{rng.randint(1, 7)}" + "".join(f" {num(2)}" for _ in range(4)),
+        lambda: f"0{rng.randint(30, 999)}{rng.choice(' /-')}{num(rng.randint(6, 8))}", lambda: f"{rng.randint(30, 99)} {num(2)} {num(4)} {num(4)}",
+        lambda: f"0{rng.randint(100, 199)} {num(3)} {num(4)}",
+    ]
+    cut = lambda s: " ".join(s[a:b] for a, b in zip((0, 3, 7, 10, 13), (3, 7, 10, 13, 16), strict=True))
+    rows = [  # of tables; the last two hold a checksum by chance
+        lambda: f"{num(3)} {num(3)} {num(4)} {num(rng.randint(1, 4))}", lambda: f"{num(rng.randint(1, 4))} {num(3)} {num(3)} {num(4)}", lambda: "\t".join(num(rng.randint(2, 5)) for _ in range(5)),
+        lambda: " ".join(num(rng.choice([3, 3, 4])) for _ in range(rng.randint(4, 9))), lambda: f"{rng.randint(30, 99)} {num(2)} {num(4)} {num(4)}", lambda: " ".join(num(2) for _ in range(5)),
+        lambda: "-".join(num(rng.choice([3, 3, 4])) for _ in range(rng.randint(4, 6))), lambda: f"{cut(card())} {num(4)} {num(3)}", lambda: f"{num(4)} {num(3)} {cut(card())}",
+    ]
     out = []
     for _ in range(n):
         text, gold = "", set()
         for _ in range(rng.randint(1, 3)):
             text += " ".join(word() for _ in range(rng.randint(2, 5))) + " "
-            if rng.random() < 0.5:
+            form = rng.random()
+            if form < 0.12:
+                s = rng.choice(called)()
+                text += rng.choice(_CUES["phone"]) + rng.choice([": ", " ", " us on ", " at "])
+                gold.add((len(text), len(text) + len(s), "phone"))
+            elif form < 0.24:
+                s = rng.choice(rows)()
+            elif form < 0.62:
                 s, kind = rng.choice(positive)()
                 if rng.random() < 0.2:
                     text += rng.choice(_CUES[kind]) + rng.choice([": ", " "])

@@ -208,6 +208,27 @@ def test_pii_base_random():
         assert pii.base_spans(text) == brute_pii(text), text
 
 
+def digest_of(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+
+
+def test_base_rows_of_documents(spark):
+    """The queries' base columns over a whole table and the odd texts, against the patterns tried one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(10_000 + k, t) for k, t in enumerate([*PII_TEXTS, None, "Token = 'abc' token=abcdefgh password: x", "AKIA" + "A1" * 6, "0" * 40 + "g" + "b" * 32])]
+    docs = docs.unionAll(spark.createDataFrame(odd, docs.schema))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for found, brute, kinds in ((pii.digest(pii.scan(docs)), brute_pii, pii.KINDS), (secrets.digest(secrets.scan(docs)), brute_secrets, ("assign", "access", "hex"))):
+        rows = {r.doc_id: r for r in found.collect()}
+        assert rows.keys() == texts.keys()
+        for d, t in texts.items():
+            spans, counts = brute(t), Counter()
+            counts.update(k for _, _, k in spans)
+            assert rows[d].base_sha256 == digest_of(spans) and all(f"{k}:{a}:{b}" in rows[d].spans.split(",") for a, b, k in spans), d
+            assert len(rows[d].spans.split(",")) >= len(spans) and sum(counts.values()) == len(spans)
+            assert [rows[d][f"n_{k}"] >= counts[k] for k in kinds] == [True] * len(kinds), d
+
+
 def test_pii_field_and_redaction(docs):
     w = pii.trained()
     found = wrong = gold_n = 0
@@ -222,6 +243,28 @@ def test_pii_field_and_redaction(docs):
     assert pii.redact("abcdefgh", spans) == "[EMAIL]gh"
 
 
+def test_pii_telephones_and_rows_of_numbers():
+    """Of another generator (English words): telephones of five countries after a word that says so, and numbers that are none."""
+    rng, w = random.Random(99), pii.trained()
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    phones = {
+        "call ": lambda: f"{num(3)}-{num(3)}-{num(4)}", "phone ": lambda: f"({num(3)}) {num(3)}-{num(4)}", "dial ": lambda: f"020 {num(4)} {num(4)}",
+        "tel ": lambda: "01 " + " ".join(num(2) for _ in range(4)), "tel: ": lambda: f"030 {num(7)}", "fax ": lambda: f"44 20 {num(4)} {num(4)}", "mobile ": lambda: f"+34 {num(3)} {num(3)} {num(3)}",
+    }
+    plain = [
+        lambda: f"{num(3)} {num(3)} {num(4)} {num(3)}", lambda: " ".join(num(rng.choice([3, 4])) for _ in range(8)), lambda: f"20{num(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", lambda: num(11),
+        lambda: f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"{num(3)},{num(3)}.{num(2)}", lambda: f"{num(2)}:{num(2)}:{num(2)}.{num(6)}", lambda: f"{rng.randint(30, 99)} {num(2)} {num(4)} {num(4)}",
+    ]
+    english = ["house", "river", "market", "letter", "school", "green", "window"]
+    for cue, make in phones.items():
+        said = [(f"The {rng.choice(english)} {cue}", make()) for _ in range(100)]
+        found = sum((len(a), len(a) + len(x), "phone") in pii.find_spans(f"{a}{x} in the {rng.choice(english)}.", w)[1] for a, x in said)
+        assert found >= 90, (cue, found)
+    for make in plain:
+        wrong = sum(bool(pii.find_spans(f"The {rng.choice(english)} had {make()} in the {rng.choice(english)}.", w)[1]) for _ in range(100))
+        assert wrong <= 4, (make(), wrong)
+
+
 def test_pii_spans_across_long_chains():
     w = pii.trained()
     line = "(123) 456-7890\n"
