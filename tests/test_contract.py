@@ -132,3 +132,13 @@ def test_files_by_blocks_of_keys(spark, duck, name, tmp_path, monkeypatch):
 
 
 _SMALL_BLOCKS: dict = {}
+
+
+def test_rank_that_converges_late(spark, tmp_path):
+    """Two pages that link to each other and others that link to one of them: 30 steps of the SQL end above its tolerance."""
+    to = {"/a": "/b", "/b": "/a", "/c": "/a", "/d": "/a"}
+    spark.createDataFrame([(i, u, f'<a href="{v}">x</a>') for i, (u, v) in enumerate(to.items())], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.QUERIES["pagerank_converged"](spark, str(tmp_path)).select("node", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(catalog.ORACLES["pagerank_converged"]).fetchall())
