@@ -277,3 +277,25 @@ def test_limits_over_a_growing_stream(spark, tmp_path):
     kept, _ = run(at("b", 300))
     assert run(at("a", 5))[1] == [("a", 3), ("a", 4), ("b", 3)]  # too late
     assert kept == 1
+
+
+def _dealt(df):
+    """Tasks that have rows."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_python_of_one_task_is_parsed_by_several(spark):
+    files = spark.range(200).select(F.format_string("p%d.py", "id").alias("path"), F.lit("python").alias("language"), F.lit("def f(x):\n    return a.b(x)\n").alias("text")).coalesce(1)
+    parsed = code.parse(files)
+    assert parsed.count() == 200 and _dealt(parsed) > 4
+    assert _dealt(code.chunk(files, parsed)) > 4
+
+
+def test_names_as_unparsed():
+    import ast
+
+    for text in ["f", "a.b.c", "f().g", "a[0].b", "(x or y).z", "'s'.join"]:
+        assert code._dotted(ast.parse(text, mode="eval").body) == ast.unparse(ast.parse(text, mode="eval"))
+    for text in ["", "a, b", "a, /, b", "a: int, b", "a=1", "*a", "*, a", "**k", "a, *b, c=2, **d"]:
+        node = ast.parse(f"def f({text}): pass").body[0].args
+        assert code._arguments(node) == ast.unparse(node)
