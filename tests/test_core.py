@@ -299,3 +299,11 @@ def test_names_as_unparsed():
     for text in ["", "a, b", "a, /, b", "a: int, b", "a=1", "*a", "*, a", "**k", "a, *b, c=2, **d"]:
         node = ast.parse(f"def f({text}): pass").body[0].args
         assert code._arguments(node) == ast.unparse(node)
+
+
+def _scripts(spark):
+    return spark.range(200).select(F.format_string("c%d.ts", "id").alias("path"), F.lit("typescript").alias("language"), F.lit("import { a } from './m'\nfunction f(x) {\n}\n").alias("text")).coalesce(1)
+
+
+def test_scripts_of_one_task_are_parsed_by_several(spark):
+    assert _dealt(code.symbols_of(code.parse(_scripts(spark)))) > 4
