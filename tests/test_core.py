@@ -307,3 +307,8 @@ def _scripts(spark):
 
 def test_scripts_of_one_task_are_parsed_by_several(spark):
     assert _dealt(code.symbols_of(code.parse(_scripts(spark)))) > 4
+
+
+def test_imports_of_one_task_are_parsed_by_several(spark):
+    found = code.imports_of(code.parse(_scripts(spark)))
+    assert found.count() == 200 and _dealt(found) > 4
