@@ -312,3 +312,23 @@ def test_scripts_of_one_task_are_parsed_by_several(spark):
 def test_imports_of_one_task_are_parsed_by_several(spark):
     found = code.imports_of(code.parse(_scripts(spark)))
     assert found.count() == 200 and _dealt(found) > 4
+
+
+def test_links_and_ranks_stay_in_their_buckets(spark, monkeypatch):
+    """A step over many nodes exchanges the partial sums alone."""
+    plans, write = [], graph.bucketed
+
+    def spied(df, name, key, parts):
+        if name == "rank":
+            plans.append(df.repartition(parts, key)._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, key, parts)
+
+    monkeypatch.setattr(graph, "bucketed", spied)
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    edges = spark.range(300).select(F.col("id").alias("src"), (F.col("id") * 7 % 100).alias("dst"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {r.node: r.score for r in graph.pagerank(spark.range(300).withColumnRenamed("id", "node"), edges, most=3, tolerance=None, local=0, numbered=True).collect()}
+    named = graph.pagerank(spark.range(300).select(F.concat(F.lit("n"), F.col("id")).alias("node")), edges.select(*[F.concat(F.lit("n"), F.col(c)).alias(c) for c in ("src", "dst")]), most=3, tolerance=None)
+    assert got == {int(r.node[1:]): r.score for r in named.collect()} and len(got) == 300
+    assert len(plans) == 4 and all(p.count("Exchange") == 1 for p in plans[1:])
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
