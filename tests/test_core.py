@@ -332,3 +332,24 @@ def test_links_and_ranks_stay_in_their_buckets(spark, monkeypatch):
     assert got == {int(r.node[1:]): r.score for r in named.collect()} and len(got) == 300
     assert len(plans) == 4 and all(p.count("Exchange") == 1 for p in plans[1:])
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+@pytest.mark.parametrize("few", [graph.BROADCAST_NODES, 0])
+def test_levels_take_the_edges_of_their_frontier(spark, monkeypatch, few):
+    """The edges of a level are taken before they are ordered; frontiers that are too large for it give the same nodes."""
+    plans, write = [], graph.materialise
+    monkeypatch.setattr(graph, "BROADCAST_NODES", few)
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), write(df, name))[1])
+    pairs = [(a, (a * k + k) % 97, k) for a in range(97) for k in range(1, 9)]
+    edges = spark.createDataFrame(pairs, "src int, dst int, ordinal int").repartition(3)
+    want, at = {0: 0}, [0]
+    for d in range(1, 4):
+        at = sorted({b for a, b, k in pairs if a in at and k <= 5} - want.keys())
+        want |= dict.fromkeys(at, d)
+    assert {r.node: r.depth for r in graph.bounded_bfs(spark.createDataFrame([(0,)], "node int"), edges).collect()} == want
+    levels = [p for name, p in plans if name == "bfs"][1:]
+    assert len(levels) == 3 and sum(name == "bfs-links" for name, _ in plans) == (not few)
+    if few:
+        assert all(p.index("Window [") < p.index("LeftSemi") for p in levels)
+    else:
+        assert not any("Window [" in p for p in levels)
