@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import exploded_tokens, identifier_tokens, or_default, parted, token_estimate
 from corvane.operators.best import Best, ids_of
-from corvane.session import ship
+from corvane.session import ship, spread
 
 POOL, K, W_VECTOR, W_KEYWORD, BOOST, MOST = 50, 60, 0.6, 0.4, 0.35, 20
 SYMBOL_BONUS = 15.0
@@ -25,8 +25,11 @@ BROADCAST_WORDS, BLOCK_NUMBERS, BLOCK_QUERIES, BLOCK_TERMS, SHORT_ITEMS = 500_00
 
 
 def term_frequency(chunks: DataFrame, text: Column) -> DataFrame:
-    """(chunk_id, token, tf): the inverted index; written once, it serves every batch of queries."""
-    return exploded_tokens(chunks, text, "chunk_id").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(chunk_id, token, tf): the inverted index; written once, it serves every batch of queries.
+
+    Texts are dealt to tasks by chunk_id, so their words are taken and counted there: words are not exchanged.
+    """
+    return exploded_tokens(spread(chunks.select("chunk_id", text.alias("text")), "chunk_id"), F.col("text"), "chunk_id").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top(df: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:

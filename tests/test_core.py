@@ -353,3 +353,12 @@ def test_levels_take_the_edges_of_their_frontier(spark, monkeypatch, few):
         assert all(p.index("Window [") < p.index("LeftSemi") for p in levels)
     else:
         assert not any("Window [" in p for p in levels)
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    """Texts of one task are dealt to several; nothing else is exchanged."""
+    texts = [(k, f"word{k % 7} fooBar foo_bar a word{k % 7}") for k in range(200)]
+    got = search.term_frequency(spark.createDataFrame(texts, "chunk_id long, text string").coalesce(1), F.col("text"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and _dealt(got) > 4
+    want = {(k, w): n for k, _ in texts for w, n in ((f"word{k % 7}", 2), ("foo", 2), ("bar", 2))}
+    assert {(r.chunk_id, r.token): r.tf for r in got.collect()} == want
