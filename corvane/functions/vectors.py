@@ -38,16 +38,20 @@ def hash_slot(word: Column, dimensions: int = DIMENSIONS) -> tuple[Column, Colum
     return (rest % dimensions).cast("int"), F.when(rest < dimensions, 1).otherwise(-1)
 
 
+#: Words whose slots a worker keeps, by number of dimensions: beyond so many it begins anew.
+MOST_SLOTS = 200_000
+_SLOTS: dict[int, dict[str, int]] = {}
 _SPACE = re.compile(r"[ \t\r\n]+")
 
 
 def embed_texts(texts: Iterable[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
     """A row a text: signed counts of its lower-cased words by hash, normalised where the norm exceeds 1e-6; null is empty."""
-    slots: dict[str, int] = {}
-    out = []
+    slots, out = _SLOTS.setdefault(dimensions, {}), []
     for text in texts:
         words = [w for w in _SPACE.split((text or "").lower()) if w]
-        for w in set(words) - slots.keys():
+        if len(slots) > MOST_SLOTS:
+            slots.clear()
+        for w in {w for w in words if w not in slots}:
             slots[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest(), "big") % (2 * dimensions)
         both = np.bincount(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)), minlength=2 * dimensions)
         out.append(both[:dimensions] - both[dimensions:])

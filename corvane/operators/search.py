@@ -98,7 +98,7 @@ def _keyword_batches(batches: Iterator[pa.RecordBatch], shared, k: int) -> Itera
 def keyword_topk(chunks: DataFrame, text: Column, queries: DataFrame, k: int = POOL, symbol: Column | None = None) -> DataFrame:
     """chunks: chunk_id, and a text to be searched; queries: query_id, text: a stated set. (query_id, chunk_id, score, rank).
 
-    A chunk is scored where it is read, for all queries of a block (``BLOCK_QUERIES``, of ``BLOCK_TERMS`` words): their words are
+    Chunks are dealt to tasks by id. A chunk is scored in its task, for all queries of a block (``BLOCK_QUERIES``, of ``BLOCK_TERMS`` words): their words are
     broadcast, other words of the chunk count for nothing. A task gives out its best ``k`` of each query, so what is exchanged
     does not grow with the words. ``symbol``: a chunk's name; where it occurs in a query, letters in either case, that adds.
     """
@@ -106,6 +106,7 @@ def keyword_topk(chunks: DataFrame, text: Column, queries: DataFrame, k: int = P
     ship(spark)
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((chunks, "chunk_id"), (queries, "query_id"))}
     held = chunks.select("chunk_id", text.alias("text"), F.lower(F.coalesce(F.lit("") if symbol is None else symbol, F.lit(""))).alias("symbol"))
+    held = spread(held, "chunk_id")
     schema, parts = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double", []
     rows = queries.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), identifier_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).orderBy("query_id").toLocalIterator()
     kind = pa.int32() if kinds["query_id"] == "int" else None

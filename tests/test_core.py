@@ -362,3 +362,17 @@ def test_words_are_counted_where_their_text_is(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and _dealt(got) > 4
     want = {(k, w): n for k, _ in texts for w, n in ((f"word{k % 7}", 2), ("foo", 2), ("bar", 2))}
     assert {(r.chunk_id, r.token): r.tf for r in got.collect()} == want
+
+
+def test_chunks_of_one_task_are_searched_by_several(spark, monkeypatch):
+    """And words' slots are kept from text to text, up to a bound that changes no vector."""
+    seen, write = [], search.top
+    monkeypatch.setattr(search, "top", lambda df, *a: (seen.append(_dealt(df)), write(df, *a))[1])
+    texts = spark.range(200).select(F.col("id").alias("chunk_id"), F.concat(F.lit("helper word"), F.col("id")).alias("text")).coalesce(1)
+    got = search.keyword_topk(texts, F.col("text"), spark.createDataFrame([(1, "helper")], "query_id long, text string"), k=3)
+    assert seen[0] > 4 and [r.chunk_id for r in got.orderBy("rank").collect()] == [0, 1, 2]
+    some = ["a b c", None, "b b d", "", "e a"]
+    want = V.embed_texts(some)
+    assert V._SLOTS[V.DIMENSIONS].keys() >= set("abcde")
+    monkeypatch.setattr(V, "MOST_SLOTS", 1)
+    assert (V.embed_texts(some) == want).all()
