@@ -12,7 +12,7 @@ from corvane.functions.model import OFFLINE, TextModel
 from corvane.functions.vectors import with_embedding
 from corvane.operators import code, graph, incremental, store, tours
 from corvane.operators.store import drop_repository, table  # noqa: F401  (readers take them from here)
-from corvane.session import discard, materialise
+from corvane.session import discard, materialise, spread
 from corvane.sources import code as sources
 
 #: Rows whose keys are broadcast, so that the texts of what is new stay where they are.
@@ -106,7 +106,7 @@ def embed(spark: SparkSession, chunks: DataFrame, out: str, repo_id: int, versio
     once = chunks.groupBy("content_hash").agg(F.min("chunk_id").alias("chunk_id"))
     fresh = materialise(once.join(mine().select("content_hash"), "content_hash", "left_anti"), "to-embed")
     texts = chunks.join(_few(fresh.select("chunk_id")), "chunk_id", "left_semi").select("content_hash", T.token_estimate(F.col("embedding_text")).alias("tokens"), "embedding_text")
-    done = with_embedding(texts, F.col("embedding_text"), model.embed).withColumn("model", F.lit(name))
+    done = with_embedding(spread(texts, "content_hash"), F.col("embedding_text"), model.embed).withColumn("model", F.lit(name))
     store.write(done, out, "embeddings", repo_id, version)
     discard(fresh)
     added = mine().filter(F.col("version") == version).select("content_hash", "tokens")

@@ -376,3 +376,15 @@ def test_chunks_of_one_task_are_searched_by_several(spark, monkeypatch):
     assert V._SLOTS[V.DIMENSIONS].keys() >= set("abcde")
     monkeypatch.setattr(V, "MOST_SLOTS", 1)
     assert (V.embed_texts(some) == want).all()
+
+
+def test_chunks_of_one_task_are_embedded_by_several(spark, monkeypatch, tmp_path):
+    from corvane.functions.model import OFFLINE
+    from corvane.operators import ingest
+
+    seen, make = [], ingest.with_embedding
+    monkeypatch.setattr(ingest, "with_embedding", lambda df, *a: (seen.append(_dealt(df)), make(df, *a))[1])
+    text = F.concat(F.lit("word"), F.col("id"))
+    chunks = spark.range(200).select(F.col("id").cast("string").alias("chunk_id"), F.sha2(text, 256).alias("content_hash"), text.alias("embedding_text")).coalesce(1)
+    embedded, added = ingest.embed(spark, chunks, str(tmp_path), 1, 1, OFFLINE)
+    assert seen[0] > 4 and embedded.count() == added.count() == 200
