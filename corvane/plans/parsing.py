@@ -33,7 +33,7 @@ def parse_classes(spark, d):
     """A class a part: methods under their class, the last part of a dotted call and the whole, nothing of what is decorated."""
     p = table(spark, d, "part")
     text = F.concat(F.format_string(_CLASS, F.col("p_partkey").cast("long"), "p_name"), F.lit(_LEFT_OUT))
-    return _told(code.parse(p.select(F.format_string("p%d.py", F.col("p_partkey").cast("long")).alias("path"), F.lit("python").alias("language"), text.alias("text"))))
+    return _told(code.parse(p.select(F.format_string("p%d.py", F.col("p_partkey").cast("long")).alias("path"), F.lit("python").alias("language"), text.alias("text")), ["symbols"]))
 
 
 # --- TypeScript, by patterns ------------------------------------------------------------------------------------------
@@ -63,7 +63,7 @@ s AS (SELECT *, 0 AS ordinal, 'C' || k AS name, 'class' AS kind, 'export class C
  UNION ALL SELECT *, 3, 'h' || k, 'function', 'export const h' || k || ' = async (z) =>', 10, 'async|' || f FROM c)
 SELECT path, ordinal, name, kind, '' AS parent, signature, '' AS docstring, start_line, 10 AS end_line, sha256(array_to_string(l[start_line:10], chr(10)) || chr(10)) AS content_hash, calls FROM s""")
 def parse_typescript(spark, d):
-    return _told(code.parse(_scripts(spark, d)))
+    return _told(code.parse(_scripts(spark, d), ["symbols"]))
 
 
 @query("""SELECT 'c' || c_custkey || '.ts' AS path, o::INT AS ordinal, CASE o WHEN 0 THEN './m' || (c_custkey % 7) ELSE 'lib' END AS module, CASE o WHEN 0 THEN 'a|b' ELSE '' END AS names,

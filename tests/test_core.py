@@ -314,6 +314,57 @@ def test_imports_of_one_task_are_parsed_by_several(spark):
     assert found.count() == 200 and _dealt(found) > 4
 
 
+_PIECES = ["export ", "default ", "abstract ", "async ", "class ", "interface ", "function ", "func ", "const ", "let ", "var ", "import ", "from ", "extends ", "implements ", "A", "b1", "$x", "é", "_f", "9", "(", "(", ")", "{", "}", ",", "=", "=>", ":",
+           "'m'", '"n"', "\n", "\n", "\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u3000", " ", "  ", "\t", "* as ", "call(", "(x, y) ", "if (a)", "class A implements B,\n", "func (r *T) Do(x)",
+           "const h = async (z) =>", "import { a,\n b } from './m'", "import 'q'", "import x from 'y'", "export class C extends D {", "function f(a)"]
+
+
+def _by_patterns_everywhere(text):
+    lines = text.splitlines(keepends=True)
+    out = []
+    for kind, pattern in code.OTHER_SYMBOLS:
+        for m in re.finditer(pattern, text, re.M):
+            first = text.count("\n", 0, m.start())
+            content = "".join(lines[first : first + 1 + code.SPAN])
+            out.append((len(out), m[1], kind, m[0].strip(), first + 1, min(first + 1 + code.SPAN, len(lines)), content, list(dict.fromkeys(code.CALL.findall(content)))))
+    return out, [m[0] for m in code.OTHER_IMPORT.finditer(text)]
+
+
+def test_patterns_are_tried_where_they_may_match():
+    rnd, met = random.Random(5), 0
+    for k in range(4000):
+        text = "".join(rnd.choices(_PIECES, k=600 if k % 50 == 0 else rnd.choice([3, 8, 20, 60, 150])))
+        _, symbols, imports = code.parse_other(text)
+        got = [tuple(s[f] for f in ("ordinal", "name", "kind", "signature", "start_line", "end_line", "content", "calls")) for s in symbols]
+        assert (got, [i["raw"] for i in imports]) == _by_patterns_everywhere(text), text
+        met += len(got) + len(imports)
+    assert met > 3000
+
+
+def test_blank_lines_are_passed_once():
+    import time
+
+    start = time.process_time()
+    _, symbols, imports = code.parse_other("\n" * 100_000 + "x\n" + "\n" * 1000 + "class A {\n")
+    assert [(s["name"], s["start_line"]) for s in symbols] == [("A", 100_002)] and imports == []
+    assert time.process_time() - start < 5  # by the patterns alone 8,000 of them took 17 s
+
+
+def test_fields_that_are_asked_for_are_parsed(spark, monkeypatch):
+    """Whatever the number of texts that are held at once."""
+    monkeypatch.setattr(code, "HELD", 100)
+    text = F.format_string("import { a } from './m%d'\nfunction f%d(x) {\n  return g(x)\n}\n", "id", "id")
+    files = spark.range(300).select(F.format_string("c%d.ts", "id").alias("path"), F.lit("typescript").alias("language"), F.when(F.col("id") != 7, text).alias("text"))
+    parsed = code.parse(files, ["symbols"])
+    assert parsed.columns == ["path", "symbols"]
+    want = {(f"c{i}.ts", f"f{i}", ("f%d" % i, "g")) for i in range(300) if i != 7}
+    assert parsed.count() == 300 and {(r.path, r.name, tuple(r.calls)) for r in code.symbols_of(parsed).collect()} == want
+    assert code.parse(files).schema.simpleString() == code.parse(files.limit(0), code.FIELDS).schema.simpleString()
+    for language, body in [("python", "import os\n\n\ndef f():\n    pass\n"), ("typescript", "import 'os'\nfunction f() {\n}\n")]:
+        assert [len(x) for x in code.parse_text(body, language, ["symbols"])[1:]] == [1, 0]
+        assert [len(x) for x in code.parse_text(body, language, ["imports"])[1:]] == [0, 1]
+
+
 def test_links_and_ranks_stay_in_their_buckets(spark, monkeypatch):
     """A step over many nodes exchanges the partial sums alone."""
     plans, write = [], graph.bucketed
