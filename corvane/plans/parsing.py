@@ -69,7 +69,7 @@ def parse_typescript(spark, d):
 @query("""SELECT 'c' || c_custkey || '.ts' AS path, o::INT AS ordinal, CASE o WHEN 0 THEN './m' || (c_custkey % 7) ELSE 'lib' END AS module, CASE o WHEN 0 THEN 'a|b' ELSE '' END AS names,
  CASE o WHEN 0 THEN 'import { a, b } from ''./m' || (c_custkey % 7) || '''' ELSE 'import x from ''lib''' END AS raw FROM customer, (VALUES (0), (1)) v(o)""")
 def parse_imports(spark, d):
-    i = code.imports_of(code.parse(_scripts(spark, d)))
+    i = code.imports_of(code.parse(_scripts(spark, d), ["imports"]))
     return i.select("path", "ordinal", "module", F.array_join("names", "|").alias("names"), "raw")
 
 

@@ -365,6 +365,16 @@ def test_fields_that_are_asked_for_are_parsed(spark, monkeypatch):
         assert [len(x) for x in code.parse_text(body, language, ["imports"])[1:]] == [0, 1]
 
 
+def test_imports_are_parsed_without_symbols(spark, tmp_path):
+    from corvane.plans import parsing
+
+    spark.range(20).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    found = parsing.parse_imports(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "imports#" in plan and "symbols#" not in plan
+    assert {(r.path, r.ordinal, r.module, r.names) for r in found.collect()} == {x for k in range(20) for x in [(f"c{k}.ts", 0, f"./m{k % 7}", "a|b"), (f"c{k}.ts", 1, "lib", "")]}
+
+
 def test_links_and_ranks_stay_in_their_buckets(spark, monkeypatch):
     """A step over many nodes exchanges the partial sums alone."""
     plans, write = [], graph.bucketed
